@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import langid, packing, pii, secrets
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +25,46 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _spans(column: str) -> Column:
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def _count(column: str, kind: str) -> Column:
+    return F.size(F.filter(column, lambda x: x["kind"] == kind)).cast("long")
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    terms = F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+    own = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
+    out = found.withColumns({"own": own, "all": F.concat(own, F.array_distinct(terms))})
+    return out.select(
+        "doc_id", *(_count("own", k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(_spans("own"), 256).alias("base_sha256"), _spans("all").alias("spans"), F.size("terms").cast("long").alias("n_terms"),
+    )
+
+
 @query
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+@query
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    given = docs.select("doc_id", "text", langid.held_out(F.col("doc_id")).alias("held_out"))
+    return langid.predict(given, model, ["doc_id", "held_out"])
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    order = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), F.array_position(F.array(*map(F.lit, (*secrets.KINDS, "network"))), x["kind"]).alias("k"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    out = found.withColumn("all", order)
+    return out.select(
+        "doc_id", *(_count("base", k).alias(f"n_{k}") for k in secrets.KINDS),
+        F.sha2(_spans("base"), 256).alias("base_sha256"), _spans("all").alias("spans"), F.size("added").cast("long").alias("n_network"),
+    )
