@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pii, secrets
+from . import langid, packing, pii, secrets, simhash_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,9 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(_count("base", k).alias(f"n_{k}") for k in secrets.KINDS),
         F.sha2(_spans("base"), 256).alias("base_sha256"), _spans("all").alias("spans"), F.size("added").cast("long").alias("n_network"),
     )
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_dedup.cluster(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
