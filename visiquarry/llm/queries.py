@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, pii, secrets, simhash_dedup
+from . import decontam, langid, lm_score, packing, pii, secrets, simhash_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "item_id", "item_words", "covered", F.round(F.col("covered") / F.col("item_words"), 6).alias("coverage"), "tiles", "longest")
+
+
+@query
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
