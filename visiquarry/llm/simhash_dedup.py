@@ -98,8 +98,8 @@ class Golay:
         return at, words[at] ^ steps[at, k]
 
 
-def fuzzy_keys(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the fingerprint, key) for every key of every fingerprint; fps: uint64."""
+def fuzzy_keys(fps: np.ndarray, golay: Golay, halves: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the fingerprint, key) for every key of every fingerprint; fps: uint64. Without ``halves``, the first case alone."""
     v = fps.astype(np.uint64)
     seg = [(v & np.uint64(0x1FFFFF)).astype(np.int64), (v >> np.uint64(21) & np.uint64(0x1FFFFF)).astype(np.int64), (v >> np.uint64(42)).astype(np.int64)]
     near = [golay.keys(s) for s in seg]
@@ -107,7 +107,7 @@ def fuzzy_keys(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
     for j in range(3):
         who, code = near[j]
         i, k = (x for x in range(3) if x != j)
-        exact = [seg[i], seg[k]] + [((seg[i] >> 11 * a) & 0x7FF) << 11 | (seg[k] >> 11 * b) & 0x7FF for a in range(2) for b in range(2)]
+        exact = [seg[i], seg[k]] + ([] if not halves else [((seg[i] >> 11 * a) & 0x7FF) << 11 | (seg[k] >> 11 * b) & 0x7FF for a in range(2) for b in range(2)])
         for e in exact:
             at.append(who)
             keys.append(np.int64(family) << 46 | e[who] << 23 | code)
@@ -232,3 +232,126 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFr
     named = member.join(least, "component").select(F.col("node").alias("fp"), "least")
     named = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+WORDS, SIMILARITY = 5, 0.8
+SKETCHES = ((1, 42), (1, 43), (1, 44), (2, 42))
+ALL_PAIRS, FAR = 16, 12
+
+
+def sketches(text: str | None) -> list[int]:
+    """Fingerprints of the set of words under three seeds, and of the set of word pairs: a text and a near copy of it
+    differ there in few bits, as an edited word spoils one word or two pairs, but five runs of five words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    out = []
+    for size, seed in SKETCHES:
+        own = set(words) if size == 1 or len(words) < 2 else {a + b" " + b for a, b in zip(words, words[1:])}
+        if not own:
+            out.append(0)
+            continue
+        lanes = np.array([xxhash.xxh64_intdigest(x, seed) for x in own], np.uint64).view(np.uint8).reshape(-1, 8)
+        if len(own) < 256:
+            ones = _BYTE_BITS[lanes].sum(0).reshape(-1)
+        else:
+            ones = np.concatenate([np.bincount(lanes[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
+        out.append(int(sum(1 << i for i in np.flatnonzero(2 * ones > len(own)).tolist())))
+    return out
+
+
+def _candidates(texts: DataFrame) -> DataFrame:
+    """(a, b): pairs of text keys that share a Golay key of a sketch: one exact segment and a codeword of another."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        golay = Golay()
+        for batch in rows_in(batches):
+            every = np.array([sketches(t) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, len(SKETCHES))
+            names = batch.column("text_key").to_numpy()
+            for s in range(len(SKETCHES)):
+                at, keys = fuzzy_keys(every[:, s], golay, halves=False)
+                yield pa.RecordBatch.from_arrays([pa.array(keys | np.int64(s) << 52, pa.int64()), pa.array(names[at], pa.int64()), pa.array(every[at, s].view(np.int64), pa.int64())], names=["key", "name", "fp"])
+
+    def meet_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(keys: np.ndarray, names: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            cut = np.flatnonzero(np.diff(keys)) + 1
+            first, last = np.append(0, cut), np.append(cut, len(keys))
+            size = last - first
+            a, b = [], []
+            for n in range(2, ALL_PAIRS + 1):  # runs of one size at once, all pairs
+                at = first[size == n]
+                for i in range(n):
+                    for j in range(i + 1, n):
+                        ok = np.bitwise_count(fps[at + i] ^ fps[at + j]) <= FAR
+                        a.append(names[at + i][ok])
+                        b.append(names[at + j][ok])
+            for s, e in zip(first[size > ALL_PAIRS].tolist(), last[size > ALL_PAIRS].tolist()):
+                # a large group: neighbours in the order of fingerprints, and a forest of near ones
+                order = np.argsort(fps[s:e], kind="stable")
+                own, fp = names[s:e][order], fps[s:e][order]
+                links = np.array(links_within(fp, BITS) or [(0, 0)])
+                a += [own[:-1], own[:-2], own[links[:, 0]]]
+                b += [own[1:], own[2:], own[links[:, 1]]]
+            a, b = np.concatenate([names[:0], *a]), np.concatenate([names[:0], *b])
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
+
+        kept: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+        for batch in batches:
+            new = [batch.column("key").to_numpy(), batch.column("name").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)]
+            kept = [np.concatenate([x, y]) for x, y in zip(kept, new)]
+            whole = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0
+            if whole:
+                yield settle(*(x[:whole] for x in kept))
+                kept = [x[whole:] for x in kept]
+        if len(kept[0]):
+            yield settle(*kept)
+
+    records = arrow_map(texts, keyed, "key long, name long, fp long")
+    n = partitions(texts.sparkSession)
+    return arrow_map(records.repartition(n, "key").sortWithinPartitions("key"), meet_pairs, "a long, b long").distinct()
+
+
+def _shingles(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_in(batches, 64):
+            every = []
+            for text in batch.column("text").to_pylist():
+                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                own = {b" ".join(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))}
+                every.append(np.sort(np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(every, pa.list_(pa.int64()))], names=["text_key", "shingles"])
+
+    return arrow_map(texts, run, "text_key long, shingles array<long>")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(text_key, least): for every different text the smallest doc_id of its group of near copies.
+
+    Texts are linked if their sets of five-word runs have a Jaccard similarity of ``similarity`` or more. Candidates share a
+    Golay key of one of four sketches; every candidate is verified on whole texts.
+    """
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"), F.col("text").cast("string").alias("text"))
+    names = given.groupBy("text_key").agg(F.min("doc_id").alias("first"))
+    pairs = materialize(_candidates(given.select("text_key", "text")), "near-pairs")
+    nodes = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct()
+    sets = materialize(_shingles(given.join(nodes, "text_key").dropDuplicates(["text_key"]).select("text_key", "text")), "near-shingles")
+    own = pairs.join(sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    links = own.where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
+    member = components(links)
+    least = names.join(member, names.text_key == member.node).groupBy("component").agg(F.min("first").alias("least"))
+    named = member.join(least, "component").select(F.col("node").alias("text_key"), "least")
+    return names.join(named, "text_key", "left").select("text_key", F.coalesce("least", "first").alias("least"))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents, all columns kept, without near copies of one with a smaller doc_id; of repeated rows one stays."""
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"))
+    rows = given.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    stay = rows.join(near_copies(docs, similarity), "text_key").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    # texts of one group under one doc_id: one of them
+    stay = materialize(stay.groupBy("least").agg(F.min(F.struct("text_key", "rows")).alias("s")).select(F.col("least").alias("id"), "s.text_key", "s.rows"), "near-stay")
+    whole = docs.select(F.struct("*").alias("d"), key.alias("k"))
+    kept = whole.join(stay, F.col("d.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("k") == F.col("text_key")))
+    once = kept.where("rows = 1").select("d").union(kept.where("rows > 1").dropDuplicates(["id", "text_key"]).select("d"))
+    return once.select(*(F.col("d")[c].alias(c) for c in docs.columns))
