@@ -1,0 +1 @@
+"""Named queries over the operators."""
