@@ -11,13 +11,15 @@ def url_path(url: Column) -> Column:
 
 
 def url_host(url: Column) -> Column:
-    """Host in lower case without ``www.``; null where the URL does not parse."""
-    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+    """Host with its port in lower case, without ``www.``; null where the URL does not parse."""
+    authority = F.regexp_replace(F.try_parse_url(url, F.lit("AUTHORITY")), "^.*@", "")
+    return F.regexp_replace(F.lower(authority), r"^www\.", "")
 
 
 def canonical_url_key(url: Column) -> Column:
-    """Scheme, fragment, ``www.``, a closing ``/index.html`` and closing slashes dropped, query parameters in order."""
-    path = F.regexp_replace(F.regexp_replace(url_path(url), r"/index\.html?$", "/"), r"/+$", "")
+    """Scheme, fragment, ``www.``, a closing ``index.html`` and one closing slash dropped, query parameters in order."""
+    path = F.regexp_replace(url_path(url), r"/index\.html$", "/")
+    path = F.when((F.length(path) > 1) & F.endswith(path, F.lit("/")), F.left(path, F.length(path) - 1)).otherwise(path)
     query = F.try_parse_url(url, F.lit("QUERY"))
     ordered = F.array_join(F.array_sort(F.split(query, "&")), "&")
     key = F.concat(url_host(url), path, F.when(query.isNotNull() & (query != ""), F.concat(F.lit("?"), ordered)).otherwise(""))

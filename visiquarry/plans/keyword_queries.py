@@ -232,7 +232,7 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT page_id, CASE len(parts) WHEN 0 THEN '/' WHEN 1 THEN '/:sayfa' ELSE concat('/', parts[1], '/', array_to_string(list_transform(parts[2:], lambda p: ':sayfa'), '/')) END AS template,
-  concat(host, regexp_replace(regexp_replace(path, '/index\\.html?$', '/'), '/+$', ''), CASE WHEN q <> '' THEN concat('?', array_to_string(list_sort(string_split(q, '&')), '&')) ELSE '' END) AS url_key,
+  concat(host, CASE WHEN length(path) > 1 AND ends_with(path, '/') THEN left(path, length(path) - 1) ELSE path END, CASE WHEN q <> '' THEN concat('?', array_to_string(list_sort(string_split(q, '&')), '&')) ELSE '' END) AS url_key,
   lower(regexp_extract(path, '^/+([A-Za-z]{2}(?:-[A-Za-z]{2})?)(?:/|$)', 1)) AS locale
 FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\\.', '') AS host,
     CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) END AS path,

@@ -69,7 +69,10 @@ SELECT page_id, url, html,
   CASE WHEN page_id % 3 = 0 THEN next_url WHEN page_id % 3 = 1 THEN url END AS canonical_url,
   CASE WHEN page_id % 10 = 0 THEN 'noindex,follow' END AS meta_robots,
   CASE WHEN page_id % 23 = 0 THEN 'noindex' END AS x_robots_tag,
-  page_id % 4 <> 0 AS in_sitemap, page_id % 6 AS depth
+  page_id % 4 <> 0 AS in_sitemap, page_id % 6 AS depth,
+  CASE WHEN page_id % 13 = 0 THEN next_url ELSE url END AS final_url,
+  CASE WHEN page_id % 13 = 0 THEN '301' WHEN page_id % 7 = 0 THEN '301,302' ELSE '' END AS hops, page_id % 29 = 0 AS redirect_loop,
+  CASE WHEN page_id % 31 = 0 THEN 'application/pdf' WHEN page_id % 2 = 0 THEN 'text/html' END AS content_type
 FROM pages LEFT JOIN (SELECT page_id - 1 AS before_id, url AS next_url FROM pages) n ON before_id = page_id""",
     "v_source_files": """
 SELECT concat('client', CAST(page_id % 5 AS STRING)) AS client,
