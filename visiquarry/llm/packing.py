@@ -48,8 +48,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}
         self.limit = cache_words
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -64,27 +63,31 @@ class WordEncoder:
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) == len(part):
                 raw = ids.tobytes()
-                self.words.update((w, raw[i:j]) for w, i, j in zip(part, [0, *cuts], cuts))
+                self.cache.update((w, raw[i:j]) for w, i, j in zip(part, [0, *cuts], cuts))
             else:
-                self.words.update((w, x.tobytes()) for w, x in zip(part, self._ids(part)))
+                self.cache.update((w, x.tobytes()) for w, x in zip(part, self._ids(part)))
 
     def _learn_chunks(self, chunks: list[str]) -> None:
-        words = [_WORDS.findall(c) for c in chunks]
-        if new := set(chain.from_iterable(words)).difference(self.words):
-            self._learn(list(new))
-        get = self.words.__getitem__
-        self.chunks.update((c, get(own[0]) if len(own) == 1 else b"".join(map(get, own))) for c, own in zip(chunks, words))
+        alone, rest = [], []
+        for c in chunks:
+            (alone if c.isalpha() else rest).append(c)
+        words = list(map(_WORDS.findall, rest))
+        self._learn(list({*alone, *chain.from_iterable(words)}.difference(self.cache)))
+        get = self.cache.__getitem__
+        self.cache.update([(c, b"".join(map(get, own))) for c, own in zip(rest, words)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        for name in ("words", "chunks"):
-            if len(kept := getattr(self, name)) > self.limit:  # early words are the frequent ones
-                setattr(self, name, dict(islice(kept.items(), self.limit // 2)))
+        if len(self.cache) > self.limit:  # early words are the frequent ones
+            self.cache = dict(islice(self.cache.items(), self.limit // 2))
         plain = ["<|" not in t and not t.encode("utf-8", "surrogatepass").translate(None, _LATIN_BYTES) for t in texts]
         chunks = [t.lower().split() if ok else () for t, ok in zip(texts, plain)]
-        if new := set(chain.from_iterable(chunks)).difference(self.chunks):
+        found = [list(map(self.cache.get, own)) for own in chunks]
+        new = {c for own, got in zip(chunks, found) if None in got for c, ids in zip(own, got) if ids is None}
+        if new:
             self._learn_chunks(list(new))
-        get = self.chunks.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), np.uint32) if ok else self._ids([t])[0] for t, own, ok in zip(texts, chunks, plain)]
+            get = self.cache.__getitem__
+            found = [[get(c) if ids is None else ids for c, ids in zip(own, got)] if None in got else got for own, got in zip(chunks, found)]
+        return [np.frombuffer(b"".join(got), np.uint32) if ok else self._ids([t])[0] for t, got, ok in zip(texts, found, plain)]
 
 
 def pieces(n: int, max_len: int = MAX_LEN) -> list[int]:
@@ -93,13 +96,13 @@ def pieces(n: int, max_len: int = MAX_LEN) -> list[int]:
     return [max_len] * whole + [1 << b for b in range(max_len.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: int = END_ID, with_ids: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of all documents, a row each: where it starts in its document, length, bucket (log2), ids, sequence and offset."""
     if max_len & (max_len - 1) or max_len < 1:
         raise ValueError("max_len must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = WordEncoder(tokenizer_path, cache_words)
         for batch in rows_in(batches, 128):
             doc_ids = batch.column("doc_id").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
