@@ -324,7 +324,7 @@ def _shingles(texts: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(text_key, least): for every different text the smallest doc_id of its group of near copies.
+    """(text_key, group, least): for every different text its group of near copies and the smallest doc_id in it.
 
     Texts are linked if their sets of five-word runs have a Jaccard similarity of ``similarity`` or more. Candidates share a
     Golay key of one of four sketches; every candidate is verified on whole texts.
@@ -339,8 +339,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     links = own.where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
     member = components(links)
     least = names.join(member, names.text_key == member.node).groupBy("component").agg(F.min("first").alias("least"))
-    named = member.join(least, "component").select(F.col("node").alias("text_key"), "least")
-    return names.join(named, "text_key", "left").select("text_key", F.coalesce("least", "first").alias("least"))
+    named = member.join(least, "component").select(F.col("node").alias("text_key"), F.col("component").alias("group"), "least")
+    return names.join(named, "text_key", "left").select("text_key", F.coalesce("group", "text_key").alias("group"), F.coalesce("least", "first").alias("least"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -350,7 +350,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = given.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
     stay = rows.join(near_copies(docs, similarity), "text_key").where(F.col("doc_id").eqNullSafe(F.col("least")))
     # texts of one group under one doc_id: one of them
-    stay = materialize(stay.groupBy("least").agg(F.min(F.struct("text_key", "rows")).alias("s")).select(F.col("least").alias("id"), "s.text_key", "s.rows"), "near-stay")
+    stay = materialize(stay.groupBy("group", F.col("least").alias("id")).agg(F.min(F.struct("text_key", "rows")).alias("s")).select("id", "s.text_key", "s.rows"), "near-stay")
     whole = docs.select(F.struct("*").alias("d"), key.alias("k"))
     kept = whole.join(stay, F.col("d.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("k") == F.col("text_key")))
     once = kept.where("rows = 1").select("d").union(kept.where("rows > 1").dropDuplicates(["id", "text_key"]).select("d"))
