@@ -14,3 +14,75 @@ def competitor_map(competitors: DataFrame, n: int = REPORT_LIMIT) -> DataFrame:
     order = [F.desc("appearance_rate"), F.asc("domain")]
     placed = top(competitors, 2**31 - 1, [*KEYS], order, "at")
     return top(placed.where(F.col("is_real_competitor") | (F.col("at") <= n)), n, [*KEYS], order).drop("at")
+
+
+MAX_ACTIONS, TOP = 12, {"opportunity": 5, "vitals": 2, "onpage": 5, "crawl": 5, "code": 5, "gap": 3}
+
+
+def _action(df: DataFrame, branch: int, kind: str, priority, text, order: list) -> DataFrame:
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*order))
+    return df.select(*KEYS, priority.cast("int").alias("priority"), F.lit(branch).alias("branch"), F.lit(kind).alias("kind"), text.cast("string").alias("text"), at.alias("at"))
+
+
+def prioritized_actions(alerts: DataFrame, opportunities: DataFrame, vitals: DataFrame, onpage: DataFrame, indexing: DataFrame, crawl: DataFrame, code: DataFrame, gaps_in_answers: DataFrame, keyword_gaps: DataFrame, n: int = MAX_ACTIONS) -> DataFrame:
+    """The first ``n`` actions of each run over nine branches: by priority, then branch, then the branch's own order.
+
+    alerts: severity, subject. opportunities: keyword, score, volume. Findings: rule, severity, url, phase_share, seq.
+    gaps_in_answers: query. keyword_gaps: keyword, volume. Synthetic findings are to be left out before.
+    """
+    from .findings import collapse_widespread, severity_rank, sort_findings
+
+    grave = F.when(F.col("severity") == "critical", 1).otherwise(2)
+    named = F.concat_ws(" ", "rule", "url")
+    by_severity = [severity_rank(F.col("severity")), F.coalesce("phase_share", F.lit(0.0)).desc(), F.asc("seq")]
+    capped = lambda df, k: sort_findings(df).where(F.col("place") <= k)
+    branches = [
+        _action(alerts, 0, "trend", F.when(F.col("severity") == "warning", 1).otherwise(3), F.col("subject"), [F.asc("subject")]),
+        _action(top(opportunities, TOP["opportunity"], [*KEYS], [F.desc("score"), F.desc("volume"), F.asc("keyword")], "nth"), 1, "opportunity", F.lit(2), F.col("keyword"), [F.asc("nth")]),
+        _action(top(vitals, TOP["vitals"], [*KEYS, "url"], by_severity, "nth"), 2, "technical", grave, named, [F.asc("url"), F.asc("nth")]),
+        _action(capped(onpage, TOP["onpage"]), 3, "on-page", grave, named, [F.asc("place")]),
+        _action(indexing, 4, "indexing", F.lit(1), named, [F.asc("seq")]),
+        _action(capped(collapse_widespread(crawl), TOP["crawl"]), 5, "crawl", grave, named, [F.asc("place")]),
+        _action(capped(code, TOP["code"]), 6, "code", grave, named, [F.asc("place")]),
+        _action(gaps_in_answers, 7, "ai-visibility", F.lit(2), F.col("query"), [F.asc("query")]),
+        _action(top(keyword_gaps, TOP["gap"], [*KEYS], [F.coalesce("volume", F.lit(-1)).desc(), F.asc("keyword")], "nth"), 8, "keyword-gap", F.lit(3), F.col("keyword"), [F.asc("nth")]),
+    ]
+    every = branches[0]
+    for b in branches[1:]:
+        every = every.unionByName(b)
+    # no branch can fill more than n places, so each gives its first n before the run's order is made
+    first = top(every, n, [*KEYS, "branch"], [F.asc("priority"), F.asc("at")], "in_branch")
+    return top(first, n, [*KEYS], [F.asc("priority"), F.asc("branch"), F.asc("at")]).drop("in_branch", "at")
+
+
+def headline(keywords: DataFrame, competitors: DataFrame, answers: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row per run of counts: keywords, real competitors, gaps in answers, rank changes."""
+    count = lambda df, name: df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias(name))
+    out = count(keywords, "keywords")
+    for part in (count(competitors.where("is_real_competitor"), "real_competitors"), count(answers.where("is_gap"), "ai_gaps"), count(changes, "rank_changes")):
+        out = out.join(part, [*KEYS], "left")
+    return out.na.fill(0)
+
+
+def tech_evaluation(audits: DataFrame) -> DataFrame:
+    """Audits with pass marks of each vital and whether the page is the client's own."""
+    from ..functions.text import root_domain
+    from .vitals import LIMITS
+
+    return audits.select(*KEYS, "url", (root_domain(F.col("url")) == F.col("client")).alias("is_client"), (F.col("lcp_ms") <= LIMITS["LCP"][0]).alias("passes_lcp"), (F.col("inp_ms") <= LIMITS["INP"][0]).alias("passes_inp"), (F.col("cls") <= LIMITS["CLS"][0]).alias("passes_cls"))
+
+
+def field_cwv_comparison(field: DataFrame) -> DataFrame:
+    """Field vitals, the client's own pages first."""
+    from ..functions.text import root_domain
+
+    own = root_domain(F.col("url")) == F.col("client")
+    return top(field.withColumn("is_client", own), 2**31 - 1, [*KEYS], [F.desc("is_client"), F.asc("url")])
+
+
+def write_search_rows(rows: DataFrame, path: str) -> None:
+    """All search rows as CSV with fixed decimals."""
+    out = rows.select("client", "run_id", "query", "page", "clicks", "impressions", F.format_string("%.4f", "ctr").alias("ctr"), F.format_string("%.2f", "avg_position").alias("avg_position"))
+    out.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)

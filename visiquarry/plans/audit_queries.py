@@ -223,7 +223,7 @@ def indexing_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the crawl and the index in a stable order, ``seq``."""
-    p, s = pages(spark, sf_dir), sitemap(spark, sf_dir)
+    p, s = pages(spark, sf_dir).persist(), sitemap(spark, sf_dir)  # parsed once for all rules
     out = audit.on_page(p)
     for part in (audit.duplicate_titles(p), audit.duplicate_h1s(p), audit.redirects(p, s), audit.crawlability(p, s), audit.canonicals(p), audit.indexing(views.view(spark, sf_dir, "v_index_status"))):
         out = out.unionByName(part)
