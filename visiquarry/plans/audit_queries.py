@@ -203,12 +203,22 @@ def canonical_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.canonicals(pages(spark, sf_dir)).select(*FINDING)
 
 
-@query()
+_ALL_KEYS = sorted({k for names in audit.REQUIRED.values() for k in names})
+_LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+_BLOCKS = f""",
+block AS (
+  SELECT url, ({_LIST(audit.REQUIRED)})[page_id % {len(audit.REQUIRED)} + 1] AS kind,
+    list_filter({_LIST(_ALL_KEYS)}, lambda k, i: (page_id + i) % 3 <> 0) AS kept FROM v_crawl),
+lack AS (
+  SELECT url, kind, list_filter(CASE kind {" ".join(f"WHEN '{k}' THEN {_LIST(names)}" for k, names in audit.REQUIRED.items())} END, lambda k: NOT list_contains(kept, k)) AS missing FROM block)"""
+
+
+@query(with_views("v_crawl") + _BLOCKS + " " + _rule("schema_required_fields", "medium", "len(missing) > 0", "concat(kind, ' ', array_to_string(missing, ','))", source="lack"))
 def schema_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured-data blocks of the pages; the pages themselves have none, so each gets one whose type and keys follow its number."""
     kinds = F.array(*map(F.lit, audit.REQUIRED))
-    all_keys = F.array(*(F.lit(k) for k in sorted({k for names in audit.REQUIRED.values() for k in names})))
-    rows = views.view(spark, sf_dir, "v_crawl").select(*KEYS, "url", F.get(kinds, F.pmod(F.col("page_id"), F.lit(len(audit.REQUIRED))).cast("int")).alias("type"), F.filter(all_keys, lambda k: F.pmod(F.xxhash64(k, F.col("page_id")), F.lit(3)) > 0).alias("keys"))
+    keys = F.filter(F.array(*map(F.lit, _ALL_KEYS)), lambda k, i: (F.col("page_id") + i + 1) % 3 != 0)
+    rows = views.view(spark, sf_dir, "v_crawl").select(*KEYS, "url", F.get(kinds, F.pmod(F.col("page_id"), F.lit(len(audit.REQUIRED))).cast("int")).alias("type"), keys.alias("keys"))
     return audit.schema_fields(rows).select(*FINDING)
 
 
