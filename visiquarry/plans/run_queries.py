@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ai, competitors, diff, runs
 from ..operators.keys import KEYS
+from ..sources.shared import shared_dir
 from ..streaming import rum
 from . import views
 from .audit_queries import audits, pages
@@ -194,8 +195,7 @@ k AS (SELECT url, metric, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) >=
 SELECT url, metric, n, round(value, 6) AS value FROM (SELECT s.*, n, row_number() OVER (PARTITION BY url, metric ORDER BY value, event_id) AS place FROM s JOIN k USING (url, metric)) WHERE place = ceil(n * 0.75)""")
 def rum_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The beacons through the stream: landed as files, read until none is left, percentiles from its sink."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    root = f"{base}/rum-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/rum-{uuid.uuid4().hex}"
     payloads(spark, sf_dir).select("client", "origin", "payload").write.json(f"{root}/landed")
     rum.start(spark, f"{root}/landed", root).awaitTermination()
     return rum.current_p75(spark, root).select("url", "metric", "n", F.round("value", 6).alias("value"))
