@@ -15,6 +15,8 @@ from visiquarry.llm.queries import tokenizer_path
 ORACLE_SQL = None
 #: A document whose likeliest language has less than this calibrated probability is in no language that was learned.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Words whose token ids a task keeps while it packs: less than alone, as earlier stages have filled the executors' heaps.
+CACHED_WORDS = 200_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their token ids."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), cache_words=CACHED_WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

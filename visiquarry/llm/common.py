@@ -42,7 +42,17 @@ def rows_in(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[pa.R
             yield batch.slice(i, step)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker. Workers live on between stages and keep the memory of their largest
+#: batch, so the default of 64 MB, held twice by each of several workers, would fill an executor.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -191,4 +191,4 @@ def predict(docs: DataFrame, model: Model, keep: str | list[str] = "*") -> DataF
     rest = rest.drop("lang_pred", "score")
     given = docs.select(*(F.col(c) for c in rest.columns), F.col("text").cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return given.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return arrow_map(given, run, f"{schema}, lang_pred string, score double")
