@@ -129,24 +129,20 @@ def byte_keys(key: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links_within(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest over the fingerprints (sorted, distinct) that differ in at most ``bits`` bits."""
-    parent = list(range(len(fps)))
+    """Links of a spanning forest over the fingerprints (distinct) that differ in at most ``bits`` bits.
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for i in range(0, len(fps), 512):
-        for j in range(i, len(fps), 4096):
-            a, b = np.nonzero(np.bitwise_count(fps[i : i + 512, None] ^ fps[None, j : j + 4096]) <= bits)
-            a, b = a + i, b + j
-            for x, y in zip(*(z[a < b].tolist() for z in (a, b))):
-                if (p := root(x)) != (q := root(y)):
-                    parent[q] = p
-                    out.append((x, y))
+    Every fingerprint is held once against those not reached yet, so memory stays that of the list.
+    """
+    out, rest = [], np.arange(len(fps))
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue:
+            x = queue.pop()
+            near = np.bitwise_count(fps[rest] ^ fps[x]) <= bits
+            new = rest[near].tolist()
+            rest = rest[~near]
+            out += [(x, y) for y in new]
+            queue += new
     return out
 
 
@@ -236,7 +232,7 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFr
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES = ((1, 42), (1, 43), (1, 44), (2, 42))
-ALL_PAIRS, FAR = 16, 12
+ALL_PAIRS, FAR = 6, 12
 
 
 def sketches(text: str | None) -> list[int]:
@@ -284,12 +280,17 @@ def _candidates(texts: DataFrame) -> DataFrame:
                         a.append(names[at + i][ok])
                         b.append(names[at + j][ok])
             for s, e in zip(first[size > ALL_PAIRS].tolist(), last[size > ALL_PAIRS].tolist()):
-                # a large group: neighbours in the order of fingerprints, and a forest of near ones
-                order = np.argsort(fps[s:e], kind="stable")
-                own, fp = names[s:e][order], fps[s:e][order]
-                links = np.array(links_within(fp, BITS) or [(0, 0)])
-                a += [own[:-1], own[:-2], own[links[:, 0]]]
-                b += [own[1:], own[2:], own[links[:, 1]]]
+                # a large group: its most central member with all near it, then the same for those left
+                own, fp = names[s:e], fps[s:e]
+                while len(own) > 1:
+                    ones = _BYTE_BITS[fp.view(np.uint8).reshape(-1, 8)].sum(0).reshape(-1)
+                    middle = np.packbits((2 * ones > len(fp)).astype(np.uint8), bitorder="little").view(np.uint64)[0]
+                    far = np.bitwise_count(fp ^ middle)
+                    centre = int(np.lexsort((own, far))[0])
+                    near = np.bitwise_count(fp ^ fp[centre]) <= FAR
+                    a.append(np.full(int(near.sum()), own[centre]))
+                    b.append(own[near])
+                    own, fp = own[~near], fp[~near]
             a, b = np.concatenate([names[:0], *a]), np.concatenate([names[:0], *b])
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
             return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
