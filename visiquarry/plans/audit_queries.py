@@ -237,7 +237,7 @@ def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audit.on_page(p)
     for part in (audit.duplicate_titles(p), audit.duplicate_h1s(p), audit.redirects(p, s), audit.crawlability(p, s), audit.canonicals(p), audit.indexing(views.view(spark, sf_dir, "v_index_status"))):
         out = out.unionByName(part)
-    return out.withColumn("seq", F.xxhash64("rule", "url", "evidence"))
+    return out.withColumn("seq", F.xxhash64("rule", "url", "evidence")).persist()  # collapsing, capping and marts read it more than once
 
 
 @query(with_views("v_index_status") + ", f AS (" + _union(
