@@ -226,7 +226,8 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFr
     member = components(links(own, bits))
     least = nodes.join(member, nodes.fp == member.node).groupBy("component").agg(F.min("first").alias("least"))
     named = member.join(least, "component").select(F.col("node").alias("fp"), "least")
-    named = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    named = materialize(nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-named")
+    # two plain shuffles: the join can be split where very many documents have one fingerprint
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
