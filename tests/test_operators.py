@@ -166,13 +166,13 @@ def test_click_depth_with_budget(spark):
 def test_source_rules(spark, tmp_path):
     (tmp_path / "vendor").mkdir()
     (tmp_path / "vendor" / "x.php").write_text("<head>")
-    (tmp_path / "config.php").write_text("$db_password = 'gercekSifre123';")
+    (tmp_path / "config.php").write_text("$db_password = 's3cretValue99';")
     (tmp_path / "htaccess").write_text("RewriteEngine On")
     (tmp_path / "index.php").write_text('<html><head ></head><!-- <h1>old</h1> --><img src="a.png"><script src="https://t.com/x.js"></script><div id="hero">x</div>')
     files = codeaudit.source_files(codeaudit.scan(spark, str(tmp_path), "c"))
     got = {r.rel_path: r.content for r in files.collect()}
     assert set(got) == {"config.php", ".htaccess", "index.php"}
-    assert "gercekSifre123" not in got["config.php"] and codeaudit.REDACTED in got["config.php"]
+    assert "s3cretValue99" not in got["config.php"] and codeaudit.REDACTED in got["config.php"]
     stacks = codeaudit.detect_stack(files)
     assert stacks.first().stacks == ["php-custom"]
     assert set(rules(codeaudit.file_findings(files, stacks))) == {"legacy_images", "third_party_scripts", "no_cache_directive", "no_https_rule", "no_structured_data", "h1_only_in_comment"}

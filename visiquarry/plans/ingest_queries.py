@@ -223,7 +223,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = rows.select(*KEYS).distinct()
     nr = F.right("client", F.lit(1)).cast("int")
     names = F.when(nr % 3 == 0, F.array(F.lit("next.config.js"))).when(nr % 3 == 1, F.array(F.lit("index.php"), F.lit(".htaccess"))).otherwise(F.array(F.lit("wp-config.php")))
-    text = F.when(F.col("rel_path") == ".htaccess", "RewriteRule ^(\\w+)$ /?lang=$1\n<FilesMatch css>\nExpiresActive On").otherwise("$db_password = 'gercekSifre123';")
+    text = F.when(F.col("rel_path") == ".htaccess", "RewriteRule ^(\\w+)$ /?lang=$1\n<FilesMatch css>\nExpiresActive On").otherwise("$db_password = 's3cretValue99';")
     made = marks.select(*KEYS, F.explode(names).alias("rel_path")).withColumn("content", text)
     return codeaudit.source_files(rows.unionByName(made).withColumn("length", F.length("content")))
 
@@ -262,7 +262,7 @@ def link_findings_to_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS files, CAST(0 AS BIGINT) AS leaked FROM (SELECT DISTINCT page_id % 5 AS c FROM pages) WHERE c % 3 > 0")
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = source_files(spark, sf_dir).where("rel_path in ('index.php', 'wp-config.php')")
-    return rows.agg(F.count_if(F.col("content").contains(codeaudit.REDACTED)).alias("files"), F.count_if(F.col("content").contains("gercekSifre123")).alias("leaked"))
+    return rows.agg(F.count_if(F.col("content").contains(codeaudit.REDACTED)).alias("files"), F.count_if(F.col("content").contains("s3cretValue99")).alias("leaked"))
 
 
 # -- marts
