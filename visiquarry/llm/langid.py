@@ -158,7 +158,8 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """Learn from (text, lang) of all rows given: frequencies from all of them, weights from a bounded sample by hash."""
-    docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
+    name = F.col("doc_id") if "doc_id" in docs.columns else F.lit(0)
+    docs = docs.select(F.xxhash64(name, F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     df = document_frequencies(docs)
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
@@ -166,9 +167,9 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     if not langs:
         return Model([], np.zeros((DIM, 0)), idf, 1.0)
     rate = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, per_lang / sizes[k]))))
-    chosen = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000
+    chosen = F.pmod("h", F.lit(1 << 40)) < F.element_at(rate, F.col("lang")) * (1 << 40)  # copies of a text have hashes of their own
     features, rows = Features(), []
-    for r in docs.where(chosen).toLocalIterator():
+    for r in docs.where(chosen).select("text", "lang").toLocalIterator():
         if (x := features.vector(r["text"], idf)) is not None:
             rows.append((*x, langs.index(r["lang"])))
     fitted, left = [r for i, r in enumerate(rows) if i % 5], rows[::5]
