@@ -62,3 +62,12 @@ def test_odd_and_empty_tables(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     assert order([tuple(r) for r in lm_score.score(odd).collect()]) == order(brute(rows))
     assert lm_score.score(empty).count() == 0
+
+
+def test_rare_words_have_contexts_at_any_size(spark):
+    """A pair seen twice in some 150,000 tokens is an arc, whatever the cache of frequent words."""
+    rows = [(i, "common words fill the corpus " * 2000) for i in range(15)] + [(100 + i, f"zorblax quintor alone{i}") for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = order(brute(rows, 0.0))
+    for share in (lm_score.CACHE_SHARE, 0.01, 2.0):
+        assert order([tuple(r) for r in lm_score.score(frame, cache_share=share).collect()]) == want

@@ -4,14 +4,15 @@ Learning counts words (N tokens, V different ones; every text ends with an end t
 p1(w) = (c(w) + 1) / (N + V + 1), a pair seen MIN_PAIR times or more has
 p(w | h) = (c(h w) - DISCOUNT) / c(h) + g(h) p1(w), any other word after h has g(h) p1(w), and
 g(h) = 1 - sum of (c(h w) - DISCOUNT) / c(h) over the pairs kept, so the probabilities after h sum to one.
-The automaton has a state for the start of a text, one for every word that makes up a share of ``CONTEXT_SHARE`` or more of
-the tokens, and the empty state. Pairs kept are arcs of h's state; its failure arc, of weight log g(h), leads to the empty
-state, which has an arc for every word. A text is read once from left to right: the state is carried, weights are added.
+The automaton has a state for the start of a text, one for every word, and the empty state. Pairs kept are arcs of h's state;
+its failure arc, of weight log g(h), leads to the empty state, which has an arc for every word. A text is read once from left
+to right: the state after a word is that word's, so all arcs of a text are known beforehand and looked up together.
 
-The words that have states are at most 1 / CONTEXT_SHARE, whatever the corpus; they go to every task. The counts of all other
-words and of the pairs grow with the corpus and are never gathered: documents are dealt into chunks of about ``CHUNK_BYTES``,
-each chunk asks for the distinct words and pairs it holds, a join on them answers, and a task builds the part of the
-automaton that its chunk can reach. Words are known by 63-bit hashes.
+The counts of words and pairs and the g(h) grow with the corpus and are never gathered: documents are dealt into chunks of
+about ``CHUNK_BYTES``, each chunk asks for the distinct words and pairs it holds, a join on them answers, and a task builds
+the part of the automaton that its chunk can reach. Words that make up a share of ``CACHE_SHARE`` or more of the tokens, at most
+1 / CACHE_SHARE of them, go to every task so that nobody asks for them; the scores do not depend on it. Words are known by
+63-bit hashes, pairs by a hash of both.
 
 Defined results: a null text counts as empty (its end token alone); a null doc_id is learned from and not held out; repeated
 rows are learned as often as they occur; without learning documents N and V are 0; an empty table gives no rows.
@@ -23,14 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialize, partitions, rows_in
 
-CONTEXT_SHARE = 3e-5
+CONTEXT_SHARE = 0.0  # no word is too rare for a state
+CACHE_SHARE = 3e-5
 MIN_PAIR, DISCOUNT = 2, 0.75
 CHUNK_BYTES = 16 << 20
 FLUSH = 300_000
@@ -42,7 +43,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Vocabulary(dict):
-    """Word -> number, given at first sight."""
+    """Word -> number, given at first sight; number 0 is the start of a text."""
+
+    def __init__(self) -> None:
+        self[START] = 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -54,34 +58,43 @@ class Vocabulary(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def hashes(self) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self)).astype(np.int64) & np.int64(2**63 - 1)
+        return np.fromiter(map(word_hash, self), np.int64, len(self))
+
+
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) & (2**63 - 1)
 
 
-class Contexts:
-    """The words that have states, by hash: their numbers and counts. Number 0 is the start of a text."""
+class Known:
+    """Numbers by key, for keys that may be missing: count and kept mass are zero there."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hash, self.count = hashes[order], counts[order]
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, mass: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts, self.mass = keys[order], counts[order], mass[order]
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """1 and up for words with a state, else -1."""
-        if not len(self.hash):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-        return np.where(self.hash[at] == hashes, at + 1, -1)
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(is there, count, mass) of each key."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        ok = self.keys[at] == keys
+        return ok, np.where(ok, self.counts[at], 0), np.where(ok, self.mass[at], 0.0)
 
 
 def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Pairs get negative keys, words the others."""
-    return -((context << 31) + word + 1)
+    """Pairs of word hashes get negative keys, words the others."""
+    x = context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ x >> np.uint64(29)) + word.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ x >> np.uint64(29)) | np.uint64(1 << 63)).view(np.int64)
 
 
-def pairs_of(numbers: np.ndarray) -> np.ndarray:
-    """Keys of the neighbours in a text of which both have numbers; the start counts as a word before the first."""
-    before = np.concatenate([[0], numbers[:-1]])
-    ok = (before >= 0) & (numbers >= 0)
-    return pair_key(before[ok], numbers[ok])
+def neighbours(ids: list[np.ndarray]) -> np.ndarray:
+    """Codes of all neighbours in texts, one for every word; the start counts as a word before the first."""
+    after = np.concatenate(ids)
+    before = np.concatenate([[0], after[:-1]])
+    before[np.cumsum([0, *map(len, ids[:-1])])] = 0
+    return before << 31 | after
 
 
 def _counts(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -100,69 +113,66 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for batch in rows_in(batches):
             seen = add(seen, [vocabulary.read(t) for t in batch.column("text").to_pylist()])
             if len(vocabulary) > FLUSH:
-                yield _counts(vocabulary.hashes(), seen)
+                yield _counts(vocabulary.hashes()[1:], seen[1:])
                 vocabulary, seen = Vocabulary(), np.zeros(0, np.int64)
-        if vocabulary:
-            yield _counts(vocabulary.hashes(), seen)
+        if len(vocabulary) > 1:
+            yield _counts(vocabulary.hashes()[1:], seen[1:])
 
     return arrow_map(texts.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(texts: DataFrame, contexts) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = []
-        for batch in rows_in(batches):
-            vocabulary = Vocabulary()
-            ids = [vocabulary.read(t) for t in batch.column("text").to_pylist()]
-            numbers = contexts.value.numbers(vocabulary.hashes())
-            keys += [pairs_of(numbers[i]) for i in ids]
-            if sum(map(len, keys)) > 4 * FLUSH:
-                yield _counts(*np.unique(np.concatenate(keys), return_counts=True))
-                keys = []
-        if keys:
-            yield _counts(*np.unique(np.concatenate(keys), return_counts=True))
-
-    return arrow_map(texts.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_PAIR)
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """key, h, n of the pairs seen MIN_PAIR times or more; tasks sum what they read before anything is shuffled."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, codes, n, fresh = Vocabulary(), np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
-class Automaton:
-    """States 0 (empty), 1 (start) and one for every context word of a chunk; words are the chunk's own numbers."""
+        def merge() -> tuple[np.ndarray, np.ndarray]:
+            every = np.concatenate([codes, *fresh])
+            own, at = np.unique(every, return_inverse=True)
+            return own, np.bincount(at, np.concatenate([n, np.ones(len(every) - len(n), np.int64)]), len(own)).astype(np.int64)
 
-    def __init__(self, words: np.ndarray, state_of: np.ndarray, fail: np.ndarray, arcs: dict[int, float]):
-        self.words, self.state_of, self.fail, self.arcs, self.size = words.tolist(), state_of.tolist(), fail.tolist(), arcs, len(words)
+        def out() -> pa.RecordBatch:
+            hashes = vocabulary.hashes()
+            h, w = hashes[codes >> 31], hashes[codes & (2**31 - 1)]
+            return pa.RecordBatch.from_arrays([pa.array(pair_key(h, w), pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["key", "h", "n"])
 
-    def score(self, ids: list[int]) -> float:
-        words, state_of, fail, arcs, size = self.words, self.state_of, self.fail, self.arcs, self.size
-        total, state = 0.0, 1
-        for w in ids:
-            weight = arcs.get(state * size + w)
-            total += fail[state] + words[w] if weight is None else weight
-            state = state_of[w]
-        return total
+        for batch in rows_in(batches):
+            if not batch.num_rows:
+                continue
+            fresh.append(neighbours([vocabulary.read(t) for t in batch.column("text").to_pylist()]))
+            if sum(map(len, fresh)) > 4 * FLUSH:
+                (codes, n), fresh = merge(), []
+                if len(codes) > 4 * FLUSH or len(vocabulary) > FLUSH:
+                    yield out()
+                    vocabulary, codes, n = Vocabulary(), codes[:0], n[:0]
+        if fresh:
+            codes, n = merge()
+        if len(codes):
+            yield out()
+
+    # two words with one pair key are as good as never; h is the same in all rows of a key
+    return arrow_map(texts.select("text"), run, "key long, h long, n long").groupBy("key").agg(F.min("h").alias("h"), F.sum("n").alias("n")).where(F.col("n") >= MIN_PAIR)
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, context_share: float = CONTEXT_SHARE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, cache_share: float = CACHE_SHARE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Counts and scores for every document; learning leaves out those that ``held_out`` names."""
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     learning = given.where("not held_out")
     words = materialize(word_counts(learning), "lm-words")
+    pairs = materialize(pair_counts(learning), "lm-pairs")
     tokens, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = words.where(F.col("n") >= max(1, context_share * tokens)).toLocalIterator()  # at most 1 / context_share rows
-    rows = [(r["key"], r["n"]) for r in frequent]
-    contexts = Contexts(np.array([k for k, _ in rows], np.int64), np.array([n for _, n in rows], np.int64))
-    shared = spark.sparkContext.broadcast(contexts)
-    pairs = materialize(pair_counts(learning, shared), "lm-pairs")
     n_texts, size = learning.count(), given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    context = F.shiftright(-(F.col("key") + 1), 31)
-    kept = np.zeros(len(contexts.hash) + 1)
-    for number, mass in pairs.groupBy(context.alias("h")).agg(F.sum(F.col("n") - DISCOUNT)).toLocalIterator():  # a row for each context
-        kept[number] = mass
-    follow = np.concatenate([[n_texts], contexts.count]).astype(float)
-    gap = spark.sparkContext.broadcast(np.maximum(1 - kept / np.maximum(follow, 1), 1e-12))
+    start = spark.createDataFrame([(word_hash(START), n_texts)], "key long, n long")
+    mass = pairs.groupBy(F.col("h").alias("key")).agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
+    words = materialize(words.union(start).join(mass, "key", "left").select("key", "n", F.coalesce("mass", F.lit(0.0)).alias("mass")), "lm-states")
+    frequent = words.where((F.col("n") >= max(1, cache_share * tokens)) | (F.col("key") == word_hash(START)))  # at most 1 / cache_share rows and one
+    rows = [tuple(r) for r in frequent.toLocalIterator()]
+    shared = spark.sparkContext.broadcast(Known(*(np.array([r[i] for r in rows], t) for i, t in enumerate((np.int64, np.int64, float)))))
     below = tokens + types + 1
 
     n_chunks = max(partitions(spark), -(-int(size) // chunk_bytes))
@@ -170,60 +180,44 @@ def score(docs: DataFrame, context_share: float = CONTEXT_SHARE, chunk_bytes: in
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies: dict[int, Vocabulary] = {}
-        wanted: dict[int, np.ndarray] = {}
+        wanted: dict[int, list[np.ndarray]] = {}
         for batch in rows_in(batches):
             chunks = batch.column("chunk").to_numpy()
             texts = batch.column("text")
             for chunk in np.unique(chunks).tolist():
-                vocabularies.setdefault(chunk, Vocabulary())
-                own = Vocabulary()
-                ids = [own.read(t) for t in texts.filter(pa.array(chunks == chunk)).to_pylist()]
-                for w in own:
-                    vocabularies[chunk][w]
-                numbers = shared.value.numbers(own.hashes())
-                keys = np.unique(np.concatenate([pairs_of(numbers[i]) for i in ids]))
-                wanted[chunk] = np.union1d(wanted.get(chunk, keys[:0]), keys)
+                vocabulary, codes = vocabularies.setdefault(chunk, Vocabulary()), wanted.setdefault(chunk, [])
+                codes.append(neighbours([vocabulary.read(t) for t in texts.filter(pa.array(chunks == chunk)).to_pylist()]))
+                if sum(map(len, codes[1:])) > 2 * FLUSH:
+                    wanted[chunk] = [np.unique(np.concatenate(codes))]
         for chunk, vocabulary in vocabularies.items():
-            hashes = vocabulary.hashes()
-            rare = hashes[shared.value.numbers(hashes) < 0]
-            for keys in (rare, wanted[chunk]):
+            hashes, codes = vocabulary.hashes(), np.unique(np.concatenate(wanted.pop(chunk)))
+            rare = hashes[~shared.value.find(hashes)[0]]
+            for keys in (rare, pair_key(hashes[codes >> 31], hashes[codes & (2**31 - 1)])):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk), pa.int32()), pa.array(keys, pa.int64())], names=["chunk", "key"])
 
-    known = words.unionByName(pairs)
-    answers = arrow_map(dealt.select("chunk", "text"), ask, "chunk int, key long").join(known, "key").select("chunk", "key", "n")
+    known = words.unionByName(pairs.select("key", "n", F.lit(0.0).alias("mass")))
+    answers = arrow_map(dealt.select("chunk", "text"), ask, "chunk int, key long").join(known, "key").select("chunk", "key", "n", "mass")
 
     def read(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        vocabulary, contexts = Vocabulary(), shared.value
+        vocabulary = Vocabulary()
         ids = [vocabulary.read(t) for t in docs.column("text").to_pylist()]
-        order = pc.sort_indices(answers.column("key"))
-        keys, n = answers.column("key").take(order).to_numpy(), answers.column("n").take(order).to_numpy()
-        hashes = vocabulary.hashes()
-        numbers = contexts.numbers(hashes)
-        counts = np.zeros(len(vocabulary), np.int64)
-        counts[numbers >= 1] = contexts.count[numbers[numbers >= 1] - 1]
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            counts = np.where((numbers < 0) & (keys[at] == hashes), n[at], counts)
-        p1 = (counts + 1) / below
-        weights = np.log10(p1)
-        # arcs: the pairs answered, in the chunk's own numbers
-        own = np.full(len(contexts.hash) + 1, -1)
-        own[numbers[numbers >= 1]] = np.flatnonzero(numbers >= 1)
-        ends = int(np.searchsorted(keys, 0))
-        code = -(keys[:ends] + 1)
-        h, w = code >> 31, code & (2**31 - 1)
-        g = gap.value
-        follows = np.concatenate([[n_texts], contexts.count])
-        p = (n[:ends] - DISCOUNT) / np.maximum(follows[h], 1) + g[h] * p1[own[w]]
-        state_of = np.where(numbers >= 1, numbers + 1, 0)
-        arcs = dict(zip(((h + 1) * len(vocabulary) + own[w]).tolist(), np.log10(p).tolist()))
-        automaton = Automaton(weights, state_of, np.concatenate([[0.0], np.log10(g)]), arcs)
+        told, hashes = Known(*(answers.column(c).to_numpy() for c in ("key", "n", "mass"))), vocabulary.hashes()
+        ok, counts, mass = shared.value.find(hashes)
+        _, n, m = told.find(hashes)
+        counts, mass = np.where(ok, counts, n), np.where(ok, mass, m)
+        p1, g = (counts + 1) / below, np.maximum(1 - mass / np.maximum(counts, 1), 1e-12)
+        codes, at = np.unique(neighbours(ids), return_inverse=True)
+        h, w = codes >> 31, codes & (2**31 - 1)
+        _, n, _ = told.find(pair_key(hashes[h], hashes[w]))
+        arcs = np.log10(np.where(n > 0, (n - DISCOUNT) / np.maximum(counts[h], 1), 0.0) + g[h] * p1[w])
+        first = np.cumsum([0, *map(len, ids[:-1])])
+        every = np.concatenate(ids)
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"),
-            "n_tokens": pa.array([len(i) for i in ids], pa.int64()), "n_known": pa.array([int((counts[i] > 0).sum()) for i in ids], pa.int64()),
+            "n_tokens": pa.array([len(i) for i in ids], pa.int64()), "n_known": pa.array(np.add.reduceat((counts[every] > 0).astype(np.int64), first), pa.int64()),
             "train_tokens": pa.array(np.full(len(ids), tokens), pa.int64()),
-            "base_score": pa.array([float(weights[i].sum()) for i in ids], pa.float64()),
-            "score": pa.array([automaton.score(i.tolist()) for i in ids], pa.float64()),
+            "base_score": pa.array(np.add.reduceat(np.log10(p1)[every], first), pa.float64()),
+            "score": pa.array(np.add.reduceat(arcs[at], first), pa.float64()),
         })
 
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(read, RESULT)
