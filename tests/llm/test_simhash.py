@@ -115,3 +115,11 @@ def test_odd_and_empty_tables(odd, empty):
 @pytest.mark.parametrize("text", [None, "", "One", "one two three four", "one two three four five SIX"])
 def test_fingerprint_of_short_texts(text):
     assert simhash_dedup.fingerprint(text) == plain(text)
+
+
+def test_copies_of_a_text_enter_the_candidate_search_once(spark, monkeypatch):
+    rows = [(i, "one and the same text in many rows " * 3) for i in range(40)] + [(50, "another text"), (51, None), (52, "")]
+    seen, own = [], simhash_dedup._candidates
+    monkeypatch.setattr(simhash_dedup, "_candidates", lambda frame: seen.append(frame.count()) or own(frame))
+    assert sorted(r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 50, 51]
+    assert seen == [3]

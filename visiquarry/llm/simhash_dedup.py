@@ -255,13 +255,25 @@ def sketches(text: str | None) -> list[int]:
     return out
 
 
-def _candidates(texts: DataFrame) -> DataFrame:
+def _features(texts: DataFrame) -> DataFrame:
+    """text_key, sketches: one row of every different text, so that copies of one text count once. Tasks reduce what they
+    read before the shuffle, and texts are not shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_in(batches):
+            every = [np.array(sketches(t), np.uint64).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(every, pa.list_(pa.int64()))], names=["text_key", "sketches"])
+
+    return arrow_map(texts, run, "text_key long, sketches array<long>").dropDuplicates(["text_key"])
+
+
+def _candidates(features: DataFrame) -> DataFrame:
     """(a, b): pairs of text keys that share a Golay key of a sketch: one exact segment and a codeword of another."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay()
         for batch in rows_in(batches):
-            every = np.array([sketches(t) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, len(SKETCHES))
+            every = np.array(batch.column("sketches").to_pylist(), np.int64).view(np.uint64).reshape(-1, len(SKETCHES))
             names = batch.column("text_key").to_numpy()
             for s in range(len(SKETCHES)):
                 at, keys = fuzzy_keys(every[:, s], golay, halves=False)
@@ -307,8 +319,8 @@ def _candidates(texts: DataFrame) -> DataFrame:
         if len(kept[0]):
             yield settle(*kept)
 
-    records = arrow_map(texts, keyed, "key long, name long, fp long")
-    n = partitions(texts.sparkSession)
+    records = arrow_map(features.select("text_key", "sketches"), keyed, "key long, name long, fp long")
+    n = partitions(features.sparkSession)
     return arrow_map(records.repartition(n, "key").sortWithinPartitions("key"), meet_pairs, "a long, b long").distinct()
 
 
@@ -333,7 +345,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"), F.col("text").cast("string").alias("text"))
     names = given.groupBy("text_key").agg(F.min("doc_id").alias("first"))
-    pairs = materialize(_candidates(given.select("text_key", "text")), "near-pairs")
+    features = materialize(_features(given.select("text_key", "text")), "near-features")
+    pairs = materialize(_candidates(features), "near-pairs")
     nodes = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct()
     sets = materialize(_shingles(given.join(nodes, "text_key").dropDuplicates(["text_key"]).select("text_key", "text")), "near-shingles")
     own = pairs.join(sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("y")), "b")
