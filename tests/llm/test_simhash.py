@@ -123,3 +123,22 @@ def test_copies_of_a_text_enter_the_candidate_search_once(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "_candidates", lambda frame: seen.append(frame.count()) or own(frame))
     assert sorted(r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 50, 51]
     assert seen == [3]
+
+
+def kept_by_brute_force(rows):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    own = grouped(links, range(len(rows)))
+    return sorted(rows[i][0] for i in own if own[i] == i)
+
+
+def test_truncated_and_appended_copies_are_found(spark):
+    r = np.random.default_rng(6)
+    words = lambda n: [f"w{x}" for x in r.integers(0, 3000, n)]
+    rows = []
+    for share in (0.79, 0.8, 0.82, 0.85, 0.9, 0.95):
+        for n in (150, 300, 700):
+            text, runs = words(n), n - 4
+            rows += [text, text[: 4 + int(np.ceil(share * runs))], text + words(int(runs / share) - runs)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    assert sorted(x.doc_id for x in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == kept_by_brute_force(rows)

@@ -234,6 +234,7 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFr
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES = ((1, 42), (1, 43), (1, 44), (2, 42))
 ALL_PAIRS, FAR = 6, 12
+SAMPLE, SAMPLE_HOT = 50_000, 5
 
 
 def sketches(text: str | None) -> list[int]:
@@ -255,16 +256,89 @@ def sketches(text: str | None) -> list[int]:
     return out
 
 
-def _features(texts: DataFrame) -> DataFrame:
-    """text_key, sketches: one row of every different text, so that copies of one text count once. Tasks reduce what they
-    read before the shuffle, and texts are not shuffled."""
+def _runs(text: str | None) -> np.ndarray:
+    """Sorted hashes of the set of five-word runs."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    own = {b" ".join(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))}
+    return np.sort(np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64).view(np.int64))
+
+
+def _frequent(texts: DataFrame) -> np.ndarray:
+    """Runs of five words that occur in SAMPLE_HOT or more of about SAMPLE documents. They come last in the order of runs;
+    which ones they are decides how many candidates there are, never which links are found."""
+    n = texts.count()
+    chosen = texts.where(F.rand(5) < min(1.0, SAMPLE / max(n, 1)))
+    runs = _shingles(chosen).select(F.explode("shingles").alias("x")).groupBy("x").count().where(F.col("count") >= SAMPLE_HOT)
+    return np.sort(np.array([r["x"] for r in runs.select("x").toLocalIterator()], np.int64))
+
+
+def _features(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """text_key, sketches, n (different runs of five words), prefix: one row of every different text, so that copies of one
+    text count once. Tasks reduce what they read before the shuffle, and texts are not shuffled.
+
+    Two sets of similarity t share at least t n runs of either, so under any common order of runs the first n - ceil(t n) + 1
+    of both have one in common. The order is by hash, with frequent runs last.
+    """
+    late = texts.sparkSession.sparkContext.broadcast(_frequent(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = late.value
         for batch in rows_in(batches):
-            every = [np.array(sketches(t), np.uint64).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(every, pa.list_(pa.int64()))], names=["text_key", "sketches"])
+            every, sizes, prefixes = [], [], []
+            for text in batch.column("text").to_pylist():
+                own = _runs(text)
+                if len(hot):
+                    often = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
+                    own = np.concatenate([own[~often], own[often]])
+                every.append(np.array(sketches(text), np.uint64).view(np.int64))
+                sizes.append(len(own))
+                prefixes.append(own[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(every, longs), pa.array(sizes, pa.int32()), pa.array(prefixes, longs)], names=["text_key", "sketches", "n", "prefix"])
 
-    return arrow_map(texts, run, "text_key long, sketches array<long>").dropDuplicates(["text_key"])
+    return arrow_map(texts, run, "text_key long, sketches array<long>, n int, prefix array<long>").dropDuplicates(["text_key"])
+
+
+def _prefix_pairs(features: DataFrame, member: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): all pairs of texts not yet in one component that share a run of both prefixes and can still be similar.
+
+    Every pair of the similarity is among them or already connected: sizes must allow it, and what follows the first run in
+    common must hold enough of others. Pairs of one run are made by distance in its sorted rows, so memory stays that of the
+    rows, and groups of near copies that the sketches connected give none.
+    """
+    known = features.select("text_key", "n", "prefix").join(member.select(F.col("node").alias("text_key"), "component"), "text_key", "left")
+    records = known.select(F.posexplode("prefix").alias("at", "key"), F.col("text_key").alias("name"), "component", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(keys, names, group, n, at) -> Iterator[pa.RecordBatch]:
+            x, d = np.flatnonzero(keys[:-1] == keys[1:]), 1
+            while len(x):
+                y = x + d
+                least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+                shared = np.minimum(n[x] - at[x], n[y] - at[y])
+                ok = (group[x] != group[y]) & (least >= similarity * most - 1e-9) & (shared * (1 + similarity) >= similarity * (n[x] + n[y]) - 1e-6)
+                if ok.any():
+                    a, b = names[x[ok]], names[y[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+                d += 1
+                x = x[x + d < len(keys)]
+                x = x[keys[x] == keys[x + d]]
+
+        kept: list[np.ndarray] | None = None
+        for batch in batches:
+            names = batch.column("name").to_numpy()
+            new = [batch.column("key").to_numpy(), names, batch.column("component").to_numpy(), batch.column("n").to_numpy(), batch.column("at").to_numpy()]
+            kept = new if kept is None else [np.concatenate([x, y]) for x, y in zip(kept, new)]
+            whole = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0
+            if whole:
+                yield from settle(*(x[:whole] for x in kept))
+                kept = [x[whole:] for x in kept]
+        if kept is not None:
+            yield from settle(*kept)
+
+    records = records.select("key", "name", F.coalesce("component", "name").alias("component"), "n", "at")
+    n = partitions(features.sparkSession)
+    return arrow_map(records.repartition(n, "key").sortWithinPartitions("key"), run, "a long, b long").distinct()
 
 
 def _candidates(features: DataFrame) -> DataFrame:
@@ -327,32 +401,35 @@ def _candidates(features: DataFrame) -> DataFrame:
 def _shingles(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_in(batches, 64):
-            every = []
-            for text in batch.column("text").to_pylist():
-                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                own = {b" ".join(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))}
-                every.append(np.sort(np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64).view(np.int64)))
+            every = [_runs(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(every, pa.list_(pa.int64()))], names=["text_key", "shingles"])
 
     return arrow_map(texts, run, "text_key long, shingles array<long>")
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets of five-word runs are as similar as asked for."""
+    nodes = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct()
+    sets = materialize(_shingles(texts.join(nodes, "text_key").dropDuplicates(["text_key"]).select("text_key", "text")), "near-shingles")
+    own = pairs.join(sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return materialize(own.where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"), "near-links")
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(text_key, group, least): for every different text its group of near copies and the smallest doc_id in it.
 
-    Texts are linked if their sets of five-word runs have a Jaccard similarity of ``similarity`` or more. Candidates share a
-    Golay key of one of four sketches; every candidate is verified on whole texts.
+    Texts are linked if their sets of five-word runs have a Jaccard similarity of ``similarity`` or more. A first pass takes
+    candidates that share a Golay key of one of four sketches; a second one takes all pairs that its links leave apart and
+    that share a run of their prefixes, so no link between groups is missed. Every candidate is verified on whole texts.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"), F.col("text").cast("string").alias("text"))
     names = given.groupBy("text_key").agg(F.min("doc_id").alias("first"))
-    features = materialize(_features(given.select("text_key", "text")), "near-features")
-    pairs = materialize(_candidates(features), "near-pairs")
-    nodes = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct()
-    sets = materialize(_shingles(given.join(nodes, "text_key").dropDuplicates(["text_key"]).select("text_key", "text")), "near-shingles")
-    own = pairs.join(sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    links = own.where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
-    member = components(links)
+    texts = given.select("text_key", "text")
+    features = materialize(_features(texts, similarity), "near-features")
+    links = _verified(materialize(_candidates(features), "near-pairs"), texts, similarity)
+    more = materialize(_prefix_pairs(features, components(links), similarity), "near-prefix-pairs")
+    member = components(links.union(_verified(more, texts, similarity)))
     least = names.join(member, names.text_key == member.node).groupBy("component").agg(F.min("first").alias("least"))
     named = member.join(least, "component").select(F.col("node").alias("text_key"), F.col("component").alias("group"), "least")
     return names.join(named, "text_key", "left").select("text_key", F.coalesce("group", "text_key").alias("group"), F.coalesce("least", "first").alias("least"))
