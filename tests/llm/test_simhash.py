@@ -142,3 +142,13 @@ def test_truncated_and_appended_copies_are_found(spark):
             rows += [text, text[: 4 + int(np.ceil(share * runs))], text + words(int(runs / share) - runs)]
     rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
     assert sorted(x.doc_id for x in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == kept_by_brute_force(rows)
+
+
+def test_members_apart_from_the_centre_keep_their_links(spark, monkeypatch):
+    """Windows over one long text: each is similar to its neighbours only, and far ones share no large group's centre."""
+    monkeypatch.setattr(simhash_dedup, "sketches", lambda text: [0, 0, 0, 0])
+    r = np.random.default_rng(7)
+    text = [f"w{x}" for x in r.integers(0, 3000, 1600)]
+    rows = [(i, " ".join(text[20 * i : 20 * i + 250])) for i in range(60)]
+    assert kept_by_brute_force(rows) == [0]
+    assert [x.doc_id for x in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]

@@ -367,7 +367,8 @@ def _candidates(features: DataFrame) -> DataFrame:
                         a.append(names[at + i][ok])
                         b.append(names[at + j][ok])
             for s, e in zip(first[size > ALL_PAIRS].tolist(), last[size > ALL_PAIRS].tolist()):
-                # a large group: its most central member with all near it, then the same for those left
+                # a large group: its most central member with all near it, then the same for those left; members that this
+                # leaves unlinked meet in _prefix_pairs
                 own, fp = names[s:e], fps[s:e]
                 while len(own) > 1:
                     ones = _BYTE_BITS[fp.view(np.uint8).reshape(-1, 8)].sum(0).reshape(-1)
