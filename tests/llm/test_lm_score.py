@@ -5,35 +5,32 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from visiquarry.llm import lm_score, queries
 
 
-def brute(rows, share=lm_score.CONTEXT_SHARE):
-    tokens = [(i, [w for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())] + [b"\n"]) for i, t in rows]
+def brute(rows):
+    """The same model from dictionaries, with constants of its own."""
+    tokens = [(i, [b"<s>"] + [w for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())] + [b"\n"]) for i, t in rows]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     train = [t for i, t in tokens if not held(i)]
-    c = collections.Counter(w for t in train for w in t)
-    n, v = sum(c.values()), len(c)
-    states = {w for w in c if c[w] >= max(1, share * n)}
-    pairs = collections.Counter(x for t in train for x in zip([b" ", *t], t) if (x[0] == b" " or x[0] in states) and x[1] in states)
-    pairs = {k: x for k, x in pairs.items() if x >= lm_score.MIN_PAIR}
-    mass, follow = collections.Counter(), {**c, b" ": len(train)}
-    for (h, _), x in pairs.items():
-        mass[h] += x - lm_score.DISCOUNT
-    gap = {h: max(1 - mass[h] / max(follow[h], 1), 1e-12) for h in states | {b" "}}
+    c = [collections.Counter(x for t in train for x in zip(*(t[k:] for k in range(size)))) for size in (1, 2, 3)]
+    n, v = sum(len(t) - 1 for t in train), len([w for w, in c[0] if w != b"<s>"])
     out = []
     for i, t in tokens:
         base = score = 0.0
-        h = b" "
-        for w in t:
-            p1 = (c[w] + 1) / (n + v + 1)
+        for k in range(1, len(t)):
+            p1 = (c[0][t[k],] + 1) / (n + v + 1)
             base += math.log10(p1)
-            p = (pairs[h, w] - lm_score.DISCOUNT) / follow[h] + gap[h] * p1 if (h, w) in pairs else gap.get(h, 1.0) * p1
+            p = (c[1][t[k - 1], t[k]] + 1000 * p1) / (c[0][t[k - 1],] + 1000)
+            if k > 1:
+                p = (c[2][t[k - 2], t[k - 1], t[k]] + 3 * p) / (c[1][t[k - 2], t[k - 1]] + 3)
             score += math.log10(p)
-            h = w
-        out.append((i, held(i), len(t), sum(c[w] > 0 for w in t), n, pytest.approx(base), pytest.approx(score)))
+        out.append((i, held(i), len(t) - 1, sum(c[0][w,] > 0 for w in t[1:]), n, pytest.approx(base), pytest.approx(score)))
     return out
 
 
@@ -48,14 +45,42 @@ def test_query_equals_brute_force(spark, sf_dir, docs):
 
 
 def test_probabilities_after_a_state_sum_to_one():
-    rows = [(i, t) for i, t in enumerate(["a b a b c", "a c", "b a b", "d", "a b"])]
-    got = brute(rows)
-    assert all(float(str(r[6]).split(" ")[0]) < 0 for r in got)
-
-
-def test_model_beats_the_base_on_held_out_texts(spark, sf_dir):
-    held = [r for r in queries.QUERIES["op8_lm_score"](spark, sf_dir).collect() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    texts = ["a b a b c", "a c", "b a b", "d", "a b", ""]
+    seq, n = lm_score.Words().read(texts)
+    kinds = []
+    for keys, text in lm_score.ngrams(seq, n):
+        own, counts = lm_score.counted(keys, np.ones(len(keys), bool))
+        kinds.append(dict(zip(own.tolist(), counts.tolist())))
+    known = sorted(set(seq.tolist()))
+    below = len(seq) + len(known) + 1
+    words = {w: int(lm_score.Words().read([w])[0][0]) for w in "abcd"} | {"<s>": int(lm_score.START)}
+    pair = lambda h, w: int(lm_score.mixed(np.array([h], np.uint64) * lm_score._BASE + np.uint64(w))[0])
+    gram = lambda k: k >> 64 - lm_score.GRAM_BITS
+    for g, h in (("<s>", "a"), ("a", "b"), ("b", "c"), ("d", "d"), ("c", "a")):
+        gh, total = pair(words[g], words[h]), 0.0
+        for w in [*known, 12345]:  # all words, the end and an unknown one
+            triple = int(lm_score.mixed(np.array([gh], np.uint64) * lm_score._MIX + np.uint64(w))[0])
+            total += lm_score.probability(kinds[0].get(w, 0), kinds[1].get(gram(pair(words[h], w)), 0), kinds[2].get(gram(triple), 0), kinds[0].get(words[h], 0), kinds[1].get(gram(gh), 0), below)
+        assert total == pytest.approx(1)
+
+
+@settings(deadline=None, max_examples=30)
+@given(st.lists(st.text(alphabet="abÄ \n\x0b\u2003日", max_size=40), min_size=1, max_size=6), st.sampled_from([4, 7, 1 << 19]))
+def test_words_are_cut_at_ascii_space(texts, piece):
+    whole, lm_score.PIECE = lm_score.PIECE, piece
+    try:
+        seq, n = lm_score.Words().read(texts)
+    finally:
+        lm_score.PIECE = whole
+    want = [re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) for t in texts]
+    assert n.tolist() == [len(w) + 1 for w in want]
+    numbers = dict(zip([x for w in want for x in [*w, b"\n"]], seq.tolist()))
+    assert [numbers[x] for w in want for x in [*w, b"\n"]] == seq.tolist() and len(set(numbers.values())) == len(numbers)
+
+
+@given(st.lists(st.integers(0, 2**63 - 1)))
+def test_packed_numbers_come_back(values):
+    assert lm_score.unpacked(lm_score.packed(np.array(values, np.uint64))).tolist() == values
 
 
 def test_odd_and_empty_tables(odd, empty):
@@ -65,9 +90,14 @@ def test_odd_and_empty_tables(odd, empty):
 
 
 def test_rare_words_have_contexts_at_any_size(spark):
-    """A pair seen twice in some 150,000 tokens is an arc, whatever the cache of frequent words."""
+    """A pair seen once in some 150,000 tokens is an arc, however the texts are dealt into chunks."""
     rows = [(i, "common words fill the corpus " * 2000) for i in range(15)] + [(100 + i, f"zorblax quintor alone{i}") for i in range(3)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    want = order(brute(rows, 0.0))
-    for share in (lm_score.CACHE_SHARE, 0.01, 2.0):
-        assert order([tuple(r) for r in lm_score.score(frame, cache_share=share).collect()]) == want
+    want = order(brute(rows))
+    for size in (lm_score.CHUNK_BYTES, 20_000):
+        assert order([tuple(r) for r in lm_score.score(frame, size).collect()]) == want
+
+
+def test_gain_on_held_out_texts(spark, sf_dir):
+    held = [r for r in queries.QUERIES["op8_lm_score"](spark, sf_dir).collect() if r.held_out]
+    assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 0.3

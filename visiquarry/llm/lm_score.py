@@ -1,18 +1,20 @@
-"""Language-model scores from a weighted backoff automaton of order two.
-
-Learning counts words (N tokens, V different ones; every text ends with an end token) and pairs of neighbours. With
-p1(w) = (c(w) + 1) / (N + V + 1), a pair seen MIN_PAIR times or more has
-p(w | h) = (c(h w) - DISCOUNT) / c(h) + g(h) p1(w), any other word after h has g(h) p1(w), and
-g(h) = 1 - sum of (c(h w) - DISCOUNT) / c(h) over the pairs kept, so the probabilities after h sum to one.
-The automaton has a state for the start of a text, one for every word, and the empty state. Pairs kept are arcs of h's state;
-its failure arc, of weight log g(h), leads to the empty state, which has an arc for every word. A text is read once from left
-to right: the state after a word is that word's, so all arcs of a text are known beforehand and looked up together.
-
-The counts of words and pairs and the g(h) grow with the corpus and are never gathered: documents are dealt into chunks of
-about ``CHUNK_BYTES``, each chunk asks for the distinct words and pairs it holds, a join on them answers, and a task builds
-the part of the automaton that its chunk can reach. Words that make up a share of ``CACHE_SHARE`` or more of the tokens, at most
-1 / CACHE_SHARE of them, go to every task so that nobody asks for them; the scores do not depend on it. Words are known by
-63-bit hashes, pairs by a hash of both.
+"""Language-model scores from a weighted backoff automaton of order three.
+
+Learning counts words (N tokens, V different ones; every text ends with an end token), pairs and triples. With
+p1(w) = (c(w) + 1) / (N + V + 1), a Dirichlet prior smooths every longer history by the next shorter one:
+p(w | h) = (c(h w) + PRIOR[0] p1(w)) / (c(h) + PRIOR[0]) and p(w | g h) = (c(g h w) + PRIOR[1] p(w | h)) / (c(g h) + PRIOR[1]).
+The probabilities after any history sum to one, as every word but the end is followed by exactly one token.
+
+The automaton has a state for the start of a text, for every word, for every pair and the empty one. Every n-gram seen, once
+or more, is an arc with its smoothed probability; a state's failure arc, of weight PRIOR / (c + PRIOR), leads to the state of
+the shorter history, and the empty state has an arc for every word. A text is read once from left to right: the state after
+a token is its longest history seen, so the arcs and failure arcs of a text are known beforehand and looked up together.
+
+Nothing that grows with the corpus is gathered in one place. Documents are dealt into chunks of about ``CHUNK_BYTES``. Each
+chunk tells its distinct n-grams with their counts in its learning texts, sorted and cut into ranges of the hash ("parts");
+a task adds the counts of one part over all chunks and answers each chunk in the order of its own n-grams, and the chunk
+builds the part of the automaton that it can reach. Words are known by 63-bit hashes, pairs and triples by 56 bits. N and V
+are the only figures that go to the driver.
 
 Defined results: a null text counts as empty (its end token alone); a null doc_id is learned from and not held out; repeated
 rows are learned as often as they occur; without learning documents N and V are 0; an empty table gives no rows.
@@ -24,200 +26,256 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, partitions, rows_in
+from .common import arrow_map, partitions, rows_in
 
-CONTEXT_SHARE = 0.0  # no word is too rare for a state
-CACHE_SHARE = 3e-5
-MIN_PAIR, DISCOUNT = 2, 0.75
+PRIOR = (1000.0, 3.0)
 CHUNK_BYTES = 16 << 20
-FLUSH = 300_000
-START, END = b" ", b"\n"  # no word holds white space
+PIECE = 1 << 19
+WORD_BITS, GRAM_BITS = 63, 56
+WIDTHS = (WORD_BITS, GRAM_BITS, GRAM_BITS)
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+START, END = np.uint64(1), np.uint64(2)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
 
-class Vocabulary(dict):
-    """Word -> number, given at first sight; number 0 is the start of a text."""
-
-    def __init__(self) -> None:
-        self[START] = 0
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-    def read(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        words.append(END)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def hashes(self) -> np.ndarray:
-        return np.fromiter(map(word_hash, self), np.int64, len(self))
-
-
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) & (2**63 - 1)
-
-
-class Known:
-    """Numbers by key, for keys that may be missing: count and kept mass are zero there."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, mass: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.counts, self.mass = keys[order], counts[order], mass[order]
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(is there, count, mass) of each key."""
-        if not len(self.keys):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        ok = self.keys[at] == keys
-        return ok, np.where(ok, self.counts[at], 0), np.where(ok, self.mass[at], 0.0)
-
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(29)) * _MIX
+    x = (x ^ x >> np.uint64(32)) * _BASE
+    return x ^ x >> np.uint64(29)
 
-def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Pairs of word hashes get negative keys, words the others."""
-    x = context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = ((x ^ x >> np.uint64(29)) + word.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ x >> np.uint64(29)) | np.uint64(1 << 63)).view(np.int64)
 
+class Words:
+    """Hashes of the words of texts, by sums of powers over pieces of their bytes."""
 
-def neighbours(ids: list[np.ndarray]) -> np.ndarray:
-    """Codes of all neighbours in texts, one for every word; the start counts as a word before the first."""
-    after = np.concatenate(ids)
-    before = np.concatenate([[0], after[:-1]])
-    before[np.cumsum([0, *map(len, ids[:-1])])] = 0
-    return before << 31 | after
-
-
-def _counts(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, seen = Vocabulary(), np.zeros(0, np.int64)
-
-        def add(seen: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
-            got = np.bincount(np.concatenate(ids), minlength=len(vocabulary))
-            got[: len(seen)] += seen
-            return got
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+        self.grow(PIECE)
+
+    def grow(self, n: int) -> None:
+        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
+        self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b)]), dtype=np.uint64) for b in (_BASE, inverse))
+
+    def piece(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte, hash) of every word."""
+        inside = np.zeros(len(data) + 2, np.int8)
+        inside[1:-1] = ~_SPACE[data]
+        turns = np.flatnonzero(np.diff(inside))
+        first, last = turns[::2], turns[1::2]
+        if len(data) > len(self.up):
+            self.grow(len(data))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * self.up[: len(data)], dtype=np.uint64)])
+        h = mixed((sums[last] - sums[first]) * self.down[first]) >> np.uint64(1)
+        return first, np.where(h <= END, h + np.uint64(3), h)
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all tokens, the end of each text included, and the number of tokens of each text."""
+        raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+        blob = b" ".join([*raw, b""])
+        firsts, hashes, at = [], [], 0
+        while at < len(blob):
+            to = min(len(blob), at + PIECE)
+            if to < len(blob):  # cut at white space; a longer word is a piece of its own
+                spaces = np.flatnonzero(_SPACE[np.frombuffer(blob, np.uint8, to - at, at)])
+                while not len(spaces):
+                    lo, to = to, min(len(blob), to + PIECE)
+                    spaces = np.flatnonzero(_SPACE[np.frombuffer(blob, np.uint8, to - lo, lo)]) + lo - at
+                to = at + int(spaces[-1]) + 1
+            first, h = self.piece(np.frombuffer(blob, np.uint8, to - at, at))
+            firsts.append(first + at)
+            hashes.append(h)
+            at = to
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        upto = np.searchsorted(np.concatenate([np.zeros(0, np.int64), *firsts]), ends)
+        n = np.diff(upto, prepend=0)
+        out = np.full(int(upto[-1]) + len(raw), END, np.uint64)
+        words = np.ones(len(out), bool)
+        words[upto + np.arange(len(raw))] = False
+        out[words] = np.concatenate(hashes)
+        return out, n + 1
+
+
+def ngrams(tokens: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, text of each) of words with the starts of texts, of pairs, and of triples, which the first token has none of."""
+    text = np.repeat(np.arange(len(n)), n)
+    first = np.cumsum(n) - n
+    yield np.concatenate([tokens, np.full(len(n), START)]), np.concatenate([text, np.arange(len(n))])
+    before = np.roll(tokens, 1)
+    before[first] = START
+    pairs = mixed(before * _BASE + tokens)
+    yield pairs >> np.uint64(64 - GRAM_BITS), text
+    rest = np.ones(len(tokens), bool)
+    rest[first] = False
+    yield mixed(np.roll(pairs, 1) * _MIX + tokens)[rest] >> np.uint64(64 - GRAM_BITS), text[rest]
+
+
+def counted(keys: np.ndarray, learning: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs in learning texts."""
+    s = np.sort(keys << np.uint64(1) | ~learning)
+    own = s >> np.uint64(1)
+    head = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    return own[head], np.add.reduceat((s & np.uint64(1)) == 0, head, dtype=np.int64) if len(head) else head
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers of 0 and up as planes of their bytes, compressed; few bytes for small ones."""
+    values = np.ascontiguousarray(values, np.uint64)
+    wide = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    raw = values.view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes()
+    return len(values).to_bytes(4, "little") + bytes([wide]) + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    n, wide = int.from_bytes(blob[:4], "little"), blob[4]
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :wide] = np.frombuffer(pa.decompress(blob[5:], n * wide, codec="zstd", asbytes=True), np.uint8).reshape(wide, n).T
+    return out.reshape(-1).view(np.uint64)
+
+
+def parts_of(keys: np.ndarray, bits: int, n_parts: int) -> np.ndarray:
+    """Where each part begins in the sorted keys, and the end."""
+    part = (keys >> np.uint64(bits - 32)) * np.uint64(n_parts) >> np.uint64(32)
+    return np.searchsorted(part, np.arange(n_parts + 1, dtype=np.uint64))
+
+
+def even_labels(spark: SparkSession, n: int) -> np.ndarray:
+    """n numbers of which hash partitioning puts one into each of n partitions."""
+    tried = spark.range(int(n * (np.log(n) + 8))).select(F.col("id").cast("int").alias("label"))
+    rows = tried.groupBy(F.pmod(F.hash("label"), F.lit(n)).alias("p")).agg(F.min("label").alias("label")).collect()
+    found = {r["p"]: r["label"] for r in rows}
+    spare = iter(range(-1, -n - 1, -1))  # a partition that no number met; not more than a few in a million
+    return np.array([found[p] if p in found else next(spare) for p in range(n)], np.int32)
+
+
+def vocabulary(texts: DataFrame, n_parts: int) -> tuple[int, int]:
+    """(tokens, different ones) of the texts. Tasks send sorted distinct hashes by part, and a part is merged in one task."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, tokens = Words(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            cut = parts_of(keys, WORD_BITS, n_parts).tolist()
+            rows = [(p, packed(np.diff(keys[a:b], prepend=np.uint64(0)))) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([tokens] * (len(rows) > 0) + [0] * (len(rows) - 1), pa.int64())],
+                names=["part", "words", "n"],
+            )
 
         for batch in rows_in(batches):
-            seen = add(seen, [vocabulary.read(t) for t in batch.column("text").to_pylist()])
-            if len(vocabulary) > FLUSH:
-                yield _counts(vocabulary.hashes()[1:], seen[1:])
-                vocabulary, seen = Vocabulary(), np.zeros(0, np.int64)
-        if len(vocabulary) > 1:
-            yield _counts(vocabulary.hashes()[1:], seen[1:])
+            if batch.num_rows:
+                own, n = words.read(batch.column("text").to_pylist())
+                tokens += len(own)
+                held.append(np.unique(own))
+                if sum(map(len, held)) > 4 << 20:
+                    held = [np.unique(np.concatenate(held))]
+                    if len(held[0]) > 2 << 20:
+                        yield flush()
+                        held, tokens = [], 0
+        if held:
+            yield flush()
 
-    return arrow_map(texts.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def merge(rows: pa.Table) -> pa.Table:
+        every = [np.cumsum(unpacked(b), dtype=np.uint64) for b in rows.column("words").to_pylist()]
+        return pa.table({"types": pa.array([len(np.unique(np.concatenate(every)))], pa.int64()), "tokens": pa.array([sum(rows.column("n").to_pylist())], pa.int64())})
 
+    told = arrow_map(texts.select("text"), tell, "part int, words binary, n long")
+    row = told.groupBy("part").applyInArrow(merge, "types long, tokens long").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    return int(row[0]), int(row[1])
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """key, h, n of the pairs seen MIN_PAIR times or more; tasks sum what they read before anything is shuffled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, codes, n, fresh = Vocabulary(), np.zeros(0, np.int64), np.zeros(0, np.int64), []
-
-        def merge() -> tuple[np.ndarray, np.ndarray]:
-            every = np.concatenate([codes, *fresh])
-            own, at = np.unique(every, return_inverse=True)
-            return own, np.bincount(at, np.concatenate([n, np.ones(len(every) - len(n), np.int64)]), len(own)).astype(np.int64)
-
-        def out() -> pa.RecordBatch:
-            hashes = vocabulary.hashes()
-            h, w = hashes[codes >> 31], hashes[codes & (2**31 - 1)]
-            return pa.RecordBatch.from_arrays([pa.array(pair_key(h, w), pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["key", "h", "n"])
-
-        for batch in rows_in(batches):
-            if not batch.num_rows:
-                continue
-            fresh.append(neighbours([vocabulary.read(t) for t in batch.column("text").to_pylist()]))
-            if sum(map(len, fresh)) > 4 * FLUSH:
-                (codes, n), fresh = merge(), []
-                if len(codes) > 4 * FLUSH or len(vocabulary) > FLUSH:
-                    yield out()
-                    vocabulary, codes, n = Vocabulary(), codes[:0], n[:0]
-        if fresh:
-            codes, n = merge()
-        if len(codes):
-            yield out()
-
-    # two words with one pair key are as good as never; h is the same in all rows of a key
-    return arrow_map(texts.select("text"), run, "key long, h long, n long").groupBy("key").agg(F.min("h").alias("h"), F.sum("n").alias("n")).where(F.col("n") >= MIN_PAIR)
+def probability(c1, c2, c3, at_h, at_gh, below: int, prior: tuple[float, float] = PRIOR):
+    """p(w | g h) from the counts of w, h w, g h w, h and g h; below = N + V + 1."""
+    p2 = (c2 + prior[0] * ((c1 + 1) / below)) / (at_h + prior[0])
+    return (c3 + prior[1] * p2) / (at_gh + prior[1])
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, cache_share: float = CACHE_SHARE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Counts and scores for every document; learning leaves out those that ``held_out`` names."""
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    learning = given.where("not held_out")
-    words = materialize(word_counts(learning), "lm-words")
-    pairs = materialize(pair_counts(learning), "lm-pairs")
-    tokens, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    n_texts, size = learning.count(), given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    start = spark.createDataFrame([(word_hash(START), n_texts)], "key long, n long")
-    mass = pairs.groupBy(F.col("h").alias("key")).agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
-    words = materialize(words.union(start).join(mass, "key", "left").select("key", "n", F.coalesce("mass", F.lit(0.0)).alias("mass")), "lm-states")
-    frequent = words.where((F.col("n") >= max(1, cache_share * tokens)) | (F.col("key") == word_hash(START)))  # at most 1 / cache_share rows and one
-    rows = [tuple(r) for r in frequent.toLocalIterator()]
-    shared = spark.sparkContext.broadcast(Known(*(np.array([r[i] for r in rows], t) for i, t in enumerate((np.int64, np.int64, float)))))
-    below = tokens + types + 1
-
+    size = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_chunks = max(partitions(spark), -(-int(size) // chunk_bytes))
-    dealt = given.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int")).repartition(n_chunks, "chunk")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabularies: dict[int, Vocabulary] = {}
-        wanted: dict[int, list[np.ndarray]] = {}
-        for batch in rows_in(batches):
-            chunks = batch.column("chunk").to_numpy()
-            texts = batch.column("text")
-            for chunk in np.unique(chunks).tolist():
-                vocabulary, codes = vocabularies.setdefault(chunk, Vocabulary()), wanted.setdefault(chunk, [])
-                codes.append(neighbours([vocabulary.read(t) for t in texts.filter(pa.array(chunks == chunk)).to_pylist()]))
-                if sum(map(len, codes[1:])) > 2 * FLUSH:
-                    wanted[chunk] = [np.unique(np.concatenate(codes))]
-        for chunk, vocabulary in vocabularies.items():
-            hashes, codes = vocabulary.hashes(), np.unique(np.concatenate(wanted.pop(chunk)))
-            rare = hashes[~shared.value.find(hashes)[0]]
-            for keys in (rare, pair_key(hashes[codes >> 31], hashes[codes & (2**31 - 1)])):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk), pa.int32()), pa.array(keys, pa.int64())], names=["chunk", "key"])
-
-    known = words.unionByName(pairs.select("key", "n", F.lit(0.0).alias("mass")))
-    answers = arrow_map(dealt.select("chunk", "text"), ask, "chunk int, key long").join(known, "key").select("chunk", "key", "n", "mass")
+    tokens, types = vocabulary(given.where("not held_out"), n_chunks)
+    below = tokens + types + 1
+    labels = even_labels(spark, n_chunks)
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int")
+    dealt = given.withColumn("chunk", F.element_at(F.lit(labels), number + 1)).repartition(n_chunks, "chunk")
+
+    def tell(docs: pa.Table) -> pa.Table:
+        learning = ~docs.column("held_out").to_numpy()
+        keys, own, cuts = [], [], []
+        for bits, (every, text) in zip(WIDTHS, ngrams(*Words().read(docs.column("text").to_pylist()))):
+            k, c = counted(every, learning[text])
+            keys.append(k)
+            own.append(c)
+            cuts.append(parts_of(k, bits, n_chunks).tolist())
+        every = [(p, [(c[p], c[p + 1]) for c in cuts]) for p in range(n_chunks)]
+        rows = [(p, cut) for p, cut in every if any(a < b for a, b in cut)]
+        blobs = {f"k{o}": pa.array([packed(np.diff(keys[o][cut[o][0] : cut[o][1]], prepend=np.uint64(0))) for _, cut in rows], pa.binary()) for o in range(3)}
+        blobs |= {f"n{o}": pa.array([packed(own[o][cut[o][0] : cut[o][1]]) for _, cut in rows], pa.binary()) for o in range(3)}
+        chunk = docs.column("chunk")[0].as_py()
+        return pa.table({"bucket": pa.array([labels[p] for p, _ in rows], pa.int32()), "part": pa.array([p for p, _ in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), **blobs})
+
+    def add(asked: pa.Table) -> pa.Table:
+        """Counts that the other chunks have of each chunk's n-grams, in the order told."""
+        out = {c: asked.column(c) for c in ("chunk", "part")}
+        for o in range(3):
+            every = [np.cumsum(unpacked(b), dtype=np.uint64) for b in asked.column(f"k{o}").to_pylist()]
+            own = [unpacked(b) for b in asked.column(f"n{o}").to_pylist()]
+            ends, keys, counts = np.cumsum([0, *map(len, every)]).tolist(), np.concatenate(every), np.concatenate(own)
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            sums = np.add.reduceat(counts[order], head) if len(head) else counts
+            counts[order] = np.repeat(sums, np.diff(np.append(head, len(keys)))) - counts[order]
+            out[f"m{o}"] = pa.array([packed(counts[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
+        return pa.table(out)
 
     def read(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        vocabulary = Vocabulary()
-        ids = [vocabulary.read(t) for t in docs.column("text").to_pylist()]
-        told, hashes = Known(*(answers.column(c).to_numpy() for c in ("key", "n", "mass"))), vocabulary.hashes()
-        ok, counts, mass = shared.value.find(hashes)
-        _, n, m = told.find(hashes)
-        counts, mass = np.where(ok, counts, n), np.where(ok, mass, m)
-        p1, g = (counts + 1) / below, np.maximum(1 - mass / np.maximum(counts, 1), 1e-12)
-        codes, at = np.unique(neighbours(ids), return_inverse=True)
-        h, w = codes >> 31, codes & (2**31 - 1)
-        _, n, _ = told.find(pair_key(hashes[h], hashes[w]))
-        arcs = np.log10(np.where(n > 0, (n - DISCOUNT) / np.maximum(counts[h], 1), 0.0) + g[h] * p1[w])
-        first = np.cumsum([0, *map(len, ids[:-1])])
-        every = np.concatenate(ids)
+        seq, n = Words().read(docs.column("text").to_pylist())
+        learning = ~docs.column("held_out").to_numpy()
+        answers = answers.sort_by("part")
+        found = []
+        for o, (every, text) in enumerate(ngrams(seq, n)):
+            order = np.argsort(every, kind="stable")
+            s = every[order]
+            fresh = np.append(True, s[1:] != s[:-1]) if len(s) else np.zeros(0, bool)
+            at = np.empty(len(s), np.int64)
+            at[order] = np.cumsum(fresh) - 1
+            more = np.concatenate([unpacked(b) for b in answers.column(f"m{o}").to_pylist()])
+            if len(more) != fresh.sum():
+                raise ValueError("a chunk's texts changed between two reads")
+            found.append((np.bincount(at, learning[text], len(more)).astype(np.int64) + more.astype(np.int64))[at])
+        first = np.cumsum(n) - n
+        c1, starts = found[0][: len(seq)], found[0][len(seq) :]
+        at_h, at_gh, c3 = np.roll(c1, 1), np.roll(found[1], 1), np.zeros(len(seq), np.int64)
+        at_h[first], at_gh[first] = starts, 0
+        rest = np.ones(len(seq), bool)
+        rest[first] = False
+        c3[rest] = found[2]
+        arcs = np.log10(probability(c1, found[1], c3, at_h, at_gh, below))
+        total = lambda x: np.add.reduceat(x, first)
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"),
-            "n_tokens": pa.array([len(i) for i in ids], pa.int64()), "n_known": pa.array(np.add.reduceat((counts[every] > 0).astype(np.int64), first), pa.int64()),
-            "train_tokens": pa.array(np.full(len(ids), tokens), pa.int64()),
-            "base_score": pa.array(np.add.reduceat(np.log10(p1)[every], first), pa.float64()),
-            "score": pa.array(np.add.reduceat(arcs[at], first), pa.float64()),
+            "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(total((c1 > 0).astype(np.int64)), pa.int64()),
+            "train_tokens": pa.array(np.full(len(n), tokens), pa.int64()),
+            "base_score": pa.array(total(np.log10((c1 + 1) / below)), pa.float64()), "score": pa.array(total(arcs), pa.float64()),
         })
 
+    asked = dealt.groupBy("chunk").applyInArrow(tell, "bucket int, part int, chunk int, k0 binary, k1 binary, k2 binary, n0 binary, n1 binary, n2 binary")
+    answers = asked.repartition(n_chunks, "bucket").groupBy("bucket").applyInArrow(add, "chunk int, part int, m0 binary, m1 binary, m2 binary")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(read, RESULT)
