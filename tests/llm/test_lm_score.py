@@ -10,7 +10,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from visiquarry.llm import lm_score, queries
+from visiquarry.llm import blobs, lm_score, queries
+from visiquarry.llm import words as word_hashes
 
 
 def brute(rows):
@@ -46,20 +47,20 @@ def test_query_equals_brute_force(spark, sf_dir, docs):
 
 def test_probabilities_after_a_state_sum_to_one():
     texts = ["a b a b c", "a c", "b a b", "d", "a b", ""]
-    seq, n = lm_score.Words().read(texts)
+    seq, n = word_hashes.Words().read(texts)
     kinds = []
     for keys, text in lm_score.ngrams(seq, n):
         own, counts = lm_score.counted(keys, np.ones(len(keys), bool))
         kinds.append(dict(zip(own.tolist(), counts.tolist())))
     known = sorted(set(seq.tolist()))
     below = len(seq) + len(known) + 1
-    words = {w: int(lm_score.Words().read([w])[0][0]) for w in "abcd"} | {"<s>": int(lm_score.START)}
-    pair = lambda h, w: int(lm_score.mixed(np.array([h], np.uint64) * lm_score._BASE + np.uint64(w))[0])
+    words = {w: int(word_hashes.Words().read([w])[0][0]) for w in "abcd"} | {"<s>": int(word_hashes.START)}
+    pair = lambda h, w: int(word_hashes.mixed(np.array([h], np.uint64) * word_hashes.BASE + np.uint64(w))[0])
     gram = lambda k: k >> 64 - lm_score.GRAM_BITS
     for g, h in (("<s>", "a"), ("a", "b"), ("b", "c"), ("d", "d"), ("c", "a")):
         gh, total = pair(words[g], words[h]), 0.0
         for w in [*known, 12345]:  # all words, the end and an unknown one
-            triple = int(lm_score.mixed(np.array([gh], np.uint64) * lm_score._MIX + np.uint64(w))[0])
+            triple = int(word_hashes.mixed(np.array([gh], np.uint64) * word_hashes.MIX + np.uint64(w))[0])
             total += lm_score.probability(kinds[0].get(w, 0), kinds[1].get(gram(pair(words[h], w)), 0), kinds[2].get(gram(triple), 0), kinds[0].get(words[h], 0), kinds[1].get(gram(gh), 0), below)
         assert total == pytest.approx(1)
 
@@ -67,11 +68,11 @@ def test_probabilities_after_a_state_sum_to_one():
 @settings(deadline=None, max_examples=30)
 @given(st.lists(st.text(alphabet="abÄ \n\x0b\u2003日", max_size=40), min_size=1, max_size=6), st.sampled_from([4, 7, 1 << 19]))
 def test_words_are_cut_at_ascii_space(texts, piece):
-    whole, lm_score.PIECE = lm_score.PIECE, piece
+    whole, word_hashes.PIECE = word_hashes.PIECE, piece
     try:
-        seq, n = lm_score.Words().read(texts)
+        seq, n = word_hashes.Words().read(texts)
     finally:
-        lm_score.PIECE = whole
+        word_hashes.PIECE = whole
     want = [re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) for t in texts]
     assert n.tolist() == [len(w) + 1 for w in want]
     numbers = dict(zip([x for w in want for x in [*w, b"\n"]], seq.tolist()))
@@ -80,7 +81,7 @@ def test_words_are_cut_at_ascii_space(texts, piece):
 
 @given(st.lists(st.integers(0, 2**63 - 1)))
 def test_packed_numbers_come_back(values):
-    assert lm_score.unpacked(lm_score.packed(np.array(values, np.uint64))).tolist() == values
+    assert blobs.unpacked(blobs.packed(np.array(values, np.uint64))).tolist() == values
 
 
 def test_odd_and_empty_tables(odd, empty):

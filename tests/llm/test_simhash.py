@@ -146,7 +146,7 @@ def test_truncated_and_appended_copies_are_found(spark):
 
 def test_members_apart_from_the_centre_keep_their_links(spark, monkeypatch):
     """Windows over one long text: each is similar to its neighbours only, and far ones share no large group's centre."""
-    monkeypatch.setattr(simhash_dedup, "sketches", lambda text: [0, 0, 0, 0])
+    monkeypatch.setattr(simhash_dedup, "sketches", lambda words: [0] * len(simhash_dedup.SKETCHES))
     r = np.random.default_rng(7)
     text = [f"w{x}" for x in r.integers(0, 3000, 1600)]
     rows = [(i, " ".join(text[20 * i : 20 * i + 250])) for i in range(60)]

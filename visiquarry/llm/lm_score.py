@@ -29,81 +29,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blobs import gaps, keys_of, packed, parts_of, unpacked
 from .common import arrow_map, partitions, rows_in
+from .words import BASE, MIX, START, Words, mixed
 
 PRIOR = (1000.0, 3.0)
 CHUNK_BYTES = 16 << 20
-PIECE = 1 << 19
 WORD_BITS, GRAM_BITS = 63, 56
 WIDTHS = (WORD_BITS, GRAM_BITS, GRAM_BITS)
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-START, END = np.uint64(1), np.uint64(2)
-
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(29)) * _MIX
-    x = (x ^ x >> np.uint64(32)) * _BASE
-    return x ^ x >> np.uint64(29)
-
-
-class Words:
-    """Hashes of the words of texts, by sums of powers over pieces of their bytes."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-        self.grow(PIECE)
-
-    def grow(self, n: int) -> None:
-        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-        self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b)]), dtype=np.uint64) for b in (_BASE, inverse))
-
-    def piece(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first byte, hash) of every word."""
-        inside = np.zeros(len(data) + 2, np.int8)
-        inside[1:-1] = ~_SPACE[data]
-        turns = np.flatnonzero(np.diff(inside))
-        first, last = turns[::2], turns[1::2]
-        if len(data) > len(self.up):
-            self.grow(len(data))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * self.up[: len(data)], dtype=np.uint64)])
-        h = mixed((sums[last] - sums[first]) * self.down[first]) >> np.uint64(1)
-        return first, np.where(h <= END, h + np.uint64(3), h)
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all tokens, the end of each text included, and the number of tokens of each text."""
-        raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-        blob = b" ".join([*raw, b""])
-        firsts, hashes, at = [], [], 0
-        while at < len(blob):
-            to = min(len(blob), at + PIECE)
-            if to < len(blob):  # cut at white space; a longer word is a piece of its own
-                spaces = np.flatnonzero(_SPACE[np.frombuffer(blob, np.uint8, to - at, at)])
-                while not len(spaces):
-                    lo, to = to, min(len(blob), to + PIECE)
-                    spaces = np.flatnonzero(_SPACE[np.frombuffer(blob, np.uint8, to - lo, lo)]) + lo - at
-                to = at + int(spaces[-1]) + 1
-            first, h = self.piece(np.frombuffer(blob, np.uint8, to - at, at))
-            firsts.append(first + at)
-            hashes.append(h)
-            at = to
-        ends = np.cumsum([len(r) + 1 for r in raw])
-        upto = np.searchsorted(np.concatenate([np.zeros(0, np.int64), *firsts]), ends)
-        n = np.diff(upto, prepend=0)
-        out = np.full(int(upto[-1]) + len(raw), END, np.uint64)
-        words = np.ones(len(out), bool)
-        words[upto + np.arange(len(raw))] = False
-        out[words] = np.concatenate(hashes)
-        return out, n + 1
-
-
 def ngrams(tokens: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(keys, text of each) of words with the starts of texts, of pairs, and of triples, which the first token has none of."""
     text = np.repeat(np.arange(len(n)), n)
@@ -111,11 +50,11 @@ def ngrams(tokens: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
     yield np.concatenate([tokens, np.full(len(n), START)]), np.concatenate([text, np.arange(len(n))])
     before = np.roll(tokens, 1)
     before[first] = START
-    pairs = mixed(before * _BASE + tokens)
+    pairs = mixed(before * BASE + tokens)
     yield pairs >> np.uint64(64 - GRAM_BITS), text
     rest = np.ones(len(tokens), bool)
     rest[first] = False
-    yield mixed(np.roll(pairs, 1) * _MIX + tokens)[rest] >> np.uint64(64 - GRAM_BITS), text[rest]
+    yield mixed(np.roll(pairs, 1) * MIX + tokens)[rest] >> np.uint64(64 - GRAM_BITS), text[rest]
 
 
 def counted(keys: np.ndarray, learning: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,28 +65,6 @@ def counted(keys: np.ndarray, learning: np.ndarray) -> tuple[np.ndarray, np.ndar
     return own[head], np.add.reduceat((s & np.uint64(1)) == 0, head, dtype=np.int64) if len(head) else head
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Numbers of 0 and up as planes of their bytes, compressed; few bytes for small ones."""
-    values = np.ascontiguousarray(values, np.uint64)
-    wide = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
-    raw = values.view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes()
-    return len(values).to_bytes(4, "little") + bytes([wide]) + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
-
-
-def unpacked(blob: bytes) -> np.ndarray:
-    n, wide = int.from_bytes(blob[:4], "little"), blob[4]
-    out = np.zeros((n, 8), np.uint8)
-    if n:
-        out[:, :wide] = np.frombuffer(pa.decompress(blob[5:], n * wide, codec="zstd", asbytes=True), np.uint8).reshape(wide, n).T
-    return out.reshape(-1).view(np.uint64)
-
-
-def parts_of(keys: np.ndarray, bits: int, n_parts: int) -> np.ndarray:
-    """Where each part begins in the sorted keys, and the end."""
-    part = (keys >> np.uint64(bits - 32)) * np.uint64(n_parts) >> np.uint64(32)
-    return np.searchsorted(part, np.arange(n_parts + 1, dtype=np.uint64))
-
-
 def even_labels(spark: SparkSession, n: int) -> np.ndarray:
     """n numbers of which hash partitioning puts one into each of n partitions."""
     tried = spark.range(int(n * (np.log(n) + 8))).select(F.col("id").cast("int").alias("label"))
@@ -166,7 +83,7 @@ def vocabulary(texts: DataFrame, n_parts: int) -> tuple[int, int]:
         def flush() -> pa.RecordBatch:
             keys = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
             cut = parts_of(keys, WORD_BITS, n_parts).tolist()
-            rows = [(p, packed(np.diff(keys[a:b], prepend=np.uint64(0)))) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+            rows = [(p, gaps(keys[a:b])) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([tokens] * (len(rows) > 0) + [0] * (len(rows) - 1), pa.int64())],
                 names=["part", "words", "n"],
@@ -186,7 +103,7 @@ def vocabulary(texts: DataFrame, n_parts: int) -> tuple[int, int]:
             yield flush()
 
     def merge(rows: pa.Table) -> pa.Table:
-        every = [np.cumsum(unpacked(b), dtype=np.uint64) for b in rows.column("words").to_pylist()]
+        every = [keys_of(b) for b in rows.column("words").to_pylist()]
         return pa.table({"types": pa.array([len(np.unique(np.concatenate(every)))], pa.int64()), "tokens": pa.array([sum(rows.column("n").to_pylist())], pa.int64())})
 
     told = arrow_map(texts.select("text"), tell, "part int, words binary, n long")
@@ -225,7 +142,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             cuts.append(parts_of(k, bits, n_chunks).tolist())
         every = [(p, [(c[p], c[p + 1]) for c in cuts]) for p in range(n_chunks)]
         rows = [(p, cut) for p, cut in every if any(a < b for a, b in cut)]
-        blobs = {f"k{o}": pa.array([packed(np.diff(keys[o][cut[o][0] : cut[o][1]], prepend=np.uint64(0))) for _, cut in rows], pa.binary()) for o in range(3)}
+        blobs = {f"k{o}": pa.array([gaps(keys[o][cut[o][0] : cut[o][1]]) for _, cut in rows], pa.binary()) for o in range(3)}
         blobs |= {f"n{o}": pa.array([packed(own[o][cut[o][0] : cut[o][1]]) for _, cut in rows], pa.binary()) for o in range(3)}
         chunk = docs.column("chunk")[0].as_py()
         return pa.table({"bucket": pa.array([labels[p] for p, _ in rows], pa.int32()), "part": pa.array([p for p, _ in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), **blobs})
@@ -234,7 +151,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         """Counts that the other chunks have of each chunk's n-grams, in the order told."""
         out = {c: asked.column(c) for c in ("chunk", "part")}
         for o in range(3):
-            every = [np.cumsum(unpacked(b), dtype=np.uint64) for b in asked.column(f"k{o}").to_pylist()]
+            every = [keys_of(b) for b in asked.column(f"k{o}").to_pylist()]
             own = [unpacked(b) for b in asked.column(f"n{o}").to_pylist()]
             ends, keys, counts = np.cumsum([0, *map(len, every)]).tolist(), np.concatenate(every), np.concatenate(own)
             order = np.argsort(keys, kind="stable")

@@ -27,11 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import gaps, keys_of, packed, parts_of, unpacked
 from .common import arrow_map, materialize, partitions, rows_in
 from .graph import components
+from .words import BASE, MIX, Words, mixed
 
 SHINGLE, SEED, BITS = 4, 42, 4
 HOT = 4096
+_NO_ID = -(2**63)
 _BYTE_BITS = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], np.int64)
 
 
@@ -234,111 +237,154 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFr
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES = ((1, 42), (1, 43), (1, 44), (2, 42))
 ALL_PAIRS, FAR = 6, 12
-SAMPLE, SAMPLE_HOT = 50_000, 5
+LATE, LATE_HASH, LATE_BITS = 5, 40, 1 << 26
+PAIRS_AT_ONCE = 1 << 19
 
 
-def sketches(text: str | None) -> list[int]:
+def sketches(words: np.ndarray) -> list[int]:
     """Fingerprints of the set of words under three seeds, and of the set of word pairs: a text and a near copy of it
     differ there in few bits, as an edited word spoils one word or two pairs, but five runs of five words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     out = []
     for size, seed in SKETCHES:
-        own = set(words) if size == 1 or len(words) < 2 else {a + b" " + b for a, b in zip(words, words[1:])}
-        if not own:
-            out.append(0)
-            continue
-        lanes = np.array([xxhash.xxh64_intdigest(x, seed) for x in own], np.uint64).view(np.uint8).reshape(-1, 8)
-        if len(own) < 256:
-            ones = _BYTE_BITS[lanes].sum(0).reshape(-1)
-        else:
-            ones = np.concatenate([np.bincount(lanes[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
-        out.append(int(sum(1 << i for i in np.flatnonzero(2 * ones > len(own)).tolist())))
+        own = np.unique(words if size == 1 or len(words) < 2 else mixed(words[:-1] * BASE + words[1:]))
+        ones = np.unpackbits(mixed(own ^ np.uint64(seed * int(MIX) % 2**64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)[0]))
     return out
 
 
-def _runs(text: str | None) -> np.ndarray:
-    """Sorted hashes of the set of five-word runs."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    own = {b" ".join(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))}
-    return np.sort(np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64).view(np.int64))
+def word_runs(texts: list[str | None], words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word hashes, sorted hashes of the set of five-word runs) of each text; of fewer words the whole is the one run."""
+    seq, n = words.read(texts)
+    every = seq.copy()
+    for k in range(1, WORDS):
+        every = mixed(every * BASE + np.roll(seq, -k))
+    at = 0
+    for m in (n - 1).tolist():
+        own = seq[at : at + m]
+        if m < WORDS:
+            whole = np.full(1, m, np.uint64)
+            for x in own:
+                whole = mixed(whole * BASE + x)
+        yield own, np.unique((whole if m < WORDS else every[at : at + m - WORDS + 1]).view(np.int64))
+        at += m + 1
 
 
-def _frequent(texts: DataFrame) -> np.ndarray:
-    """Runs of five words that occur in SAMPLE_HOT or more of about SAMPLE documents. They come last in the order of runs;
-    which ones they are decides how many candidates there are, never which links are found."""
-    n = texts.count()
-    chosen = texts.where(F.rand(5) < min(1.0, SAMPLE / max(n, 1)))
-    runs = _shingles(chosen).select(F.explode("shingles").alias("x")).groupBy("x").count().where(F.col("count") >= SAMPLE_HOT)
-    return np.sort(np.array([r["x"] for r in runs.select("x").toLocalIterator()], np.int64))
+def prefix_length(n: int, similarity: float) -> int:
+    """Two sets of similarity t share at least t n runs of either, so under any common order of runs the first
+    n - ceil(t n) + 1 of both have one in common."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
 
 
-def _features(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """text_key, sketches, n (different runs of five words), prefix: one row of every different text, so that copies of one
-    text count once. Tasks reduce what they read before the shuffle, and texts are not shuffled.
+def _late(texts: DataFrame) -> np.ndarray:
+    """Bits for the runs that LATE or more texts of the whole table have.
 
-    Two sets of similarity t share at least t n runs of either, so under any common order of runs the first n - ceil(t n) + 1
-    of both have one in common. The order is by hash, with frequent runs last.
+    These runs come last in the order that counts. Any set of runs gives the same links; this one keeps passages that many
+    texts share out of the prefixes. Tasks send sorted hashes of LATE_HASH bits with counts, and the texts of a run are
+    added in one task. A bit stands for all runs with its hash, so the set has LATE_BITS bits at any size.
     """
-    late = texts.sparkSession.sparkContext.broadcast(_frequent(texts))
+    n_parts = partitions(texts.sparkSession)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held = Words(), []
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            cut = parts_of(keys, LATE_HASH, n_parts).tolist()
+            rows = [(p, gaps(keys[a:b]), packed(n[a:b])) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], names=["part", "keys", "n"])
+
+        for batch in rows_in(batches):
+            held += [own.view(np.uint64) & np.uint64((1 << LATE_HASH) - 1) for _, own in word_runs(batch.column("text").to_pylist(), words)]
+            if sum(map(len, held)) > 4 << 20:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
+
+    def often(rows: pa.Table) -> pa.Table:
+        keys = np.concatenate([keys_of(b) for b in rows.column("keys").to_pylist()])
+        n = np.concatenate([unpacked(b) for b in rows.column("n").to_pylist()])
+        own, at = np.unique(keys, return_inverse=True)
+        return pa.table({"key": pa.array(own[np.bincount(at, n, len(own)) >= LATE].view(np.int64))})
+
+    keys = arrow_map(texts.select("text"), tell, "part int, keys binary, n binary").groupBy("part").applyInArrow(often, "key long")
+    bit = keys.select(F.col("key").bitwiseAND(LATE_BITS - 1).alias("bit"))
+    maps = bit.groupBy(F.shiftright("bit", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("map"))  # at most LATE_BITS / 8 bytes
+    out = np.zeros(LATE_BITS // 8, np.uint8)
+    for row in maps.toLocalIterator():
+        out[row["at"] << 12 : (row["at"] + 1) << 12] = np.frombuffer(row["map"], np.uint8)
+    return out
+
+
+def _features(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """text_key, sketches, n (different runs of five words), prefix: one row of every different text, so that copies of one
+    text count once. Tasks reduce what they read before the shuffle, and texts are not shuffled."""
+    late = texts.sparkSession.sparkContext.broadcast(_late(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = late.value
+        bits, words = late.value, Words()
         for batch in rows_in(batches):
             every, sizes, prefixes = [], [], []
-            for text in batch.column("text").to_pylist():
-                own = _runs(text)
-                if len(hot):
-                    often = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
-                    own = np.concatenate([own[~often], own[often]])
-                every.append(np.array(sketches(text), np.uint64).view(np.int64))
+            for words_own, own in word_runs(batch.column("text").to_pylist(), words):
+                bit = own & (LATE_BITS - 1)
+                last = (bits[bit >> 3] >> (bit & 7) & 1).astype(bool)
+                every.append(np.array(sketches(words_own), np.uint64).view(np.int64))
                 sizes.append(len(own))
-                prefixes.append(own[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1])
+                prefixes.append(np.concatenate([own[~last], own[last]])[: prefix_length(len(own), similarity)])
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(every, longs), pa.array(sizes, pa.int32()), pa.array(prefixes, longs)], names=["text_key", "sketches", "n", "prefix"])
 
-    return arrow_map(texts, run, "text_key long, sketches array<long>, n int, prefix array<long>").dropDuplicates(["text_key"])
+    return arrow_map(texts.select("text_key", "text"), run, "text_key long, sketches array<long>, n int, prefix array<long>").dropDuplicates(["text_key"])
 
 
 def _prefix_pairs(features: DataFrame, member: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): all pairs of texts not yet in one component that share a run of both prefixes and can still be similar.
 
     Every pair of the similarity is among them or already connected: sizes must allow it, and what follows the first run in
-    common must hold enough of others. Pairs of one run are made by distance in its sorted rows, so memory stays that of the
-    rows, and groups of near copies that the sketches connected give none.
+    common must hold enough of others. The rows of a run are sorted by component, and a row meets only those of later
+    components, PAIRS_AT_ONCE at a time, so groups of near copies that the sketches connected cost nothing.
     """
     known = features.select("text_key", "n", "prefix").join(member.select(F.col("node").alias("text_key"), "component"), "text_key", "left")
-    records = known.select(F.posexplode("prefix").alias("at", "key"), F.col("text_key").alias("name"), "component", "n")
+    records = known.select(F.posexplode("prefix").alias("at", "key"), F.col("text_key").alias("name"), F.coalesce("component", "text_key").alias("component"), "n")
+
+    def settle(keys, names, group, n, at) -> Iterator[pa.RecordBatch]:
+        rows = np.arange(len(keys))
+        ends = lambda new: np.repeat(np.append(np.flatnonzero(new)[1:], len(keys)), np.diff(np.append(np.flatnonzero(new), len(keys))))
+        other = np.append(True, keys[1:] != keys[:-1])
+        key_end, group_end = ends(other), ends(other | np.append(True, group[1:] != group[:-1]))
+        meets = key_end - group_end
+        upto = np.cumsum(meets)
+        lo = 0
+        while lo < len(keys):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS_AT_ONCE, "right")))
+            some = meets[lo:hi]
+            x = np.repeat(rows[lo:hi], some)
+            y = group_end[x] + np.arange(len(x)) - np.repeat(np.cumsum(some) - some, some)
+            least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            shared = np.minimum(n[x] - at[x], n[y] - at[y])
+            ok = (least >= similarity * most - 1e-9) & (shared * (1 + similarity) >= similarity * (n[x] + n[y]) - 1e-6)
+            if ok.any():
+                a, b = names[x[ok]], names[y[ok]]
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
+            lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(keys, names, group, n, at) -> Iterator[pa.RecordBatch]:
-            x, d = np.flatnonzero(keys[:-1] == keys[1:]), 1
-            while len(x):
-                y = x + d
-                least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-                shared = np.minimum(n[x] - at[x], n[y] - at[y])
-                ok = (group[x] != group[y]) & (least >= similarity * most - 1e-9) & (shared * (1 + similarity) >= similarity * (n[x] + n[y]) - 1e-6)
-                if ok.any():
-                    a, b = names[x[ok]], names[y[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
-                d += 1
-                x = x[x + d < len(keys)]
-                x = x[keys[x] == keys[x + d]]
-
         kept: list[np.ndarray] | None = None
         for batch in batches:
-            names = batch.column("name").to_numpy()
-            new = [batch.column("key").to_numpy(), names, batch.column("component").to_numpy(), batch.column("n").to_numpy(), batch.column("at").to_numpy()]
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_numpy() for c in ("key", "name", "component", "n", "at")]
             kept = new if kept is None else [np.concatenate([x, y]) for x, y in zip(kept, new)]
-            whole = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0
+            whole = int(np.searchsorted(kept[0], kept[0][-1]))
             if whole:
                 yield from settle(*(x[:whole] for x in kept))
                 kept = [x[whole:] for x in kept]
         if kept is not None:
             yield from settle(*kept)
 
-    records = records.select("key", "name", F.coalesce("component", "name").alias("component"), "n", "at")
     n = partitions(features.sparkSession)
-    return arrow_map(records.repartition(n, "key").sortWithinPartitions("key"), run, "a long, b long").distinct()
+    return arrow_map(records.select("key", "name", "component", "n", "at").repartition(n, "key").sortWithinPartitions("key", "component"), run, "a long, b long").distinct()
 
 
 def _candidates(features: DataFrame) -> DataFrame:
@@ -399,20 +445,19 @@ def _candidates(features: DataFrame) -> DataFrame:
     return arrow_map(records.repartition(n, "key").sortWithinPartitions("key"), meet_pairs, "a long, b long").distinct()
 
 
-def _shingles(texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets of five-word runs are as similar as asked for. Of every text in them, one row is read: the first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in rows_in(batches, 64):
-            every = [_runs(text) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(every, pa.list_(pa.int64()))], names=["text_key", "shingles"])
-
-    return arrow_map(texts, run, "text_key long, shingles array<long>")
-
+            every = [own for _, own in word_runs(batch.column("text").to_pylist(), words)]
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(every, pa.list_(pa.int64()))], names=["text_key", "runs"])
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets of five-word runs are as similar as asked for."""
-    nodes = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct()
-    sets = materialize(_shingles(texts.join(nodes, "text_key").dropDuplicates(["text_key"]).select("text_key", "text")), "near-shingles")
-    own = pairs.join(sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("y")), "b")
+    nodes = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct().join(names, "text_key").select("text_key", F.coalesce("first", F.lit(_NO_ID)).alias("row"))
+    chosen = texts.select("text_key", F.coalesce("doc_id", F.lit(_NO_ID)).alias("row"), "text").join(nodes, ["row", "text_key"])
+    sets = materialize(arrow_map(chosen.select("text_key", "text"), run, "text_key long, runs array<long>").dropDuplicates(["text_key"]), "near-runs")
+    own = pairs.join(sets.select(F.col("text_key").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("text_key").alias("b"), F.col("runs").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return materialize(own.where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"), "near-links")
 
@@ -424,13 +469,12 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     candidates that share a Golay key of one of four sketches; a second one takes all pairs that its links leave apart and
     that share a run of their prefixes, so no link between groups is missed. Every candidate is verified on whole texts.
     """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"), F.col("text").cast("string").alias("text"))
-    names = given.groupBy("text_key").agg(F.min("doc_id").alias("first"))
-    texts = given.select("text_key", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"), F.col("text").cast("string").alias("text"))
+    names = materialize(texts.groupBy("text_key").agg(F.min("doc_id").alias("first")), "near-names")
     features = materialize(_features(texts, similarity), "near-features")
-    links = _verified(materialize(_candidates(features), "near-pairs"), texts, similarity)
+    links = _verified(materialize(_candidates(features), "near-pairs"), texts, names, similarity)
     more = materialize(_prefix_pairs(features, components(links), similarity), "near-prefix-pairs")
-    member = components(links.union(_verified(more, texts, similarity)))
+    member = components(links.union(_verified(more, texts, names, similarity)))
     least = names.join(member, names.text_key == member.node).groupBy("component").agg(F.min("first").alias("least"))
     named = member.join(least, "component").select(F.col("node").alias("text_key"), F.col("component").alias("group"), "least")
     return names.join(named, "text_key", "left").select("text_key", F.coalesce("group", "text_key").alias("group"), F.coalesce("least", "first").alias("least"))
