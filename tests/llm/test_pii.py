@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,6 +58,63 @@ def test_query_equals_patterns(spark, sf_dir, docs):
         assert set(filter(None, r.spans.split(","))) >= {f"{k}:{s}:{e}" for k, s, e in base}
 
 
+def term_spans(rows, min_support=3, generalise_at=0.6, remove_at=0.9):
+    """Terms of every text by plain counting over all pairs of entities and words."""
+    word = re.compile(r"[^\W\d_]{3,}")
+    n = len(rows)
+    df, held, both, support = Counter(), Counter(), Counter(), defaultdict(set)
+    own = {}
+    for _, text in rows:
+        text = text or ""
+        base = plain(text)
+        covered = {p for _, s, e in base for p in range(s, e)}
+        places = defaultdict(list)
+        for m in word.finditer(text):
+            if not covered & set(range(*m.span())):
+                places[m.group().lower()].append(m.span())
+        df.update({m.lower() for m in word.findall(text)})
+        entities = {k for k, *_ in base} | {(k, text[s:e].lower() if k in ("email", "ip") else re.sub("[^0-9]", "", text[s:e])) for k, s, e in base}
+        own[text] = entities, places
+        held.update(entities)
+        for e in entities:
+            for t in places:
+                both[e, t] += 1
+                support[e, t].add(text)
+    out = []
+    for i, text in rows:
+        entities, places = own[text or ""]
+        got = {}
+        for e in entities:
+            for t in places:
+                if len(support[e, t]) >= min_support and held[e] < n:
+                    share = math.log2(n * both[e, t] / held[e] / df[t]) / math.log2(n / held[e])
+                    if share >= generalise_at:
+                        got[t] = max(got.get(t, ""), "remove" if share >= remove_at else "generalise")
+        out.append((i, sorted((s, e, got[t], t) for t in got for s, e in places[t])))
+    return sorted(out, key=str)
+
+
+def spans_of(frame):
+    return sorted(((r["doc_id"], [tuple(t) for t in r["terms"]]) for r in pii.detect(frame).collect()), key=str)
+
+
+def test_term_spans_equal_brute_force(spark, docs, odd):
+    want = term_spans([(r.doc_id, r.text) for r in docs.collect()])
+    assert spans_of(docs) == want
+    assert spans_of(odd) == term_spans([(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()])
+    names = [f"name{c}" for c in "abc"]
+    rows = [(i, f"{names[i % 3]} Zorblax wrote to a{i % 3}@b.example {'filler ' * (i % 5)}, then {'zorblax' if i % 2 else 'rested'}") for i in range(30)]
+    rows = [(i, t.replace("namea", "anna").replace("nameb", "berta").replace("namec", "carla")) for i, t in rows] + [(100 + i, f"anna nothing here {'word ' * i}") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert spans_of(frame) == term_spans(rows)
+    assert any(terms for _, terms in spans_of(frame))
+
+
+def test_terms_act_on_the_given_tables(spark, sf_dir):
+    out = queries.QUERIES["op2_pii"](spark, sf_dir.replace("sf0.001", "sf0.01"))
+    assert out.where("n_terms > 0").count() > 0
+
+
 def test_odd_and_empty_tables(odd, empty):
     assert pii.detect(odd).count() == odd.count()
     out = pii.sanitise(odd)

@@ -1,18 +1,22 @@
 """Personal data: fixed rules for identifiers, and information-theoretic sanitisation of the terms that reveal them.
 
-Every identifier found by a rule is a protected entity e. Words that stand near e are candidate terms t. Over the whole
-corpus, with N documents, n(e) and n(t) that hold e and t, and n(e, t) that hold t near e, a term discloses
+Protected entities e are every identifier that a rule finds (its kind and normalised value) and, for each kind, the fact that
+a document holds such an identifier. Terms t are the words outside identifiers. Over the whole corpus, with N documents and
+n(e), n(t), n(e, t) that hold e, t and both, anywhere in their whole texts, a term discloses
 PMI(e; t) = log2(N n(e, t) / (n(e) n(t))) bits of the IC(e) = log2(N / n(e)) bits that e carries. A term whose share
-PMI / IC reaches ``remove_at`` is removed beside e, one that reaches ``generalise_at`` is replaced by a class name. Only
-pairs seen in ``min_support`` different texts count as evidence, so copies of one text prove nothing.
+PMI / IC reaches ``remove_at`` is removed, one that reaches ``generalise_at`` is replaced by a class name, wherever it stands
+in the texts that hold e; a text without e has nothing that the term could reveal and stays as it is. Only pairs seen in
+``min_support`` different texts count as evidence, so copies of one text prove nothing.
 
 Defined results: a null text counts as empty and has no spans; a null doc_id is kept; repeated rows each get their own
-result row; an entity that all documents hold (IC 0) discloses nothing; an empty table gives no rows.
+result row and count as documents of their own; an entity that all documents hold (IC 0) discloses nothing; a term that two
+entities want removed and generalised is removed; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import arrow_map, materialize, rows_in
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = 80
 MIN_SUPPORT = 3
 GENERALISE_AT = 0.6
 REMOVE_AT = 0.9
@@ -95,37 +98,49 @@ def _entity(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{value}") - 2**63
 
 
-def _near(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
-    """Whole words within CONTEXT characters of a span."""
-    for lo, hi in ((max(0, start - CONTEXT), start), (end, min(len(text), end + CONTEXT))):
-        for m in _TERM.finditer(text, lo, hi):
-            if not (m.start() == lo > 0 and text[lo - 1].isalpha()) and not (m.end() == hi < len(text) and text[hi].isalpha()):
-                yield m.group().lower(), m.start(), m.end()
+def lowered(word: str) -> str:
+    """In lower case, unless that changes the length."""
+    low = word.lower()
+    return low if len(low) == len(word) else word
+
+
+def words_outside(text: str, spans: list[tuple[int, int]]) -> dict[str, list[int]]:
+    """Starts of every word, in lower case, that no span touches."""
+    merged: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], hi)
+        else:
+            merged.append([lo, hi])
+    ends, out = [hi for _, hi in merged], {}
+    for m in _TERM.finditer(text):
+        k = bisect_left(ends, m.start() + 1)
+        if k == len(merged) or m.end() <= merged[k][0]:
+            out.setdefault(lowered(m.group()), []).append(m.start())
+    return out
 
 
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-FOUND = "doc_id long, text_key long, base array<struct<kind:string,start:int,end:int,entity:long>>, near array<struct<entity:long,term:string,start:int,end:int>>"
+FOUND = "doc_id long, text_key long, base array<struct<kind:string,start:int,end:int,entity:long>>, words array<struct<term:string,at:array<int>>>"
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("entity", pa.int64())])
-_NEAR = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+_WORD = pa.struct([("term", pa.string()), ("at", pa.list_(pa.int32()))])
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """One row per document: identifiers with their entity, and the terms near them."""
+    """One row per document: identifiers with their entity and, of texts that hold any, the words outside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_in(batches):
-            base, near = [], []
+            base, words = [], []
             for text in batch.column("text").to_pylist():
-                text = text or ""
-                spans = [(k, s, e, _entity(k, text[s:e])) for k, s, e in find_base(text)]
+                spans = [(k, s, e, _entity(k, text[s:e])) for k, s, e in find_base(text)] if text else []
                 base.append([dict(zip(("kind", "start", "end", "entity"), x)) for x in spans])
-                covered = [(s, e) for _, s, e, _ in spans]
-                terms = {(x, t, s, e) for _, i, j, x in spans for t, s, e in _near(text, i, j) if not any(s < b and a < e for a, b in covered)}
-                near.append([dict(zip(("entity", "term", "start", "end"), x)) for x in sorted(terms)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(base, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))], names=["doc_id", "text_key", "base", "near"])
+                own = words_outside(text, [(s, e) for _, s, e, _ in spans]) if spans else {}
+                words.append([{"term": t, "at": at} for t, at in own.items()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(base, pa.list_(_SPAN)), pa.array(words, pa.list_(_WORD))], names=["doc_id", "text_key", "base", "words"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("text_key")), run, FOUND)
 
@@ -144,7 +159,7 @@ def term_documents(docs: DataFrame, flush_at: int = 200_000) -> DataFrame:
         for batch in rows_in(batches):
             for text in batch.column("text").to_pylist():
                 if text:
-                    counts.update(set(_TERM.findall(text.lower())))
+                    counts.update(set(map(lowered, set(_TERM.findall(text)))))
             if len(counts) > flush_at:
                 yield flush()
         yield flush()
@@ -152,34 +167,36 @@ def term_documents(docs: DataFrame, flush_at: int = 200_000) -> DataFrame:
     return arrow_map(docs.select(F.col("text").cast("string").alias("text")), run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """entity, term, share, action: the terms that reveal an entity beyond the thresholds, from counts over all documents."""
-    total = found.agg(F.count(F.lit(1)).alias("n_docs"))
-    held = found.select(F.explode(F.array_distinct(F.transform("base", lambda b: b["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    pairs = found.select("text_key", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
-    together = (
-        pairs.groupBy("p.entity", "p.term", "text_key").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("support"))
-        .where(F.col("support") >= min_support)
-    )
-    seen = together.join(held, "entity").join(term_documents(docs), "term").join(F.broadcast(total))  # total is one row
-    ic = F.log2(F.col("n_docs") / F.col("n_entity"))
-    pmi = F.log2(F.col("n_docs") * F.col("n_both") / F.col("n_entity") / F.col("n_term"))
+def disclosing_terms(docs: DataFrame, texts: DataFrame, held: DataFrame, n_docs: int, min_support: int = MIN_SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+    """entity, term, share, action: the terms that reveal an entity beyond the thresholds, from counts over all documents.
+
+    texts: text_key, words, n (documents) of the different texts that hold identifiers; held: text_key, entity, n of them.
+    """
+    entities = held.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("texts")).where((F.col("texts") >= min_support) & (F.col("n_entity") < n_docs)).select("entity", "n_entity")
+    shown = held.join(entities, "entity").groupBy("text_key").agg(F.collect_list("entity").alias("entities"))
+    pairs = texts.join(shown, "text_key").select("n", "entities", F.explode("words.term").alias("term")).select("n", "term", F.explode("entities").alias("entity"))
+    together = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
+    ic = F.log2(n_docs / F.col("n_entity"))
+    pmi = F.log2(n_docs * F.col("n_both") / F.col("n_entity") / F.col("n_term"))
     return (
-        seen.where("n_docs > n_entity").withColumn("share", pmi / ic).where(F.col("share") >= generalise_at)
+        together.join(entities, "entity").join(term_documents(docs), "term").withColumn("share", pmi / ic).where(F.col("share") >= generalise_at)
         .select("entity", "term", "share", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise").alias("action"))
     )
 
 
 def detect(docs: DataFrame, **thresholds) -> DataFrame:
     """doc_id, text_key, base, terms: identifiers and disclosing terms of every document."""
-    found = materialize(find(docs).withColumn("row", F.monotonically_increasing_id()), "pii-found")
-    terms = disclosing_terms(docs, found, **thresholds)
-    marked = (
-        found.select("row", F.explode("near").alias("x")).select("row", "x.*").join(terms, ["entity", "term"])
-        .groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "action", "term"))).alias("terms"))
-    )
-    return found.join(marked, "row", "left").select("doc_id", "text_key", "base", F.coalesce("terms", F.expr("array()")).alias("terms"))
+    found = materialize(find(docs), "pii-found")
+    own = found.where(F.size("base") > 0)
+    copies = own.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"))
+    texts = materialize(own.select("text_key", "base", "words").dropDuplicates(["text_key"]).join(copies, "text_key"), "pii-texts")
+    kinds = F.transform("base", lambda b: F.xxhash64(b["kind"]))
+    held = texts.select("text_key", "n", F.explode(F.array_distinct(F.concat(F.transform("base", lambda b: b["entity"]), kinds))).alias("entity"))
+    terms = materialize(disclosing_terms(docs, texts, held, found.count(), **thresholds), "pii-terms")
+    places = texts.select("text_key", F.explode("words").alias("w")).select("text_key", "w.term", "w.at").join(held.join(terms, "entity").groupBy("text_key", "term").agg(F.max("action").alias("action")), ["text_key", "term"])
+    one = F.transform("at", lambda a: F.struct(a.alias("start"), (a + F.length("term")).cast("int").alias("end"), F.col("action").alias("action"), F.col("term").alias("term")))
+    marked = places.groupBy("text_key").agg(F.array_sort(F.flatten(F.collect_list(one))).alias("terms"))
+    return found.join(marked, "text_key", "left").select("doc_id", "text_key", "base", F.coalesce("terms", F.expr("array()")).alias("terms"))
 
 
 _LABEL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
