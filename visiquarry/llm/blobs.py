@@ -1,9 +1,11 @@
-"""Sorted hashes and counts as compressed bytes, so that shuffles carry two to four bytes a hash."""
+"""Sorted hashes and counts as compressed bytes, so that shuffles carry two to four bytes a hash; sets of hashes as bits."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -35,3 +37,18 @@ def gaps(keys: np.ndarray) -> bytes:
 
 def keys_of(blob: bytes) -> np.ndarray:
     return np.cumsum(unpacked(blob), dtype=np.uint64)
+
+
+def bit_set(keys: DataFrame, bits: int) -> np.ndarray:
+    """Bits for the long column ``key``: one for all keys with equal low bits. ``bits`` is a power of two; its eighth are the bytes that reach the driver."""
+    bit = keys.select(F.col("key").bitwiseAND(bits - 1).alias("bit"))
+    maps = bit.groupBy(F.shiftright("bit", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("map"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in maps.toLocalIterator():
+        out[row["at"] << 12 : (row["at"] + 1) << 12] = np.frombuffer(row["map"], np.uint8)
+    return out
+
+
+def in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys & (8 * len(bits) - 1)
+    return (bits[bit >> 3] >> (bit & 7) & 1).astype(bool)

@@ -170,11 +170,11 @@ def term_documents(docs: DataFrame, flush_at: int = 200_000) -> DataFrame:
 def disclosing_terms(docs: DataFrame, texts: DataFrame, held: DataFrame, n_docs: int, min_support: int = MIN_SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """entity, term, share, action: the terms that reveal an entity beyond the thresholds, from counts over all documents.
 
-    texts: text_key, words, n (documents) of the different texts that hold identifiers; held: text_key, entity, n of them.
+    texts: text_key, entities, words, n (documents) of the different texts that hold identifiers; held: text_key, entity, n of them.
     """
     entities = held.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("texts")).where((F.col("texts") >= min_support) & (F.col("n_entity") < n_docs)).select("entity", "n_entity")
     shown = held.join(entities, "entity").groupBy("text_key").agg(F.collect_list("entity").alias("entities"))
-    pairs = texts.join(shown, "text_key").select("n", "entities", F.explode("words.term").alias("term")).select("n", "term", F.explode("entities").alias("entity"))
+    pairs = texts.select("text_key", "n", "words").join(shown, "text_key").select("n", "entities", F.explode("words.term").alias("term")).select("n", "term", F.explode("entities").alias("entity"))
     together = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
     ic = F.log2(n_docs / F.col("n_entity"))
     pmi = F.log2(n_docs * F.col("n_both") / F.col("n_entity") / F.col("n_term"))
@@ -189,13 +189,18 @@ def detect(docs: DataFrame, **thresholds) -> DataFrame:
     found = materialize(find(docs), "pii-found")
     own = found.where(F.size("base") > 0)
     copies = own.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"))
-    texts = materialize(own.select("text_key", "base", "words").dropDuplicates(["text_key"]).join(copies, "text_key"), "pii-texts")
-    kinds = F.transform("base", lambda b: F.xxhash64(b["kind"]))
-    held = texts.select("text_key", "n", F.explode(F.array_distinct(F.concat(F.transform("base", lambda b: b["entity"]), kinds))).alias("entity"))
+    entities = F.array_distinct(F.concat(F.transform("base", lambda b: b["entity"]), F.transform("base", lambda b: F.xxhash64(b["kind"]))))
+    texts = materialize(own.select("text_key", entities.alias("entities"), "words").dropDuplicates(["text_key"]).join(copies, "text_key"), "pii-texts")
+    held = texts.select("text_key", "n", F.explode("entities").alias("entity"))
     terms = materialize(disclosing_terms(docs, texts, held, found.count(), **thresholds), "pii-terms")
-    places = texts.select("text_key", F.explode("words").alias("w")).select("text_key", "w.term", "w.at").join(held.join(terms, "entity").groupBy("text_key", "term").agg(F.max("action").alias("action")), ["text_key", "term"])
-    one = F.transform("at", lambda a: F.struct(a.alias("start"), (a + F.length("term")).cast("int").alias("end"), F.col("action").alias("action"), F.col("term").alias("term")))
-    marked = places.groupBy("text_key").agg(F.array_sort(F.flatten(F.collect_list(one))).alias("terms"))
+    revealing = terms.groupBy("term").agg(F.collect_list(F.struct("entity", "action")).alias("by"))
+    seen = texts.select("text_key", F.explode("words.term").alias("term")).join(revealing, "term")  # a word meets one row
+    wanted = seen.groupBy("text_key").agg(F.collect_list(F.struct("term", "by")).alias("wanted"))
+    asked = F.map_from_entries(F.transform("wanted", lambda w: F.struct(w["term"], F.array_max(F.transform(F.filter(w["by"], lambda d: F.array_contains(F.col("entities"), d["entity"])), lambda d: d["action"])))))
+    own = texts.join(wanted, "text_key").select("text_key", "words", asked.alias("asked"))
+    one = lambda w, a: F.struct(a.alias("start"), (a + F.length(w["term"])).cast("int").alias("end"), F.col("asked")[w["term"]].alias("action"), w["term"].alias("term"))
+    places = F.flatten(F.transform(F.filter("words", lambda w: F.col("asked")[w["term"]].isNotNull()), lambda w: F.transform(w["at"], lambda a: one(w, a))))
+    marked = own.select("text_key", F.array_sort(places).alias("terms"))
     return found.join(marked, "text_key", "left").select("doc_id", "text_key", "base", F.coalesce("terms", F.expr("array()")).alias("terms"))
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import gaps, keys_of, packed, parts_of, unpacked
+from .blobs import bit_set, gaps, in_bits, keys_of, packed, parts_of, unpacked
 from .common import arrow_map, materialize, partitions, rows_in
 from .graph import components
 from .words import BASE, MIX, Words, mixed
@@ -237,7 +237,7 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFr
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES = ((1, 42), (1, 43), (1, 44), (2, 42))
 ALL_PAIRS, FAR = 6, 12
-LATE, LATE_HASH, LATE_BITS = 5, 40, 1 << 26
+LATE, LATE_HASH, BITS_KEPT = 5, 40, 1 << 26
 PAIRS_AT_ONCE = 1 << 19
 
 
@@ -280,7 +280,7 @@ def _late(texts: DataFrame) -> np.ndarray:
 
     These runs come last in the order that counts. Any set of runs gives the same links; this one keeps passages that many
     texts share out of the prefixes. Tasks send sorted hashes of LATE_HASH bits with counts, and the texts of a run are
-    added in one task. A bit stands for all runs with its hash, so the set has LATE_BITS bits at any size.
+    added in one task. A bit stands for all runs with its hash, so the set has BITS_KEPT bits at any size.
     """
     n_parts = partitions(texts.sparkSession)
 
@@ -295,7 +295,7 @@ def _late(texts: DataFrame) -> np.ndarray:
 
         for batch in rows_in(batches):
             held += [own.view(np.uint64) & np.uint64((1 << LATE_HASH) - 1) for _, own in word_runs(batch.column("text").to_pylist(), words)]
-            if sum(map(len, held)) > 4 << 20:
+            if sum(map(len, held)) > 2 << 20:
                 yield flush()
                 held = []
         if held:
@@ -308,47 +308,44 @@ def _late(texts: DataFrame) -> np.ndarray:
         return pa.table({"key": pa.array(own[np.bincount(at, n, len(own)) >= LATE].view(np.int64))})
 
     keys = arrow_map(texts.select("text"), tell, "part int, keys binary, n binary").groupBy("part").applyInArrow(often, "key long")
-    bit = keys.select(F.col("key").bitwiseAND(LATE_BITS - 1).alias("bit"))
-    maps = bit.groupBy(F.shiftright("bit", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("map"))  # at most LATE_BITS / 8 bytes
-    out = np.zeros(LATE_BITS // 8, np.uint8)
-    for row in maps.toLocalIterator():
-        out[row["at"] << 12 : (row["at"] + 1) << 12] = np.frombuffer(row["map"], np.uint8)
-    return out
+    return bit_set(keys, BITS_KEPT)
 
 
 def _features(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """text_key, sketches, n (different runs of five words), prefix: one row of every different text, so that copies of one
-    text count once. Tasks reduce what they read before the shuffle, and texts are not shuffled."""
+    """text_key, sketches, n (different runs of five words), prefix, parity (64 bits: whether an odd number of runs hash there):
+    one row of every different text, so that copies of one text count once. Tasks reduce what they read before the shuffle, and texts are not shuffled."""
     late = texts.sparkSession.sparkContext.broadcast(_late(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, words = late.value, Words()
         for batch in rows_in(batches):
-            every, sizes, prefixes = [], [], []
+            every, sizes, prefixes, parity = [], [], [], []
             for words_own, own in word_runs(batch.column("text").to_pylist(), words):
-                bit = own & (LATE_BITS - 1)
-                last = (bits[bit >> 3] >> (bit & 7) & 1).astype(bool)
+                last = in_bits(bits, own)
+                parity.append(int(np.bitwise_xor.reduce(np.left_shift(np.uint64(1), own.view(np.uint64) >> np.uint64(58)))))
                 every.append(np.array(sketches(words_own), np.uint64).view(np.int64))
                 sizes.append(len(own))
                 prefixes.append(np.concatenate([own[~last], own[last]])[: prefix_length(len(own), similarity)])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(every, longs), pa.array(sizes, pa.int32()), pa.array(prefixes, longs)], names=["text_key", "sketches", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(every, longs), pa.array(sizes, pa.int32()), pa.array(prefixes, longs), pa.array(np.array(parity, np.uint64).view(np.int64))], names=["text_key", "sketches", "n", "prefix", "parity"])
 
-    return arrow_map(texts.select("text_key", "text"), run, "text_key long, sketches array<long>, n int, prefix array<long>").dropDuplicates(["text_key"])
+    return arrow_map(texts.select("text_key", "text"), run, "text_key long, sketches array<long>, n int, prefix array<long>, parity long").dropDuplicates(["text_key"])
 
 
 def _prefix_pairs(features: DataFrame, member: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): all pairs of texts not yet in one component that share a run of both prefixes and can still be similar.
+    """(a, b): all pairs of texts not yet in one component that share runs of both prefixes and can still be similar.
 
-    Every pair of the similarity is among them or already connected: sizes must allow it, and what follows the first run in
-    common must hold enough of others. The rows of a run are sorted by component, and a row meets only those of later
+    Every pair of the similarity is among them or already connected: sizes must allow it, bits of parity differ in no more
+    places than runs may, and the prefixes must share enough: what they share and what follows the prefix that ends first
+    is all that two texts can have in common. The rows of a run are sorted by component, and a row meets only those of later
     components, PAIRS_AT_ONCE at a time, so groups of near copies that the sketches connected cost nothing.
     """
-    known = features.select("text_key", "n", "prefix").join(member.select(F.col("node").alias("text_key"), "component"), "text_key", "left")
-    records = known.select(F.posexplode("prefix").alias("at", "key"), F.col("text_key").alias("name"), F.coalesce("component", "text_key").alias("component"), "n")
+    known = features.select("text_key", "n", "prefix", "parity").join(member.select(F.col("node").alias("text_key"), "component"), "text_key", "left")
+    records = known.select(F.explode("prefix").alias("key"), F.col("text_key").alias("name"), F.coalesce("component", "text_key").alias("component"), "n", "parity")
+    rest = lambda n: np.ceil(similarity * n - 1e-9).astype(np.int64) - 1  # runs after the prefix
 
-    def settle(keys, names, group, n, at) -> Iterator[pa.RecordBatch]:
-        rows = np.arange(len(keys))
+    def settle(keys, names, group, n, parity) -> Iterator[pa.RecordBatch]:
+        parity, rows, after = parity.view(np.uint64), np.arange(len(keys)), rest(n)
         ends = lambda new: np.repeat(np.append(np.flatnonzero(new)[1:], len(keys)), np.diff(np.append(np.flatnonzero(new), len(keys))))
         other = np.append(True, keys[1:] != keys[:-1])
         key_end, group_end = ends(other), ends(other | np.append(True, group[1:] != group[:-1]))
@@ -361,12 +358,13 @@ def _prefix_pairs(features: DataFrame, member: DataFrame, similarity: float = SI
             x = np.repeat(rows[lo:hi], some)
             y = group_end[x] + np.arange(len(x)) - np.repeat(np.cumsum(some) - some, some)
             least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            shared = np.minimum(n[x] - at[x], n[y] - at[y])
-            ok = (least >= similarity * most - 1e-9) & (shared * (1 + similarity) >= similarity * (n[x] + n[y]) - 1e-6)
+            both = (n[x] + n[y]).astype(np.int64)
+            ok = (least >= similarity * most - 1e-9) & (np.bitwise_count(parity[x] ^ parity[y]) * (1 + similarity) <= (1 - similarity) * both + 1e-6)
             if ok.any():
-                a, b = names[x[ok]], names[y[ok]]
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
+                x, y = x[ok], y[ok]
+                need = np.ceil(similarity / (1 + similarity) * both[ok] - 1e-6).astype(np.int64) - np.maximum(after[x], after[y])
+                own, shared = np.unique(np.stack([np.minimum(names[x], names[y]), np.maximum(names[x], names[y]), need]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(own[k], pa.int64()) for k in range(3)), pa.array(shared, pa.int64())], names=["a", "b", "need", "shared"])
             lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +372,7 @@ def _prefix_pairs(features: DataFrame, member: DataFrame, similarity: float = SI
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(c).to_numpy() for c in ("key", "name", "component", "n", "at")]
+            new = [batch.column(c).to_numpy() for c in ("key", "name", "component", "n", "parity")]
             kept = new if kept is None else [np.concatenate([x, y]) for x, y in zip(kept, new)]
             whole = int(np.searchsorted(kept[0], kept[0][-1]))
             if whole:
@@ -384,7 +382,7 @@ def _prefix_pairs(features: DataFrame, member: DataFrame, similarity: float = SI
             yield from settle(*kept)
 
     n = partitions(features.sparkSession)
-    return arrow_map(records.select("key", "name", "component", "n", "at").repartition(n, "key").sortWithinPartitions("key", "component"), run, "a long, b long").distinct()
+    return arrow_map(records.repartition(n, "key").sortWithinPartitions("key", "component"), run, "a long, b long, need long, shared long").groupBy("a", "b", "need").agg(F.sum("shared").alias("shared")).where("shared >= need").select("a", "b")
 
 
 def _candidates(features: DataFrame) -> DataFrame:
@@ -446,17 +444,22 @@ def _candidates(features: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets of five-word runs are as similar as asked for. Of every text in them, one row is read: the first."""
+    """The pairs whose sets of five-word runs are as similar as asked for. Of every text in them, one row is read: the first.
+
+    A set of bits, of one size for any number of pairs, keeps most other texts from being shuffled; the join is exact.
+    """
+    nodes = materialize(pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct().join(names, "text_key").select("text_key", F.coalesce("first", F.lit(_NO_ID)).alias("row")), "near-nodes")
+    asked = texts.sparkSession.sparkContext.broadcast(bit_set(nodes.select(F.col("text_key").alias("key")), BITS_KEPT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in rows_in(batches, 64):
-            every = [own for _, own in word_runs(batch.column("text").to_pylist(), words)]
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(every, pa.list_(pa.int64()))], names=["text_key", "runs"])
+        for batch in rows_in(batches):
+            batch = batch.filter(pa.array(in_bits(asked.value, batch.column("text_key").to_numpy())))
+            every = [own for _, own in word_runs(batch.column("text").to_pylist(), words)] if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), batch.column("row"), pa.array(every, pa.list_(pa.int64()))], names=["text_key", "row", "runs"])
 
-    nodes = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct().join(names, "text_key").select("text_key", F.coalesce("first", F.lit(_NO_ID)).alias("row"))
-    chosen = texts.select("text_key", F.coalesce("doc_id", F.lit(_NO_ID)).alias("row"), "text").join(nodes, ["row", "text_key"])
-    sets = materialize(arrow_map(chosen.select("text_key", "text"), run, "text_key long, runs array<long>").dropDuplicates(["text_key"]), "near-runs")
+    chosen = texts.select("text_key", F.coalesce("doc_id", F.lit(_NO_ID)).alias("row"), "text")
+    sets = materialize(arrow_map(chosen, run, "text_key long, row long, runs array<long>").join(nodes, ["row", "text_key"]).select("text_key", "runs").dropDuplicates(["text_key"]), "near-runs")
     own = pairs.join(sets.select(F.col("text_key").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("text_key").alias("b"), F.col("runs").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return materialize(own.where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"), "near-links")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PIECE = 1 << 19
+PIECE = 1 << 17
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 START, END = np.uint64(1), np.uint64(2)  # no word has these hashes
 
