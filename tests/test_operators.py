@@ -190,3 +190,33 @@ def test_extract_keeps_columns(spark):
     rows = spark.createDataFrame([(1, "https://a.com/", None), (2, None, "<title>x</title>")], "k int, url string, html string")
     got = extract(rows).orderBy("k").collect()
     assert got[0].title is None and got[1].title == "x" and got[0].word_count == 0
+
+
+def test_every_source_rule_fires(spark):
+    files = [
+        ("p", "index.php", '<html><head><base href="/"><meta name="robots" content="a"><meta name="googlebot" content="b"><META NAME="ROBOTS" content="c">'
+         '<meta property="og:title" content="x"><meta http-equiv="Pragma" content="no-cache"><meta name="rating" content="x"><meta name="audience" content="y"></head>'
+         '<!-- <h1>old</h1> --><img src="a.JPG"><img loading="lazy" src=\'b.png\'><img src="c.png" data-x="c.webp"><script src="https://x.example/a.js"></script></html>'),
+        ("p", ".htaccess", "RewriteRule ^([a-z]{2})/ index.php?lang=$1"), ("p", "old/a.html", "<p>x</p>"),
+        ("n", "next.config.mjs", "export default {}"), ("n", "app/layout.tsx", "'use client'\nexport default function L() {}"),
+        ("n", "app/[slug]/page.tsx", "import d from 'next/dynamic'\nconst X = dynamic(() => import('./x'), { ssr: false })\nexport const dynamic = 'force-dynamic'\nexport default () => <div><Image src={a > b ? c : d} /><img src={x}/></div>"),
+        ("n", "lib/s.tsx", "<script>1</script><link href='https://fonts.googleapis.com/css'>"),
+        ("ok", "next.config.js", ""), ("ok", "app/robots.ts", ""), ("ok", "app/page.tsx", "import Image from \"next/image\"\nexport const metadata: Metadata = { alternates: { canonical: '/' } }\n<Image priority src='a' />"),
+    ]
+    frame = spark.createDataFrame([(c, 1, p, t) for c, p, t in files], "client string, run_id int, rel_path string, content string")
+    stacks = codeaudit.detect_stack(frame)
+    assert {r.client: r.stacks for r in stacks.collect()} == {"p": ["php-custom"], "n": ["nextjs"], "ok": ["nextjs"]}
+    got = codeaudit.file_findings(frame, stacks).unionByName(codeaudit.project_findings(frame, stacks)).collect()
+    php = {"legacy_images", "third_party_scripts", "no_cache_directive", "no_https_rule", "robots_meta_conflict", "og_incomplete_source", "no_cache_pragma", "dead_meta", "base_href", "no_structured_data", "h1_only_in_comment", "public_dead_html", "missing_hreflang_source"}
+    js = {"use_client_layout", "dynamic_ssr_false", "force_dynamic", "no_generate_static_params", "missing_metadata", "raw_img", "image_without_priority", "raw_script", "no_canonical_convention", "no_robots_sitemap_file", "no_next_font"}
+    assert {r.rule for r in got if r.client == "p"} == php
+    assert {r.rule for r in got if r.client == "n"} == js
+    assert not [r for r in got if r.client == "ok"]
+    assert {(r.rule, r.evidence) for r in got if r.rule == "legacy_images"} == {("legacy_images", "1/2")}
+
+
+def test_findings_are_placed_in_attributes(spark):
+    frame = spark.createDataFrame([("c", 1, "a.php", "ad banner text\n<div\n class='x ad-banner-2'>"), ("c", 1, "b.php", '<p id="hero">')], "client string, run_id int, rel_path string, content string")
+    made = [("c", 1, "div.ad", None, None), ("c", 1, "main > p.ad-banner", None, None), ("c", 1, "x y#hero", None, None), ("c", 1, "p", None, None), ("c", 1, "p#hero", "kept.php", 7)]
+    out = codeaudit.link_findings(spark.createDataFrame(made, "client string, run_id int, culprit_selector string, code_file string, code_line int"), frame)
+    assert {(r.culprit_selector, r.code_file, r.code_line) for r in out.collect()} == {("div.ad", "a.php", 3), ("main > p.ad-banner", "a.php", 3), ("x y#hero", "b.php", 1), ("p", None, None), ("p#hero", "kept.php", 7)}

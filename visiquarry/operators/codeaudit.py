@@ -1,7 +1,8 @@
 """Source-code audit: stacks, rules over landed source files, secrets redacted, findings located in code.
 
-files: client, run_id, rel_path, content. Rules about one file are one array column over one scan; rules about a client's
-files are one grouped aggregate of booleans and counts.
+files: client, run_id, rel_path, content. A file is parsed once: its tags with their attributes, inside comments and outside,
+the names that it exports and imports, and the parts of its path. Rules about one file are conditions on those columns, in one
+array over one scan; rules about a client's files are one grouped aggregate of booleans and counts.
 """
 
 from __future__ import annotations
@@ -61,69 +62,137 @@ def line_at(content: Column, index: Column) -> Column:
     return F.size(F.split(F.substr(content, F.lit(1), index), "\n"))
 
 
-def _path(files: DataFrame, pattern: str) -> Column:
-    return F.bool_or(F.col("rel_path").rlike(pattern))
+# What names the frameworks' configuration files, locale parameters, cache directives and tags long without use.
+CONFIG_KINDS = {"next": ("js", "mjs", "ts", "cjs"), "nuxt": ("js", "mjs", "ts"), "astro": ("js", "mjs", "ts")}
+STACK_NAMES = {"next": "nextjs", "nuxt": "nuxt", "astro": "astro"}
+LOCALE_PARAMETERS = ("dil", "lang", "locale")
+CACHE_DIRECTIVES = ("expiresactive", "cache-control", "mod_expires")
+DEAD_METAS = ("distribution", "resource-type", "rating", "audience")
+OPEN_GRAPH = ("og:title", "og:description", "og:image")
+FONT_HOSTS = ("fonts.googleapis.com", "fonts.gstatic.com")
+LEGACY_IMAGES = (".jpg", ".jpeg", ".png")
 
+_COMMENT = r"<!--[\s\S]*?-->"
+_QUOTED = r"(?:\x22[^\x22]*+\x22|'[^']*+'|\{[^}]*+\})"
+_TAG = rf"<([A-Za-z][A-Za-z0-9]*+)((?:{_QUOTED}|[^<>\x22'{{}}])*+)>"
+_ATTRIBUTE = rf"([A-Za-z_:][A-Za-z0-9_:.-]*+)(?:\s*=\s*({_QUOTED}|[^\s\x22'>]++))?"
+
+
+def _every(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _after(text: Column, pattern: str) -> Column:
+    """What follows each match of a pattern, up to the next one."""
+    parts = F.split(text, pattern)
+    return F.slice(parts, 2, F.size(parts))
+
+
+def tags_of(text: Column) -> Column:
+    """array<struct<name, attributes: array<struct<name, value>>>>; names of attributes in lower case, values without quotes."""
+
+    def attributes(body: Column) -> Column:
+        pairs = F.arrays_zip(_every(body, _ATTRIBUTE, 1).alias("n"), _every(body, _ATTRIBUTE, 2).alias("v"))
+        return F.transform(pairs, lambda p: F.struct(F.lower(p["n"]).alias("name"), F.regexp_replace(p["v"], """^["']|["']$""", "").alias("value")))
+
+    found = F.arrays_zip(_every(text, _TAG, 1).alias("n"), _every(text, _TAG, 2).alias("b"))
+    return F.transform(found, lambda t: F.struct(t["n"].alias("name"), attributes(t["b"]).alias("attributes")))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """files with tags, hidden (names of tags inside comments), exports, constants, imports, directives, file (parts of its name)."""
+    text = F.col("content")
+    constants = F.arrays_zip(_every(text, _CONSTANT, 1).alias("name"), _every(text, _CONSTANT, 2).alias("value"))
+    return files.withColumns({
+        "tags": tags_of(F.regexp_replace("content", _COMMENT, "")),
+        "hidden": F.transform(tags_of(F.array_join(_every(text, _COMMENT), " ")), lambda t: F.lower(t["name"])),
+        "exports": _every(text, r"\bexport\s+(?:async\s+)?(?:const|let|var|function|class)\s+([A-Za-z_$][A-Za-z0-9_$]*)", 1),
+        "constants": constants,
+        "imports": _every(text, r"""\b(?:from|import)\s*["']([^"'\n]+)["']""", 1),
+        "directives": _every(text, r"""(?m)^[ \t]*["'](use [a-z]+)["']""", 1),
+        "file": F.split(F.substring_index("rel_path", "/", -1), r"\."),
+    })
 
-def detect_stack(files: DataFrame) -> DataFrame:
-    """client, run_id, stacks (array): what a client's paths give away; several may hold."""
-    seen = files.groupBy(*KEYS).agg(
-        _path(files, r"(^|/)wp-config\.php$").alias("wp"), _path(files, r"(^|/)index\.php$").alias("index"), _path(files, r"(^|/)\.htaccess$").alias("ht"),
-        _path(files, r"(^|/)next\.config\.(js|mjs|ts|cjs)$").alias("next"), _path(files, r"(^|/)nuxt\.config\.(js|mjs|ts)$").alias("nuxt"), _path(files, r"(^|/)astro\.config\.(js|mjs|ts)$").alias("astro"),
-    )
-    names = F.array(
-        F.when(F.col("wp"), "wordpress"), F.when(~F.col("wp") & F.col("index") & F.col("ht"), "php-custom"),
-        F.when(F.col("next"), "nextjs"), F.when(F.col("nuxt"), "nuxt"), F.when(F.col("astro"), "astro"),
-    )
-    return seen.select(*KEYS, F.array_compact(names).alias("stacks"))
 
+_CONSTANT = r"""\bexport\s+const\s+([A-Za-z_$][A-Za-z0-9_$]*)[^=;\n]*=\s*["']([^"'\n]*)["']"""
 
-_PAGE, _LAYOUT = r"(^|/)page\.tsx?$", r"(^|/)layout\.tsx?$"
 
+def _file(stem: str, kinds: tuple[str, ...], middle: tuple[str, ...] = ()) -> Column:
+    """A file of this name: stem, middle parts, and one of the extensions."""
+    names = [F.lit(x) for x in (stem, *middle)]
+    return F.array_contains(F.array(*(F.concat_ws(".", *names, F.lit(k)) for k in kinds)), F.array_join("file", "."))
 
-def _all(pattern: str) -> Column:
-    return F.regexp_extract_all("content", F.lit(pattern), F.lit(0))
+
+def _value(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute in lower case; null without the attribute."""
+    return F.lower(F.get(F.filter(tag["attributes"], lambda a: a["name"] == name), F.lit(0))["value"])
+
+
+def _tags(name: str, test=lambda t: F.lit(True)) -> Column:
+    """Tags of a name, however it is written, that pass a test."""
+    return F.filter("tags", lambda t: (F.lower(t["name"]) == name) & F.coalesce(test(t), F.lit(False)))
+
+
+def _has_attribute(tag: Column, *names: str) -> Column:
+    return F.exists(tag["attributes"], lambda a: a["name"].isin(*names))
+
+
+def detect_stack(files: DataFrame) -> DataFrame:
+    """client, run_id, stacks (array): what the names of a client's files give away; several may hold."""
+    name = F.substring_index("rel_path", "/", -1)
+    seen = files.select(*KEYS, name.alias("name"), F.split(name, r"\.").alias("file")).groupBy(*KEYS).agg(
+        *(F.bool_or(F.col("name") == n).alias(k) for k, n in (("wp", "wp-config.php"), ("index", "index.php"), ("ht", ".htaccess"))),
+        *(F.bool_or(_file(k, kinds, ("config",))).alias(k) for k, kinds in CONFIG_KINDS.items()),
+    )
+    php = F.when(F.col("wp"), "wordpress").when(F.col("index") & F.col("ht"), "php-custom")
+    return seen.select(*KEYS, F.array_compact(F.array(php, *(F.when(F.col(k), n) for k, n in STACK_NAMES.items()))).alias("stacks"))
 
 
 def file_rules() -> list[tuple[str, str, str, str | Column, Column, Column]]:
-    """(stack, rule, category, severity, condition, evidence) of every rule about one file; stack '' holds everywhere."""
-    path, text = F.col("rel_path"), F.col("content")
-    has = lambda p: text.rlike(p)
-    none = F.lit("")
+    """(stack, rule, category, severity, condition, evidence) of every rule about one parsed file; stack '' holds everywhere."""
+    text, low = F.col("content"), F.lower("content")
+    none, some = F.lit(""), lambda c: F.size(c) > 0
     count = lambda c: F.size(c).cast("string")
-    images = F.filter(_all(r"""(?i)<img\b[^>]*\bsrc=["']([^"']+\.(?:jpe?g|png))["'][^>]*>"""), lambda t: ~t.rlike(r"(?i)\b(?:webp|avif)\b"))
-    eager = F.filter(images, lambda t: ~t.rlike(r"""(?i)\bloading=["']lazy["']"""))
-    scripts = _all(r"""(?i)<script\b[^>]*\bsrc=["'](https?://[^"']+)["'][^>]*>""")
-    blocking = F.filter(scripts, lambda t: ~t.rlike(r"(?i)\b(?:async|defer)\b"))
-    htaccess = path.rlike(r"(^|/)\.htaccess$")
-    head = has(r"(?i)<head[\s>]") & ~path.rlike(r"\.html?$")
-    metas = F.size(_all(r"""(?i)<meta\s+name=["'](?:robots|googlebot)["']"""))
-    og = [has(rf"""(?i)<meta\s+property=["']og:{n}["']""") for n in ("title", "description", "image")]
-    dead = _all(r"""(?i)<meta\s+name=["'](?:distribution|resource-type|rating|audience)["']""")
-    comments = F.array_join(_all(r"(?s)<!--.*?-->"), " ")
-    outside = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    h1 = r"(?i)<h1[\s>]"
-    page, layout = path.rlike(_PAGE), path.rlike(_LAYOUT)
+    uses = lambda module: F.array_contains("imports", module)
+    exports = lambda name: F.array_contains("exports", name)
+    ends = lambda value, kinds: F.exists(F.array(*map(F.lit, kinds)), lambda k: value.endswith(k))
+    modern = lambda t: F.exists(t["attributes"], lambda a: F.lower(a["value"]).contains("webp") | F.lower(a["value"]).contains("avif"))
+    images = _tags("img", lambda t: ends(_value(t, "src"), LEGACY_IMAGES) & ~modern(t))
+    eager = F.filter(images, lambda t: F.coalesce(_value(t, "loading") != "lazy", F.lit(True)))
+    scripts = _tags("script", lambda t: _value(t, "src").startswith("http://") | _value(t, "src").startswith("https://"))
+    blocking = F.filter(scripts, lambda t: ~_has_attribute(t, "async", "defer"))
+    htaccess = F.substring_index("rel_path", "/", -1) == ".htaccess"
+    head = some(_tags("head")) & ~F.lower(F.element_at("file", -1)).isin("html", "htm")
+    metas = F.size(_tags("meta", lambda t: _value(t, "name").isin("robots", "googlebot")))
+    cards = F.array_distinct(F.transform(_tags("meta", lambda t: _value(t, "property").isin(*OPEN_GRAPH)), lambda t: _value(t, "property")))
+    stale = _tags("meta", lambda t: ((_value(t, "http-equiv") == "pragma") & (_value(t, "content") == "no-cache")) | ((_value(t, "http-equiv") == "expires") & (_value(t, "content") == "0")))
+    dead = _tags("meta", lambda t: _value(t, "name").isin(*DEAD_METAS))
+    data = _tags("script", lambda t: _value(t, "type") == "application/ld+json")
+    plain_script = _tags("script", lambda t: F.coalesce(_value(t, "type") != "application/ld+json", F.lit(True)))
+    component = F.filter("tags", lambda t: t["name"] == "Image")
+    page, layout = _file("page", ("ts", "tsx")), _file("layout", ("ts", "tsx"))
+    segment = F.exists(F.split("rel_path", "/"), lambda x: x.startswith("[") & x.endswith("]"))
+    after_dynamic = _after(text, r"\bdynamic\s*\(")
     return [
-        ("", "legacy_images", "cwv", F.when(F.size(eager) > 0, "medium").otherwise("low"), F.size(images) > 0, F.concat_ws("/", count(eager), count(images))),
-        ("", "third_party_scripts", "cwv", F.when(F.size(blocking) > 0, "high").otherwise("medium"), F.size(scripts) > 0, F.concat_ws("/", count(blocking), count(scripts))),
-        ("", "no_cache_directive", "cwv", "medium", htaccess & ~has(r"(?i)\b(?:ExpiresActive|Cache-Control|mod_expires)\b"), none),
-        ("", "no_https_rule", "indexing", "medium", htaccess & ~has(r"(?i)%\{HTTPS\}"), none),
+        ("", "legacy_images", "cwv", F.when(some(eager), "medium").otherwise("low"), some(images), F.concat_ws("/", count(eager), count(images))),
+        ("", "third_party_scripts", "cwv", F.when(some(blocking), "high").otherwise("medium"), some(scripts), F.concat_ws("/", count(blocking), count(scripts))),
+        ("", "no_cache_directive", "cwv", "medium", htaccess & ~F.exists(F.array(*map(F.lit, CACHE_DIRECTIVES)), lambda d: F.contains(low, d)), none),
+        ("", "no_https_rule", "indexing", "medium", htaccess & ~low.contains("%{https}"), none),
         ("php", "robots_meta_conflict", "indexing", "medium", head & (metas >= 3), metas.cast("string")),
-        ("php", "og_incomplete_source", "onpage", "low", head & (og[0] | og[1] | og[2]) & ~(og[0] & og[1] & og[2]), none),
-        ("php", "no_cache_pragma", "cwv", "medium", head & (has(r"""(?i)<meta\s+http-equiv=["']pragma["']\s+content=["']no-cache["']""") | has(r"""(?i)<meta\s+http-equiv=["']expires["']\s+content=["']0["']""")), none),
+        ("php", "og_incomplete_source", "onpage", "low", head & F.size(cards).between(1, len(OPEN_GRAPH) - 1), none),
+        ("php", "no_cache_pragma", "cwv", "medium", head & some(stale), none),
         ("php", "dead_meta", "onpage", "low", head & (F.size(dead) >= 2), count(dead)),
-        ("php", "base_href", "links", "low", head & has(r"(?i)<base\s+href="), none),
-        ("php", "no_structured_data", "onpage", "low", head & ~has(r"(?i)application/ld\+json"), none),
-        ("php", "h1_only_in_comment", "onpage", "high", comments.rlike(h1) & ~outside.rlike(h1), none),
-        ("nextjs", "use_client_layout", "cwv", "high", layout & has(r"""(?m)^\s*['"]use client['"]"""), none),
-        ("nextjs", "dynamic_ssr_false", "indexing", "low", has(r"\bdynamic\s*\([\s\S]*?ssr\s*:\s*false"), none),
-        ("nextjs", "force_dynamic", "cwv", "medium", has(r"""export\s+const\s+dynamic\s*=\s*['"]force-dynamic['"]"""), none),
-        ("nextjs", "no_generate_static_params", "cwv", "low", page & path.rlike(r"\[[^/\]]+\]") & ~has(r"export\s+(?:async\s+)?function\s+generateStaticParams"), none),
-        ("nextjs", "missing_metadata", "onpage", "high", page & ~has(r"export\s+const\s+metadata\s*[:=]") & ~has(r"export\s+(?:async\s+)?function\s+generateMetadata"), none),
-        ("nextjs", "raw_img", "cwv", "medium", has(r"(?i)<img\b") & ~has(r"""from\s+['"]next/image['"]"""), none),
-        ("nextjs", "image_without_priority", "cwv", "low", page & has(r"<Image\b") & ~has(r"\bpriority\b"), none),
-        ("nextjs", "raw_script", "cwv", "low", has(r"""(?i)<script\b(?![^>]*type=["']application/ld\+json["'])""") & ~has(r"""from\s+['"]next/script['"]"""), none),
+        ("php", "base_href", "links", "low", head & some(_tags("base", lambda t: _has_attribute(t, "href"))), none),
+        ("php", "no_structured_data", "onpage", "low", head & ~some(data), none),
+        ("php", "h1_only_in_comment", "onpage", "high", F.array_contains("hidden", "h1") & ~some(_tags("h1")), none),
+        ("nextjs", "use_client_layout", "cwv", "high", layout & F.array_contains("directives", "use client"), none),
+        ("nextjs", "dynamic_ssr_false", "indexing", "low", F.exists(after_dynamic, lambda x: x.rlike(r"\bssr\s*:\s*false\b")), none),
+        ("nextjs", "force_dynamic", "cwv", "medium", F.exists("constants", lambda c: (c["name"] == "dynamic") & (c["value"] == "force-dynamic")), none),
+        ("nextjs", "no_generate_static_params", "cwv", "low", page & segment & ~exports("generateStaticParams"), none),
+        ("nextjs", "missing_metadata", "onpage", "high", page & ~exports("metadata") & ~exports("generateMetadata"), none),
+        ("nextjs", "raw_img", "cwv", "medium", F.exists("tags", lambda t: t["name"] == "img") & ~uses("next/image"), none),
+        ("nextjs", "image_without_priority", "cwv", "low", page & some(component) & ~F.exists(component, lambda t: _has_attribute(t, "priority")), none),
+        ("nextjs", "raw_script", "cwv", "low", F.exists(plain_script, lambda t: t["name"] == "script") & ~uses("next/script"), none),
     ]
 
 
@@ -137,20 +206,25 @@ def _holds(stack: str) -> Column:
 def file_findings(files: DataFrame, stacks: DataFrame) -> DataFrame:
     """Findings about single files; url is the path."""
     made = [F.when(F.coalesce(_holds(stack) & cond, F.lit(False)), finding(rule, category, sev, F.col("rel_path"), evidence)) for stack, rule, category, sev, cond, evidence in file_rules()]
-    rows = files.join(stacks, [*KEYS], "left").withColumn("stacks", F.coalesce("stacks", F.array().cast("array<string>")))
+    rows = parsed(files).join(stacks, [*KEYS], "left").withColumn("stacks", F.coalesce("stacks", F.array().cast("array<string>")))
     return rows.select(*KEYS, F.explode(F.array_compact(F.array(*made))).alias("f")).select(*KEYS, "f.*")
 
 
 def project_findings(files: DataFrame, stacks: DataFrame) -> DataFrame:
     """Findings about a client's files together."""
-    path, text = F.col("rel_path"), F.col("content")
+    text, low = F.col("content"), F.lower("content")
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    seen = files.groupBy(*KEYS).agg(
-        F.count_if(path.rlike(r"(?i)\.html?$")).alias("html"),
-        any_(path.rlike(r"(^|/)\.htaccess$") & text.rlike(r"(?i)\?\s*(?:dil|lang|locale)=\$1")).alias("routed"), any_(text.rlike("(?i)hreflang=")).alias("hreflang"),
-        any_(path.rlike(_PAGE)).alias("pages"), any_(text.rlike(r"(?s)alternates\s*:\s*\{[^}]*canonical")).alias("canonical"),
-        any_(path.rlike(r"(^|/)app/")).alias("app"), any_(path.rlike(r"(^|/)app/(robots|sitemap)\.tsx?$")).alias("robots"),
-        any_(text.rlike(r"(?i)fonts\.(googleapis|gstatic)\.com")).alias("fonts"), any_(text.rlike(r"""from\s+['"]next/font""")).alias("next_font"),
+    folders = F.split("rel_path", "/")
+    under_app = F.array_contains(F.slice(folders, 1, F.size(folders) - 1), "app")
+    in_app = F.coalesce(F.get(folders, F.size(folders) - 2) == "app", F.lit(False))
+    parameters = F.transform(_every(text, r"\?\s*([A-Za-z_]+)=\$1", 1), F.lower)
+    after_alternates = _after(text, r"\balternates\s*:\s*\{")
+    seen = parsed(files).groupBy(*KEYS).agg(
+        F.count_if(F.lower(F.element_at("file", -1)).isin("html", "htm") & (F.size("file") > 1)).alias("html"),
+        any_((F.substring_index("rel_path", "/", -1) == ".htaccess") & F.arrays_overlap(parameters, F.array(*map(F.lit, LOCALE_PARAMETERS)))).alias("routed"), any_(low.contains("hreflang=")).alias("hreflang"),
+        any_(_file("page", ("ts", "tsx"))).alias("pages"), any_(F.exists(after_alternates, lambda x: F.substring_index(x, "}", 1).contains("canonical"))).alias("canonical"),
+        any_(under_app).alias("app"), any_(in_app & (_file("robots", ("ts", "tsx")) | _file("sitemap", ("ts", "tsx")))).alias("robots"),
+        any_(F.exists(F.array(*map(F.lit, FONT_HOSTS)), lambda h: F.contains(low, h))).alias("fonts"), any_(F.exists("imports", lambda m: m.startswith("next/font"))).alias("next_font"),
     )
     rows = seen.join(stacks, [*KEYS], "left").withColumn("stacks", F.coalesce("stacks", F.array().cast("array<string>")))
     none, url = F.lit(""), F.lit(None).cast("string")
@@ -167,20 +241,34 @@ def project_findings(files: DataFrame, stacks: DataFrame) -> DataFrame:
 
 def selector_token(selector: Column) -> Column:
     """Class, else id, of the last part of a CSS selector; null for a bare tag."""
-    last = F.element_at(F.split(F.trim(selector), r"[\s>]+"), -1)
-    of = lambda p: F.nullif(F.regexp_extract(last, p, 1), F.lit(""))
-    return F.coalesce(of(r"\.([a-zA-Z0-9_-]+)"), of(r"#([a-zA-Z0-9_-]+)"))
+    names = _every(F.element_at(F.split(F.trim(selector), r"[\s>]+"), -1), "[.#][A-Za-z0-9_-]+")
+    first = lambda sign: F.get(F.filter(names, lambda n: n.startswith(sign)), F.lit(0))
+    return F.substr(F.coalesce(first("."), first("#")), F.lit(2))
 
 
 def attribute_tokens(files: DataFrame) -> DataFrame:
-    """client, run_id, token, rel_path, line: words of class and id attributes, where a file first has them."""
-    tags = F.regexp_extract_all("content", F.lit(r"""(?:class(?:Name)?|id)=["']([^"']*)["']"""), F.lit(1))
-    words = F.array_distinct(F.flatten(F.transform(tags, lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != ""))))
-    rows = files.select(*KEYS, "rel_path", "content", F.explode(words).alias("token"))
-    return rows.select(*KEYS, "token", "rel_path", line_at(F.col("content"), F.instr("content", F.col("token"))).alias("line"))
+    """client, run_id, token, rel_path, line: what class and id attributes hold, by the line where the value stands.
+
+    A token may be a part of a word between hyphens or several in a row, as in ``ad`` and ``ad-banner`` of ``ad-banner-2``.
+    """
+    lines = files.select(*KEYS, "rel_path", F.posexplode(F.split("content", "\n")).alias("at", "text"))
+    pairs = F.arrays_zip(_every(F.col("text"), _ATTRIBUTE, 1).alias("name"), _every(F.col("text"), _ATTRIBUTE, 2).alias("value"))
+    values = F.transform(F.filter(pairs, lambda p: F.lower(p["name"]).isin("class", "classname", "id") & p["value"].rlike("""^["']""")), lambda p: p["value"])
+    words = F.flatten(F.transform(values, lambda v: _every(v, "[A-Za-z0-9_-]+")))
+    rows = lines.select(*KEYS, "rel_path", (F.col("at") + 1).alias("line"), F.explode(F.array_distinct(words)).alias("word")).withColumn("parts", F.split("word", "-"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.transform(F.sequence(F.lit(1), F.size("parts") - i + 1), lambda n: F.array_join(F.slice("parts", i, n), "-"))))
+    own = F.array_distinct(F.filter(runs, lambda r: (r != "") & ~r.startswith("-") & ~r.endswith("-")))
+    return rows.select(*KEYS, F.explode(own).alias("token"), "rel_path", "line")
 
 
 def link_findings(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """findings (with culprit_selector) and code_file, code_line: the first file whose attributes hold the selector's token."""
-    found = first_by(attribute_tokens(files), [*KEYS, "token"], [F.asc("rel_path"), F.asc("line")]).select(*KEYS, "token", F.col("rel_path").alias("code_file"), F.col("line").alias("code_line"))
-    return findings.withColumn("token", selector_token(F.col("culprit_selector"))).join(found, [*KEYS, "token"], "left").drop("token")
+    """findings (with culprit_selector) and code_file, code_line: the first file whose attributes hold the selector's token.
+
+    A finding that has a code_file already keeps its place.
+    """
+    found = first_by(attribute_tokens(files), [*KEYS, "token"], [F.asc("rel_path"), F.asc("line")]).select(*KEYS, "token", F.col("rel_path").alias("found_file"), F.col("line").alias("found_line"))
+    out = findings.withColumn("token", selector_token(F.col("culprit_selector"))).join(found, [*KEYS, "token"], "left")
+    if "code_file" not in findings.columns:
+        return out.drop("token").withColumnsRenamed({"found_file": "code_file", "found_line": "code_line"})
+    place = F.when(F.col("code_file").isNull(), F.struct("found_file", "found_line")).otherwise(F.struct(F.col("code_file").alias("found_file"), F.col("code_line").alias("found_line")))
+    return out.withColumns({"code_file": place["found_file"], "code_line": place["found_line"]}).select(findings.columns)
