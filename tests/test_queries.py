@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -34,8 +36,26 @@ def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() >= 0
 
 
-def test_entry_and_missing_subpackage(spark):
+def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_subpackage():
+    """A fresh interpreter in which the subpackage and the pipeline can't be imported still registers the other queries."""
+    code = (
+        "import sys; sys.modules['visiquarry.llm'] = None; sys.modules['corpus_pipeline'] = None\n"
+        "import __spark_entry__ as e; names = e.queries(); print(len(names), 'pipeline' in names, any(n.startswith('op') and n[2].isdigit() for n in names))"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert said == [str(len(QUERIES)), "False", "False"]
+
+
+@pytest.mark.parametrize(("name", "most"), [("canonical_findings", 0), ("redirect_findings", 0), ("link_findings", 0), ("duplicate_findings", 0), ("crawlability_findings", 0), ("on_page_findings", 1)])
+def test_html_is_parsed_once(spark, sf_dir, name, most):
+    """Pages that several rules read are parsed before the query's own plan; rules without HTML never parse."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= most

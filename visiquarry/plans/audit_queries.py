@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, findings, graph, keywords, vitals
 from ..operators.keys import KEYS
 from ..sources import html_pages
+from ..sources.shared import stored
 from . import views
 from .keyword_queries import keyword_rows, serps
 from .registry import query
@@ -28,6 +29,17 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with the fields of their HTML, parsed once and written, for rules that read them from several sides."""
+    return stored(pages(spark, sf_dir), "pages")
+
+
+def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the crawl itself knows of the pages, for rules that need nothing of the HTML; the scan leaves it out."""
+    statuses = F.transform(F.filter(F.split("hops", ","), lambda h: h != ""), lambda h: h.cast("int"))
+    return views.view(spark, sf_dir, "v_crawl").drop("html").withColumns({"seq": F.col("page_id"), "redirect_statuses": statuses})
+
+
 def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.view(spark, sf_dir, "v_crawl").where("in_sitemap").select(*KEYS, "url")
 
@@ -112,7 +124,7 @@ h AS (SELECT url, h1s[1] AS k, count(*) OVER (PARTITION BY h1s[1]) AS n FROM p W
 
 @query(_PAGES + _DUPES + " " + _union(_rule("duplicate_title", "medium", "n > 1", "concat(n, ' ', k)", source="t"), _rule("duplicate_h1", "low", "n > 1", "concat(n, ' ', k)", source="h")))
 def duplicate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pages(spark, sf_dir)
+    p = stored_pages(spark, sf_dir)
     return audit.duplicate_titles(p).unionByName(audit.duplicate_h1s(p)).select(*FINDING)
 
 
@@ -140,7 +152,7 @@ alone AS (SELECT url FROM p WHERE ok AND url NOT IN (SELECT target_url FROM edge
     _rule("orphan_page", "medium", "true", "''", "links", "alone"),
 ))
 def link_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pages(spark, sf_dir)
+    p = crawl(spark, sf_dir)
     return audit.links(p, edges(spark, sf_dir), p.where("page_id = 0").select(*KEYS, "url")).select(*FINDING)
 
 
@@ -150,7 +162,7 @@ def link_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     _rule("temp_redirect_in_sitemap", "low", "in_sitemap AND contains(hops, '302')", "''", "links"),
 ))
 def redirect_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.redirects(pages(spark, sf_dir), sitemap(spark, sf_dir)).select(*FINDING)
+    return audit.redirects(crawl(spark, sf_dir), sitemap(spark, sf_dir)).select(*FINDING)
 
 
 _LISTS = """,
@@ -171,7 +183,7 @@ _SHOWN = "concat(n, ': ', shown, CASE WHEN n > 5 THEN concat(' (+', n - 5, ')')
     _rule("crawled_not_in_sitemap", "low", "true", _SHOWN, "indexing", "l2", "CAST(NULL AS VARCHAR)"),
 ))
 def crawlability_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.crawlability(pages(spark, sf_dir), sitemap(spark, sf_dir)).select(*FINDING)
+    return audit.crawlability(stored_pages(spark, sf_dir), sitemap(spark, sf_dir)).select(*FINDING)
 
 
 def _url_key(x: str) -> str:
@@ -200,7 +212,7 @@ incoming AS (SELECT h.url, count(*) AS n, min(n.url) AS first FROM p h JOIN name
     _rule("canonical_cross_domain", "low", "ok AND canonical_url IS NOT NULL AND regexp_replace(lower(regexp_extract(canonical_url, '^[a-z]+://([^/?#]+)', 1)), '^www\\.', '') <> regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\\.', '')", "canonical_url", "indexing"),
 ))
 def canonical_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.canonicals(pages(spark, sf_dir)).select(*FINDING)
+    return audit.canonicals(crawl(spark, sf_dir)).select(*FINDING)
 
 
 _ALL_KEYS = sorted({k for names in audit.REQUIRED.values() for k in names})
@@ -233,11 +245,11 @@ def indexing_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the crawl and the index in a stable order, ``seq``."""
-    p, s = pages(spark, sf_dir).persist(), sitemap(spark, sf_dir)  # parsed once for all rules
+    p, s = stored_pages(spark, sf_dir), sitemap(spark, sf_dir)
     out = audit.on_page(p)
     for part in (audit.duplicate_titles(p), audit.duplicate_h1s(p), audit.redirects(p, s), audit.crawlability(p, s), audit.canonicals(p), audit.indexing(views.view(spark, sf_dir, "v_index_status"))):
         out = out.unionByName(part)
-    return out.withColumn("seq", F.xxhash64("rule", "url", "evidence")).persist()  # collapsing, capping and marts read it more than once
+    return stored(out.withColumn("seq", F.xxhash64("rule", "url", "evidence")), "findings")  # collapsing, capping and marts read it more than once
 
 
 @query(with_views("v_index_status") + ", f AS (" + _union(
@@ -332,9 +344,9 @@ def vitals_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH RECURSIVE " + with_views("v_page_links").removeprefix("WITH ") + """,
-reach(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT target_id, depth + 1 FROM reach JOIN v_page_links ON source_id = node WHERE depth < 5)
+reach(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT target_id, depth + 1 FROM reach JOIN v_page_links ON source_id = node WHERE depth < 5)
 SELECT node, min(depth) AS depth FROM reach GROUP BY node""")
 def click_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.view(spark, sf_dir, "v_page_links").select(*KEYS, F.col("source_id").alias("source"), F.col("target_id").alias("target"))
-    seeds = spark.range(1).select(F.lit(views.CLIENT).alias("client"), F.lit(1).alias("run_id"), F.col("id").alias("node"))
+    seeds = spark.range(1, 2).select(F.lit(views.CLIENT).alias("client"), F.lit(1).alias("run_id"), F.col("id").alias("node"))
     return graph.click_depth(rows, seeds).select("node", "depth")

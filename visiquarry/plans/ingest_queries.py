@@ -225,7 +225,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.when(nr % 3 == 0, F.array(F.lit("next.config.js"))).when(nr % 3 == 1, F.array(F.lit("index.php"), F.lit(".htaccess"))).otherwise(F.array(F.lit("wp-config.php")))
     text = F.when(F.col("rel_path") == ".htaccess", "RewriteRule ^(\\w+)$ /?lang=$1\n<FilesMatch css>\nExpiresActive On").otherwise("$db_password = 's3cretValue99';")
     made = marks.select(*KEYS, F.explode(names).alias("rel_path")).withColumn("content", text)
-    return codeaudit.source_files(rows.unionByName(made).withColumn("length", F.length("content")))
+    return codeaudit.source_files(rows.unionByName(made).withColumn("length", F.length("content")), max_files=2**31 - 1)  # whole tables, no limit of an audit
 
 
 @query(_FILES + " SELECT client, CASE CAST(right(client, 1) AS INTEGER) % 3 WHEN 0 THEN 'nextjs' WHEN 1 THEN 'php-custom' ELSE 'wordpress' END AS stacks FROM v_source_files GROUP BY 1")
@@ -259,10 +259,13 @@ def link_findings_to_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codeaudit.link_findings(made, files).select("client", "code_file")
 
 
-@query("SELECT count(*) AS files, CAST(0 AS BIGINT) AS leaked FROM (SELECT DISTINCT page_id % 5 AS c FROM pages) WHERE c % 3 > 0")
+@query(_FILES + " SELECT client, count(*) AS files, CAST(0 AS BIGINT) AS leaked FROM v_source_files WHERE rel_path LIKE '%.php' GROUP BY client")
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = source_files(spark, sf_dir).where("rel_path in ('index.php', 'wp-config.php')")
-    return rows.agg(F.count_if(F.col("content").contains(codeaudit.REDACTED)).alias("files"), F.count_if(F.col("content").contains("s3cretValue99")).alias("leaked"))
+    """Every page that is a PHP file gets a line with a secret of its own behind its content."""
+    line = F.concat(F.lit("\n$db_password = 's3cret"), F.xxhash64("rel_path").cast("string"), F.lit("';"))
+    rows = views.view(spark, sf_dir, "v_source_files").where("rel_path like '%.php'").withColumn("content", F.concat("content", line))
+    done = rows.select("client", codeaudit.redact(F.col("content")).alias("content"))
+    return done.groupBy("client").agg(F.count_if(F.col("content").contains(codeaudit.REDACTED)).alias("files"), F.count_if(F.col("content").contains("'s3cret")).alias("leaked"))
 
 
 # -- marts

@@ -61,7 +61,7 @@ SELECT o_orderkey % 2 AS run_id, concat('https://client.com/o/', CAST(o_custkey
   max(CAST(floor(o_totalprice) AS BIGINT) % 5000) AS largest_shift_time
 FROM orders GROUP BY 1, 2""",
     "v_page_links": """
-SELECT DISTINCT l_suppkey % 60 AS source_id, l_partkey % 200 AS target_id FROM lineitem WHERE l_orderkey % 200 = 0""",
+SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS source_id, CAST(l_partkey AS BIGINT) AS target_id FROM lineitem""",
     "v_crawl": """
 SELECT page_id, url, html,
   CASE WHEN page_id % 17 = 0 THEN NULL WHEN page_id % 11 = 0 THEN 404 ELSE 200 END AS status_code,

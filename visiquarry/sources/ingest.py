@@ -241,8 +241,10 @@ def robots_rules(files: DataFrame) -> DataFrame:
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
-    """urls (host, url) with allowed: the longest matching rule of the agent wins, of equal ones the permission; no rule allows."""
-    own = rules.where(F.col("agent") == agent)
+    """urls (host, url) with allowed: the longest matching rule of the agent wins, of equal ones the permission; no rule allows.
+    On hosts that have no group for the agent, the rules of ``*`` hold."""
+    named = rules.where(F.col("agent") == agent.lower())
+    own = named.unionByName(rules.where("agent = '*'").join(named.select("host").distinct(), "host", "left_anti"))
     special = F.replace(F.regexp_replace("path", r"([.+?^{}()|\[\]\\])", r"\\$1"), F.lit("*"), F.lit(".*"))
     own = own.withColumn("pattern", F.concat(F.lit("^"), special))
     hit = urls.join(own, "host").where(F.regexp_like(url_path(F.col("url")), F.col("pattern")))
