@@ -238,6 +238,7 @@ WORDS, SIMILARITY = 5, 0.8
 SKETCHES = ((1, 42), (1, 43), (1, 44), (2, 42))
 ALL_PAIRS, FAR = 6, 12
 LATE, LATE_HASH, BITS_KEPT = 5, 40, 1 << 26
+PARITY = 4
 PAIRS_AT_ONCE = 1 << 19
 
 
@@ -312,7 +313,8 @@ def _late(texts: DataFrame) -> np.ndarray:
 
 
 def _features(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """text_key, sketches, n (different runs of five words), prefix, parity (64 bits: whether an odd number of runs hash there):
+    """text_key, sketches, n (different runs of five words), prefix, parity0 and on (bits: whether an odd number of runs
+    hash there):
     one row of every different text, so that copies of one text count once. Tasks reduce what they read before the shuffle, and texts are not shuffled."""
     late = texts.sparkSession.sparkContext.broadcast(_late(texts))
 
@@ -322,30 +324,31 @@ def _features(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             every, sizes, prefixes, parity = [], [], [], []
             for words_own, own in word_runs(batch.column("text").to_pylist(), words):
                 last = in_bits(bits, own)
-                parity.append(int(np.bitwise_xor.reduce(np.left_shift(np.uint64(1), own.view(np.uint64) >> np.uint64(58)))))
+                odd = np.bincount((own.view(np.uint64) >> np.uint64(48) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+                parity.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
                 every.append(np.array(sketches(words_own), np.uint64).view(np.int64))
                 sizes.append(len(own))
                 prefixes.append(np.concatenate([own[~last], own[last]])[: prefix_length(len(own), similarity)])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(every, longs), pa.array(sizes, pa.int32()), pa.array(prefixes, longs), pa.array(np.array(parity, np.uint64).view(np.int64))], names=["text_key", "sketches", "n", "prefix", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(every, longs), pa.array(sizes, pa.int32()), pa.array(prefixes, longs), *(pa.array([p[k] for p in parity], pa.int64()) for k in range(PARITY))], names=["text_key", "sketches", "n", "prefix", *(f"parity{k}" for k in range(PARITY))])
 
-    return arrow_map(texts.select("text_key", "text"), run, "text_key long, sketches array<long>, n int, prefix array<long>, parity long").dropDuplicates(["text_key"])
+    return arrow_map(texts.select("text_key", "text"), run, "text_key long, sketches array<long>, n int, prefix array<long>" + "".join(f", parity{k} long" for k in range(PARITY))).dropDuplicates(["text_key"])
 
 
 def _prefix_pairs(features: DataFrame, member: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): all pairs of texts not yet in one component that share runs of both prefixes and can still be similar.
+    """(a, b): all pairs of texts not yet in one component that share a run of both prefixes and can still be similar.
 
-    Every pair of the similarity is among them or already connected: sizes must allow it, bits of parity differ in no more
-    places than runs may, and the prefixes must share enough: what they share and what follows the prefix that ends first
-    is all that two texts can have in common. The rows of a run are sorted by component, and a row meets only those of later
+    Every pair of the similarity is among them or already connected: sizes must allow it, what follows the first run in
+    common must hold enough of others, and bits of parity differ in no more places than runs may. The rows of a run are sorted by component, and a row meets only those of later
     components, PAIRS_AT_ONCE at a time, so groups of near copies that the sketches connected cost nothing.
     """
-    known = features.select("text_key", "n", "prefix", "parity").join(member.select(F.col("node").alias("text_key"), "component"), "text_key", "left")
-    records = known.select(F.explode("prefix").alias("key"), F.col("text_key").alias("name"), F.coalesce("component", "text_key").alias("component"), "n", "parity")
-    rest = lambda n: np.ceil(similarity * n - 1e-9).astype(np.int64) - 1  # runs after the prefix
+    bits = [f"parity{k}" for k in range(PARITY)]
+    known = features.select("text_key", "n", "prefix", *bits).join(member.select(F.col("node").alias("text_key"), "component"), "text_key", "left")
+    records = known.select(F.posexplode("prefix").alias("at", "key"), F.col("text_key").alias("name"), F.coalesce("component", "text_key").alias("component"), "n", *bits)
+    records = records.select("key", "name", "component", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("size_at"), *bits)
 
-    def settle(keys, names, group, n, parity) -> Iterator[pa.RecordBatch]:
-        parity, rows, after = parity.view(np.uint64), np.arange(len(keys)), rest(n)
+    def settle(keys, names, group, size_at, *parity) -> Iterator[pa.RecordBatch]:
+        n, at, rows = size_at >> 32, size_at & 0xFFFFFFFF, np.arange(len(keys))
         ends = lambda new: np.repeat(np.append(np.flatnonzero(new)[1:], len(keys)), np.diff(np.append(np.flatnonzero(new), len(keys))))
         other = np.append(True, keys[1:] != keys[:-1])
         key_end, group_end = ends(other), ends(other | np.append(True, group[1:] != group[:-1]))
@@ -358,13 +361,15 @@ def _prefix_pairs(features: DataFrame, member: DataFrame, similarity: float = SI
             x = np.repeat(rows[lo:hi], some)
             y = group_end[x] + np.arange(len(x)) - np.repeat(np.cumsum(some) - some, some)
             least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            both = (n[x] + n[y]).astype(np.int64)
-            ok = (least >= similarity * most - 1e-9) & (np.bitwise_count(parity[x] ^ parity[y]) * (1 + similarity) <= (1 - similarity) * both + 1e-6)
+            shared = np.minimum(n[x] - at[x], n[y] - at[y])
+            ok = (least >= similarity * most - 1e-9) & (shared * (1 + similarity) >= similarity * (n[x] + n[y]) - 1e-6)
+            x, y = x[ok], y[ok]
+            differ = sum(np.bitwise_count((p[x] ^ p[y]).view(np.uint64)).astype(np.int64) for p in parity)
+            ok = differ * (1 + similarity) <= (1 - similarity) * (n[x] + n[y]) + 1e-6
             if ok.any():
-                x, y = x[ok], y[ok]
-                need = np.ceil(similarity / (1 + similarity) * both[ok] - 1e-6).astype(np.int64) - np.maximum(after[x], after[y])
-                own, shared = np.unique(np.stack([np.minimum(names[x], names[y]), np.maximum(names[x], names[y]), need]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(own[k], pa.int64()) for k in range(3)), pa.array(shared, pa.int64())], names=["a", "b", "need", "shared"])
+                a, b = names[x[ok]], names[y[ok]]
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
             lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +377,7 @@ def _prefix_pairs(features: DataFrame, member: DataFrame, similarity: float = SI
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(c).to_numpy() for c in ("key", "name", "component", "n", "parity")]
+            new = [batch.column(c).to_numpy() for c in ("key", "name", "component", "size_at", *bits)]
             kept = new if kept is None else [np.concatenate([x, y]) for x, y in zip(kept, new)]
             whole = int(np.searchsorted(kept[0], kept[0][-1]))
             if whole:
@@ -382,7 +387,7 @@ def _prefix_pairs(features: DataFrame, member: DataFrame, similarity: float = SI
             yield from settle(*kept)
 
     n = partitions(features.sparkSession)
-    return arrow_map(records.repartition(n, "key").sortWithinPartitions("key", "component"), run, "a long, b long, need long, shared long").groupBy("a", "b", "need").agg(F.sum("shared").alias("shared")).where("shared >= need").select("a", "b")
+    return arrow_map(records.repartition(n, "key").sortWithinPartitions("key", "component"), run, "a long, b long").distinct()
 
 
 def _candidates(features: DataFrame) -> DataFrame:
