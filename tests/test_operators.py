@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from visiquarry.functions import text as T
 from visiquarry.functions import urls as U
-from visiquarry.operators import audit, codeaudit, findings, graph, keywords, runs, search, vitals
+from visiquarry.operators import audit, codeaudit, diff, findings, graph, keywords, runs, search, vitals
+from visiquarry.sources import configs
 from visiquarry.sources.html_pages import extract, parse_page
 from visiquarry.streaming import rum
 
@@ -220,3 +221,33 @@ def test_findings_are_placed_in_attributes(spark):
     made = [("c", 1, "div.ad", None, None), ("c", 1, "main > p.ad-banner", None, None), ("c", 1, "x y#hero", None, None), ("c", 1, "p", None, None), ("c", 1, "p#hero", "kept.php", 7)]
     out = codeaudit.link_findings(spark.createDataFrame(made, "client string, run_id int, culprit_selector string, code_file string, code_line int"), frame)
     assert {(r.culprit_selector, r.code_file, r.code_line) for r in out.collect()} == {("div.ad", "a.php", 3), ("main > p.ad-banner", "a.php", 3), ("x y#hero", "b.php", 1), ("p", None, None), ("p#hero", "kept.php", 7)}
+
+
+def test_configurations(spark):
+    rows = [(1, '{"domain":"a.com","brandName":"A","brandTokens":["a"],"seedKeywords":["k"],"crawlMaxPages":7,"unknown":1}'), (2, None), (3, "[1]"), (4, '{"domain":5,"brandName":"","brandTokens":[],"seedKeywords":["k",null],"locale":null,"auditUrls":["x y"],"crawlMaxDepth":-1,"crawlEnabled":"no"}')]
+    good, bad = configs.read(spark.createDataFrame(rows, "id int, payload string"))
+    (one,) = good.collect()
+    assert (one.domain, one.crawl_max_pages, one.crawl_max_depth, one.locale, one.mock_seed, one.crawl_enabled, one.ai_queries, one.code_path) == ("a.com", 7, 5, "tr-TR", 42, True, [], None)
+    assert {r.id: r.errors for r in bad.collect()} == {2: ["json"], 3: ["json"], 4: ["domain", "brandName", "brandTokens", "seedKeywords", "auditUrls", "locale", "crawlMaxDepth", "crawlEnabled"]}
+
+
+def test_first_of_repeated_rows(spark):
+    rows = [("c", 1, "a", "b", 3, "foot"), ("c", 1, "a", "b", 1, "head"), ("c", 2, "a", "b", 2, None), ("c", 1, "a", "x", 5, "foot")]
+    got = runs.first_rows(spark.createDataFrame(rows, "client string, run_id int, source_url string, target_url string, seq int, text string"), "page_links")
+    assert {tuple(r) for r in got.collect()} == {rows[1], rows[2], rows[3]}
+    assert got.columns == ["client", "run_id", "source_url", "target_url", "seq", "text"]
+
+
+def test_titles_fold_their_numbers(spark):
+    made = findings.all_findings(audit.on_page(frame(spark, *(page(seq=i, url=f"u{i}", h1s=["h"] * n, depth=4 + i) for i, n in enumerate((2, 3, 4, 12))))))
+    assert {r.title for r in made.where("rule = 'multiple_h1'").collect()} == {f"multiple h1 ({n})" for n in (2, 3, 4, 12)}
+    got = {r.rule: r.evidence for r in findings.collapse_widespread(made).where("url is null").collect()}
+    assert got["multiple_h1"] == got["deep_page"] == "4 pages (numbers differ): u0, u1, u2, u3"
+    fewer = findings.all_findings(audit.on_page(frame(spark, page(seq=0, url="u0", h1s=["h"] * 5, depth=9))))
+    assert diff.findings_diff(made.where("url = 'u0'"), fewer).count() == 0
+
+
+def test_runs_without_a_run_before(spark):
+    rows = [("c", 1, "failed", "h"), ("c", 2, "completed", "h"), ("c", 3, "completed", None), ("c", 4, "running", "h")]
+    got = diff.baselines(spark.createDataFrame(rows, "client string, run_id int, status string, config_hash string")).collect()
+    assert {(r.run_id, r.previous_run, r.is_baseline, r.config_mismatch) for r in got} == {(1, None, True, False), (2, None, True, False), (3, 2, False, True), (4, 3, False, True)}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import root_domain
+
 
 def url_path(url: Column) -> Column:
     return F.coalesce(F.nullif(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/"))
@@ -38,6 +40,11 @@ def locale_prefix(url: Column) -> Column:
     return F.lower(F.regexp_extract(url_path(url), r"^/+([A-Za-z]{2}(?:-[A-Za-z]{2})?)(?:/|$)", 1))
 
 
+def same_site(url: Column, domain: Column) -> Column:
+    """The URL's host, ``www.`` apart, is the domain; false for null."""
+    return F.coalesce(root_domain(url) == domain, F.lit(False))
+
+
 def excluded_path(url: Column, prefixes: Column) -> Column:
     """The path equals an excluded one or lies below it."""
     path = url_path(url)

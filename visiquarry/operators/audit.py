@@ -46,10 +46,12 @@ def failed(error: Column, status: Column) -> Column:
     return error.isNotNull() | _or_false(status >= 400)
 
 
-def _emit(df: DataFrame, rules: list[tuple[str, str, str, Column, Column]]) -> DataFrame:
-    """One row for every (rule, category, severity, condition, evidence) that holds of a row with ``url``."""
-    made = F.array_compact(F.array(*(F.when(_or_false(cond), finding(rule, category, severity, F.col("url"), evidence)) for rule, category, severity, cond, evidence in rules)))
-    return df.select(*KEYS, F.explode(made).alias("f")).select(*KEYS, "f.*")
+def _emit(df: DataFrame, rules: list[tuple]) -> DataFrame:
+    """One row for every (rule, category, severity, condition, evidence[, detail of the title]) that holds of a row with ``url``;
+    ``seq`` is the page's, null for rows without one."""
+    each = (F.when(_or_false(cond), finding(rule, category, severity, F.col("url"), evidence, detail=detail[0] if detail else None)) for rule, category, severity, cond, evidence, *detail in rules)
+    seq = F.col("seq").cast("long") if "seq" in df.columns else F.lit(None).cast("long")
+    return df.select(*KEYS, seq.alias("seq"), F.explode(F.array_compact(F.array(*each))).alias("f")).select(*KEYS, "seq", "f.*")
 
 
 def _blank(c: str) -> Column:
@@ -68,16 +70,16 @@ def on_page(pages: DataFrame) -> DataFrame:
         ("meta_description_missing", "onpage", "medium", _blank("meta_description"), none),
         ("meta_description_too_long", "onpage", "low", F.length("meta_description") > DESCRIPTION_MAX, F.length("meta_description").cast("string")),
         ("missing_h1", "onpage", "high", server & (F.size("h1s") == 0), none),
-        ("multiple_h1", "onpage", "medium", F.size("h1s") > 1, F.size("h1s").cast("string")),
+        ("multiple_h1", "onpage", "medium", F.size("h1s") > 1, F.size("h1s").cast("string"), F.size("h1s")),
         ("missing_canonical", "onpage", "medium", F.col("canonical_url").isNull(), none),
         ("missing_schema", "onpage", "low", server & (F.size("schema_types") == 0), none),
         ("incomplete_og", "onpage", "low", server & ~F.col("og_complete"), none),
-        ("images_missing_alt", "onpage", "medium", F.col("images_missing_alt") > 0, n("images_missing_alt")),
-        ("deep_page", "onpage", "medium", F.col("depth") > DEEP, n("depth")),
+        ("images_missing_alt", "onpage", "medium", F.col("images_missing_alt") > 0, n("images_missing_alt"), n("images_missing_alt")),
+        ("deep_page", "onpage", "medium", F.col("depth") > DEEP, n("depth"), n("depth")),
         ("thin_content", "onpage", "medium", server & (F.col("word_count") < MIN_WORDS), n("word_count")),
         ("missing_viewport", "onpage", "high", F.col("viewport").isNull(), none),
         ("missing_lang", "onpage", "low", F.col("lang").isNull(), none),
-        ("images_missing_dimensions", "cwv", "medium", F.col("images_missing_dimensions") > 0, n("images_missing_dimensions")),
+        ("images_missing_dimensions", "cwv", "medium", F.col("images_missing_dimensions") > 0, n("images_missing_dimensions"), n("images_missing_dimensions")),
     ]
     return _emit(pages.where(evaluable()), rules)
 
@@ -87,7 +89,7 @@ def duplicates(pages: DataFrame, key: Column, rule: str, severity: str) -> DataF
     keyed = pages.where(evaluable()).select(*KEYS, "seq", "url", key.alias("k")).where("k is not null and k <> ''")
     groups = keyed.groupBy(*KEYS, "k").agg(F.count(F.lit(1)).alias("n"))
     shared = keyed.join(groups.where("n > 1"), [*KEYS, "k"])
-    return _emit(shared, [(rule, "onpage", severity, F.lit(True), F.concat_ws(" ", F.col("n").cast("string"), F.col("k")))])
+    return _emit(shared, [(rule, "onpage", severity, F.lit(True), F.concat_ws(" ", F.col("n").cast("string"), F.col("k")), F.col("n"))])
 
 
 def duplicate_titles(pages: DataFrame) -> DataFrame:
@@ -113,10 +115,12 @@ def aliases(pages: DataFrame, key=None) -> DataFrame:
 
 
 def links(pages: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Broken links, links to redirects, orphan pages. edges: client, run_id, source_url, target_url; seeds: client, run_id, url."""
+    """Broken links, links to redirects, orphan pages. edges: client, run_id, source_url, target_url and, if
+    known, the source page's seq; seeds: client, run_id, url."""
     target = aliases(pages).select(*KEYS, F.col("alias").alias("target_url"), "fetch_error", "status_code")
     broken = edges.join(target, [*KEYS, "target_url"]).withColumn("url", F.col("source_url"))
-    broken = _emit(broken, [("broken_link", "links", "high", failed(F.col("fetch_error"), F.col("status_code")), F.concat_ws(" ", "target_url", F.coalesce("fetch_error", F.col("status_code").cast("string"))))])
+    why = F.coalesce("fetch_error", F.col("status_code").cast("string"))
+    broken = _emit(broken, [("broken_link", "links", "high", failed(F.col("fetch_error"), F.col("status_code")), F.concat_ws(" ", "target_url", why), why)])
     moved = pages.where("final_url is not null and final_url <> url").select(*KEYS, F.col("url").alias("target_url"), "final_url")
     moved = edges.join(moved, [*KEYS, "target_url"]).withColumn("url", F.col("source_url"))
     moved = _emit(moved, [("link_to_redirect", "links", "low", F.lit(True), F.concat_ws(" ", "target_url", "final_url"))])
@@ -130,7 +134,7 @@ def redirects(pages: DataFrame, sitemap: DataFrame) -> DataFrame:
     """Chains, loops, and temporary redirects of URLs in the sitemap. sitemap: client, run_id, url."""
     hops = F.coalesce(F.size("redirect_statuses"), F.lit(0))
     own = _emit(pages, [
-        ("redirect_chain", "links", "medium", hops > 1, hops.cast("string")),
+        ("redirect_chain", "links", "medium", hops > 1, hops.cast("string"), hops),
         ("redirect_loop", "links", "critical", F.col("redirect_loop"), F.lit("")),
     ])
     temporary = pages.join(sitemap, [*KEYS, "url"], "left_semi")
@@ -145,7 +149,7 @@ def _listed(rows: DataFrame, rule: str) -> DataFrame:
     total = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("total"))
     shown = first.groupBy(*KEYS).agg(F.array_join(F.array_sort(F.collect_list("url")), ", ").alias("shown")).join(total, [*KEYS])
     more = F.when(F.col("total") > PREVIEW, F.concat(F.lit(" (+"), (F.col("total") - PREVIEW).cast("string"), F.lit(")"))).otherwise("")
-    return _emit(shown.withColumn("url", F.lit(None).cast("string")), [(rule, "indexing", "low", F.lit(True), F.concat(F.col("total").cast("string"), F.lit(": "), F.col("shown"), more))])
+    return _emit(shown.withColumn("url", F.lit(None).cast("string")), [(rule, "indexing", "low", F.lit(True), F.concat(F.col("total").cast("string"), F.lit(": "), F.col("shown"), more), F.col("total"))])
 
 
 def crawlability(pages: DataFrame, sitemap: DataFrame) -> DataFrame:
@@ -155,7 +159,7 @@ def crawlability(pages: DataFrame, sitemap: DataFrame) -> DataFrame:
     own = _emit(pages, [
         ("http_noindex", "indexing", "critical", F.contains(F.lower("x_robots_tag"), F.lit("noindex")), F.col("x_robots_tag")),
         ("content_type_not_html", "indexing", "low", F.col("content_type").isNotNull() & ~F.contains(F.lower("content_type"), F.lit("html")), F.col("content_type")),
-        ("mixed_content", "indexing", "high", F.startswith("url", F.lit("https://")) & (F.col("mixed_content") > 0), F.col("mixed_content").cast("string")),
+        ("mixed_content", "indexing", "high", F.startswith("url", F.lit("https://")) & (F.col("mixed_content") > 0), F.col("mixed_content").cast("string"), F.col("mixed_content")),
     ])
     named = pages.where(noindexed()).withColumn("alias", F.explode(F.array_distinct(F.array_compact(F.array("url", "final_url")))))
     hidden = named.join(sitemap.withColumnRenamed("url", "alias"), [*KEYS, "alias"], "left_semi").dropDuplicates([*KEYS, "url"])
@@ -185,8 +189,8 @@ def canonicals(pages: DataFrame) -> DataFrame:
         ("canonical_chain", "indexing", "high", canonical_url_key(F.col("t_canonical")) != canonical_url_key(F.col("t_url")), F.concat_ws(" ", "t_url", "t_canonical")),
         ("canonical_to_noindex", "indexing", "high", F.col("t_noindex"), F.col("t_url")),
     ])
-    hidden = pages.where(noindexed()).select(*KEYS, "url", canonical_url_key(F.col("url")).alias("key"))
-    incoming = hidden.join(named.select(*KEYS, "key", F.col("url").alias("from")), [*KEYS, "key"]).where("from <> url").groupBy(*KEYS, "url").agg(F.count(F.lit(1)).alias("n"), F.min("from").alias("first"))
+    hidden = pages.where(noindexed()).select(*KEYS, "seq", "url", canonical_url_key(F.col("url")).alias("key"))
+    incoming = hidden.join(named.select(*KEYS, "key", F.col("url").alias("from")), [*KEYS, "key"]).where("from <> url").groupBy(*KEYS, "url", "seq").agg(F.count(F.lit(1)).alias("n"), F.min("from").alias("first"))
     incoming = _emit(incoming, [("noindex_receives_canonicals", "indexing", "high", F.lit(True), F.concat_ws(" ", F.col("n").cast("string"), "first"))])
     foreign = _emit(pages.where(evaluable()), [("canonical_cross_domain", "indexing", "low", url_host(F.col("canonical_url")) != url_host(F.col("url")), F.col("canonical_url"))])
     return own.unionByName(incoming).unionByName(foreign)
@@ -197,7 +201,8 @@ def schema_fields(blocks: DataFrame) -> DataFrame:
     required = F.create_map(*(x for k, names in REQUIRED.items() for x in (F.lit(k), F.array(*map(F.lit, names)))))
     missing = F.array_except(F.element_at(required, F.col("type")), F.col("keys"))
     rows = blocks.withColumn("missing", missing).where(F.size("missing") > 0)
-    return _emit(rows, [("schema_required_fields", "onpage", "medium", F.lit(True), F.concat_ws(" ", "type", F.array_join("missing", ",")))])
+    lack = F.concat_ws(" ", "type", F.array_join("missing", ","))
+    return _emit(rows, [("schema_required_fields", "onpage", "medium", F.lit(True), lack, lack)])
 
 
 # Indexing states and what stops indexing there.

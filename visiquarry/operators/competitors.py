@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .keys import KEYS
+from .keys import KEYS, top
 
 THRESHOLD = 0.15
 REPORT_LIMIT = 20
@@ -53,5 +53,19 @@ def discover(serps: DataFrame, clients: DataFrame, threshold: float = THRESHOLD)
     )
 
 
+BACKLINK_LIMIT = 5
+
+
+def backlink_domains(competitors: DataFrame, clients: DataFrame, n: int = BACKLINK_LIMIT) -> DataFrame:
+    """client, run_id, domain, place: the domains whose links are looked up: the client's own, its seeds, and the first ``n`` real
+    competitors by rate (equal ones by name); each once, at its first place."""
+    runs = competitors.select(*KEYS).distinct()
+    own = runs.select(*KEYS, F.col("client").alias("domain"), F.lit(0).alias("place"))
+    seeds = runs.join(clients, "client").select(*KEYS, F.posexplode("seeds").alias("at", "domain")).select(*KEYS, "domain", (F.col("at") + 1).alias("place"))
+    first = top(competitors.where("is_real_competitor"), n, [*KEYS], [F.desc("appearance_rate"), F.asc("domain")], "at")
+    found = first.select(*KEYS, "domain", (F.lit(1_000_000) + F.col("at")).alias("place"))
+    return own.unionByName(seeds).unionByName(found).groupBy(*KEYS, "domain").agg(F.min("place").alias("place"))
+
+
 def real(competitors: DataFrame) -> DataFrame:
     return competitors.where("is_real_competitor").select(*KEYS, "domain")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .ai import client_rate
 from .findings import finding_key
+from .runs import previous_completed
 
 UNRANKED, RANK_DROP, LCP_WORSE, AI_DROP = 11, 3, 500, 0.34
 
@@ -72,6 +73,16 @@ def config_mismatch(previous: DataFrame, current: DataFrame) -> DataFrame:
     return current.join(a, "client").where("config_hash <> old").select("client", *_alert(F.lit("info"), "config_changed", F.col("client")))
 
 
+def baselines(runs: DataFrame) -> DataFrame:
+    """Every run with previous_run, is_baseline (no completed run before it, so nothing to compare) and config_mismatch.
+    runs: client, run_id, status, config_hash."""
+    placed = previous_completed(runs)
+    before = runs.select("client", F.col("run_id").alias("previous_run"), F.col("config_hash").alias("_before"))
+    out = placed.join(before, ["client", "previous_run"], "left")
+    mismatch = F.col("previous_run").isNotNull() & ~F.col("config_hash").eqNullSafe(F.col("_before"))
+    return out.withColumns({"is_baseline": F.col("previous_run").isNull(), "config_mismatch": mismatch}).drop("_before")
+
+
 def alerts(ranks: DataFrame, competitors: DataFrame, vitals: DataFrame, ai: DataFrame) -> DataFrame:
     """All alerts of a comparison: client, severity, kind, subject."""
     entered = competitors.where("change = 'entry'").select("client", *_alert(F.lit("info"), "competitor_entry", F.col("domain")))

@@ -21,13 +21,19 @@ def estimate_impact(severity: Column, share: Column | None = None) -> Column:
     return F.least(F.lit(100), base + more).cast("int")
 
 
-def finding(rule: str, category: str, severity: str | Column, url: Column, evidence: Column, share: Column | None = None, title: Column | None = None) -> Column:
+def rendered_title(rule: str, detail: Column | None = None) -> Column:
+    """The title that a reader sees: the rule in words and, in brackets, what differs from case to case (a count, a status, a keyword)."""
+    words = F.lit(rule.replace("_", " "))
+    return words if detail is None else F.concat(words, F.lit(" ("), F.coalesce(detail.cast("string"), F.lit("")), F.lit(")"))
+
+
+def finding(rule: str, category: str, severity: str | Column, url: Column, evidence: Column, share: Column | None = None, detail: Column | None = None) -> Column:
     """A finding as a struct: rule, category, severity, url, title, evidence, impact, phase_share."""
     level = F.lit(severity) if isinstance(severity, str) else severity
     share_ = F.lit(None).cast("double") if share is None else share.cast("double")
     return F.struct(
         F.lit(rule).alias("rule"), F.lit(category).alias("category"), level.alias("severity"), url.cast("string").alias("url"),
-        (F.lit(rule.replace("_", " ")) if title is None else title).cast("string").alias("title"), F.coalesce(evidence.cast("string"), F.lit("")).alias("evidence"),
+        rendered_title(rule, detail).alias("title"), F.coalesce(evidence.cast("string"), F.lit("")).alias("evidence"),
         estimate_impact(level, share_).alias("impact"), share_.alias("phase_share"),
     )
 
@@ -45,6 +51,21 @@ def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, SEVERITIES)), severity)
 
 
+FIELDS = ("rule", "category", "severity", "url", "title", "evidence", "impact", "phase_share")
+
+
+def all_findings(*families: DataFrame) -> DataFrame:
+    """Families of findings as one table, repeated rows kept; ``seq`` is their order: family, page (a family's own ``seq``, where
+    it has one), rule, URL, evidence."""
+    out = None
+    for nr, rows in enumerate(families):
+        page = F.col("seq").cast("long") if "seq" in rows.columns else F.lit(None).cast("long")
+        seq = F.struct(F.lit(nr).alias("family"), F.coalesce(page, F.lit(-1)).alias("page"), "rule", F.coalesce("url", F.lit("")).alias("of"), F.col("evidence").alias("by"))
+        rows = rows.select(*KEYS, *FIELDS, seq.alias("seq"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def collapse_widespread(findings: DataFrame, seq: str = "seq", over: int = WIDESPREAD, preview: int = PREVIEW) -> DataFrame:
     """A rule that more than ``over`` pages break becomes one finding without URL that names the first pages and counts the rest.
 

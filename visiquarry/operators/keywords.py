@@ -88,6 +88,19 @@ def select_audit_urls(serps: DataFrame, clients: DataFrame, n: int = MAX_AUDIT_U
     return top(once, n, [*KEYS], [F.asc("from"), F.asc("at"), F.asc("seq"), F.asc("url")]).select(*KEYS, "place", "url")
 
 
+def crawl_seeds(runs: DataFrame, audit_urls: DataFrame) -> DataFrame:
+    """client, run_id, place, url: every run's home page, then the URLs chosen for its audits, each once. audit_urls: client, run_id, place, url."""
+    home = runs.select(*KEYS).distinct().withColumns({"place": F.lit(0), "url": F.concat(F.lit("https://"), "client", F.lit("/"))})
+    return home.unionByName(audit_urls.select(*KEYS, "place", "url")).groupBy(*KEYS, "url").agg(F.min("place").alias("place"))
+
+
+def regroup(rows: DataFrame) -> DataFrame:
+    """One row per keyword of a run from its result rows: entries in order of position, each flag true if any row has it. A result
+    page has some ten or a hundred positions, so its rows fit one array."""
+    entries = F.sort_array(F.collect_list(F.struct("position", "domain", "url")))
+    return rows.groupBy(*KEYS, "keyword").agg(entries.alias("entries"), *(F.bool_or(c).alias(c) for c in ("has_featured_snippet", "has_ai_overview")))
+
+
 def page_aliases(pages: DataFrame, last: bool = False) -> DataFrame:
     """alias, page columns: a page answers to its URL and to the URL it ended at; the first page wins, or the last."""
     named = pages.select("*", F.explode(F.array_distinct(F.array_compact(F.array("url", "final_url")))).alias("alias"))
@@ -120,9 +133,9 @@ def content_findings(matches: DataFrame, min_volume: int = MIN_VOLUME) -> DataFr
     """Keywords that their page does not name in title, first heading or text, and keywords of some volume without a page."""
     detail = F.concat_ws(" ", F.col("keyword"))
     rules = F.array_compact(F.array(
-        F.when(F.col("reliable") & ~F.col("in_title"), finding("keyword_not_in_title", "content", "high", F.col("url"), detail)),
-        F.when(F.col("reliable") & ~F.col("in_h1"), finding("keyword_not_in_h1", "content", "medium", F.col("url"), detail)),
-        F.when(F.col("reliable") & ~F.col("in_body"), finding("keyword_not_in_body", "content", "high", F.col("url"), detail)),
-        F.when(F.col("url").isNull() & (F.col("volume") >= min_volume), finding("content_gap", "content", "medium", F.lit(None).cast("string"), detail)),
+        F.when(F.col("reliable") & ~F.col("in_title"), finding("keyword_not_in_title", "content", "high", F.col("url"), detail, detail=detail)),
+        F.when(F.col("reliable") & ~F.col("in_h1"), finding("keyword_not_in_h1", "content", "medium", F.col("url"), detail, detail=detail)),
+        F.when(F.col("reliable") & ~F.col("in_body"), finding("keyword_not_in_body", "content", "high", F.col("url"), detail, detail=detail)),
+        F.when(F.col("url").isNull() & (F.col("volume") >= min_volume), finding("content_gap", "content", "medium", F.lit(None).cast("string"), detail, detail=detail)),
     ))
     return matches.select(*KEYS, F.explode(rules).alias("f")).select(*KEYS, "f.*")

@@ -74,6 +74,13 @@ def tech_evaluation(audits: DataFrame) -> DataFrame:
     return audits.select(*KEYS, "url", (root_domain(F.col("url")) == F.col("client")).alias("is_client"), (F.col("lcp_ms") <= LIMITS["LCP"][0]).alias("passes_lcp"), (F.col("inp_ms") <= LIMITS["INP"][0]).alias("passes_inp"), (F.col("cls") <= LIMITS["CLS"][0]).alias("passes_cls"))
 
 
+def distinct_client_issues(issues: DataFrame) -> DataFrame:
+    """Issues of the client's own audited pages, each once however many pages repeat it. issues: client, run_id, url, kind, subject."""
+    from ..functions.urls import same_site
+
+    return issues.where(same_site(F.col("url"), F.col("client"))).select(*KEYS, "kind", "subject").distinct()
+
+
 def field_cwv_comparison(field: DataFrame) -> DataFrame:
     """Field vitals, the client's own pages first."""
     from ..functions.text import root_domain

@@ -23,6 +23,14 @@ def repeated_keys(rows: DataFrame, table: str) -> DataFrame:
     return rows.groupBy(*KEYS, *NATURAL_KEYS[table]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def first_rows(rows: DataFrame, table: str, seq: str = "seq") -> DataFrame:
+    """The first row, by ``seq`` (not null), of every natural key, for sources that repeat themselves (a link in header and footer,
+    a field record, a keyword gap). An aggregate, so repeats meet within tasks before the shuffle."""
+    keys = [*KEYS, *NATURAL_KEYS[table]]
+    rest = F.struct(*(c for c in rows.columns if c not in keys))
+    return rows.groupBy(*keys).agg(F.min_by(rest, seq).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+
+
 def append_snapshot(rows: DataFrame, table: str, root: str) -> str:
     """Append a run's rows to ``root``/``table``, in folders by client and run; a repeated natural key is an error."""
     first = repeated_keys(rows, table).limit(1).collect()

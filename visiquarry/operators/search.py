@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .findings import estimate_impact
+from .findings import estimate_impact, finding
 from .keys import KEYS, round_half_up, top
 
 SECONDARY_SHARE = 0.2
@@ -21,6 +21,13 @@ def cannibalization(rows: DataFrame, share: float = SECONDARY_SHARE, seq: str =
     return out.withColumns({"severity": F.lit("high"), "impact": estimate_impact(F.lit("high"), F.col("top_share")), "top_percent": round_half_up(F.col("top_share") * 100)})
 
 
+def cannibalization_findings(rows: DataFrame, share: float = SECONDARY_SHARE, seq: str = "page") -> DataFrame:
+    """Every query of ``cannibalization`` as a finding about its first page."""
+    evidence = F.concat_ws(" ", "primary", "primary_impressions", "secondary_pages")
+    one = finding("cannibalization", "content", "high", F.col("primary"), evidence, F.col("top_share"), detail=F.col("query"))
+    return cannibalization(rows, share, seq).select(*KEYS, one.alias("f")).select(*KEYS, "f.*")
+
+
 def top_rows(rows: DataFrame, n: int = ROWS_LIMIT) -> DataFrame:
     """The rows with most impressions of each run."""
     return top(rows, n, [*KEYS], [F.desc("impressions"), F.asc("query"), F.asc("page")])

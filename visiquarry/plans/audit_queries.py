@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, findings, graph, keywords, vitals
+from ..operators import audit, findings, graph, keywords, search, vitals
 from ..operators.keys import KEYS
 from ..sources import html_pages
 from ..sources.shared import stored
@@ -48,9 +48,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored page links, put on the crawl's URLs by number."""
     named = views.view(spark, sf_dir, "v_crawl").select("page_id", "url")
     rows = views.view(spark, sf_dir, "v_page_links")
-    source = named.select(F.col("page_id").alias("source_id"), F.col("url").alias("source_url"))
+    source = named.select(F.col("page_id").alias("source_id"), F.col("url").alias("source_url"), F.col("page_id").alias("seq"))
     target = named.select(F.col("page_id").alias("target_id"), F.col("url").alias("target_url"))
-    return rows.join(source, "source_id").join(target, "target_id").select(*KEYS, "source_url", "target_url")
+    return rows.join(source, "source_id").join(target, "target_id").select(*KEYS, "seq", "source_url", "target_url")
 
 
 def _text(x: str) -> str:
@@ -225,13 +225,16 @@ lack AS (
   SELECT url, kind, list_filter(CASE kind {" ".join(f"WHEN '{k}' THEN {_LIST(names)}" for k, names in audit.REQUIRED.items())} END, lambda k: NOT list_contains(kept, k)) AS missing FROM block)"""
 
 
-@query(with_views("v_crawl") + _BLOCKS + " " + _rule("schema_required_fields", "medium", "len(missing) > 0", "concat(kind, ' ', array_to_string(missing, ','))", source="lack"))
-def schema_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def schema_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured-data blocks of the pages; the pages themselves have none, so each gets one whose type and keys follow its number."""
     kinds = F.array(*map(F.lit, audit.REQUIRED))
     keys = F.filter(F.array(*map(F.lit, _ALL_KEYS)), lambda k, i: (F.col("page_id") + i + 1) % 3 != 0)
-    rows = views.view(spark, sf_dir, "v_crawl").select(*KEYS, "url", F.get(kinds, F.pmod(F.col("page_id"), F.lit(len(audit.REQUIRED))).cast("int")).alias("type"), keys.alias("keys"))
-    return audit.schema_fields(rows).select(*FINDING)
+    return views.view(spark, sf_dir, "v_crawl").select(*KEYS, F.col("page_id").alias("seq"), "url", F.get(kinds, F.pmod(F.col("page_id"), F.lit(len(audit.REQUIRED))).cast("int")).alias("type"), keys.alias("keys"))
+
+
+@query(with_views("v_crawl") + _BLOCKS + " " + _rule("schema_required_fields", "medium", "len(missing) > 0", "concat(kind, ' ', array_to_string(missing, ','))", source="lack"))
+def schema_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.schema_fields(schema_blocks(spark, sf_dir)).select(*FINDING)
 
 
 @query(with_views("v_index_status") + " " + _union(
@@ -243,13 +246,21 @@ def indexing_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.indexing(views.view(spark, sf_dir, "v_index_status")).select(*FINDING)
 
 
-def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the crawl and the index in a stable order, ``seq``."""
+def site_families(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Families of findings about the site in their order: pages, links, redirects, crawling, duplicates, hreflang, canonicals,
+    structured data, keywords, index, competing pages. The pages are parsed once."""
     p, s = stored_pages(spark, sf_dir), sitemap(spark, sf_dir)
-    out = audit.on_page(p)
-    for part in (audit.duplicate_titles(p), audit.duplicate_h1s(p), audit.redirects(p, s), audit.crawlability(p, s), audit.canonicals(p), audit.indexing(views.view(spark, sf_dir, "v_index_status"))):
-        out = out.unionByName(part)
-    return stored(out.withColumn("seq", F.xxhash64("rule", "url", "evidence")), "findings")  # collapsing, capping and marts read it more than once
+    return [
+        audit.on_page(p), audit.links(p, edges(spark, sf_dir), p.where("page_id = 0").select(*KEYS, "url")), audit.redirects(p, s), audit.crawlability(p, s),
+        audit.duplicate_titles(p).unionByName(audit.duplicate_h1s(p)), audit.missing_hreflang(p), audit.canonicals(p), audit.schema_fields(schema_blocks(spark, sf_dir)),
+        keywords.content_findings(matches(spark, sf_dir, p)), audit.indexing(views.view(spark, sf_dir, "v_index_status")),
+        search.cannibalization_findings(views.view(spark, sf_dir, "v_search_performance")),
+    ]
+
+
+def site_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of them as one written table, as collapsing, capping and marts read it more than once."""
+    return stored(findings.all_findings(*site_families(spark, sf_dir)), "findings")
 
 
 @query(with_views("v_index_status") + ", f AS (" + _union(
@@ -262,16 +273,6 @@ def collapse_widespread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.collapse_widespread(rows).select("title", "evidence")
 
 
-@query()
-def cap_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.cap_findings(all_findings(spark, sf_dir), 50).select("place", "rule", "severity", "url", "evidence", "impact", "hidden")
-
-
-@query()
-def findings_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.by_url(all_findings(spark, sf_dir)).select("url", "n_findings", "impact", "worst")
-
-
 _MATCH = """,
 shown AS (SELECT query, page, row_number() OVER (PARTITION BY query ORDER BY impressions DESC, page) AS n FROM v_search_performance WHERE page <> '')
 SELECT kw_id, coalesce(page, serp_url) AS url, CASE WHEN page IS NOT NULL THEN 'gsc' WHEN serp_url IS NOT NULL THEN 'serp' ELSE 'none' END AS match_source
@@ -280,9 +281,10 @@ LEFT JOIN shown ON query = k AND n = 1
 LEFT JOIN (SELECT kw_id, arg_min(url, position) AS serp_url FROM v_serp WHERE domain = 'client.com' GROUP BY kw_id) USING (kw_id)"""
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def matches(spark: SparkSession, sf_dir: str, crawled: DataFrame | None = None) -> DataFrame:
+    crawled = pages(spark, sf_dir) if crawled is None else crawled
     performance = views.view(spark, sf_dir, "v_search_performance").withColumn("seq", F.col("page"))
-    return keywords.keyword_page_match(keyword_rows(spark, sf_dir), pages(spark, sf_dir).withColumn("title", F.col("title")), performance, serps(spark, sf_dir))
+    return keywords.keyword_page_match(keyword_rows(spark, sf_dir), crawled, performance, serps(spark, sf_dir))
 
 
 @query(with_views("v_serp", "v_search_performance") + _MATCH)

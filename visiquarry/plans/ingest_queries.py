@@ -9,7 +9,7 @@ from ..operators import codeaudit, findings, marts, vitals
 from ..operators.keys import KEYS
 from ..sources import html_pages, ingest
 from . import views
-from .audit_queries import all_findings, audits, pages
+from .audit_queries import _ON_PAGE, _PAGES, audits, pages, site_findings
 from .keyword_queries import _COMPETITORS, _competitors, _rivals, _samples, keyword_rows, serps
 from .registry import query
 from .run_queries import _rank_changes, trend_alerts
@@ -277,10 +277,10 @@ def prioritized_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     one = lambda df: df.withColumn("run_id", F.lit(1))
     scored = keywords.opportunities(keyword_rows(spark, sf_dir), serps(spark, sf_dir))
-    crawl = all_findings(spark, sf_dir)
-    own = vitals.diagnose(audits(spark, sf_dir).where("run_id = 1")).withColumn("seq", F.xxhash64("rule", "url"))
+    crawl = site_findings(spark, sf_dir)
+    own = vitals.diagnose(audits(spark, sf_dir).where("run_id = 1")).withColumn("seq", F.struct("url", "rule"))
     files = source_files(spark, sf_dir).withColumn("client", F.lit(views.CLIENT))
-    code = codeaudit.file_findings(files, codeaudit.detect_stack(files)).withColumn("seq", F.xxhash64("rule", "url"))
+    code = codeaudit.file_findings(files, codeaudit.detect_stack(files)).withColumn("seq", F.struct("url", "rule"))
     answers = ai.visibility(_samples(spark, sf_dir), _rivals(spark)).where("is_gap")
     gaps = ingest_keyword_gaps(spark, sf_dir).withColumns({"client": F.lit(views.CLIENT), "run_id": F.lit(1)})
     out = marts.prioritized_actions(one(trend_alerts(spark, sf_dir)), scored, own, crawl.where("category = 'onpage'"), crawl.where("category = 'indexing'"), crawl.where("category not in ('onpage', 'indexing')"), code, answers, gaps)
@@ -301,7 +301,11 @@ def tech_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.tech_evaluation(audits(spark, sf_dir)).drop("client")
 
 
-@query()
+_SINGLE = _PAGES + r""", p1 AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\.', '') ORDER BY length(url), page_id) = 1),
+f AS (""" + _ON_PAGE.replace(" FROM p WHERE", " FROM p1 WHERE") + ")"
+
+
+@query(_SINGLE + " SELECT url, count(*) AS n_findings, max(impact) AS impact, min(list_position(['critical', 'high', 'medium', 'low'], severity)) AS worst FROM f GROUP BY url")
 def single_page_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On-page findings of the shallowest page of every host, as for a list of single pages."""
     from ..functions.urls import url_host

@@ -12,9 +12,9 @@ from ..operators.keys import KEYS
 from ..sources.shared import shared_dir
 from ..streaming import rum
 from . import views
-from .audit_queries import audits, pages
+from .audit_queries import _ON_PAGE, _PAGES, audits, pages
 from .keyword_queries import _key, clients, serps
-from .registry import query
+from .registry import ORACLES, query
 from .views import with_views
 
 _RUN = """
@@ -126,13 +126,24 @@ def ai_rate_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query", F.round("previous_rate", 6).alias("previous_rate"), F.round("current_rate", 6).alias("current_rate"))
 
 
-@query()
+_ALERTS = """
+SELECT severity, kind, subject FROM ({ranks})
+UNION ALL SELECT 'info', 'competitor_entry', domain FROM ({rivals}) WHERE change = 'entry'
+UNION ALL SELECT 'warning', 'lcp_regression', url FROM ({vitals}) WHERE lcp_delta_ms > 500
+UNION ALL SELECT 'warning', 'ai_rate_drop', query FROM ({answers}) WHERE previous_rate - current_rate >= 0.34""".format(**{k: ORACLES[n] for k, n in {"ranks": "rank_alerts", "rivals": "competitor_changes", "vitals": "cwv_deltas", "answers": "ai_rate_deltas"}.items()})
+
+
+@query(f"SELECT 'client.com' AS client, * FROM ({_ALERTS})")
 def trend_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = diff.entries_and_exits(_rates(spark, sf_dir, "v_serp_prev"), _rates(spark, sf_dir, "v_serp"))
     return diff.alerts(_rank_changes(spark, sf_dir), changes, diff.cwv_deltas(*_audit_runs(spark, sf_dir)), diff.ai_rate_deltas(*_answers(spark, sf_dir)))
 
 
-@query()
+_EARLIER = _PAGES + ", p2 AS (SELECT * REPLACE (concat(title, ' - ', title) AS title) FROM p WHERE page_id % 3 <> 0), a AS (" + _ON_PAGE.replace(" FROM p WHERE", " FROM p2 WHERE") + "), b AS (" + _ON_PAGE + ")"
+
+
+@query(_EARLIER + """ SELECT rule, url, 'new' AS change FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.rule = b.rule AND a.url = b.url)
+UNION ALL SELECT rule, url, 'resolved' FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.rule = b.rule AND a.url = b.url)""")
 def findings_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On-page findings of the crawl against an earlier one in which every third page was not there and titles were longer."""
     from ..operators import audit
