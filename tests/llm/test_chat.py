@@ -47,3 +47,16 @@ def test_empty_table_and_native_plan(spark, sf_dir):
     empty = spark.createDataFrame([], f"conv_id long, turn long, role string, parts {chat.PART}")
     assert chat.format_chat(empty).count() == 0
     assert not re.search("Python|Pandas|Arrow", queries.QUERIES["op7_chat"](spark, sf_dir)._jdf.queryExecution().toString())
+
+
+def test_nulls_ties_repeats_long_texts_and_clashing_names(spark):
+    long = "é%<|" * 50_000
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "x"), (1, 0, "user", "x"), (1, 0, "assistant", "y"), (1, None, "system", None), (2, 0, "assistant", long), (3, 0, "a\nb", "")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts(F.col("text")))
+    frame = frame.selectExpr("*", "'k' AS place", "1 AS written", "2 AS every", "3 AS head", "4 AS content", "5 AS start", "6 AS attached", "7 AS formatted")
+    out = chat.format_chat(frame).withColumns({"said": chat.read_back(F.col("formatted")), "lost": chat.loss_text(F.col("formatted"), F.col("loss_mask"))})
+    got = {r.conv_id: ([tuple(t) for t in r.said], r.lost) for r in out.collect()}
+    assert got == {
+        None: ([("user", "a"), ("assistant", "b")], "b"), 1: ([("system", ""), ("assistant", "y"), ("user", "x"), ("user", "x")], "y"),
+        2: ([("assistant", long)], long), 3: ([("a\nb", "")], ""),
+    }
