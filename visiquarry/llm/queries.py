@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprints, langid, lm_score, packing, pii, secrets, simhash_dedup, suffix_dedup
+from . import chat, decontam, fingerprints, langid, lm_score, merkle, packing, periodic_runs, pii, secrets, setjoin, simhash_dedup, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,23 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", fingerprints.written("kept").alias("fingerprint"), fingerprints.written("edited_kept").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.proofs(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.cluster(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.detect(table(spark, sf_dir, "documents"), periodic_runs.modified)
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 @query
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("<|im_end|><|im_start|>assistant ok")
@@ -129,3 +146,47 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(role_chars + text_chars + 24) AS BIGINT) AS formatted_chars
 FROM written GROUP BY conv_id
 """
+
+ORACLES["op11_merkle"] = """
+WITH RECURSIVE written AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce('=' || lang, '') AS tree,
+    CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END
+      || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+      || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS head,
+    CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS chars,
+    CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) END AS more_chars,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS body,
+    -- crc32 of the decimal doc_id, a bit at a time
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) AS crc
+  FROM documents),
+hashed AS (
+  SELECT row, doc_id, tree, sha256(head || chars || body) AS leaf,
+    CASE WHEN crc % 7 = 0 THEN sha256(head || more_chars || body) ELSE sha256(head || chars || body) END AS start
+  FROM written),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM hashed),
+nodes AS (
+  SELECT tree, 0 AS level, idx, leaf AS h, n FROM ranked
+  UNION ALL
+  SELECT tree, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (max(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 2),
+subroots AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, idx, h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (max(n) + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, idx // 2),
+walk AS (
+  SELECT row, tree, 0 AS level, idx, n, start AS h, '' AS siblings FROM ranked
+  UNION ALL
+  SELECT w.row, w.tree, w.level + 1, w.idx // 2, (w.n + 1) // 2,
+    sha256(CASE WHEN w.idx % 2 = 1 THEN s.h || w.h ELSE w.h || coalesce(s.h, '') END), w.siblings || coalesce(s.h, '')
+  FROM walk w LEFT JOIN nodes s ON s.tree = w.tree AND s.level = w.level AND s.idx = xor(w.idx, 1) WHERE w.n > 1),
+up AS (
+  SELECT w.row, 0 AS level, r.idx, r.n, w.h, w.siblings, r.h AS subroot FROM walk w JOIN subroots r ON r.tree = w.tree WHERE w.n = 1
+  UNION ALL
+  SELECT u.row, u.level + 1, u.idx // 2, (u.n + 1) // 2,
+    sha256(CASE WHEN u.idx % 2 = 1 THEN s.h || u.h ELSE u.h || coalesce(s.h, '') END), u.siblings || coalesce(s.h, ''), u.subroot
+  FROM up u LEFT JOIN tops s ON s.level = u.level AND s.idx = xor(u.idx, 1) WHERE u.n > 1)
+SELECT d.doc_id, d.leaf, u.subroot, t.h AS root, sha256(u.siblings) AS proof_sha256, u.h AS folded_root, u.h = t.h AS verified
+FROM up u JOIN hashed d ON d.row = u.row JOIN tops t ON t.n = 1 WHERE u.n = 1
+"""
