@@ -94,13 +94,14 @@ def test_roots_choose_different_coordinates():
     assert len({k for _, k in roots}) == len(roots) == 12 and {t for t, _ in roots} == set(range(setjoin.TREES))
 
 
-@pytest.mark.parametrize("small", [200, 4])
+@pytest.mark.parametrize("small", [8192, 4])
 def test_groups_boilerplate_and_chains(spark, monkeypatch, small):
     """Groups of near copies, a passage that half of all texts share, and chains that only links between members connect.
 
     With SMALL = 4 most nodes branch, and those left after DEPTH levels are compared in tiles.
     """
     monkeypatch.setattr(setjoin, "SMALL", small)
+    monkeypatch.setattr(setjoin, "TILE", min(small, setjoin.TILE))
     r = random.Random(5)
     word = lambda: f"w{r.randrange(3000)}"
     passage = [word() for _ in range(60)]

@@ -5,17 +5,19 @@ documents are one component. Documents with equal sets are one record of the joi
 
 Every record has COORDS minwise tokens. A tree deals the records out by chosen coordinates: a node chooses, by its own hash, one
 coordinate or now and then two (1 / similarity on average), and records with one value there go on to one child. Nodes of
-at most SMALL records are compared exhaustively; larger ones branch again, down to DEPTH levels, beyond which their records are
-compared in tiles. A pair of similarity t survives a level with probability about t a branch, so TREES independent trees are
+at most SMALL records and SMALL_PAIRS pairs to compare are compared exhaustively; larger ones branch again, down to DEPTH
+levels, beyond which their records are compared in tiles. A pair of similarity t survives a level with probability about t a branch, so TREES independent trees are
 grown; their roots choose different coordinates. A pair of 0.8 that meets in small nodes at once, the usual case, is missed with
 probability 0.2^12; one whose nodes all branch twice more, with under 1e-3.
 
-Not all pairs of a node are told. Every node first pairs its records with one of them, and these pairs are verified. Nodes
+Not all pairs of a node are told. First the records of a root's child that agree in two more coordinates are each paired with
+some of them, and these pairs are verified: that links most of a group of near copies, whatever else shares its node. Nodes
 whose records are then one component are done; in the others only pairs of different components are compared. A comparison
 is by sizes and by parity bits, both necessary conditions, and by the number of equal coordinates, which passes a pair of 0.8
 but for MISS. Every pair told is verified on the full sets of 64-bit shingle hashes.
 
-Node sizes are counted before anything is gathered, so a task never holds more than SMALL records of a node, or 2 SMALL of a tile.
+Node sizes and pairs are counted before anything is gathered, so a task never holds more than SMALL records of a node, or two
+shares of TILE records of a tile.
 
 Defined results: a null text counts as empty; documents without words have an empty set, are linked with nothing and keep their
 own id; a null doc_id never names a component unless all its documents have none (its component is null then, and it is
@@ -39,7 +41,11 @@ from .graph import components
 from .words import BASE, Words, mixed
 
 SHINGLE, SIMILARITY = 4, 0.8
-COORDS, TREES, SMALL, DEPTH = 64, 10, 200, 6
+COORDS, TREES, DEPTH = 64, 10, 6
+#: most records of a node that is compared exhaustively, and most of its pairs of different components
+SMALL, SMALL_PAIRS = 1 << 13, 1 << 19
+PAIRS_AT_ONCE, TILE = 1 << 14, 512
+MASKS = (0, 0x2A5F0C3B96D1, 0x15C3A96E3D28, 0x3FFFFFFFFFFF)
 #: bits of parity; chance that the coordinates fail a pair of the similarity asked for; bits of the set that keeps texts from a shuffle
 PARITY, MISS, BITS_KEPT = 256, 1e-6, 1 << 26
 _FACTORS = np.random.default_rng(12).integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -188,13 +194,23 @@ def _told(members: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs of different components in nodes of few records (node, id, component, n, sketch) that ``alike`` passes."""
 
     def settle(ids: np.ndarray, group: np.ndarray, n: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
-        i, j = np.nonzero(np.triu(group[:, None] != group[None, :], 1))
-        for lo in range(0, len(i), 1 << 14):
-            x, y = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+        # by component, the largest last, so that its records are only met by those of the others
+        _, which, size = np.unique(group, return_inverse=True, return_counts=True)
+        order = np.lexsort((which, size[which]))
+        ids, n, own, which = ids[order], n[order], own[order], which[order]
+        ends = np.repeat(np.append(np.flatnonzero(np.diff(which)) + 1, len(ids)), np.diff(np.append(np.flatnonzero(np.diff(which, prepend=-1)), len(ids))))
+        upto = np.cumsum(len(ids) - ends)
+        lo = 0
+        while lo < len(ids):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS_AT_ONCE, "right")))
+            some = len(ids) - ends[lo:hi]
+            x = np.repeat(np.arange(lo, hi), some)
+            y = ends[x] + np.arange(len(x)) - np.repeat(np.cumsum(some) - some, some)
             ok = alike(n[x], n[y], own[x], own[y], similarity)
             if ok.any():
                 a, b = ids[x[ok]], ids[y[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
@@ -219,14 +235,15 @@ def _told(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def _mixed_nodes(members: DataFrame) -> DataFrame:
-    """(node, id, component, m) of the nodes whose m records are of more than one component."""
-    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("node", "m")
+    """(node, id, component, m, pairs) of the nodes whose m records are of more than one component; pairs: of different ones."""
+    sizes = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    sizes = sizes.select("node", "m", ((F.col("m") * F.col("m") - F.col("own")) / 2).cast("long").alias("pairs")).where("pairs > 0")
     return members.join(sizes, "node")
 
 
 def _tiles(members: DataFrame) -> DataFrame:
-    """Large nodes as tiles: records are dealt into shares of about SMALL, and every two shares meet in a node of their own."""
-    shares = F.ceil(F.col("m") / (SMALL // 2)).cast("int")
+    """Large nodes as tiles: records are dealt into shares of about TILE, and every two shares meet in a node of their own."""
+    shares = F.ceil(F.col("m") / TILE).cast("int")
     own = members.withColumns({"shares": shares, "share": F.pmod(F.xxhash64("id"), shares).cast("int")})
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     return other.select(F.xxhash64("node", F.least("share", "other"), F.greatest("share", "other")).alias("node"), "id", "component").distinct()
@@ -242,27 +259,36 @@ def links(docs: DataFrame, own: DataFrame, similarity: float = SIMILARITY, shing
         for batch in rows_in(batches, 4096):
             own, ids = _sketches_of(batch.column("sketch")), batch.column("id").to_numpy()
             nodes = [child(np.full(len(ids), -1 - t), np.full(len(ids), k), own[:, k]) for t, k in roots]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.tile(ids, len(roots)))], names=["node", "id"])
+            stars = []
+            for node, (_, k) in zip(nodes, roots):
+                for step in (1, 2):
+                    other = (k + step * COORDS // 3) % COORDS
+                    node = child(node, np.full(len(ids), other), own[:, other])
+                stars.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(stars)), pa.array(np.tile(ids, len(roots)))], names=["node", "star", "id"])
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_in(batches, 4096):
             at, nodes = branch(batch.column("node").to_numpy(), _sketches_of(batch.column("sketch")), similarity)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column("id").take(pa.array(at)), batch.column("component").take(pa.array(at))], names=["node", "id", "component"])
 
-    planted = arrow_map(features.select("id", "sketch"), plant, "node long, id long")
-    counts = materialize(planted.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("low"), F.max("id").alias("high")).where("m > 1"), "join-nodes")
-    members = materialize(planted.join(counts.where("m > 2").select("node", "low"), "node"), "join-members")
-    # nodes of two are pairs; in larger ones every record meets the first
-    star = counts.where("m = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(members.where("id <> low").select("low", "id")).distinct()
+    planted = materialize(arrow_map(features.select("id", "sketch"), plant, "node long, star long, id long"), "join-planted")
+    # under each mask the record whose masked id is the least is a centre
+    centres = [F.min(F.col("id").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"c{i}") for i, m in enumerate(MASKS)]
+    stars = planted.groupBy("star").agg(F.count(F.lit(1)).alias("m"), *centres).where("m > 1").select("star", F.array_distinct(F.array(*(f"c{i}" for i in range(len(MASKS))))).alias("centres"))
+    met = planted.join(stars, "star").select("id", F.explode("centres").alias("centre")).where("id <> centre")
+    star = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     tested = materialize(_screened(star, features, similarity), "join-pairs")
     first = _verified(tested, docs, features, similarity, shingle)
 
     member = components(first)
-    known = members.join(member.select(F.col("node").alias("id"), "component"), "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
+    shared = planted.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("node")
+    known = planted.join(shared, "node").join(member.select(F.col("node").alias("id"), "component"), "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
     compared = None
     for level in range(DEPTH + 1):
         now = materialize(_mixed_nodes(known), "join-mixed")
-        small, large = now.where(F.col("m") <= SMALL).select("node", "id", "component"), now.where(F.col("m") > SMALL)
+        few = (F.col("m") <= SMALL) & (F.col("pairs") <= SMALL_PAIRS)
+        small, large = now.where(few).select("node", "id", "component"), now.where(~few)
         over = large.isEmpty()
         if level == DEPTH and not over:
             small = small.union(_tiles(large))
