@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from visiquarry.functions import text as T
 from visiquarry.functions import urls as U
 from visiquarry.operators import audit, codeaudit, diff, findings, graph, keywords, runs, search, vitals
-from visiquarry.sources import configs
+from visiquarry.sources import configs, markup
 from visiquarry.sources.html_pages import extract, parse_page
 from visiquarry.streaming import rum
 
@@ -251,3 +252,59 @@ def test_runs_without_a_run_before(spark):
     rows = [("c", 1, "failed", "h"), ("c", 2, "completed", "h"), ("c", 3, "completed", None), ("c", 4, "running", "h")]
     got = diff.baselines(spark.createDataFrame(rows, "client string, run_id int, status string, config_hash string")).collect()
     assert {(r.run_id, r.previous_run, r.is_baseline, r.config_mismatch) for r in got} == {(1, None, True, False), (2, None, True, False), (3, 2, False, True), (4, 3, False, True)}
+
+
+MARKUP = {
+    '<img src="/a.png" style={{width: 10}} />': ("img", True, {"src": "/a.png", "style": "{{width: 10}}"}),
+    "<img alt={`${t}`} src='a.jpg'>": ("img", True, {"alt": "{`${t}`}", "src": "a.jpg"}),
+    "<img srcSet={`${a > b ? `x${c}` : '}'} 1x`} />": ("img", True, {"srcset": "{`${a > b ? `x${c}` : '}'} 1x`}"}),
+    '<script src="https://x.example/a.js" onLoad={() => { f("}") }}>': ("script", True, {"src": "https://x.example/a.js", "onload": '{() => { f("}") }}'}),
+    "<Image style={{a: {b: 1}}} priority\n  alt='x > y'/>": ("Image", True, {"style": "{{a: {b: 1}}}", "priority": "", "alt": "x > y"}),
+    "<a href=/x/y.html class=b>": ("a", True, {"href": "/x/y.html", "class": "b"}),
+    "<div {...rest} id='k'>": ("div", True, {"id": "k"}),
+    "<p <?php if ($a > 1) echo 'x'; ?> class=\"c\">": ("p", True, {"class": "c"}),
+    '<td data-v="never closed': ("td", False, {}),
+    "<b onClick={() => { if (a) {": ("b", False, {}),
+    "<i x": ("i", False, {"x": ""}),
+}
+
+
+@pytest.mark.parametrize("text", MARKUP)
+def test_markup_scanner(text):
+    name, closed, attributes = MARKUP[text]
+    got = markup.read_tags("text < 1\n" + text)
+    first = next(t for t in got if t["name"] == name)
+    have = {a["name"]: a["value"] for a in first["attributes"] if a["name"] in attributes or closed}
+    assert (first["closed"], first["line"], have) == (closed, 2, attributes)
+
+
+def test_markup_in_comments_and_attributes():
+    got = markup.read_tags("<!-- <h1 a='-->'>x</h1> --><H1>\n<Card icon={<img src='a.png'/>} on /><!-- open <p>")
+    assert [(t["name"], t["hidden"], t["line"]) for t in got] == [("h1", True, 1), ("H1", False, 1), ("Card", False, 2), ("img", False, 2), ("p", False, 2)]
+    assert [a["name"] for a in got[2]["attributes"]] == ["icon", "on"] and not got[0]["closed"]
+    assert markup.read_tags(None) == markup.read_postings("") == []
+
+
+def test_places_of_selectors(spark):
+    files = [
+        ("c", 1, "a.tsx", "<div\n className='x\n  ad-banner-2 ad--top _b'>\n<i id=\"ad\">"), ("c", 1, "b.tsx", 'echo "<p class=\'hero ad-banner\'>"; data-id="late"'), ("d", 1, "a.tsx", "<p class='hero'>"), ("c", 2, "z.tsx", "<p class='only-here'>"),
+    ]
+    frame = spark.createDataFrame(files, "client string, run_id int, rel_path string, content string")
+    asked = [
+        ("c", 1, ".ad", "a.tsx", 2), ("c", 1, ".ad-banner", "a.tsx", 2), ("c", 1, ".ad-banner-2", "a.tsx", 2), ("c", 1, ".banner-2", "a.tsx", 2), ("c", 1, ".ad--top", "a.tsx", 2), ("c", 1, ".ad-top", None, None), ("c", 1, ".b", None, None),
+        ("c", 1, ".hero", "b.tsx", 1), ("c", 1, "p#late", "b.tsx", 1), ("c", 1, ".only-here", None, None), ("d", 1, ".hero", "a.tsx", 1), ("c", 2, ".only-here", "z.tsx", 1), ("c", 1, ".banner-ad", None, None), ("c", 1, ".x-ad", None, None),
+    ]
+    made = spark.createDataFrame([a[:3] for a in asked], "client string, run_id int, culprit_selector string")
+    got = {(r.client, r.run_id, r.culprit_selector): (r.code_file, r.code_line) for r in codeaudit.link_findings(made, frame).collect()}
+    assert got == {a[:3]: a[3:] for a in asked}
+
+
+def test_source_findings_have_lines(spark):
+    files = [("p", "index.php", "<html>\n<head>\n<base href='/'>\n<meta name='robots' content='a'><meta name='googlebot'>\n<meta name='robots'>\n<!--\n<h1>old</h1> -->"), ("p", ".htaccess", ""), ("n", "app/layout.tsx", "// x\n'use client'\n<script>1</script>")]
+    frame = spark.createDataFrame([(c, 1, p, t) for c, p, t in files], "client string, run_id int, rel_path string, content string")
+    stacks = spark.createDataFrame([("p", 1, ["php-custom"]), ("n", 1, ["nextjs"])], "client string, run_id int, stacks array<string>")
+    found = codeaudit.file_findings(frame, stacks)
+    lines = {r.rule: r.code_line for r in found.collect() if r.code_line}
+    assert lines == {"base_href": 3, "robots_meta_conflict": 4, "h1_only_in_comment": 7, "use_client_layout": 2, "raw_script": 3}
+    by = {(r.client, r.code_file): [(x.rule, x.line) for x in r.listing] for r in codeaudit.by_file(found).collect()}
+    assert by["n", "app/layout.tsx"] == [("use_client_layout", 2), ("raw_script", 3)] and by["p", "index.php"][0] == ("h1_only_in_comment", 7)

@@ -12,8 +12,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .findings import finding
-from .keys import KEYS, first_by
+from ..sources import markup
+from .findings import finding, severity_rank
+from .keys import KEYS
 
 MAX_FILES, MAX_BYTES = 2000, 300_000
 # Files that are read, and folders that are not.
@@ -57,11 +58,6 @@ def scan_counters(rows: DataFrame, max_bytes: int = MAX_BYTES, max_files: int =
     return rows.groupBy(*KEYS).agg(F.count_if(fits).alias("files"), F.count_if(~fits).alias("oversized"), (F.count_if(fits) > max_files).alias("truncated"))
 
 
-def line_at(content: Column, index: Column) -> Column:
-    """1 and the newlines before a character."""
-    return F.size(F.split(F.substr(content, F.lit(1), index), "\n"))
-
-
 # What names the frameworks' configuration files, locale parameters, cache directives and tags long without use.
 CONFIG_KINDS = {"next": ("js", "mjs", "ts", "cjs"), "nuxt": ("js", "mjs", "ts"), "astro": ("js", "mjs", "ts")}
 STACK_NAMES = {"next": "nextjs", "nuxt": "nuxt", "astro": "astro"}
@@ -72,12 +68,6 @@ OPEN_GRAPH = ("og:title", "og:description", "og:image")
 FONT_HOSTS = ("fonts.googleapis.com", "fonts.gstatic.com")
 LEGACY_IMAGES = (".jpg", ".jpeg", ".png")
 
-_COMMENT = r"<!--[\s\S]*?-->"
-_QUOTED = r"(?:\x22[^\x22]*+\x22|'[^']*+'|\{[^}]*+\})"
-_TAG = rf"<([A-Za-z][A-Za-z0-9]*+)((?:{_QUOTED}|[^<>\x22'{{}}])*+)>"
-_ATTRIBUTE = rf"([A-Za-z_:][A-Za-z0-9_:.-]*+)(?:\s*=\s*({_QUOTED}|[^\s\x22'>]++))?"
-
-
 def _every(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -88,24 +78,11 @@ def _after(text: Column, pattern: str) -> Column:
     return F.slice(parts, 2, F.size(parts))
 
 
-def tags_of(text: Column) -> Column:
-    """array<struct<name, attributes: array<struct<name, value>>>>; names of attributes in lower case, values without quotes."""
-
-    def attributes(body: Column) -> Column:
-        pairs = F.arrays_zip(_every(body, _ATTRIBUTE, 1).alias("n"), _every(body, _ATTRIBUTE, 2).alias("v"))
-        return F.transform(pairs, lambda p: F.struct(F.lower(p["n"]).alias("name"), F.regexp_replace(p["v"], """^["']|["']$""", "").alias("value")))
-
-    found = F.arrays_zip(_every(text, _TAG, 1).alias("n"), _every(text, _TAG, 2).alias("b"))
-    return F.transform(found, lambda t: F.struct(t["n"].alias("name"), attributes(t["b"]).alias("attributes")))
-
-
 def parsed(files: DataFrame) -> DataFrame:
-    """files with tags, hidden (names of tags inside comments), exports, constants, imports, directives, file (parts of its name)."""
+    """files with tags, exports, constants, imports, directives, file (parts of its name)."""
     text = F.col("content")
     constants = F.arrays_zip(_every(text, _CONSTANT, 1).alias("name"), _every(text, _CONSTANT, 2).alias("value"))
-    return files.withColumns({
-        "tags": tags_of(F.regexp_replace("content", _COMMENT, "")),
-        "hidden": F.transform(tags_of(F.array_join(_every(text, _COMMENT), " ")), lambda t: F.lower(t["name"])),
+    return markup.with_tags(files).withColumns({
         "exports": _every(text, r"\bexport\s+(?:async\s+)?(?:const|let|var|function|class)\s+([A-Za-z_$][A-Za-z0-9_$]*)", 1),
         "constants": constants,
         "imports": _every(text, r"""\b(?:from|import)\s*["']([^"'\n]+)["']""", 1),
@@ -129,10 +106,15 @@ def _value(tag: Column, name: str) -> Column:
 
 
 def _tags(name: str, test=lambda t: F.lit(True)) -> Column:
-    """Tags of a name, however it is written, that pass a test."""
+    """Tags of a name, however it is written, that pass a test; those in comments too, as they are source all the same."""
     return F.filter("tags", lambda t: (F.lower(t["name"]) == name) & F.coalesce(test(t), F.lit(False)))
 
 
+def _line(tags: Column) -> Column:
+    """The line of the first of some tags."""
+    return F.get(tags, F.lit(0))["line"]
+
+
 def _has_attribute(tag: Column, *names: str) -> Column:
     return F.exists(tag["attributes"], lambda a: a["name"].isin(*names))
 
@@ -157,9 +139,9 @@ def file_rules() -> list[tuple[str, str, str, str | Column, Column, Column]]:
     exports = lambda name: F.array_contains("exports", name)
     ends = lambda value, kinds: F.exists(F.array(*map(F.lit, kinds)), lambda k: value.endswith(k))
     modern = lambda t: F.exists(t["attributes"], lambda a: F.lower(a["value"]).contains("webp") | F.lower(a["value"]).contains("avif"))
-    images = _tags("img", lambda t: ends(_value(t, "src"), LEGACY_IMAGES) & ~modern(t))
+    images = _tags("img", lambda t: t["closed"] & ends(_value(t, "src"), LEGACY_IMAGES) & ~modern(t))
     eager = F.filter(images, lambda t: F.coalesce(_value(t, "loading") != "lazy", F.lit(True)))
-    scripts = _tags("script", lambda t: _value(t, "src").startswith("http://") | _value(t, "src").startswith("https://"))
+    scripts = _tags("script", lambda t: t["closed"] & (_value(t, "src").startswith("http://") | _value(t, "src").startswith("https://")))
     blocking = F.filter(scripts, lambda t: ~_has_attribute(t, "async", "defer"))
     htaccess = F.substring_index("rel_path", "/", -1) == ".htaccess"
     head = some(_tags("head")) & ~F.lower(F.element_at("file", -1)).isin("html", "htm")
@@ -184,18 +166,37 @@ def file_rules() -> list[tuple[str, str, str, str | Column, Column, Column]]:
         ("php", "dead_meta", "onpage", "low", head & (F.size(dead) >= 2), count(dead)),
         ("php", "base_href", "links", "low", head & some(_tags("base", lambda t: _has_attribute(t, "href"))), none),
         ("php", "no_structured_data", "onpage", "low", head & ~some(data), none),
-        ("php", "h1_only_in_comment", "onpage", "high", F.array_contains("hidden", "h1") & ~some(_tags("h1")), none),
+        ("php", "h1_only_in_comment", "onpage", "high", some(_tags("h1")) & F.forall(_tags("h1"), lambda t: t["hidden"]), none),
         ("nextjs", "use_client_layout", "cwv", "high", layout & F.array_contains("directives", "use client"), none),
         ("nextjs", "dynamic_ssr_false", "indexing", "low", F.exists(after_dynamic, lambda x: x.rlike(r"\bssr\s*:\s*false\b")), none),
         ("nextjs", "force_dynamic", "cwv", "medium", F.exists("constants", lambda c: (c["name"] == "dynamic") & (c["value"] == "force-dynamic")), none),
         ("nextjs", "no_generate_static_params", "cwv", "low", page & segment & ~exports("generateStaticParams"), none),
         ("nextjs", "missing_metadata", "onpage", "high", page & ~exports("metadata") & ~exports("generateMetadata"), none),
         ("nextjs", "raw_img", "cwv", "medium", F.exists("tags", lambda t: t["name"] == "img") & ~uses("next/image"), none),
-        ("nextjs", "image_without_priority", "cwv", "low", page & some(component) & ~F.exists(component, lambda t: _has_attribute(t, "priority")), none),
+        ("nextjs", "image_without_priority", "cwv", "low", page & some(component) & ~text.rlike(r"\bpriority\b"), none),
         ("nextjs", "raw_script", "cwv", "low", F.exists(plain_script, lambda t: t["name"] == "script") & ~uses("next/script"), none),
     ]
 
 
+def places() -> dict[str, Column]:
+    """The line of a finding about one file, for the rules that name one: where the first of their tags or words stands."""
+    text = F.col("content")
+    before = lambda pattern: F.when(text.rlike(pattern), F.size(F.split(F.get(F.split(text, pattern, 2), F.lit(0)), "\n")))
+    named = lambda attribute, *values: _tags("meta", lambda t: _value(t, attribute).isin(*values))
+    return {
+        "robots_meta_conflict": F.coalesce(_line(named("name", "robots")), _line(named("name", "googlebot"))),
+        "no_cache_pragma": F.coalesce(_line(named("http-equiv", "pragma")), _line(named("http-equiv", "expires"))),
+        "dead_meta": _line(named("name", *DEAD_METAS)),
+        "base_href": _line(_tags("base", lambda t: _has_attribute(t, "href"))),
+        "h1_only_in_comment": _line(_tags("h1")),
+        "use_client_layout": before(r"""["']use client["']"""),
+        "dynamic_ssr_false": before(r"\bdynamic\s*\("),
+        "force_dynamic": before(r"\bexport\s+const\s+dynamic\s*="),
+        "raw_img": _line(_tags("img")),
+        "raw_script": _line(_tags("script", lambda t: F.coalesce(_value(t, "type") != "application/ld+json", F.lit(True)))),
+    }
+
+
 def _holds(stack: str) -> Column:
     if not stack:
         return F.lit(True)
@@ -204,10 +205,15 @@ def _holds(stack: str) -> Column:
 
 
 def file_findings(files: DataFrame, stacks: DataFrame) -> DataFrame:
-    """Findings about single files; url is the path."""
-    made = [F.when(F.coalesce(_holds(stack) & cond, F.lit(False)), finding(rule, category, sev, F.col("rel_path"), evidence)) for stack, rule, category, sev, cond, evidence in file_rules()]
+    """Findings about single files; url and code_file are the path, code_line the place where a rule names one."""
+    lines = places()
+    made = [
+        F.when(F.coalesce(_holds(stack) & cond, F.lit(False)), F.struct(finding(rule, category, sev, F.col("rel_path"), evidence).alias("f"), lines.get(rule, F.lit(None)).cast("int").alias("line")))
+        for stack, rule, category, sev, cond, evidence in file_rules()
+    ]
     rows = parsed(files).join(stacks, [*KEYS], "left").withColumn("stacks", F.coalesce("stacks", F.array().cast("array<string>")))
-    return rows.select(*KEYS, F.explode(F.array_compact(F.array(*made))).alias("f")).select(*KEYS, "f.*")
+    found = rows.select(*KEYS, "rel_path", F.explode(F.array_compact(F.array(*made))).alias("x"))
+    return found.select(*KEYS, "x.f.*", F.col("rel_path").alias("code_file"), F.col("x.line").alias("code_line"))
 
 
 def project_findings(files: DataFrame, stacks: DataFrame) -> DataFrame:
@@ -236,7 +242,14 @@ def project_findings(files: DataFrame, stacks: DataFrame) -> DataFrame:
         ("nextjs", "no_next_font", "cwv", "medium", F.col("fonts") & ~F.col("next_font"), none),
     ]
     made = [F.when(_holds(stack) & cond, finding(rule, category, sev, url, evidence)) for stack, rule, category, sev, cond, evidence in rules]
-    return rows.select(*KEYS, F.explode(F.array_compact(F.array(*made))).alias("f")).select(*KEYS, "f.*")
+    found = rows.select(*KEYS, F.explode(F.array_compact(F.array(*made))).alias("f"))
+    return found.select(*KEYS, "f.*", url.alias("code_file"), F.lit(None).cast("int").alias("code_line"))
+
+
+def by_file(findings: DataFrame) -> DataFrame:
+    """client, run_id, code_file (null: no single file), n_findings, worst, listing: array<struct<rank, rule, line, title>>, gravest first."""
+    entry = F.struct(severity_rank(F.col("severity")).alias("rank"), "rule", F.col("code_line").alias("line"), "title")
+    return findings.groupBy(*KEYS, "code_file").agg(F.count(F.lit(1)).alias("n_findings"), F.min(severity_rank(F.col("severity"))).alias("worst"), F.array_sort(F.collect_list(entry)).alias("listing"))
 
 
 def selector_token(selector: Column) -> Column:
@@ -246,28 +259,36 @@ def selector_token(selector: Column) -> Column:
     return F.substr(F.coalesce(first("."), first("#")), F.lit(2))
 
 
-def attribute_tokens(files: DataFrame) -> DataFrame:
-    """client, run_id, token, rel_path, line: what class and id attributes hold, by the line where the value stands.
+_TOKEN = r"(-*)([A-Za-z0-9_]+)"
+
+
+def token_places(tokens: DataFrame, files: DataFrame) -> DataFrame:
+    """client, run_id, token, code_file, code_line: where class and id attributes hold each token first, by path and offset.
 
-    A token may be a part of a word between hyphens or several in a row, as in ``ad`` and ``ad-banner`` of ``ad-banner-2``.
+    A token is a phrase of parts between hyphens. Its parts meet the positional index of the files; a place counts if all of them
+    stand there in order with the token's own hyphens between them. The index has a row for each part, however tokens combine them.
     """
-    lines = files.select(*KEYS, "rel_path", F.posexplode(F.split("content", "\n")).alias("at", "text"))
-    pairs = F.arrays_zip(_every(F.col("text"), _ATTRIBUTE, 1).alias("name"), _every(F.col("text"), _ATTRIBUTE, 2).alias("value"))
-    values = F.transform(F.filter(pairs, lambda p: F.lower(p["name"]).isin("class", "classname", "id") & p["value"].rlike("""^["']""")), lambda p: p["value"])
-    words = F.flatten(F.transform(values, lambda v: _every(v, "[A-Za-z0-9_-]+")))
-    rows = lines.select(*KEYS, "rel_path", (F.col("at") + 1).alias("line"), F.explode(F.array_distinct(words)).alias("word")).withColumn("parts", F.split("word", "-"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.transform(F.sequence(F.lit(1), F.size("parts") - i + 1), lambda n: F.array_join(F.slice("parts", i, n), "-"))))
-    own = F.array_distinct(F.filter(runs, lambda r: (r != "") & ~r.startswith("-") & ~r.endswith("-")))
-    return rows.select(*KEYS, F.explode(own).alias("token"), "rel_path", "line")
+    asked = tokens.select(*KEYS, "token").distinct()
+    spans = F.arrays_zip(_every(F.col("token"), _TOKEN, 1).alias("lead"), _every(F.col("token"), _TOKEN, 2).alias("part"))
+    # a part's offset within the token: what stands before it and its own hyphens
+    ahead = F.transform(spans, lambda x, i: F.aggregate(F.slice(spans, 1, i), F.length(x["lead"]), lambda n, y: n + F.length(y["lead"]) + F.length(y["part"])))
+    parts = asked.select(*KEYS, "token", F.size(spans).alias("n"), F.posexplode(F.arrays_zip(spans.alias("s"), ahead.alias("ahead"))).alias("i", "x"))
+    parts = parts.select(*KEYS, "token", "n", "i", "x.s.lead", "x.s.part", "x.ahead")
+    index = markup.postings(files).withColumnRenamed("lead", "found_lead")
+    met = parts.join(index, [*KEYS, "part"]).where(((F.col("i") == 0) & (F.col("lead") == "")) | F.col("found_lead").eqNullSafe(F.col("lead")))
+    whole = met.groupBy(*KEYS, "token", "n", "rel_path", (F.col("offset") - F.col("ahead")).alias("at")).agg(F.count(F.lit(1)).alias("have"), F.min("line").alias("line")).where("have = n")
+    first = whole.groupBy(*KEYS, "token").agg(F.min(F.struct("rel_path", "at", "line")).alias("p"))
+    return first.select(*KEYS, "token", F.col("p.rel_path").alias("found_file"), F.col("p.line").alias("found_line"))
 
 
 def link_findings(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """findings (with culprit_selector) and code_file, code_line: the first file whose attributes hold the selector's token.
+    """findings (with culprit_selector) and code_file, code_line: the first file whose attributes hold the selector's token, and
+    the line where that attribute starts.
 
     A finding that has a code_file already keeps its place.
     """
-    found = first_by(attribute_tokens(files), [*KEYS, "token"], [F.asc("rel_path"), F.asc("line")]).select(*KEYS, "token", F.col("rel_path").alias("found_file"), F.col("line").alias("found_line"))
-    out = findings.withColumn("token", selector_token(F.col("culprit_selector"))).join(found, [*KEYS, "token"], "left")
+    asked = findings.withColumn("token", selector_token(F.col("culprit_selector")))
+    out = asked.join(token_places(asked.where("token is not null"), files), [*KEYS, "token"], "left")
     if "code_file" not in findings.columns:
         return out.drop("token").withColumnsRenamed({"found_file": "code_file", "found_line": "code_line"})
     place = F.when(F.col("code_file").isNull(), F.struct("found_file", "found_line")).otherwise(F.struct(F.col("code_file").alias("found_file"), F.col("code_line").alias("found_line")))

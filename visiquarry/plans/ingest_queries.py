@@ -252,11 +252,57 @@ def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codeaudit.file_findings(files, stacks).unionByName(codeaudit.project_findings(files, stacks)).select("client", "rule", "url")
 
 
-@query(_FILES + " SELECT client, min(rel_path) AS code_file FROM v_source_files WHERE contains(content, 'class=\"ad\"') GROUP BY client")
+@query(_FILES + """, l AS (SELECT client, rel_path, regexp_extract_all(content, '(?s)^(.*?)(?:class(?:Name)?|id)="[^"]*\\bad\\b', 1)[1] AS before FROM v_source_files)
+SELECT client, rel_path AS code_file, CAST(length(before) - length(replace(before, chr(10), '')) + 1 AS INTEGER) AS code_line FROM l WHERE before IS NOT NULL QUALIFY row_number() OVER (PARTITION BY client ORDER BY rel_path) = 1""")
 def link_findings_to_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = source_files(spark, sf_dir)
     made = files.select(*KEYS).distinct().withColumn("culprit_selector", F.lit("main > div.ad"))
-    return codeaudit.link_findings(made, files).select("client", "code_file")
+    return codeaudit.link_findings(made, files).where("code_file is not null").select("client", "code_file", "code_line")
+
+
+_COMPONENTS = with_views("v_components")
+# what each kind of component shows; lines: two of the head, two of the main tag, then the markup, then the page
+_COMPONENT_HITS = _COMPONENTS + r""", c AS (SELECT *, page_id % 8 AS kind, strpos(html_, '<script') > 0 AS scripts,
+    5 + length(split_part(html_, '<script', 1)) - length(replace(split_part(html_, '<script', 1), chr(10), '')) AS script_line
+  FROM (SELECT v.*, p.html AS html_ FROM v_components v JOIN pages p USING (page_id))),
+hit AS (
+  SELECT client, 'legacy_images' AS rule, rel_path AS code_file, CAST(NULL AS INTEGER) AS code_line, CASE kind WHEN 1 THEN 'low' ELSE 'medium' END AS severity, CASE kind WHEN 1 THEN '0/1' ELSE '1/1' END AS evidence FROM c WHERE kind IN (0, 1, 6)
+  UNION ALL SELECT client, 'raw_img', rel_path, 4 + 1, 'medium', '' FROM c WHERE kind IN (0, 1, 5, 6)
+  UNION ALL SELECT client, 'third_party_scripts', rel_path, NULL, 'high', '1/1' FROM c WHERE kind = 2
+  UNION ALL SELECT client, 'image_without_priority', rel_path, NULL, 'low', '' FROM c WHERE kind = 3
+  UNION ALL SELECT client, 'raw_script', rel_path, CASE WHEN kind = 2 THEN 5 ELSE script_line + 1 END, 'low', '' FROM c WHERE kind = 2 OR scripts)"""
+
+
+def _component_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = views.view(spark, sf_dir, "v_components").select(*KEYS, "rel_path", "content")
+    stacks = files.select(*KEYS).distinct().withColumn("stacks", F.array(F.lit("nextjs")))
+    return codeaudit.file_findings(files, stacks)
+
+
+@query(_COMPONENT_HITS + " SELECT client, rule, code_file, code_line, severity, evidence FROM hit")
+def component_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over JSX with nested braces, template literals, tags in attributes and values over several lines, with their places."""
+    return _component_findings(spark, sf_dir).select("client", "rule", "code_file", "code_line", "severity", "evidence")
+
+
+@query(_COMPONENT_HITS + """ SELECT client, code_file, count(*) AS n_findings, min(list_position(['critical', 'high', 'medium', 'low'], severity)) AS worst,
+  string_agg(rule || ':' || coalesce(CAST(code_line AS VARCHAR), ''), ',' ORDER BY list_position(['critical', 'high', 'medium', 'low'], severity), rule) AS listing FROM hit GROUP BY client, code_file""")
+def code_findings_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = codeaudit.by_file(_component_findings(spark, sf_dir))
+    listing = F.array_join(F.transform("listing", lambda x: F.concat(x["rule"], F.lit(":"), F.coalesce(x["line"].cast("string"), F.lit("")))), ",")
+    return out.select("client", "code_file", "n_findings", "worst", listing.alias("listing"))
+
+
+@query(_COMPONENTS + """, t AS (SELECT client, unnest([CAST(page_id % 4 AS VARCHAR), CAST(page_id % 7 AS VARCHAR)]) AS n, unnest(['shell-', 'wide-card-']) AS stem, rel_path FROM v_components)
+SELECT client, '.' || stem || n AS culprit_selector, min(rel_path) AS code_file, CAST(3 AS INTEGER) AS code_line FROM t GROUP BY client, stem, n
+UNION ALL SELECT client, '.card', min(rel_path), CAST(3 AS INTEGER) FROM v_components GROUP BY client""")
+def selector_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every selector of the components, placed by phrases of the positional index; the attribute starts a line before some of its words."""
+    files = views.view(spark, sf_dir, "v_components")
+    own = F.array(F.lit(".card"), F.concat(F.lit("main > div.shell-"), F.col("page_id") % 4), F.concat(F.lit("main.wide-card-"), F.col("page_id") % 7))
+    made = files.select(*KEYS, F.explode(own).alias("culprit_selector")).distinct()
+    out = codeaudit.link_findings(made, files.select(*KEYS, "rel_path", "content"))
+    return out.select("client", F.concat(F.lit("."), F.substring_index("culprit_selector", ".", -1)).alias("culprit_selector"), "code_file", "code_line")
 
 
 @query(_FILES + " SELECT client, count(*) AS files, CAST(0 AS BIGINT) AS leaked FROM v_source_files WHERE rel_path LIKE '%.php' GROUP BY client")

@@ -78,6 +78,15 @@ FROM pages LEFT JOIN (SELECT page_id - 1 AS before_id, url AS next_url FROM page
 SELECT concat('client', CAST(page_id % 5 AS STRING)) AS client,
   concat(CASE page_id % 4 WHEN 0 THEN 'template/' WHEN 1 THEN 'app/' ELSE 'inc/' END, 'f', CAST(page_id AS STRING), CASE page_id % 4 WHEN 0 THEN '.html' WHEN 1 THEN '/page.tsx' ELSE '.php' END) AS rel_path,
   html AS content FROM pages""",
+    # each page's HTML in a component of its own, behind markup with braces, template literals and values over several lines
+    "v_components": """
+SELECT concat('client', CAST(page_id % 3 AS STRING)) AS client, concat('app/p', CAST(page_id AS STRING), '/page.tsx') AS rel_path, page_id,
+  concat('export const metadata = {}', chr(10), 'export default function P() { return <main', chr(10), '  className="wrap shell-', CAST(page_id % 4 AS STRING), chr(10), '    wide-card-', CAST(page_id % 7 AS STRING), '">', chr(10),
+    CASE page_id % 8 WHEN 0 THEN '<img src="/a.png" style={{width: 10}} />' WHEN 1 THEN '<img alt={`${t > 1 ? "a" : `b${n}`}`} src="/b.jpg" loading="lazy" />'
+      WHEN 2 THEN '<script src="https://cdn.example/x.js" onLoad={() => { f("}") }}></script>' WHEN 3 THEN '<Image src="/c.png" style={{color: "}"}} />'
+      WHEN 4 THEN '<Image priority src="/d.png" onClick={() => go({a: 1})} />' WHEN 5 THEN '<img srcSet={`${a} 1x`} src="/e.jpeg" data-alt="/e.webp" />'
+      WHEN 6 THEN '<Card icon={<img src="/f.jpg"/>} async />' ELSE '<script type="application/ld+json" dangerouslySetInnerHTML={{__html: s}} />' END,
+    chr(10), html, '</main> }') AS content FROM pages""",
 }
 
 USES = {"v_serp_prev": ("v_serp",)}
