@@ -89,6 +89,30 @@ SELECT concat('client', CAST(page_id % 3 AS STRING)) AS client, concat('app/p',
     chr(10), html, '</main> }') AS content FROM pages""",
 }
 
+# facts of five clients and six runs; the fourth run of clients 1 and 4 failed, client 2 has a run that still goes on
+_AT = "concat('client', CAST({of} % 5 AS STRING)) AS client, 1 + {run} % 6 AS run_id"
+VIEWS |= {
+    "v_run_states": """
+SELECT DISTINCT concat('client', CAST(o_custkey % 5 AS STRING)) AS client, 1 + o_orderkey % 6 AS run_id,
+  CASE WHEN o_orderkey % 6 = 3 AND o_custkey % 5 IN (1, 4) THEN 'failed' WHEN o_orderkey % 6 = 5 AND o_custkey % 5 = 2 THEN 'running' ELSE 'completed' END AS status,
+  concat('h', CAST((o_custkey % 5) * (o_orderkey % 6) % 4 AS STRING)) AS config_hash FROM orders""",
+    "v_run_keywords": f"""
+SELECT {_AT.format(of="l_suppkey", run="l_orderkey")}, CAST(l_partkey AS BIGINT) AS keyword, CAST(CASE WHEN min(l_quantity) <= 10 THEN min(l_quantity) END AS INT) AS client_rank FROM lineitem GROUP BY 1, 2, 3""",
+    "v_run_competitors": f"""
+SELECT {_AT.format(of="l_suppkey", run="l_orderkey")}, concat('s', CAST(l_partkey % 97 AS STRING), '.com') AS domain, count(*) % 3 <> 0 AS is_real_competitor FROM lineitem GROUP BY 1, 2, 3""",
+    "v_run_audits": f"""
+SELECT {_AT.format(of="o_custkey", run="o_orderkey")}, concat('/o/', CAST(o_custkey AS STRING)) AS url, CAST(max(CAST(floor(o_totalprice) AS BIGINT) % 6000) AS DOUBLE) AS lcp_ms,
+  CAST(max(CAST(floor(o_totalprice) AS BIGINT) % 700) AS DOUBLE) AS inp_ms, max(CAST(floor(o_totalprice) AS BIGINT) % 40) / CAST(100 AS DOUBLE) AS cls FROM orders GROUP BY 1, 2, 3""",
+    "v_run_samples": f"""
+SELECT {_AT.format(of="o_custkey", run="o_orderkey")}, concat('query ', CAST(o_custkey % 30 AS STRING)) AS query, CAST(floor(o_totalprice) AS BIGINT) % 3 = 0 AS client_mentioned FROM orders""",
+    "v_run_pages": f"""
+SELECT {_AT.format(of="page_id", run="CAST(floor(page_id / CAST(5 AS DOUBLE)) AS BIGINT)")}, url FROM pages""",
+    "v_run_findings": f"""
+SELECT {_AT.format(of="l_suppkey", run="l_orderkey")}, CASE l_linenumber % 2 WHEN 0 THEN 'onpage' ELSE 'links' END AS category,
+  concat(CASE l_returnflag WHEN 'R' THEN 'images without alt (' WHEN 'A' THEN 'long title (' ELSE 'broken link (' END, CAST(l_linenumber AS STRING), ')') AS title,
+  CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE concat('/p/', CAST(l_partkey AS STRING)) END AS url FROM lineitem""",
+}
+
 USES = {"v_serp_prev": ("v_serp",)}
 
 
