@@ -146,18 +146,6 @@ def test_origins(spark):
     assert sorted(tuple(r) for r in rum.allowed_origin(beacons, allowed).select("client", "origin").collect()) == [("a", "https://a.com"), ("b", "https://y.com")]
 
 
-def test_snapshots(spark, tmp_path):
-    rows = spark.createDataFrame([("c", 1, "a.com", 2), ("c", 2, "a.com", 3)], "client string, run_id int, domain string, n int")
-    runs.append_snapshot(rows, "competitors", str(tmp_path))
-    got = runs.read_snapshot(spark, str(tmp_path), "competitors", "c", 2)
-    assert [r.n for r in got.collect()] == [3]
-    try:
-        runs.append_snapshot(rows.union(rows), "competitors", str(tmp_path))
-        raise AssertionError("a repeated key went through")
-    except ValueError as e:
-        assert "repeated key" in str(e)
-
-
 def test_click_depth_with_budget(spark):
     edges = spark.createDataFrame([("c", 1, 0, i) for i in range(1, 6)] + [("c", 1, 1, 10), ("c", 1, 10, 0)], "client string, run_id int, source int, target int")
     seeds = spark.createDataFrame([("c", 1, 0)], "client string, run_id int, node int")

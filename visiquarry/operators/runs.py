@@ -1,4 +1,4 @@
-"""Runs: appending snapshots, run states, the latest runs, retention."""
+"""Runs: natural keys, run states, the latest runs, retention. Snapshots of their rows are in ``snapshots``."""
 
 from __future__ import annotations
 
@@ -18,11 +18,6 @@ NATURAL_KEYS = {
 }
 
 
-def repeated_keys(rows: DataFrame, table: str) -> DataFrame:
-    """Natural keys that occur more than once in a run, with their counts."""
-    return rows.groupBy(*KEYS, *NATURAL_KEYS[table]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
 def first_rows(rows: DataFrame, table: str, seq: str = "seq") -> DataFrame:
     """The first row, by ``seq`` (not null), of every natural key, for sources that repeat themselves (a link in header and footer,
     a field record, a keyword gap). An aggregate, so repeats meet within tasks before the shuffle."""
@@ -31,23 +26,6 @@ def first_rows(rows: DataFrame, table: str, seq: str = "seq") -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by(rest, seq).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
 
 
-def append_snapshot(rows: DataFrame, table: str, root: str) -> str:
-    """Append a run's rows to ``root``/``table``, in folders by client and run; a repeated natural key is an error."""
-    first = repeated_keys(rows, table).limit(1).collect()
-    if first:
-        raise ValueError(f"{table}: repeated key {first[0].asDict()}")
-    path = f"{root}/{table}"
-    rows.write.mode("append").partitionBy(*KEYS).parquet(path)
-    return path
-
-
-def read_snapshot(spark, root: str, table: str, client: str | None = None, run_id: int | None = None) -> DataFrame:
-    """Rows of a table; a client or run given here prunes folders."""
-    out = spark.read.parquet(f"{root}/{table}")
-    out = out if client is None else out.where(F.col("client") == client)
-    return out if run_id is None else out.where(F.col("run_id") == run_id)
-
-
 def run_states(events: DataFrame) -> DataFrame:
     """The state of every run from its events (client, run_id, status, config_hash, ts); only a running run can be closed."""
     closed = F.min_by("status", F.when(F.col("status") != "running", F.col("ts")))

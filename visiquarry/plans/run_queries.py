@@ -205,9 +205,9 @@ def rum_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT url, metric, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) >= 5)
 SELECT url, metric, n, round(value, 6) AS value FROM (SELECT s.*, n, row_number() OVER (PARTITION BY url, metric ORDER BY value, event_id) AS place FROM s JOIN k USING (url, metric)) WHERE place = ceil(n * 0.75)""")
 def rum_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The beacons through the stream: landed as four files, one micro-batch each, percentiles from its sink."""
+    """The beacons through the stream: landed as two files, one micro-batch each, percentiles from its sink."""
     root = f"{shared_dir(spark)}/rum-{uuid.uuid4().hex}"
-    payloads(spark, sf_dir).select("client", "origin", "payload").repartition(4).write.json(f"{root}/landed")
+    payloads(spark, sf_dir).select("client", "origin", "payload").repartition(2).write.json(f"{root}/landed")
     stream = rum.start(spark, f"{root}/landed", root, files_per_batch=1)
     stream.awaitTermination()
     return rum.current_p75(spark, root, rum.last_batch(stream)).select("url", "metric", "n", F.round("value", 6).alias("value"))

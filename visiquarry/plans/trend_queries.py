@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import trend
+from ..operators import snapshots, trend
+from ..operators.keys import KEYS
+from ..sources.shared import shared_dir
 from . import views
 from .registry import ORACLES, query
 from .views import with_views
@@ -69,3 +73,39 @@ def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for every completed run; the first of a client is a baseline without changes."""
     given = facts(spark, sf_dir)
     return trend.summary(given[0], trend.changes(*given))
+
+
+_KEYWORDS = with_views("v_run_states", "v_run_keywords")
+_AGE = " (SELECT client, run_id, dense_rank() OVER (PARTITION BY client ORDER BY run_id DESC) AS age FROM (SELECT DISTINCT client, run_id FROM v_run_states))"
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """Keyword rows in two commits, the first told twice, and then the newest four runs of each client kept."""
+    root = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    states, rows = (views.view(spark, sf_dir, v) for v in ("v_run_states", "v_run_keywords"))
+    for name, part in (("first", "run_id <= 3"), ("first", "run_id <= 3"), ("second", "run_id > 3")):
+        snapshots.commit(rows.where(part), root, "keyword_snapshots", name)
+    snapshots.retire(states, root, "keyword_snapshots", "retention", 4)
+    return root
+
+
+@query(_KEYWORDS + ", a AS" + _AGE + " SELECT client, run_id, CAST(keyword AS BIGINT) AS keyword, client_rank FROM v_run_keywords JOIN a USING (client, run_id) WHERE age <= 4")
+def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.read(spark, _stored(spark, sf_dir), "keyword_snapshots").select(*KEYS, "keyword", "client_rank")
+
+
+@query(_KEYWORDS + ", a AS" + _AGE + """, n AS (SELECT client, run_id, count(*) AS n_rows FROM v_run_keywords GROUP BY ALL)
+SELECT client, run_id, CASE WHEN run_id <= 3 THEN 'first' ELSE 'second' END AS commit, 'append' AS op, n_rows FROM n
+UNION ALL SELECT client, run_id, 'retention', 'drop', 0 FROM n JOIN a USING (client, run_id) WHERE age > 4""")
+def snapshot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.manifest(spark, _stored(spark, sf_dir), "keyword_snapshots").select(*KEYS, "commit", "op", "n_rows")
+
+
+@query(ORACLES["run_summaries"])
+def summary_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summaries as a published mart: written for all runs, then anew for the later ones; what a reader sees."""
+    root = f"{shared_dir(spark)}/marts-{uuid.uuid4().hex}"
+    rows = run_summaries(spark, sf_dir)
+    snapshots.publish_mart(rows.withColumn("alerts", F.lit(-1).cast("long")).where("run_id > 3"), root, "run_summaries", "early")
+    snapshots.publish_mart(rows, root, "run_summaries", "late")
+    return snapshots.read(spark, root, "mart_run_summaries").select(rows.columns)
