@@ -150,10 +150,14 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, seed: int
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the least log loss, on a grid in log space."""
-    grid = np.exp(np.linspace(np.log(0.2), np.log(5), 120))
-    loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(labels)), labels], 1e-12)).mean() for t in grid]
-    return float(grid[int(np.argmin(loss))])
+    """The temperature with the least log loss: a grid in log space over six decades, made finer twice around its best point."""
+    low, high = np.log(1e-3), np.log(1e3)
+    for _ in range(3):
+        grid = np.linspace(low, high, 61)
+        loss = [-np.log(np.maximum(softmax(logits / np.exp(t))[np.arange(len(labels)), labels], 1e-12)).mean() for t in grid]
+        best = int(np.argmin(loss))
+        low, high = grid[max(0, best - 1)], grid[min(60, best + 1)]
+    return float(np.exp(grid[best]))
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
@@ -168,10 +172,12 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
         return Model([], np.zeros((DIM, 0)), idf, 1.0)
     rate = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, per_lang / sizes[k]))))
     chosen = F.pmod("h", F.lit(1 << 40)) < F.element_at(rate, F.col("lang")) * (1 << 40)  # copies of a text have hashes of their own
-    features, rows = Features(), []
-    for r in docs.where(chosen).select("text", "lang").toLocalIterator():
+    features, drawn = Features(), []
+    for r in docs.where(chosen).select("h", "text", "lang").toLocalIterator():
         if (x := features.vector(r["text"], idf)) is not None:
-            rows.append((*x, langs.index(r["lang"])))
+            drawn.append((r["h"], r["lang"], x))
+    # in order of their hashes, so that the table's partitions do not matter; equal hashes are equal rows
+    rows = [(*x, langs.index(lang)) for _, lang, x in sorted(drawn, key=lambda d: d[:2])]
     fitted, left = [r for i, r in enumerate(rows) if i % 5], rows[::5]
     weights = ftrl(fitted or rows, len(langs))
     logits = np.array([v @ weights[c] for c, v, _ in left]) if left else np.zeros((0, len(langs)))
