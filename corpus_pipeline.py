@@ -1,4 +1,9 @@
-"""The document pipeline: language, near duplicates, benchmark passages, personal data, packing."""
+"""The document pipeline: language, near duplicates, benchmark passages, personal data, packing.
+
+Defined results: documents with a null text or without letters go in the first stage; a null doc_id stays unless its text is a near
+copy of another document's; of repeated rows one stays; columns beside those of documents pass through all stages but the last as
+they came; an empty table, or one whose documents name no language, gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -20,10 +25,11 @@ CACHED_WORDS = 200_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; texts without letters go."""
+    """Documents in a language that the labelled ones teach; texts without letters go. Every column leaves as it came, whatever its name."""
     model = langid.fit(docs)
-    kept = langid.predict(docs, model).where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.select(docs.columns)
+    whole = docs.select(F.struct("*").alias("d"), "text")
+    kept = langid.predict(whole, model, ["d"]).where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return kept.select(*(F.col("d")[c].alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
