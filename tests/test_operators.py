@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from visiquarry.functions import text as T
 from visiquarry.functions import urls as U
-from visiquarry.operators import audit, codeaudit, diff, findings, graph, keywords, runs, search, vitals
+from visiquarry.operators import audit, codeaudit, diff, findings, graph, keywords, ranking, runs, search, vitals
 from visiquarry.sources import configs, markup
 from visiquarry.sources.html_pages import extract, parse_page
 from visiquarry.streaming import rum
@@ -296,3 +296,24 @@ def test_source_findings_have_lines(spark):
     assert lines == {"base_href": 3, "robots_meta_conflict": 4, "h1_only_in_comment": 7, "use_client_layout": 2, "raw_script": 3}
     by = {(r.client, r.code_file): [(x.rule, x.line) for x in r.listing] for r in codeaudit.by_file(found).collect()}
     assert by["n", "app/layout.tsx"] == [("use_client_layout", 2), ("raw_script", 3)] and by["p", "index.php"][0] == ("h1_only_in_comment", 7)
+
+
+def test_places_in_groups_of_any_size(spark):
+    rows = [("a", i % 7, i) for i in range(500)] + [("b", 1, i) for i in range(3)] + [(None, 0, 1), (None, 5, 2)]
+    frame = spark.createDataFrame(rows, "g string, score int, seq int").repartition(5)
+    got = sorted((r.g or "", r.place, r.score, r.seq) for r in ranking.place_all(frame, ["g"], [F.desc("score"), F.asc("seq")]).collect())
+    want = []
+    for g in ("", "a", "b"):
+        own = sorted(((s, q) for x, s, q in rows if (x or "") == g), key=lambda x: (-x[0], x[1]))
+        want += [(g, i + 1, s, q) for i, (s, q) in enumerate(own)]
+    assert got == want
+    assert ranking.place_all(frame.where("seq < 0"), ["g"], ["seq"]).count() == 0
+
+
+def test_plans_of_ranks(spark):
+    """No window over a run: full ranks have one over ranges, limits keep n rows of each run in every task."""
+    frame = spark.createDataFrame([("c", 1, "onpage", "low", "t", "u", 0.1, 1, "r", "e", 1)], "client string, run_id int, category string, severity string, title string, url string, phase_share double, seq int, rule string, evidence string, impact int")
+    full = findings.sort_findings(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in full and "_range" in full
+    capped = findings.cap_findings(frame, 3)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in capped and "Partial" in capped

@@ -84,11 +84,17 @@ def on_page(pages: DataFrame) -> DataFrame:
     return _emit(pages.where(evaluable()), rules)
 
 
-def duplicates(pages: DataFrame, key: Column, rule: str, severity: str) -> DataFrame:
-    """A finding for every page that shares a non-empty key with another; its evidence is the group's size and first pages."""
+def duplicate_members(pages: DataFrame, key: Column) -> DataFrame:
+    """client, run_id, k, url, n: the pages of every group that shares a non-empty key, a row each, and the group's size. A page's
+    siblings are the other rows of its group."""
     keyed = pages.where(evaluable()).select(*KEYS, "seq", "url", key.alias("k")).where("k is not null and k <> ''")
     groups = keyed.groupBy(*KEYS, "k").agg(F.count(F.lit(1)).alias("n"))
-    shared = keyed.join(groups.where("n > 1"), [*KEYS, "k"])
+    return keyed.join(groups.where("n > 1"), [*KEYS, "k"])
+
+
+def duplicates(pages: DataFrame, key: Column, rule: str, severity: str) -> DataFrame:
+    """A finding for every page that shares a non-empty key with another; its evidence is the group's size and first pages."""
+    shared = duplicate_members(pages, key)
     return _emit(shared, [(rule, "onpage", severity, F.lit(True), F.concat_ws(" ", F.col("n").cast("string"), F.col("k")), F.col("n"))])
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .keys import KEYS
+from .keys import KEYS, top
+from .ranking import place_all
 
 SEVERITIES = ("critical", "high", "medium", "low")
 IMPACT = {"critical": 70, "high": 45, "medium": 25, "low": 10}
@@ -86,17 +87,21 @@ def collapse_widespread(findings: DataFrame, seq: str = "seq", over: int = WIDES
     return kept.unionByName(collapsed)
 
 
+def findings_order(seq: str = "seq") -> list[Column]:
+    """By severity, then share, then as they came."""
+    return [severity_rank(F.col("severity")).asc(), F.coalesce("phase_share", F.lit(0.0)).desc(), F.col(seq).asc()]
+
+
 def sort_findings(findings: DataFrame, seq: str = "seq") -> DataFrame:
-    """``place`` within the run: by severity, then share, then as they came."""
-    order = Window.partitionBy(*KEYS).orderBy(severity_rank(F.col("severity")), F.coalesce("phase_share", F.lit(0.0)).desc(), seq)
-    return findings.withColumn("place", F.row_number().over(order))
+    """``place`` within the run, for runs of any size."""
+    return place_all(findings, [*KEYS], findings_order(seq))
 
 
 def cap_findings(findings: DataFrame, n: int, seq: str = "seq") -> DataFrame:
     """The first ``n`` findings of each run after collapsing, and how many are hidden."""
-    placed = sort_findings(collapse_widespread(findings, seq), seq)
-    total = placed.groupBy(*KEYS).agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("hidden"))
-    return placed.where(F.col("place") <= n).join(total, [*KEYS])
+    rows = collapse_widespread(findings, seq)
+    total = rows.groupBy(*KEYS).agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("hidden"))
+    return top(rows, n, [*KEYS], findings_order(seq)).join(total, [*KEYS])
 
 
 def mark_synthetic(findings: DataFrame, runs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.text import classify_intent, cluster_id, tr_contains, tr_normal
 from ..functions.urls import url_template
 from .findings import finding
 from .keys import KEYS, first_by, round_half_up, top
+from .ranking import place_all
 
 MAX_AUDIT_URLS = 4
 MIN_VOLUME = 500
@@ -21,9 +22,17 @@ def first_serps(serps: DataFrame) -> DataFrame:
     return rows.join(first, [*KEYS, "kw", "serp_id"])
 
 
+def serp_summary(serps: DataFrame) -> DataFrame:
+    """client, run_id, kw, client_rank, ai, snippet of every keyword's first result page: two aggregates over one reading."""
+    pages = serps.withColumn("kw", tr_normalize(F.col("keyword"))).groupBy(*KEYS, "kw", "serp_id").agg(
+        F.min(F.when(F.col("domain") == F.col("client"), F.col("position"))).alias("client_rank"), F.bool_or("has_ai_overview").alias("ai"), F.bool_or("has_featured_snippet").alias("snippet"),
+    )
+    return pages.groupBy(*KEYS, "kw").agg(F.min_by(F.struct("client_rank", "ai", "snippet"), "serp_id").alias("s")).select(*KEYS, "kw", "s.*")
+
+
 def client_rank(keywords: DataFrame, serps: DataFrame) -> DataFrame:
     """keywords with client_rank, the client's place on the keyword's first result page, null if it has none."""
-    own = first_serps(serps).where("domain = client").groupBy(*KEYS, "kw").agg(F.min("position").alias("client_rank"))
+    own = serp_summary(serps).select(*KEYS, "kw", "client_rank")
     return keywords.withColumn("kw", tr_normalize(F.col("keyword"))).join(own, [*KEYS, "kw"], "left").drop("kw")
 
 
@@ -43,8 +52,14 @@ def clusters(rows: DataFrame, seq: str = "kw_id") -> DataFrame:
     ).select(*KEYS, "cluster_id", F.col("b.keyword").alias("representative"), F.col("b.intent").alias("intent"), "n_keywords", "total_volume", "avg_difficulty", "best_client_rank")
 
 
+def cluster_members(rows: DataFrame, seq: str = "kw_id") -> DataFrame:
+    """The keywords of every cluster, a row each with its place by volume; the first is the cluster's representative. No cluster is
+    gathered in one row or task."""
+    return place_all(rows.select(*KEYS, "cluster_id", "keyword", "volume", seq), [*KEYS, "cluster_id"], [F.desc("volume"), F.asc(seq)])
+
+
 def serp_features(keywords: DataFrame, serps: DataFrame) -> DataFrame:
-    flags = first_serps(serps).groupBy(*KEYS, "kw").agg(F.bool_or("has_ai_overview").alias("ai"), F.bool_or("has_featured_snippet").alias("snippet"))
+    flags = serp_summary(serps).select(*KEYS, "kw", "ai", "snippet")
     out = keywords.withColumn("kw", tr_normalize(F.col("keyword"))).join(flags, [*KEYS, "kw"], "left").drop("kw")
     return out.withColumns({"ai": F.coalesce("ai", F.lit(False)), "snippet": F.coalesce("snippet", F.lit(False))})
 
@@ -72,9 +87,9 @@ def opportunities(rows: DataFrame, serps: DataFrame) -> DataFrame:
 
 
 def rank_opportunities(scored: DataFrame, n: int | None = None, seq: str = "kw_id") -> DataFrame:
-    """The best ``n`` of each run, by score, then volume."""
+    """The best ``n`` of each run, by score, then volume; without ``n`` all of them with their places."""
     order = [F.desc("score"), F.desc("volume"), F.asc(seq)]
-    return top(scored, n if n is not None else 2**31 - 1, [*KEYS], order)
+    return place_all(scored, [*KEYS], order) if n is None else top(scored, n, [*KEYS], order)
 
 
 def select_audit_urls(serps: DataFrame, clients: DataFrame, n: int = MAX_AUDIT_URLS) -> DataFrame:

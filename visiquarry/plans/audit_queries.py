@@ -352,3 +352,12 @@ def click_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.view(spark, sf_dir, "v_page_links").select(*KEYS, F.col("source_id").alias("source"), F.col("target_id").alias("target"))
     seeds = spark.range(1, 2).select(F.lit(views.CLIENT).alias("client"), F.lit(1).alias("run_id"), F.col("id").alias("node"))
     return graph.click_depth(rows, seeds).select("node", "depth")
+
+
+@query(_PAGES + """, g AS (SELECT 'duplicate_title' AS rule, title AS k, url FROM p WHERE ok AND title <> '' UNION ALL SELECT 'duplicate_h1', h1s[1], url FROM p WHERE ok AND h1s[1] <> '')
+SELECT rule, k, url, count(*) OVER (PARTITION BY rule, k) AS n FROM g QUALIFY n > 1""")
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages share a title or a first heading: the membership of every group."""
+    rows = pages(spark, sf_dir)
+    of = lambda rule, key: audit.duplicate_members(rows, key).select(F.lit(rule).alias("rule"), "k", "url", "n")
+    return of("duplicate_title", F.col("title")).unionByName(of("duplicate_h1", F.get("h1s", F.lit(0))))

@@ -120,6 +120,11 @@ def keyword_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cluster_id", "representative", "intent", "n_keywords", "total_volume", F.round("avg_difficulty", 6).alias("avg_difficulty"), "best_client_rank")
 
 
+@query(_KW + " SELECT cluster_id, kw_id, keyword, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY volume DESC, kw_id) AS INTEGER) AS place FROM kw")
+def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.cluster_members(keyword_rows(spark, sf_dir)).select("cluster_id", "kw_id", "keyword", "place")
+
+
 _SCORED = """,
 flags AS (SELECT nk, bool_or(has_ai_overview) AS ai, bool_or(has_featured_snippet) AS snippet FROM first_serp GROUP BY nk),
 scored AS (

@@ -179,6 +179,27 @@ def field_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("url", *(F.round(c, 6).alias(c) for c in ("lcp_ms", "inp_ms", "cls")))
 
 
+# every sample's attribution: five parts of its first byte and the element that it names, from its own number
+_PARTS = ("waitingDuration", "cacheDuration", "dnsDuration", "connectionDuration", "requestDuration")
+
+
+def attributed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [(F.col("seq") * (3 + 2 * i) % 41).alias(p) for i, p in enumerate(_PARTS)]
+    told = F.when(F.col("seq") % 10 > 0, F.to_json(F.struct(F.concat(F.lit("#e"), F.col("seq") % 5).alias("target"), *parts)))
+    return rum_rows(spark, sf_dir).withColumn("attribution", told)
+
+
+@query(_RUM.replace("SELECT url, metric, n, value FROM (", "SELECT url, metric, n, value, event_id FROM (") + """,
+t AS (SELECT url, event_id, [event_id * 3 % 41, event_id * 5 % 41, event_id * 7 % 41, event_id * 9 % 41, event_id * 11 % 41] AS parts FROM p WHERE metric = 'TTFB' AND event_id % 10 > 0),
+a AS (SELECT url, round(max(CASE WHEN metric = 'TTFB' THEN value END), 6) AS ttfb_ms, max(CASE WHEN metric = 'LCP' AND event_id % 10 > 0 THEN concat('#e', CAST(event_id % 5 AS VARCHAR)) END) AS lcp_target
+  FROM p GROUP BY url HAVING max(CASE WHEN metric <> 'TTFB' THEN 1 END) = 1)
+SELECT a.url, ttfb_ms, lcp_target, ['waitingDuration', 'cacheDuration', 'dnsDuration', 'connectionDuration', 'requestDuration'][list_position(parts, list_max(parts))] AS ttfb_phase, CAST(parts[1] AS DOUBLE) AS waiting FROM a LEFT JOIN t USING (url)""")
+def field_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field audits with the attribution of the samples at the percentiles and the largest part of the first byte."""
+    out = rum.field_audits(rum.p75(attributed_rows(spark, sf_dir)))
+    return out.select("url", F.round("ttfb_ms", 6).alias("ttfb_ms"), F.col("attribution.lcp.target").alias("lcp_target"), "ttfb_phase", F.col("attribution.ttfb.waitingDuration").alias("waiting"))
+
+
 @query(with_views("v_rum_samples") + " SELECT 'client.com' AS client, count(*) AS samples, count(DISTINCT url) AS urls FROM v_rum_samples")
 def rum_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rum.status(rum_rows(spark, sf_dir))

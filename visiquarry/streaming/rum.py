@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.vitals import dominant
 
 METRICS = ("LCP", "INP", "CLS", "TTFB")
 RATINGS = ("good", "needs-improvement", "poor")
@@ -75,10 +76,26 @@ def decode_attribution(metric: Column, attribution: Column) -> Column:
 
 
 def field_audits(percentiles: DataFrame) -> DataFrame:
-    """One audit per URL from its percentiles; URLs without LCP, INP and CLS have none."""
+    """One audit per URL from its percentiles; URLs without LCP, INP and CLS have none.
+
+    Where the percentiles carry attribution, the audit has that of each metric's own sample (null if it sent none) as
+    ``attribution``, and the largest part of its TTFB as ``ttfb_phase``.
+    """
     of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
-    out = percentiles.groupBy("client", "url").agg(of("LCP", "value").alias("lcp_ms"), of("INP", "value").alias("inp_ms"), of("CLS", "value").alias("cls"), of("TTFB", "value").alias("ttfb_ms"), F.sum("n").alias("samples"))
-    return out.where("lcp_ms is not null or inp_ms is not null or cls is not null")
+    made = [of("LCP", "value").alias("lcp_ms"), of("INP", "value").alias("inp_ms"), of("CLS", "value").alias("cls"), of("TTFB", "value").alias("ttfb_ms"), F.sum("n").alias("samples")]
+    told = "attribution" in percentiles.columns
+    if told:
+        percentiles = percentiles.withColumn("_a", decode_attribution(F.col("metric"), F.col("attribution")))
+        for metric, fields in ATTRIBUTION.items():
+            own = F.when((F.col("metric") == metric) & F.col("_a").isNotNull(), F.struct(*(F.col(f"_a.{f}").alias(f) for f in fields)))
+            made.append(F.first(own, True).alias(f"_{metric.lower()}"))
+    out = percentiles.groupBy("client", "url").agg(*made).where("lcp_ms is not null or inp_ms is not null or cls is not null")
+    if not told:
+        return out
+    phase = F.when(F.col("_ttfb").isNotNull(), dominant({f: F.col(f"_ttfb.{f}") for f in ATTRIBUTION["TTFB"]}))
+    parts = [m.lower() for m in ATTRIBUTION]
+    whole = F.struct(F.lit("field").alias("source"), *(F.col(f"_{m}").alias(m) for m in parts))
+    return out.withColumns({"ttfb_phase": phase, "attribution": whole}).drop(*(f"_{m}" for m in parts))
 
 
 def status(rows: DataFrame) -> DataFrame:
