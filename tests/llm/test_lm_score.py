@@ -45,24 +45,56 @@ def test_query_equals_brute_force(spark, sf_dir, docs):
     assert order(got) == order(brute(rows))
 
 
-def test_probabilities_after_a_state_sum_to_one():
-    texts = ["a b a b c", "a c", "b a b", "d", "a b", ""]
-    seq, n = word_hashes.Words().read(texts)
-    kinds = []
+def automaton(learned, asked=()):
+    """(automaton of the learned texts that reaches the asked ones too, tokens of all texts, tokens of each)."""
+    seq, n = word_hashes.Words().read([*learned, *asked])
+    learning = np.arange(len(n)) < len(learned)
+    ids, counts = [], []
     for keys, text in lm_score.ngrams(seq, n):
-        own, counts = lm_score.counted(keys, np.ones(len(keys), bool))
-        kinds.append(dict(zip(own.tolist(), counts.tolist())))
-    known = sorted(set(seq.tolist()))
-    below = len(seq) + len(known) + 1
-    words = {w: int(word_hashes.Words().read([w])[0][0]) for w in "abcd"} | {"<s>": int(word_hashes.START)}
-    pair = lambda h, w: int(word_hashes.mixed(np.array([h], np.uint64) * word_hashes.BASE + np.uint64(w))[0])
-    gram = lambda k: k >> 64 - lm_score.GRAM_BITS
-    for g, h in (("<s>", "a"), ("a", "b"), ("b", "c"), ("d", "d"), ("c", "a")):
-        gh, total = pair(words[g], words[h]), 0.0
-        for w in [*known, 12345]:  # all words, the end and an unknown one
-            triple = int(word_hashes.mixed(np.array([gh], np.uint64) * word_hashes.MIX + np.uint64(w))[0])
-            total += lm_score.probability(kinds[0].get(w, 0), kinds[1].get(gram(pair(words[h], w)), 0), kinds[2].get(gram(triple), 0), kinds[0].get(words[h], 0), kinds[1].get(gram(gh), 0), below)
-        assert total == pytest.approx(1)
+        at, size = lm_score.distinct_ids(keys)
+        ids.append(at)
+        counts.append(np.bincount(at, learning[text], size).astype(np.int64))
+    tokens = seq[: int(n[: len(learned)].sum())]
+    return lm_score.Automaton(ids, counts, n, len(tokens) + len(set(tokens.tolist())) + 1), seq, n
+
+
+LEARNED = ["a b a b c", "a c", "b a b", "d", "a b", ""]
+
+
+def test_probabilities_after_every_state_sum_to_one():
+    """Over all words, the end and an unknown one; the start is no word that can follow."""
+    auto, seq, n = automaton(LEARNED, ["unknown"])
+    words = np.unique(auto.words)
+    assert len(words) == 6 and len(auto.failure) > 12
+    ends = int(auto.words[-1])
+    last = set(auto.target[auto.arcs % auto.n_words == ends].tolist())  # nothing follows an end
+    for state in set(range(len(auto.failure))) - last:
+        _, weight = auto.step(np.full(len(words), state), words)
+        assert (10**weight).sum() == pytest.approx(1)
+
+
+def test_failure_arcs_are_walked():
+    """After "a b" an unknown word fails from the pair to the word to the empty state, and is left there without a history."""
+    auto, seq, n = automaton(LEARNED, ["a b zz a b"])
+    a, b, unknown = auto.words[-6:-3]
+    state = auto.start[-1:]
+    for w in (a, b):
+        state, _ = auto.step(state, np.array([w]))
+    pair = int(state[0])
+    word = int(auto.failure[pair])
+    assert auto.failure[word] == 0 and len({pair, word, 0}) == 3
+    after, weight = auto.step(state, np.array([unknown]))
+    assert after[0] == 0
+    assert weight[0] == pytest.approx(math.log10(3 / (4 + 3)) + math.log10(1000 / (5 + 1000)) + auto.weight[unknown])  # "a b" was learned four times, "b" five times
+    again, _ = auto.step(after, np.array([a]))
+    assert auto.failure[again[0]] == 0 and again[0] > 0  # the word's state, as no pair with the unknown word was learned
+
+
+@settings(deadline=None, max_examples=40)
+@given(st.lists(st.text(alphabet="abc ", max_size=60), max_size=5), st.lists(st.text(alphabet="abcz ", max_size=60), min_size=1, max_size=4), st.integers(2, 9))
+def test_pieces_of_a_text_are_in_the_states_of_the_whole(learned, asked, lane):
+    auto, seq, n = automaton(learned, asked)
+    assert auto.walk(n, lane) == pytest.approx(auto.walk(n, 10**6))
 
 
 @settings(deadline=None, max_examples=30)

@@ -5,10 +5,12 @@ p1(w) = (c(w) + 1) / (N + V + 1), a Dirichlet prior smooths every longer history
 p(w | h) = (c(h w) + PRIOR[0] p1(w)) / (c(h) + PRIOR[0]) and p(w | g h) = (c(g h w) + PRIOR[1] p(w | h)) / (c(g h) + PRIOR[1]).
 The probabilities after any history sum to one, as every word but the end is followed by exactly one token.
 
-The automaton has a state for the start of a text, for every word, for every pair and the empty one. Every n-gram seen, once
-or more, is an arc with its smoothed probability; a state's failure arc, of weight PRIOR / (c + PRIOR), leads to the state of
-the shorter history, and the empty state has an arc for every word. A text is read once from left to right: the state after
-a token is its longest history seen, so the arcs and failure arcs of a text are known beforehand and looked up together.
+The automaton (``Automaton``) has a state for the start of a text, for every word, for every pair and the empty one. Every
+n-gram seen, once or more, is an arc with its smoothed probability; a state's failure arc, of weight PRIOR / (c + PRIOR), leads
+to the state of the shorter history, and the empty state has an arc for every word, known or not. A text is read once from left
+to right: each token takes the arc of the state that is carried, after as many failure arcs as it needs, and the weights of
+all arcs taken add up to the score. Texts of a chunk are walked side by side, long ones in pieces: a state holds two tokens
+at most, so a piece that first reads the two tokens before it, unweighted, is in the state of the whole text.
 
 Nothing that grows with the corpus is gathered in one place. Documents are dealt into chunks of about ``CHUNK_BYTES``. Each
 chunk tells its distinct n-grams with their counts in its learning texts, sorted and cut into ranges of the hash ("parts");
@@ -35,6 +37,7 @@ from .words import BASE, MIX, START, Words, mixed
 
 PRIOR = (1000.0, 3.0)
 CHUNK_BYTES = 16 << 20
+LANE = 256
 WORD_BITS, GRAM_BITS = 63, 56
 WIDTHS = (WORD_BITS, GRAM_BITS, GRAM_BITS)
 
@@ -111,10 +114,95 @@ def vocabulary(texts: DataFrame, n_parts: int) -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
-def probability(c1, c2, c3, at_h, at_gh, below: int, prior: tuple[float, float] = PRIOR):
-    """p(w | g h) from the counts of w, h w, g h w, h and g h; below = N + V + 1."""
-    p2 = (c2 + prior[0] * ((c1 + 1) / below)) / (at_h + prior[0])
-    return (c3 + prior[1] * p2) / (at_gh + prior[1])
+def distinct_ids(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """(place of each key among the distinct ones in order, how many these are)."""
+    order = np.argsort(keys)
+    s = keys[order]
+    at = np.empty(len(s), np.int32)
+    at[order] = np.cumsum(np.append(True, s[1:] != s[:-1])[: len(s)]) - 1
+    return at, int(at[order[-1]]) + 1 if len(s) else 0
+
+
+class Automaton:
+    """The states and arcs that the texts of a chunk can reach.
+
+    ids: for every token its word (then the start of each text), its pair and, but for first tokens, its triple, as places
+    among the distinct ones; counts: of these distinct ones in all learning texts. State 0 is the empty history; an arc is
+    known by its state and word, sorted. An n-gram never learned has no state and no arc.
+    """
+
+    def __init__(self, ids: list[np.ndarray], counts: list[np.ndarray], n: np.ndarray, below: int, prior: tuple[float, float] = PRIOR) -> None:
+        (words, pairs, triples), (c1, c2, c3) = ids, counts
+        size, first = int(n.sum()), np.cumsum(n) - n
+        self.words = words[:size]
+        before = np.roll(self.words, 1)
+        before[first] = words[size:]
+        rest = np.ones(size, bool)
+        rest[first] = False
+        rest = np.flatnonzero(rest)
+        # a token that ends each pair and each triple stands for all of them
+        at2, at3 = np.zeros(len(c2), np.int64), np.zeros(len(c3), np.int64)
+        at2[pairs] = np.arange(size)
+        at3[triples] = rest
+        history, word2 = before[at2], self.words[at2]
+        earlier, later, word3 = pairs[at3 - 1], pairs[at3], self.words[at3]
+
+        self.n_words, n1 = len(c1), int((c1 > 0).sum())
+        word_state = np.where(c1 > 0, np.cumsum(c1 > 0), 0).astype(np.int32)
+        pair_state = np.where(c2 > 0, n1 + np.cumsum(c2 > 0), word_state[word2]).astype(np.int32)
+        self.start = word_state[words[size:]]
+        self.failure = np.concatenate([np.zeros(1 + n1, np.int32), word_state[word2[c2 > 0]]])
+        self.failure_weight = np.log10(np.concatenate([np.ones(1), prior[0] / (c1[c1 > 0] + prior[0]), prior[1] / (c2[c2 > 0] + prior[1])]))
+
+        def sorted_arcs(source, word, target, p):
+            arcs = source.astype(np.int64) * self.n_words + word
+            order = np.argsort(arcs)
+            return arcs[order], target[order], np.log10(p)[order]
+
+        # states are numbered by the length of their histories, so the arcs of one length after the other are in order
+        p1 = (c1 + 1) / below
+        p2 = (c2 + prior[0] * p1[word2]) / (c1[history] + prior[0])
+        levels = [sorted_arcs(np.zeros(self.n_words), np.arange(self.n_words), word_state, p1)]
+        seen = np.flatnonzero(c2)
+        levels.append(sorted_arcs(word_state[history[seen]], word2[seen], pair_state[seen], p2[seen]))
+        seen = np.flatnonzero(c3)
+        earlier, later, word3 = earlier[seen], later[seen], word3[seen]
+        levels.append(sorted_arcs(pair_state[earlier], word3, pair_state[later], (c3[seen] + prior[1] * p2[later]) / (c2[earlier] + prior[1])))
+        self.arcs, self.target, self.weight = (np.concatenate(x) for x in zip(*levels))
+
+    def step(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states after a word each, log10 of its probability): failure arcs until the word has an arc; the empty state has all."""
+        after, weight = states.copy(), np.zeros(len(states))
+        left = np.arange(len(states))
+        while len(left):
+            asked = after[left].astype(np.int64) * self.n_words + words[left]
+            place = np.searchsorted(self.arcs, asked)
+            known = self.arcs[np.minimum(place, len(self.arcs) - 1)] == asked
+            taken, place, left = left[known], place[known], left[~known]
+            after[taken] = self.target[place]
+            weight[taken] += self.weight[place]
+            weight[left] += self.failure_weight[after[left]]
+            after[left] = self.failure[after[left]]
+        return after, weight
+
+    def walk(self, n: np.ndarray, lane: int = LANE) -> np.ndarray:
+        """log10 probability of each text."""
+        pieces = -(-n // lane)
+        text = np.repeat(np.arange(len(n)), pieces)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        at, length = (np.cumsum(n) - n)[text] + number * lane, np.minimum(lane, n[text] - number * lane)
+        order = np.argsort(-length, kind="stable")
+        text, number, at, length = text[order], number[order], at[order], length[order]
+        state, total = self.start[text], np.zeros(len(text))
+        later = np.flatnonzero(number)
+        state[later] = 0
+        for back in (2, 1):
+            state[later], _ = self.step(state[later], self.words[at[later] - back])
+        active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")
+        for t, k in enumerate(active.tolist()):
+            state[:k], weight = self.step(state[:k], self.words[at[:k] + t])
+            total[:k] += weight
+        return np.bincount(text, total, len(n))
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -166,31 +254,22 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         seq, n = Words().read(docs.column("text").to_pylist())
         learning = ~docs.column("held_out").to_numpy()
         answers = answers.sort_by("part")
-        found = []
+        ids, counts = [], []
         for o, (every, text) in enumerate(ngrams(seq, n)):
-            order = np.argsort(every, kind="stable")
-            s = every[order]
-            fresh = np.append(True, s[1:] != s[:-1]) if len(s) else np.zeros(0, bool)
-            at = np.empty(len(s), np.int64)
-            at[order] = np.cumsum(fresh) - 1
+            at, size = distinct_ids(every)
             more = np.concatenate([unpacked(b) for b in answers.column(f"m{o}").to_pylist()])
-            if len(more) != fresh.sum():
+            if len(more) != size:
                 raise ValueError("a chunk's texts changed between two reads")
-            found.append((np.bincount(at, learning[text], len(more)).astype(np.int64) + more.astype(np.int64))[at])
-        first = np.cumsum(n) - n
-        c1, starts = found[0][: len(seq)], found[0][len(seq) :]
-        at_h, at_gh, c3 = np.roll(c1, 1), np.roll(found[1], 1), np.zeros(len(seq), np.int64)
-        at_h[first], at_gh[first] = starts, 0
-        rest = np.ones(len(seq), bool)
-        rest[first] = False
-        c3[rest] = found[2]
-        arcs = np.log10(probability(c1, found[1], c3, at_h, at_gh, below))
-        total = lambda x: np.add.reduceat(x, first)
+            ids.append(at)
+            counts.append(np.bincount(at, learning[text], size).astype(np.int64) + more.astype(np.int64))
+        automaton = Automaton(ids, counts, n, below)
+        c1 = counts[0][automaton.words]
+        total = lambda x: np.add.reduceat(x, np.cumsum(n) - n)
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"),
             "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(total((c1 > 0).astype(np.int64)), pa.int64()),
             "train_tokens": pa.array(np.full(len(n), tokens), pa.int64()),
-            "base_score": pa.array(total(np.log10((c1 + 1) / below)), pa.float64()), "score": pa.array(total(arcs), pa.float64()),
+            "base_score": pa.array(total(np.log10((c1 + 1) / below)), pa.float64()), "score": pa.array(automaton.walk(n), pa.float64()),
         })
 
     asked = dealt.groupBy("chunk").applyInArrow(tell, "bucket int, part int, chunk int, k0 binary, k1 binary, k2 binary, n0 binary, n1 binary, n2 binary")
