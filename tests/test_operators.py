@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from visiquarry.functions import text as T
 from visiquarry.functions import urls as U
 from visiquarry.operators import audit, codeaudit, diff, findings, graph, keywords, ranking, runs, search, vitals
-from visiquarry.sources import configs, markup
+from visiquarry.sources import configs, ingest, markup
 from visiquarry.sources.html_pages import extract, parse_page
 from visiquarry.streaming import rum
 
@@ -146,6 +146,31 @@ def test_origins(spark):
     assert sorted(tuple(r) for r in rum.allowed_origin(beacons, allowed).select("client", "origin").collect()) == [("a", "https://a.com"), ("b", "https://y.com")]
 
 
+def test_crawl_waves_keep_to_site_exclusions_robots_and_budget(spark):
+    edge = lambda client, source, *targets: [(client, 1, f"https://{client}.com/{source}", t if t is None or t.startswith("http") else f"https://{client}.com/{t}", i) for i, t in enumerate(targets)]
+    rows = edge("a", "", "z", "b", "https://other.com/x", "hidden/1", "no/1", "no/yes", None, "b") + edge("a", "z", "b", "d") + edge("a", "b", "e", "", "c") + edge("a", "no/1", "lost") + edge("b", "", "hidden/1", "no/1") + edge("c", "", "x")
+    edges = spark.createDataFrame(rows * 2, "client string, run_id int, source string, target string, position int")
+    seeds = spark.createDataFrame([(c, 1, f"https://{c}.com/", 0) for c in "abc"] * 2, "client string, run_id int, url string, position int")
+    sites = spark.createDataFrame([("a", "a.com", ["/hidden"]), ("b", "b.com", None)], "client string, domain string, excluded array<string>")
+    rules = ingest.robots_rules(spark.createDataFrame([("a.com", "user-agent: *\ndisallow: /no\nallow: /no/y*s$")], "host string, content string"))
+    crawl = lambda **limits: {(r.client, r.url.split(".com/")[1]): (r.depth, r.place) for r in graph.crawl_waves(edges, seeds, sites, rules, **limits).collect()}
+    own = {("b", ""): (0, 1), ("b", "hidden/1"): (1, 2), ("b", "no/1"): (1, 3)}
+    every = {("a", ""): (0, 1), ("a", "z"): (1, 2), ("a", "b"): (1, 3), ("a", "no/yes"): (1, 4), ("a", "d"): (2, 5), ("a", "e"): (2, 6), ("a", "c"): (2, 7)}
+    assert crawl() == every | own
+    assert crawl(budget=6) == {k: v for k, v in every.items() if v[1] <= 6} | own
+    assert crawl(max_depth=1) == {k: v for k, v in every.items() if v[0] <= 1} | own
+    assert graph.crawl_waves(edges.limit(0), seeds.limit(0), sites.limit(0), rules.limit(0)).count() == 0
+
+
+def test_robots_rules_are_found_by_their_starts(spark):
+    text = "User-agent: *\nDisallow: /\nAllow: /a\nDisallow: /a*b\nAllow: /a/c$\nDisallow: *.pdf"
+    rules = ingest.robots_rules(spark.createDataFrame([("h", text)], "host string, content string"))
+    want = {"/": False, "/a": True, "/ax": True, "/axb": False, "/a/c": True, "/a/cb": False, "/q": False, "/a/x.pdf": False, "": False}
+    urls = spark.createDataFrame([("h", f"https://h{p}") for p in want] + [("free", "https://free/x.pdf")], "host string, url string")
+    got = {r.url: r.allowed for r in ingest.robots_allowed(urls, rules).collect()}
+    assert got == {f"https://h{p}": ok for p, ok in want.items()} | {"https://free/x.pdf": True}
+
+
 def test_click_depth_with_budget(spark):
     edges = spark.createDataFrame([("c", 1, 0, i) for i in range(1, 6)] + [("c", 1, 1, 10), ("c", 1, 10, 0)], "client string, run_id int, source int, target int")
     seeds = spark.createDataFrame([("c", 1, 0)], "client string, run_id int, node int")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, findings, graph, keywords, search, vitals
 from ..operators.keys import KEYS
-from ..sources import html_pages
+from ..sources import html_pages, ingest
 from ..sources.shared import stored
 from . import views
 from .keyword_queries import keyword_rows, serps
@@ -354,6 +354,39 @@ def click_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.click_depth(rows, seeds).select("node", "depth")
 
 
+_SECTION = "CASE target_id % 7 WHEN 0 THEN 'private' WHEN 1 THEN 'shop' ELSE 'p' END"
+_HOST = "CASE WHEN target_id % 11 = 0 THEN 'elsewhere.example' ELSE concat(client, '.example') END"
+
+
+def _crawl_sql(depths: int = 5, budget: int = 300) -> str:
+    """A wave after the other: new allowed addresses by the place of the page and the position of the link that lead there first."""
+    allowed = "target_id % 11 <> 0 AND NOT (client = 'a' AND target_id % 7 = 0) AND (target_id % 7 <> 1 OR CAST(target_id AS VARCHAR) LIKE '1%' OR (client = 'b' AND CAST(target_id AS VARCHAR) LIKE '%5'))"
+    sql = with_views("v_page_links") + f""", s AS (SELECT unnest(['a', 'b']) AS client),
+  l AS (SELECT client, source_id, target_id FROM v_page_links, s WHERE {allowed}),
+  w0 AS (SELECT client, CASE client WHEN 'a' THEN 2 ELSE 3 END AS id, 0 AS depth, 1 AS place FROM s)"""
+    for d in range(1, depths + 1):
+        before = " UNION ALL ".join(f"SELECT * FROM w{i}" for i in range(d))
+        sql += f""", b{d} AS ({before}),
+  c{d} AS (SELECT l.client, target_id AS id, min(place * 10000000000 + target_id) AS first_met FROM l JOIN w{d - 1} w ON w.client = l.client AND w.id = source_id
+    WHERE NOT EXISTS (SELECT 1 FROM b{d} b WHERE b.client = l.client AND b.id = target_id) GROUP BY l.client, target_id),
+  w{d} AS (SELECT * FROM (SELECT client, id, {d} AS depth, row_number() OVER (PARTITION BY client ORDER BY first_met) + (SELECT count(*) FROM b{d} b WHERE b.client = c{d}.client) AS place FROM c{d}) WHERE place <= {budget})"""
+    return sql + " SELECT client, id AS node, depth, CAST(place AS INT) AS place FROM (" + " UNION ALL ".join(f"SELECT * FROM w{i}" for i in range(depths + 1)) + ")"
+
+
+@query(_crawl_sql())
+def crawl_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawls of two sites over one graph, with other exclusions and robots rules, within the default depth and page budget."""
+    both = views.view(spark, sf_dir, "v_page_links").select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("client"), F.lit(1).alias("run_id"), "source_id", "target_id")
+    address = lambda node: F.expr(f"concat('https://', {_HOST}, '/', {_SECTION}, '/', target_id)".replace("target_id", node))
+    edges = both.select(*KEYS, address("source_id").alias("source"), address("target_id").alias("target"), F.col("target_id").alias("position"))
+    seeds = spark.createDataFrame([("a", 1, "https://a.example/p/2", 0), ("b", 1, "https://b.example/p/3", 0)], "client string, run_id int, url string, position int")
+    sites = spark.createDataFrame([("a", "a.example", ["/private"]), ("b", "b.example", [])], "client string, domain string, excluded array<string>")
+    text = F.concat(F.lit("User-agent: *\nDisallow: /shop/\nAllow: /shop/1\n"), F.when(F.col("client") == "b", "Allow: /shop/*5$\n").otherwise(""))
+    rules = ingest.robots_rules(sites.select(F.col("domain").alias("host"), text.alias("content")))
+    found = graph.crawl_waves(edges, seeds, sites, rules)
+    return found.select("client", F.substring_index("url", "/", -1).cast("long").alias("node"), "depth", "place")
+
+
 @query(_PAGES + """, g AS (SELECT 'duplicate_title' AS rule, title AS k, url FROM p WHERE ok AND title <> '' UNION ALL SELECT 'duplicate_h1', h1s[1], url FROM p WHERE ok AND h1s[1] <> '')
 SELECT rule, k, url, count(*) OVER (PARTITION BY rule, k) AS n FROM g QUALIFY n > 1""")
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

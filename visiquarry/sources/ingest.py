@@ -242,12 +242,19 @@ def robots_rules(files: DataFrame) -> DataFrame:
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
     """urls (host, url) with allowed: the longest matching rule of the agent wins, of equal ones the permission; no rule allows.
-    On hosts that have no group for the agent, the rules of ``*`` hold."""
+    On hosts that have no group for the agent, the rules of ``*`` hold.
+
+    A rule is found by its literal start, up to its first sign: a path is cut at the lengths that its host's rules have, and
+    these starts meet the rules' own, so that only rules whose start agrees are compared as patterns.
+    """
     named = rules.where(F.col("agent") == agent.lower())
     own = named.unionByName(rules.where("agent = '*'").join(named.select("host").distinct(), "host", "left_anti"))
     special = F.replace(F.regexp_replace("path", r"([.+?^{}()|\[\]\\])", r"\\$1"), F.lit("*"), F.lit(".*"))
-    own = own.withColumn("pattern", F.concat(F.lit("^"), special))
-    hit = urls.join(own, "host").where(F.regexp_like(url_path(F.col("url")), F.col("pattern")))
+    own = own.withColumns({"pattern": F.concat(F.lit("^"), special), "start": F.regexp_extract("path", "^[^*$]*", 0)})
+    lengths = own.groupBy("host").agg(F.collect_set(F.length("start")).alias("lengths"))
+    asked = urls.select("host", "url", url_path(F.col("url")).alias("asked")).join(lengths, "host")
+    cut = asked.select("host", "url", "asked", F.explode(F.filter("lengths", lambda n: n <= F.length("asked"))).alias("n"))
+    hit = cut.withColumn("start", F.left("asked", F.col("n"))).join(own, ["host", "start"]).where(F.regexp_like("asked", F.col("pattern")))
     best = hit.groupBy("host", "url").agg(F.max_by("allow", F.struct(F.length("path"), F.col("allow"))).alias("allowed"))
     return urls.join(best, ["host", "url"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
 
