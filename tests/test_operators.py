@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from visiquarry.functions import text as T
 from visiquarry.functions import urls as U
-from visiquarry.operators import audit, codeaudit, diff, findings, graph, keywords, ranking, runs, search, vitals
-from visiquarry.sources import configs, ingest, markup
+from visiquarry.operators import ai, audit, codeaudit, diff, findings, graph, keywords, ranking, runs, search, vitals
+from visiquarry.sources import configs, ingest, markup, source_tree
 from visiquarry.sources.html_pages import extract, parse_page
 from visiquarry.streaming import rum
 
@@ -182,9 +182,9 @@ def test_source_rules(spark, tmp_path):
     (tmp_path / "vendor").mkdir()
     (tmp_path / "vendor" / "x.php").write_text("<head>")
     (tmp_path / "config.php").write_text("$db_password = 's3cretValue99';")
-    (tmp_path / "htaccess").write_text("RewriteEngine On")
+    (tmp_path / ".htaccess").write_text("RewriteEngine On")
     (tmp_path / "index.php").write_text('<html><head ></head><!-- <h1>old</h1> --><img src="a.png"><script src="https://t.com/x.js"></script><div id="hero">x</div>')
-    files = codeaudit.source_files(codeaudit.scan(spark, str(tmp_path), "c"))
+    files = codeaudit.read_files(codeaudit.scan(spark, {"c": str(tmp_path)}))
     got = {r.rel_path: r.content for r in files.collect()}
     assert set(got) == {"config.php", ".htaccess", "index.php"}
     assert "s3cretValue99" not in got["config.php"] and codeaudit.REDACTED in got["config.php"]
@@ -342,3 +342,49 @@ def test_plans_of_ranks(spark):
     assert "row_number" not in full and "_range" in full
     capped = findings.cap_findings(frame, 3)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in capped and "Partial" in capped
+
+
+def test_source_tree(spark, tmp_path):
+    for rel in ("a.php", ".htaccess", ".json", "x.PHP", "n.md", "s/b.tsx", "s/t/c.css", "s/t/.htaccess", "vendor/v.php", "s/node_modules/deep/m.js", "s/.git/g.json", "vendors/w.js"):
+        (tmp_path / "c" / rel).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "c" / rel).write_text("x\n")
+    (tmp_path / "c" / "big.js").write_bytes(b"y" * 301)
+    (tmp_path / "c" / "bad.js").write_bytes(b"\xff\n\n")
+    (tmp_path / "c" / "loop").symlink_to(tmp_path / "c")
+    (tmp_path / "c" / "link.js").symlink_to(tmp_path / "c" / "big.js")
+    (tmp_path / "none").mkdir()
+    listed = codeaudit.scan(spark, {"c": str(tmp_path / "c"), "uri": f"file://{tmp_path}/c/s", "none": str(tmp_path / "none")}, 7)
+    got = {(r.client, r.run_id, r.rel_path) for r in listed.collect()}
+    assert got == {("c", 7, p) for p in ("a.php", ".htaccess", "x.PHP", "s/b.tsx", "s/t/c.css", "s/t/.htaccess", "vendors/w.js", "big.js", "bad.js")} | {("uri", 7, p) for p in ("b.tsx", "t/c.css", "t/.htaccess")}
+    files = {(r.client, r.rel_path): r for r in codeaudit.read_files(listed, max_bytes=300, max_files=5).collect()}
+    assert sorted(p for c, p in files if c == "c") == [".htaccess", "a.php", "bad.js", "s/b.tsx", "s/t/.htaccess"]
+    assert files["c", "bad.js"].content == "\ufffd\n\n" and files["c", "bad.js"].line_count == 3
+    assert {r.client: (r.files, r.oversized, r.truncated) for r in codeaudit.scan_counters(listed, 300, 5).collect()} == {"c": (5, 1, True), "uri": (3, 0, False)}
+    with pytest.raises(Exception, match="(?i)not.?found|no such file|does not exist"):
+        codeaudit.scan(spark, {"c": str(tmp_path / "absent")}).count()
+
+
+def test_contents_are_read_in_small_batches(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    for i in range(40):
+        (tmp_path / "c" / f"f{i:02}.js").write_text(str(i) * (i + 1))
+    listed = codeaudit.scan(spark, {"c": str(tmp_path / "c")})
+    assert {r.rel_path: r.content for r in source_tree.contents(listed, part_bytes=500, batch_bytes=30).collect()} == {f"f{i:02}.js": str(i) * (i + 1) for i in range(40)}
+    assert source_tree.contents(listed.where("false")).count() == 0
+
+
+def test_mentions_by_client(spark):
+    answers = spark.createDataFrame([
+        ("a", 1, 1, "We like Acme-Works and Rival!", "own"), ("a", 1, 2, None, None), ("b", 1, 3, "acmeworks, RİVAL", "x"), ("c", 1, 4, "acmeworks rival", "y"), ("a", 1, 1, "We like Acme-Works and Rival!", "own"), (None, 1, 5, "rival", "z"),
+    ], "client string, run_id int, n int, text string, answer_excerpt string")
+    brands = spark.createDataFrame([("a", "Acme Works"), ("a", "!!"), ("a", None), ("b", "other"), (None, "rival")], "client string, token string")
+    rivals = spark.createDataFrame([("a", "rival.com"), ("a", "rival.de"), ("a", "rival.com"), ("a", "we.com"), ("b", "acmeworks.com"), ("b", "rival.com"), ("b", None)], "client string, domain string")
+    out = ai.detect_mentions(answers, brands, rivals)
+    assert sorted(out.columns) == ["answer_excerpt", "client", "client_mentioned", "competitors_mentioned", "n", "run_id", "text"]
+    got = sorted((r.n, r.client_mentioned, r.competitors_mentioned, r.answer_excerpt) for r in out.collect() if r.n != 2)
+    assert got == [
+        (1, True, ["rival.com", "rival.de"], "We like Acme-Works and Rival!"), (1, True, ["rival.com", "rival.de"], "We like Acme-Works and Rival!"),
+        (3, False, ["acmeworks.com", "rival.com"], "acmeworks, RİVAL"), (4, False, [], "acmeworks rival"), (5, False, [], "rival"),
+    ]
+    assert [(r.client_mentioned, r.competitors_mentioned, r.answer_excerpt) for r in out.where("n = 2").collect()] == [(False, [], None)]
+    assert ai.detect_mentions(answers, brands.where("false"), rivals.where("false")).where("client_mentioned or size(competitors_mentioned) > 0").count() == 0

@@ -7,22 +7,15 @@ array over one scan; rules about a client's files are one grouped aggregate of b
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import markup
+from ..sources import markup, source_tree
 from .findings import finding, severity_rank
-from .keys import KEYS
+from .keys import KEYS, top
 
 MAX_FILES, MAX_BYTES = 2000, 300_000
-# Files that are read, and folders that are not.
-EXTENSIONS = ("php", "ts", "tsx", "js", "jsx", "mjs", "cjs", "html", "htm", "css", "scss", "json")
-IGNORED = ("vendor", "node_modules", ".git", "dist", "build", ".next", "upload", "uploads", ".phpunit.cache", "arsiv")
 
-_READ = rf"(?i)(\.({'|'.join(EXTENSIONS)})|(^|/)\.htaccess)$"
-_SKIPPED = "(^|/)(" + "|".join(n.replace(".", r"\.") for n in IGNORED) + ")/"
 _SECRET = r"""(?i)((?:password|passwd|pwd|secret|api_?key|access_?key|token)\w*["']?\s*(?:=>|[:=])\s*["'])[^"'\r\n]+(["'])"""
 REDACTED = "***REDACTED***"
 
@@ -32,30 +25,31 @@ def redact(content: Column) -> Column:
     return F.regexp_replace(content, _SECRET, f"$1{REDACTED}$2")
 
 
-def scan(spark: SparkSession, root: str, client: str, run_id: int = 1) -> DataFrame:
-    """Source files below a folder: readable kinds, ignored folders left out.
-
-    Spark's readers pass over names that begin with a dot, so ``.htaccess`` is to be landed as ``htaccess`` and gets its name back here.
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = re.sub("^file:/*", "/", root.rstrip("/")) + "/"
-    rel = F.substring_index(F.regexp_replace("path", "^file:/*", "/"), prefix, -1)
-    rel = F.regexp_replace(rel, "(^|/)htaccess$", "$1.htaccess")
-    rows = raw.select(F.lit(client).alias("client"), F.lit(run_id).alias("run_id"), rel.alias("rel_path"), "length", F.decode("content", "UTF-8").alias("content"))
-    return rows.where(F.col("rel_path").rlike(_READ) & ~F.col("rel_path").rlike(_SKIPPED))
+def scan(spark: SparkSession, trees: dict[str, str], run_id: int = 1) -> DataFrame:
+    """Readable files below each client's root, as a listing: client, run_id, root, rel_path, length. No file is opened."""
+    return source_tree.listing(spark, trees, run_id)
 
 
-def source_files(rows: DataFrame, max_bytes: int = MAX_BYTES, max_files: int = MAX_FILES) -> DataFrame:
-    """Files of a size that is read, ``max_files`` of each run in order of path (a limit of the audit itself), with line counts."""
+def _kept(rows: DataFrame, max_bytes: int, max_files: int | None) -> DataFrame:
     sized = rows.where(F.col("length") <= max_bytes)
-    order = Window.partitionBy(*KEYS).orderBy("rel_path")
-    kept = sized.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_files)
+    return sized if max_files is None else top(sized, max_files, [*KEYS], [F.asc("rel_path")], "_nth").drop("_nth")
+
+
+def source_files(rows: DataFrame, max_bytes: int = MAX_BYTES, max_files: int | None = MAX_FILES) -> DataFrame:
+    """Files of a size that is read, ``max_files`` of each run in order of path (a limit of the audit itself; None: all), with line counts."""
+    kept = _kept(rows, max_bytes, max_files)
     return kept.select(*KEYS, "rel_path", F.size(F.split("content", "\n")).alias("line_count"), redact(F.col("content")).alias("content"))
 
 
-def scan_counters(rows: DataFrame, max_bytes: int = MAX_BYTES, max_files: int = MAX_FILES) -> DataFrame:
-    fits = F.col("length") <= max_bytes
-    return rows.groupBy(*KEYS).agg(F.count_if(fits).alias("files"), F.count_if(~fits).alias("oversized"), (F.count_if(fits) > max_files).alias("truncated"))
+def read_files(listed: DataFrame, max_bytes: int = MAX_BYTES, max_files: int | None = MAX_FILES) -> DataFrame:
+    """``source_files`` of a scan: only the files that are kept are opened."""
+    return source_files(source_tree.contents(_kept(listed, max_bytes, max_files)), max_bytes, None)
+
+
+def scan_counters(listed: DataFrame, max_bytes: int = MAX_BYTES, max_files: int = MAX_FILES) -> DataFrame:
+    """files that are read, oversized ones that are not, truncated: whether there are more than are read."""
+    fits = F.count_if(F.col("length") <= max_bytes)
+    return listed.groupBy(*KEYS).agg(F.least(fits, F.lit(max_files).cast("long")).alias("files"), F.count_if(F.col("length") > max_bytes).alias("oversized"), (fits > max_files).alias("truncated"))
 
 
 # What names the frameworks' configuration files, locale parameters, cache directives and tags long without use.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import codeaudit, findings, marts, vitals
 from ..operators.keys import KEYS
-from ..sources import html_pages, ingest
+from ..sources import html_pages, ingest, source_tree
+from ..sources.shared import shared_dir
 from . import views
 from .audit_queries import _ON_PAGE, _PAGES, audits, pages, site_findings
 from .keyword_queries import _COMPETITORS, _competitors, _rivals, _samples, keyword_rows, serps
@@ -225,7 +228,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.when(nr % 3 == 0, F.array(F.lit("next.config.js"))).when(nr % 3 == 1, F.array(F.lit("index.php"), F.lit(".htaccess"))).otherwise(F.array(F.lit("wp-config.php")))
     text = F.when(F.col("rel_path") == ".htaccess", "RewriteRule ^(\\w+)$ /?lang=$1\n<FilesMatch css>\nExpiresActive On").otherwise("$db_password = 's3cretValue99';")
     made = marks.select(*KEYS, F.explode(names).alias("rel_path")).withColumn("content", text)
-    return codeaudit.source_files(rows.unionByName(made).withColumn("length", F.length("content")), max_files=2**31 - 1)  # whole tables, no limit of an audit
+    return codeaudit.source_files(rows.unionByName(made).withColumn("length", F.length("content")), max_files=None)  # whole tables, no limit of an audit
 
 
 @query(_FILES + " SELECT client, CASE CAST(right(client, 1) AS INTEGER) % 3 WHEN 0 THEN 'nextjs' WHEN 1 THEN 'php-custom' ELSE 'wordpress' END AS stacks FROM v_source_files GROUP BY 1")
@@ -314,6 +317,36 @@ def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("client").agg(F.count_if(F.col("content").contains(codeaudit.REDACTED)).alias("files"), F.count_if(F.col("content").contains("'s3cret")).alias("leaked"))
 
 
+# -- folders of source code
+
+# the pages as files and, by number, files whose names, folders or sizes decide: dot-files, ignored folders at any depth, kinds, the limit of bytes
+_TREE = with_views("v_source_files", "v_more_files") + """,
+tree AS (SELECT client, rel_path, content FROM v_source_files UNION ALL SELECT client, rel_path, content FROM v_more_files),
+listed AS (SELECT *, strlen(content) AS n_bytes FROM tree WHERE regexp_matches(lower(rel_path), '[^/]\\.(php|tsx|html|css|json)$|/\\.htaccess$') AND NOT regexp_matches(rel_path, '(^|/)(vendor|\\.git|\\.next|node_modules)/'))"""
+
+
+def source_tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees of five clients landed in the shared folder and listed there."""
+    rows = views.view(spark, sf_dir, "v_source_files").select("client", "rel_path", "content")
+    rows = rows.unionByName(views.view(spark, sf_dir, "v_more_files").select("client", "rel_path", "content"))
+    root = f"{shared_dir(spark)}/trees-{uuid.uuid4().hex}"
+    source_tree.land(rows, root)
+    return codeaudit.scan(spark, {f"client{i}": f"{root}/client{i}" for i in range(5)})
+
+
+@query(_TREE + " SELECT client, rel_path, n_bytes, CAST(length(content) - length(replace(content, chr(10), '')) + 1 AS INTEGER) AS line_count, md5(content) AS digest FROM listed WHERE n_bytes <= 300000")
+def scan_source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file that an audit may read, opened; contents hold no names of secrets, so redaction leaves them as they are."""
+    out = codeaudit.read_files(source_tree_listing(spark, sf_dir), max_files=None)
+    return out.select("client", "rel_path", F.octet_length("content").cast("long").alias("n_bytes"), "line_count", F.md5("content").alias("digest"))
+
+
+@query(_TREE + " SELECT client, least(count(*) FILTER (WHERE n_bytes <= 300000), 15) AS files, count(*) FILTER (WHERE n_bytes > 300000) AS oversized, count(*) FILTER (WHERE n_bytes <= 300000) > 15 AS truncated FROM listed GROUP BY client")
+def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of an audit that reads 15 files a client; no file is opened."""
+    return codeaudit.scan_counters(source_tree_listing(spark, sf_dir), max_files=15).select("client", "files", "oversized", "truncated")
+
+
 # -- marts
 
 

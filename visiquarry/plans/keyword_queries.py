@@ -196,7 +196,11 @@ said AS (
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ai.detect_mentions(views.view(spark, sf_dir, "v_ai_answers"), list(views.AI_BRANDS), list(views.AI_COMPETITORS))
+    return ai.detect_mentions(views.view(spark, sf_dir, "v_ai_answers"), _brands(spark), _rivals(spark))
+
+
+def _brands(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.lit(views.CLIENT).alias("client"), F.explode(F.array(*map(F.lit, views.AI_BRANDS))).alias("token"))
 
 
 def _rivals(spark: SparkSession) -> DataFrame:
@@ -208,6 +212,19 @@ def detect_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir).select("conv_id", "sample_index", "client_mentioned", F.array_join("competitors_mentioned", ",").alias("competitors_mentioned"), "answer_excerpt")
 
 
+_LISTS = with_views("v_client_answers", "v_client_brands", "v_client_rivals") + f""",
+b AS (SELECT client, {_key('token')} AS k FROM v_client_brands), c AS (SELECT client, domain, split_part(domain, '.', 1) AS label, {_key("split_part(domain, '.', 1)")} AS k FROM v_client_rivals)"""
+
+
+@query(_LISTS + f""", a AS (SELECT *, {_key('text')} AS k FROM v_client_answers)
+SELECT conv_id, sample_index, client, EXISTS (SELECT 1 FROM b WHERE b.client = a.client AND b.k <> '' AND contains(a.k, b.k)) AS client_mentioned,
+  coalesce((SELECT string_agg(DISTINCT domain, ',' ORDER BY domain) FROM c WHERE c.client = a.client AND length(label) >= 3 AND contains(a.k, c.k)), '') AS competitors_mentioned FROM a""")
+def client_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers about 25 clients, each against its own brands and rivals."""
+    out = ai.detect_mentions(*(views.view(spark, sf_dir, v) for v in ("v_client_answers", "v_client_brands", "v_client_rivals")))
+    return out.select("conv_id", "sample_index", "client", "client_mentioned", F.array_join("competitors_mentioned", ",").alias("competitors_mentioned"))
+
+
 _RATES = """,
 rates AS (SELECT query, count(*) AS sample_count, avg(CAST(client_mentioned AS INTEGER)) AS client_rate FROM said GROUP BY query),
 rival AS (SELECT query, d AS domain, sample_count, client_rate, (SELECT count(*) FROM said s WHERE s.query = rates.query AND list_contains(named, d)) / CAST(sample_count AS DOUBLE) AS rate

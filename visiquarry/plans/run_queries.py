@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ai, competitors, diff, runs
+from ..operators import competitors, diff, runs
 from ..operators.keys import KEYS
 from ..sources.shared import shared_dir
 from ..streaming import rum
 from . import views
 from .audit_queries import _ON_PAGE, _PAGES, audits, pages
-from .keyword_queries import _key, clients, serps
+from .keyword_queries import _key, _samples, clients, serps
 from .registry import ORACLES, query
 from .views import with_views
 
@@ -112,7 +112,7 @@ def cwv_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    said = ai.detect_mentions(views.view(spark, sf_dir, "v_ai_answers"), list(views.AI_BRANDS), list(views.AI_COMPETITORS))
+    said = _samples(spark, sf_dir)
     return said.where("conv_id % 2 = 0"), said.where("conv_id % 2 = 1").withColumn("query", F.concat(F.lit("query "), ((F.col("conv_id") - 1) % 20).cast("string")))
 
 

@@ -45,6 +45,16 @@ FROM events""",
     "v_ai_answers": """
 SELECT concat('query ', CAST(conv_id % 20 AS STRING)) AS query, conv_id, turn AS sample_index, text
 FROM conversations WHERE role = 'assistant'""",
+    "v_client_answers": """
+SELECT concat('client', CAST(conv_id % 25 AS STRING)) AS client, conv_id, turn AS sample_index, text FROM conversations WHERE role = 'assistant'""",
+    # lists of each nation's own: client 3 has no rivals, client 4 no names at all, every fifth one a brand without letters
+    "v_client_brands": """
+SELECT concat('client', CAST(n_nationkey AS STRING)) AS client,
+  CASE n_nationkey % 5 WHEN 0 THEN 'ation' WHEN 1 THEN 'Keit En' WHEN 2 THEN 'İNG' WHEN 3 THEN 'th-e' ELSE '---' END AS token FROM nation WHERE n_nationkey <> 4""",
+    "v_client_rivals": """
+SELECT concat('client', CAST(n_nationkey AS STRING)) AS client, domain
+FROM nation CROSS JOIN (VALUES (0, 'ment.com'), (1, 'erin.com.tr'), (2, 'ung-en.de'), (3, 'tr.io'), (4, 'ÖUN.fr'), (5, 'thand.com'), (6, 'absent.com')) AS d(nr, domain)
+WHERE (n_nationkey + nr) % 3 <> 0 AND n_nationkey NOT IN (3, 4)""",
     "v_index_status": """
 SELECT concat('https://client.com/o/', CAST(o_orderkey AS STRING)) AS url,
   CASE o_orderstatus WHEN 'F' THEN 'BLOCKED_BY_META_TAG' WHEN 'O' THEN 'INDEXING_ALLOWED' ELSE 'INDEXING_STATE_UNSPECIFIED' END AS indexing_state,
@@ -78,6 +88,12 @@ FROM pages LEFT JOIN (SELECT page_id - 1 AS before_id, url AS next_url FROM page
 SELECT concat('client', CAST(page_id % 5 AS STRING)) AS client,
   concat(CASE page_id % 4 WHEN 0 THEN 'template/' WHEN 1 THEN 'app/' ELSE 'inc/' END, 'f', CAST(page_id AS STRING), CASE page_id % 4 WHEN 0 THEN '.html' WHEN 1 THEN '/page.tsx' ELSE '.php' END) AS rel_path,
   html AS content FROM pages""",
+    "v_more_files": """
+SELECT concat('client', CAST(page_id % 5 AS STRING)) AS client, concat('d', CAST(page_id AS STRING),
+    CASE page_id % 12 WHEN 0 THEN '/.htaccess' WHEN 1 THEN '/vendor/a.php' WHEN 2 THEN '/.git/a.json' WHEN 3 THEN '/app/.next/deep/a.css' WHEN 4 THEN '/a.md' WHEN 5 THEN '/big/a.CSS'
+      WHEN 6 THEN '/big/just.css' WHEN 7 THEN '/A.JSON' WHEN 8 THEN '/.json' WHEN 9 THEN '/vendors/a.b.php' WHEN 10 THEN '/node_modules/x/y/a.html' ELSE '/php' END) AS rel_path,
+  CASE WHEN page_id % 12 IN (5, 6) THEN repeat('abcd' || chr(10), CASE WHEN page_id % 12 = 5 THEN 60001 ELSE 60000 END) ELSE concat('ğ ', CAST(page_id AS STRING), chr(10)) END AS content
+FROM pages""",
     # each page's HTML in a component of its own, behind markup with braces, template literals and values over several lines
     "v_components": """
 SELECT concat('client', CAST(page_id % 3 AS STRING)) AS client, concat('app/p', CAST(page_id AS STRING), '/page.tsx') AS rel_path, page_id,
