@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .competitors import REPORT_LIMIT
@@ -19,42 +19,46 @@ def competitor_map(competitors: DataFrame, n: int = REPORT_LIMIT) -> DataFrame:
 MAX_ACTIONS, TOP = 12, {"opportunity": 5, "vitals": 2, "onpage": 5, "crawl": 5, "code": 5, "gap": 3}
 
 
-def _action(df: DataFrame, branch: int, kind: str, priority, text, order: list) -> DataFrame:
-    from pyspark.sql import Window
+def _branch(df: DataFrame, nr: int, kind: str, n: int, priority: Column | int, text: Column, order: list[Column]) -> DataFrame:
+    """The first ``n`` actions of one branch, by priority and then the branch's own order."""
+    level = F.lit(priority) if isinstance(priority, int) else priority
+    first = top(df.withColumns({"priority": level.cast("int"), "kind": F.lit(kind), "text": text.cast("string"), "branch": F.lit(nr)}), n, [*KEYS], [F.asc("priority"), *order], "at")
+    return first.select(*KEYS, "priority", "branch", "kind", "text", "at")
 
-    at = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*order))
-    return df.select(*KEYS, priority.cast("int").alias("priority"), F.lit(branch).alias("branch"), F.lit(kind).alias("kind"), text.cast("string").alias("text"), at.alias("at"))
 
-
-def prioritized_actions(alerts: DataFrame, opportunities: DataFrame, vitals: DataFrame, onpage: DataFrame, indexing: DataFrame, crawl: DataFrame, code: DataFrame, gaps_in_answers: DataFrame, keyword_gaps: DataFrame, n: int = MAX_ACTIONS) -> DataFrame:
-    """The first ``n`` actions of each run over nine branches: by priority, then branch, then the branch's own order.
+def action_candidates(alerts: DataFrame, opportunities: DataFrame, vitals: DataFrame, onpage: DataFrame, indexing: DataFrame, crawl: DataFrame, code: DataFrame, gaps_in_answers: DataFrame, keyword_gaps: DataFrame, n: int = MAX_ACTIONS) -> DataFrame:
+    """priority, branch, kind, text, at: the first ``n`` actions of each of a run's nine branches.
 
     alerts: severity, subject. opportunities: keyword, score, volume. Findings: rule, severity, url, phase_share, seq.
-    gaps_in_answers: query. keyword_gaps: keyword, volume. Synthetic findings are to be left out before.
+    gaps_in_answers: query. keyword_gaps: keyword, volume. Synthetic findings are to be left out before. Every place is asked
+    for up to a limit, so tasks keep that many rows of a run before anything is shuffled.
     """
-    from .findings import collapse_widespread, severity_rank, sort_findings
+    from .findings import collapse_widespread, findings_order
 
     grave = F.when(F.col("severity") == "critical", 1).otherwise(2)
     named = F.concat_ws(" ", "rule", "url")
-    by_severity = [severity_rank(F.col("severity")), F.coalesce("phase_share", F.lit(0.0)).desc(), F.asc("seq")]
-    capped = lambda df, k: sort_findings(df).where(F.col("place") <= k)
+    best = lambda df, kind, by, order: top(df, TOP[kind], by, order, "nth")
+    nth, keys = [F.asc("nth")], [*KEYS]
     branches = [
-        _action(alerts, 0, "trend", F.when(F.col("severity") == "warning", 1).otherwise(3), F.col("subject"), [F.asc("subject")]),
-        _action(top(opportunities, TOP["opportunity"], [*KEYS], [F.desc("score"), F.desc("volume"), F.asc("keyword")], "nth"), 1, "opportunity", F.lit(2), F.col("keyword"), [F.asc("nth")]),
-        _action(top(vitals, TOP["vitals"], [*KEYS, "url"], by_severity, "nth"), 2, "technical", grave, named, [F.asc("url"), F.asc("nth")]),
-        _action(capped(onpage, TOP["onpage"]), 3, "on-page", grave, named, [F.asc("place")]),
-        _action(indexing, 4, "indexing", F.lit(1), named, [F.asc("seq")]),
-        _action(capped(collapse_widespread(crawl), TOP["crawl"]), 5, "crawl", grave, named, [F.asc("place")]),
-        _action(capped(code, TOP["code"]), 6, "code", grave, named, [F.asc("place")]),
-        _action(gaps_in_answers, 7, "ai-visibility", F.lit(2), F.col("query"), [F.asc("query")]),
-        _action(top(keyword_gaps, TOP["gap"], [*KEYS], [F.coalesce("volume", F.lit(-1)).desc(), F.asc("keyword")], "nth"), 8, "keyword-gap", F.lit(3), F.col("keyword"), [F.asc("nth")]),
+        _branch(alerts, 0, "trend", n, F.when(F.col("severity") == "warning", 1).otherwise(3), F.col("subject"), [F.asc("subject")]),
+        _branch(best(opportunities, "opportunity", keys, [F.desc("score"), F.desc("volume"), F.asc("keyword")]), 1, "opportunity", n, 2, F.col("keyword"), nth),
+        _branch(best(vitals, "vitals", [*KEYS, "url"], findings_order()), 2, "technical", n, grave, named, [F.asc("url"), F.asc("nth")]),
+        _branch(best(onpage, "onpage", keys, findings_order()), 3, "on-page", n, grave, named, nth),
+        _branch(indexing, 4, "indexing", n, 1, named, [F.asc("seq")]),
+        _branch(best(collapse_widespread(crawl), "crawl", keys, findings_order()), 5, "crawl", n, grave, named, nth),
+        _branch(best(code, "code", keys, findings_order()), 6, "code", n, grave, named, nth),
+        _branch(gaps_in_answers, 7, "ai-visibility", n, 2, F.col("query"), [F.asc("query")]),
+        _branch(best(keyword_gaps, "gap", keys, [F.coalesce("volume", F.lit(-1)).desc(), F.asc("keyword")]), 8, "keyword-gap", n, 3, F.col("keyword"), nth),
     ]
     every = branches[0]
     for b in branches[1:]:
         every = every.unionByName(b)
-    # no branch can fill more than n places, so each gives its first n before the run's order is made
-    first = top(every, n, [*KEYS, "branch"], [F.asc("priority"), F.asc("at")], "in_branch")
-    return top(first, n, [*KEYS], [F.asc("priority"), F.asc("branch"), F.asc("at")]).drop("in_branch", "at")
+    return every
+
+
+def prioritized_actions(candidates: DataFrame, n: int = MAX_ACTIONS) -> DataFrame:
+    """The first ``n`` actions of each run: by priority, then branch, then the branch's own order."""
+    return top(candidates, n, [*KEYS], [F.asc("priority"), F.asc("branch"), F.asc("at")]).drop("at")
 
 
 def headline(keywords: DataFrame, competitors: DataFrame, answers: DataFrame, changes: DataFrame) -> DataFrame:

@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import excluded_path, same_site, url_host
-from ..operators import audit, codeaudit, competitors, diff, findings, keywords, marts, runs
+from ..operators import ai, audit, codeaudit, competitors, diff, findings, keywords, marts, runs, vitals
 from ..operators.keys import KEYS
 from ..sources import configs, ingest
 from ..sources.shared import shared_dir
 from ..streaming import rum
 from . import views
-from .audit_queries import crawl, site_findings, sitemap
-from .ingest_queries import lab_payloads, source_files
-from .keyword_queries import _CANNIBAL, _competitors, clients, serps
+from .audit_queries import audits, crawl, site_findings, sitemap
+from .ingest_queries import ingest_keyword_gaps, lab_payloads, source_files
+from .keyword_queries import _CANNIBAL, _competitors, _rivals, _samples, clients, keyword_rows, serps
 from .registry import ORACLES, query
-from .run_queries import _RUN, run_rows
+from .run_queries import _RUN, run_rows, trend_alerts
 from .views import with_views
 
 _CONTENT = with_views("v_serp", "v_keywords") + """, named AS (SELECT kw_id, min(keyword) AS keyword FROM v_serp GROUP BY kw_id)
@@ -88,6 +88,53 @@ def mark_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.mark_synthetic(found, made).select("rule", "url", "is_mock")
 
 
+# -- actions
+
+_VITALS = ORACLES["vitals_diagnosis"].replace("round(", "(").replace(", 6) AS phase_share", ") AS phase_share")
+_SCORES = ORACLES["rank_opportunities"].replace("SELECT kw_id, score, row_number()", "SELECT keyword, score, volume, row_number()")
+_GRADE = "list_position(['critical', 'high', 'medium', 'low'], severity)"
+_CANDIDATES = _CAPPED[: _CAPPED.rindex(",\nplaced AS")].replace("rule, title, severity, grade, url,", "rule, category, title, severity, grade, url,").replace("arg_min(rule, nth), arg_min(title", "arg_min(rule, nth), arg_min(category, nth), arg_min(title") + f""",
+vitals AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY {_GRADE}, coalesce(phase_share, 0) DESC, rule) AS nth FROM ({_VITALS}) WHERE run_id = 1) WHERE nth <= 2),
+onpage AS (SELECT *, row_number() OVER (ORDER BY grade, coalesce(share, 0) DESC, seq) AS nth FROM site WHERE category = 'onpage'),
+crawled AS (SELECT *, row_number() OVER (ORDER BY grade, coalesce(share, 0) DESC, seq) AS nth FROM one WHERE category NOT IN ('onpage', 'indexing')),
+code AS (SELECT *, row_number() OVER (ORDER BY {_GRADE}, url, rule) AS nth
+  FROM (SELECT rule, url, CASE rule WHEN 'missing_metadata' THEN 'high' WHEN 'no_https_rule' THEN 'medium' ELSE 'low' END AS severity FROM ({ORACLES["code_findings"]}) WHERE url IS NOT NULL)),
+action AS (
+  SELECT CASE WHEN severity = 'warning' THEN 1 ELSE 3 END AS priority, 0 AS branch, 'trend' AS kind, subject AS text, row_number() OVER (ORDER BY subject) AS own FROM ({ORACLES["trend_alerts"]})
+  UNION ALL SELECT 2, 1, 'opportunity', keyword, row_number() OVER (ORDER BY score DESC, volume DESC, keyword) AS own FROM ({_SCORES}) QUALIFY own <= 5
+  UNION ALL SELECT CASE WHEN severity = 'critical' THEN 1 ELSE 2 END, 2, 'technical', concat(rule, ' ', url), row_number() OVER (ORDER BY url, nth) FROM vitals
+  UNION ALL SELECT CASE WHEN severity = 'critical' THEN 1 ELSE 2 END, 3, 'on-page', concat_ws(' ', rule, url), nth FROM onpage WHERE nth <= 5
+  UNION ALL SELECT 1, 4, 'indexing', concat_ws(' ', rule, url), seq FROM site WHERE category = 'indexing'
+  UNION ALL SELECT CASE WHEN severity = 'critical' THEN 1 ELSE 2 END, 5, 'crawl', concat_ws(' ', rule, url), nth FROM crawled WHERE nth <= 5
+  UNION ALL SELECT CASE WHEN severity = 'critical' THEN 1 ELSE 2 END, 6, 'code', concat(rule, ' ', url), nth FROM code WHERE nth <= 5
+  UNION ALL SELECT 2, 7, 'ai-visibility', query, row_number() OVER (ORDER BY query) FROM ({ORACLES["ai_visibility"]}) WHERE is_gap
+  UNION ALL SELECT 3, 8, 'keyword-gap', keyword, row_number() OVER (ORDER BY coalesce(volume, -1) DESC, keyword) AS own FROM ({ORACLES["ingest_keyword_gaps"]}) QUALIFY own <= 3),
+candidate AS (SELECT priority, branch, kind, text, CAST(row_number() OVER (PARTITION BY branch ORDER BY priority, own) AS INTEGER) AS place_in_branch FROM action QUALIFY place_in_branch <= 12)"""
+
+
+def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawl_ = site_findings(spark, sf_dir)
+    own = vitals.diagnose(audits(spark, sf_dir).where("run_id = 1")).withColumn("seq", F.struct("url", "rule"))
+    files = source_files(spark, sf_dir)
+    code = codeaudit.file_findings(files, codeaudit.detect_stack(files)).withColumns({"seq": F.struct("url", "rule"), "client": F.lit(views.CLIENT)})
+    return marts.action_candidates(
+        trend_alerts(spark, sf_dir).withColumn("run_id", F.lit(1)), keywords.opportunities(keyword_rows(spark, sf_dir), serps(spark, sf_dir)), own,
+        crawl_.where("category = 'onpage'"), crawl_.where("category = 'indexing'"), crawl_.where("category not in ('onpage', 'indexing')"), code,
+        ai.visibility(_samples(spark, sf_dir), _rivals(spark)).where("is_gap"), ingest_keyword_gaps(spark, sf_dir).withColumns({"client": F.lit(views.CLIENT), "run_id": F.lit(1)}),
+    )
+
+
+@query(_CANDIDATES + " SELECT priority, kind, text, place_in_branch FROM candidate")
+def action_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twelve actions of every branch."""
+    return _actions(spark, sf_dir).select("priority", "kind", "text", F.col("at").alias("place_in_branch"))
+
+
+@query(_CANDIDATES + " SELECT CAST(row_number() OVER (ORDER BY priority, branch, place_in_branch) AS INTEGER) AS place, priority, kind, text FROM candidate QUALIFY place <= 12")
+def prioritized_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.prioritized_actions(_actions(spark, sf_dir)).select("place", "priority", "kind", "text")
+
+
 # -- rows that sources repeat
 
 

@@ -7,15 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import codeaudit, findings, marts, vitals
+from ..operators import codeaudit, findings, marts
 from ..operators.keys import KEYS
 from ..sources import html_pages, ingest, source_tree
 from ..sources.shared import shared_dir
 from . import views
-from .audit_queries import _ON_PAGE, _PAGES, audits, pages, site_findings
-from .keyword_queries import _COMPETITORS, _competitors, _rivals, _samples, keyword_rows, serps
+from .audit_queries import _ON_PAGE, _PAGES, audits, pages
+from .keyword_queries import _COMPETITORS, _competitors, _rivals, _samples, keyword_rows
 from .registry import query
-from .run_queries import _rank_changes, trend_alerts
+from .run_queries import _rank_changes
 from .views import with_views
 
 
@@ -350,22 +350,6 @@ def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- marts
 
 
-@query()
-def prioritized_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import ai, keywords
-
-    one = lambda df: df.withColumn("run_id", F.lit(1))
-    scored = keywords.opportunities(keyword_rows(spark, sf_dir), serps(spark, sf_dir))
-    crawl = site_findings(spark, sf_dir)
-    own = vitals.diagnose(audits(spark, sf_dir).where("run_id = 1")).withColumn("seq", F.struct("url", "rule"))
-    files = source_files(spark, sf_dir).withColumn("client", F.lit(views.CLIENT))
-    code = codeaudit.file_findings(files, codeaudit.detect_stack(files)).withColumn("seq", F.struct("url", "rule"))
-    answers = ai.visibility(_samples(spark, sf_dir), _rivals(spark)).where("is_gap")
-    gaps = ingest_keyword_gaps(spark, sf_dir).withColumns({"client": F.lit(views.CLIENT), "run_id": F.lit(1)})
-    out = marts.prioritized_actions(one(trend_alerts(spark, sf_dir)), scored, own, crawl.where("category = 'onpage'"), crawl.where("category = 'indexing'"), crawl.where("category not in ('onpage', 'indexing')"), code, answers, gaps)
-    return out.select("place", "priority", "kind", "text")
-
-
 @query(with_views("v_serp") + "," + _COMPETITORS + """
 SELECT 'client.com' AS client, 1 AS run_id, (SELECT count(DISTINCT kw_id) FROM v_serp) AS keywords, count(*) AS real_competitors FROM competitor WHERE is_real_competitor""")
 def headline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
