@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import tr_normalize
 from ..operators import audit, findings, graph, keywords, search, vitals
 from ..operators.keys import KEYS
 from ..sources import html_pages, ingest
 from ..sources.shared import stored
 from . import views
-from .keyword_queries import keyword_rows, serps
+from .keyword_queries import _norm, keyword_rows, serps
 from .registry import query
 from .views import with_views
 
@@ -299,6 +300,36 @@ def keyword_content_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.content_findings(matches(spark, sf_dir)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+# a keyword of each page's own, by number: its title, its first heading, a piece of its text, and words that it lacks
+_OWN_KEYWORD = "CASE page_id % 4 WHEN 0 THEN title WHEN 1 THEN h1s[{first}] WHEN 2 THEN substr(body_text, 11, 30) ELSE concat('lacking ', CAST(page_id AS STRING)) END"
+_NAMED = _PAGES + f""",
+k AS (SELECT page_id, keyword, {_norm('keyword')} AS nk FROM (SELECT page_id, {_OWN_KEYWORD.format(first=1)} AS keyword FROM p) WHERE {_norm('keyword')} <> ''),
+best AS (SELECT nk, arg_max(url, page_id) AS url FROM k JOIN p USING (page_id) GROUP BY nk),
+alias AS (SELECT alias, min(page_id) AS page_id FROM (SELECT url AS alias, page_id FROM p UNION ALL SELECT final_url, page_id FROM p) GROUP BY alias),
+m AS (SELECT k.page_id AS kw_id, k.keyword, best.url, coalesce(contains({_norm('title')}, k.nk), false) AS in_title, coalesce(contains({_norm('body_text')}, k.nk), false) AS in_body,
+    len(list_filter(h1s, lambda h: contains({_norm('h')}, k.nk))) > 0 AS in_h1, ok AS reliable
+  FROM k JOIN best USING (nk) JOIN alias ON alias.alias = best.url JOIN p ON p.page_id = alias.page_id)"""
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawled = stored_pages(spark, sf_dir)
+    own = crawled.select(*KEYS, F.col("page_id").alias("kw_id"), "url", F.expr(_OWN_KEYWORD.format(first=0).replace("h1s[0]", "get(h1s, 0)")).alias("keyword")).where(tr_normalize(F.col("keyword")) != "")
+    performance = own.select(*KEYS, F.col("keyword").alias("query"), F.col("url").alias("page"), F.col("kw_id").alias("impressions"), F.col("kw_id").alias("seq"))
+    return keywords.keyword_page_match(own.select(*KEYS, "kw_id", "keyword", F.lit(1000).alias("volume")), crawled, performance, serps(spark, sf_dir))
+
+
+@query(_NAMED + " SELECT kw_id, url, in_title, in_h1, in_body, reliable FROM m")
+def page_keyword_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's keyword, where its page names it."""
+    return _named(spark, sf_dir).select("kw_id", "url", "in_title", "in_h1", "in_body", "reliable")
+
+
+@query(_NAMED + """ SELECT 'keyword_not_in_title' AS rule, 'high' AS severity, url, keyword AS evidence FROM m WHERE reliable AND NOT in_title
+UNION ALL SELECT 'keyword_not_in_h1', 'medium', url, keyword FROM m WHERE reliable AND NOT in_h1 UNION ALL SELECT 'keyword_not_in_body', 'high', url, keyword FROM m WHERE reliable AND NOT in_body""")
+def page_keyword_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.content_findings(_named(spark, sf_dir)).select("rule", "severity", "url", "evidence")
+
+
 def audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lab audits with attribution structs; runs 0 and 1."""
     rows = views.view(spark, sf_dir, "v_tech_audits")

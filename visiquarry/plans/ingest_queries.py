@@ -159,6 +159,26 @@ def seo_audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.seo_findings(ingest.lab_audit(lab_payloads(spark, sf_dir))[0]).select("rule", "url", "severity", "evidence")
 
 
+_SEO_NAMES = "['is-crawlable', 'document-title', 'meta-description', 'http-status-code', 'link-text', 'crawlable-anchors', 'robots-txt', 'image-alt', 'hreflang', 'canonical']"
+_SEO_GRADES = "['critical', 'high', 'medium', 'critical', 'low', 'high', 'high', 'medium', 'medium', 'high']"
+
+
+@query(with_views("v_tech_audits") + f""", x AS (SELECT run_id, url, lcp_ms + i AS n, {_SEO_NAMES}[i + 1] AS rule, {_SEO_GRADES}[i + 1] AS severity FROM v_tech_audits, range(10) AS r(i))
+SELECT run_id, rule, url, severity, CASE n % 4 WHEN 0 THEN concat('told ', n) WHEN 1 THEN '2 elements' ELSE rule END AS evidence FROM x WHERE n % 3 = 0""")
+def page_audit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ten page audits over two runs: scores 0, 1 or null, with an explanation, with elements, with an empty list, and alone."""
+    rows = views.view(spark, sf_dir, "v_tech_audits")
+    parts = []
+    for i, name in enumerate(ingest.SEO_AUDITS):
+        n = F.col("lcp_ms") + i
+        score = F.when(n % 3 == 0, "0").when(n % 3 == 1, "1").otherwise("null")
+        more = F.when(n % 4 == 0, F.concat(F.lit(',"explanation":"told '), n, F.lit('"'))).when(n % 4 == 1, ',"details":{"items":[{"url":"/a"},{"url":"/b"}]}').when(n % 4 == 2, ',"details":{"items":[]}').otherwise("")
+        parts.append(F.concat(F.lit(f'"{name}":{{"score":'), score, more, F.lit("}")))
+    head = F.format_string('{"finalDisplayedUrl":"%s","audits":{"largest-contentful-paint":{"numericValue":%d},"cumulative-layout-shift":{"numericValue":0},', "url", "lcp_ms")
+    payloads = rows.select(*KEYS, F.concat(head, F.concat_ws(",", *parts), F.lit("}}")).alias("payload"))
+    return ingest.seo_findings(ingest.lab_audit(payloads)[0]).select("run_id", "rule", "url", "severity", "evidence")
+
+
 @query(_LAB + " SELECT url, 'render_blocking' AS kind, '/a.css' AS subject, CAST(load_delay AS DOUBLE) AS bytes FROM a UNION ALL SELECT url, 'latency', 'redirects', NULL FROM a")
 def lab_issue_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.lab_issues(ingest.lab_audit(lab_payloads(spark, sf_dir))[0]).drop(*KEYS)
