@@ -397,3 +397,12 @@ def test_configurations_are_parsed_once(spark):
     for part in (good, bad):
         assert "parse_json" not in part._jdf.queryExecution().optimizedPlan().toString()
     assert [r.id for r in good.collect()] == [1] and [r.errors for r in bad.collect()] == [["domain", "brandName", "brandTokens", "seedKeywords"]]
+
+
+def test_a_tree_of_many_folders_is_listed_in_few_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / "c" / f"d{i}" / "e").mkdir(parents=True)
+        (tmp_path / "c" / f"d{i}" / "e" / "a.php").write_text("x")
+    listed = codeaudit.scan(spark, {"c": str(tmp_path / "c")})
+    assert listed.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r.rel_path for r in listed.collect()) == sorted(f"d{i}/e/a.php" for i in range(300))

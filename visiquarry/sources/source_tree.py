@@ -1,7 +1,8 @@
 """Folders of source code as tables: a data source that lists the files of many trees, and a reader of their contents.
 
 The listing is metadata alone: ignored folders are never entered, names that begin with a dot are seen, links are not followed. A
-task lists one folder of a tree's first level, so a large tree is spread over many tasks. Contents are read afterwards, from the rows
+tree's first level is dealt out by hash of the folders' names over a few slices for every core, each of which lists the root for itself
+and walks its share: their number does not grow with the folders. Contents are read afterwards, from the rows
 of the listing that are wanted, in as many tasks as their bytes ask for; as no wanted file is larger than the audit's limit, a spread by
 hash of the path splits by size as well. A task that is lost lists or reads its part again.
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import posixpath
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -57,46 +59,44 @@ def _entries(files, folder: str) -> tuple[list[str], list[tuple[str, int]]]:
     return folders, [(x.path, x.size) for x in found if x.type == fs.FileType.File and readable(x.base_name)]
 
 
-class Folder(InputPartition):
-    """One folder of a tree; ``deep`` says whether those below it belong to it."""
+class Slice(InputPartition):
+    """The folders of a tree's first level whose names fall to ``nr`` of ``of``, with all below them; the first one has the root's own files."""
 
-    def __init__(self, client: str, run_id: int, root: str, path: str, deep: bool):
-        self.client, self.run_id, self.root, self.path, self.deep = client, run_id, root, path, deep
+    def __init__(self, client: str, run_id: int, root: str, nr: int, of: int):
+        self.client, self.run_id, self.root, self.nr, self.of = client, run_id, root, nr, of
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, trees: list[dict]):
-        self.trees = trees
+    def __init__(self, trees: list[dict], slices: int):
+        self.trees, self.slices = trees, slices
 
     def partitions(self) -> Sequence[InputPartition]:
-        """The root alone and each folder of the first level with all below it: one call a tree."""
-        out = []
-        for t in self.trees:
-            files, path = _opened(t["root"])
-            of = (t["client"], t["run_id"], t["root"])
-            out += [Folder(*of, path, False), *(Folder(*of, p, True) for p in _entries(files, path)[0])]
-        return out
-
-    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+        """As many slices for a tree of any size; the driver lists nothing."""
+        return [Slice(t["client"], t["run_id"], t["root"], i, self.slices) for t in self.trees for i in range(self.slices)]
+
+    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         files, top = _opened(partition.root)
-        rows, todo = [], [partition.path]
-        while todo:
-            folders, found = _entries(files, todo.pop())
-            todo += folders if partition.deep else ()
-            rows += [(path[len(top) :].lstrip("/"), size) for path, size in found]
+        folders, own = _entries(files, top)
+        todo = [p for p in folders if zlib.crc32(posixpath.basename(p).encode("utf-8", "surrogatepass")) % partition.of == partition.nr]
+        rows = [(path[len(top) :].lstrip("/"), size) for path, size in own] if partition.nr == 0 else []
+        while todo or rows:
+            if todo:
+                folders, found = _entries(files, todo.pop())
+                todo += folders
+                rows += [(path[len(top) :].lstrip("/"), size) for path, size in found]
             while len(rows) >= BATCH_ROWS or (rows and not todo):
                 yield self._batch(partition, rows[:BATCH_ROWS])
                 rows = rows[BATCH_ROWS:]
 
     @staticmethod
-    def _batch(part: Folder, rows: list[tuple[str, int]]) -> pa.RecordBatch:
+    def _batch(part: Slice, rows: list[tuple[str, int]]) -> pa.RecordBatch:
         n = len(rows)
         columns = [pa.array([part.client] * n), pa.array([part.run_id] * n, pa.int32()), pa.array([part.root] * n), pa.array([r for r, _ in rows]), pa.array([s for _, s in rows], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["client", "run_id", "root", "rel_path", "length"])
 
 
 class SourceTree(DataSource):
-    """``spark.read.format("source_tree").option("trees", json)``; json: a list of client, run_id, root."""
+    """``spark.read.format("source_tree").option("trees", json)``; json: a list of client, run_id, root. Option ``slices``: tasks of a tree."""
 
     @classmethod
     def name(cls) -> str:
@@ -106,14 +106,15 @@ class SourceTree(DataSource):
         return LISTED
 
     def reader(self, schema) -> TreeReader:
-        return TreeReader(json.loads(self.options["trees"]))
+        return TreeReader(json.loads(self.options["trees"]), int(self.options.get("slices", 1)))
 
 
 def listing(spark: SparkSession, trees: dict[str, str], run_id: int = 1) -> DataFrame:
     """client, run_id, root, rel_path, length of every readable file below the roots; trees: client to root (a path or a URI)."""
     spark.dataSource.register(SourceTree)
     told = [{"client": c, "run_id": run_id, "root": r} for c, r in trees.items()]
-    return spark.read.format("source_tree").option("trees", json.dumps(told)).load()
+    slices = max(4, -(-4 * spark.sparkContext.defaultParallelism // max(1, len(told))))
+    return spark.read.format("source_tree").option("trees", json.dumps(told)).option("slices", slices).load()
 
 
 def contents(listed: DataFrame, part_bytes: int = PART_BYTES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
