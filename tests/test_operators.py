@@ -406,3 +406,12 @@ def test_a_tree_of_many_folders_is_listed_in_few_tasks(spark, tmp_path):
     listed = codeaudit.scan(spark, {"c": str(tmp_path / "c")})
     assert listed.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     assert sorted(r.rel_path for r in listed.collect()) == sorted(f"d{i}/e/a.php" for i in range(300))
+
+
+def test_one_widespread_rule_is_spread_over_parts(spark):
+    """Findings of one rule meet the rule's size in several parts, and collapse as before."""
+    rows = [("c", 1, "onpage", "low", "t", f"u{i:03}", 0.1, 1, "r", "e", i) for i in range(200)]
+    frame = spark.createDataFrame(rows, "client string, run_id int, category string, severity string, title string, url string, phase_share double, impact int, rule string, evidence string, seq int")
+    out = findings.collapse_widespread(frame)
+    assert "_salt" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.evidence for r in out.collect()] == ["200 pages: u000, u001, u002, u003, u004 (+195)"]
