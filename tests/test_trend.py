@@ -63,3 +63,14 @@ def test_no_join_between_runs(spark):
     runs, keywords, *_ = frames(spark)
     plan = trend.rank_changes(keywords, trend.comparisons(runs))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # facts with the table of runs
+
+
+def test_summary_mart_computes_the_summaries_once(spark, sf_dir, monkeypatch):
+    """Both publications read the stored rows, not the fact tables; the runs' states are read from a file of their own."""
+    from visiquarry.plans import trend_queries
+
+    read, publish = [], trend_queries.snapshots.publish_mart
+    monkeypatch.setattr(trend_queries.snapshots, "publish_mart", lambda rows, *a: (read.append(rows.inputFiles()), publish(rows, *a)))
+    assert trend_queries.summary_mart(spark, sf_dir).count() > 0
+    assert len(read) == 2 and all("run-summaries-" in f for files in read for f in files)
+    assert all("v_run_states-" in f for f in trend_queries.facts(spark, sf_dir)[0].inputFiles())

@@ -17,7 +17,7 @@ CHANGE = ("client", "run_id", "previous_run", "kind", "subject", "previous_value
 
 
 def comparisons(runs: DataFrame) -> DataFrame:
-    """client, run_id, previous_run, next_run of every completed run; null where there is no other. runs: client, run_id, status, config_hash."""
+    """client, run_id, config_hash, previous_run, next_run, previous_hash of every completed run; null where there is no other. runs: client, run_id, status, config_hash."""
     order = Window.partitionBy("client").orderBy("run_id")
     done = runs.where("status = 'completed'")
     return done.select("client", "run_id", "config_hash", F.lag("run_id").over(order).alias("previous_run"), F.lead("run_id").over(order).alias("next_run"), F.lag("config_hash").over(order).alias("previous_hash"))

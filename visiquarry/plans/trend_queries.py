@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import snapshots, trend
 from ..operators.keys import KEYS
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, stored
 from . import views
 from .registry import ORACLES, query
 from .views import with_views
@@ -18,7 +18,9 @@ FACTS = ("v_run_keywords", "v_run_competitors", "v_run_audits", "v_run_samples",
 
 
 def facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    return tuple(views.view(spark, sf_dir, v) for v in ("v_run_states", *FACTS))
+    """The runs' states, written once as every kind of change meets them, and the fact tables."""
+    with views.held(spark, sf_dir, "v_run_states"):
+        return tuple(views.view(spark, sf_dir, v) for v in ("v_run_states", *FACTS))
 
 
 # the twin joins each run with the one before; p: comparisons
@@ -105,7 +107,7 @@ def snapshot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summaries as a published mart: written for all runs, then anew for the later ones; what a reader sees."""
     root = f"{shared_dir(spark)}/marts-{uuid.uuid4().hex}"
-    rows = run_summaries(spark, sf_dir)
+    rows = stored(run_summaries(spark, sf_dir), "run-summaries")
     snapshots.publish_mart(rows.withColumn("alerts", F.lit(-1).cast("long")).where("run_id > 3"), root, "run_summaries", "early")
     snapshots.publish_mart(rows, root, "run_summaries", "late")
     return snapshots.read(spark, root, "mart_run_summaries").select(rows.columns)
