@@ -97,6 +97,19 @@ def test_pieces_of_a_text_are_in_the_states_of_the_whole(learned, asked, lane):
     assert auto.walk(n, lane) == pytest.approx(auto.walk(n, 10**6))
 
 
+@pytest.mark.parametrize("most", [1, 7, 20, 10**6])
+def test_automata_of_some_texts_at_a_time_score_as_one_of_all(monkeypatch, most):
+    seq, n = word_hashes.Words().read(LEARNED + ["a b zz a b", "b a", "", "a b a b c a b"])
+    ids, counts, sizes, one = [], [], [], lm_score.Automaton
+    for keys, text in lm_score.ngrams(seq, n):
+        at, size = lm_score.distinct_ids(keys)
+        ids.append(at)
+        counts.append(np.bincount(at, text < len(LEARNED), size).astype(np.int64))
+    monkeypatch.setattr(lm_score, "Automaton", lambda i, c, n, below: (sizes.append(int(n.sum())), one(i, c, n, below))[1])
+    assert lm_score.walk_parts(ids, counts, n, 30, most) == pytest.approx(one(ids, counts, n, 30).walk(n))
+    assert max(sizes) <= max(most, n.max()) and sum(sizes) == n.sum()
+
+
 @settings(deadline=None, max_examples=30)
 @given(st.lists(st.text(alphabet="abÄ \n\x0b\u2003日", max_size=40), min_size=1, max_size=6), st.sampled_from([4, 7, 1 << 19]))
 def test_words_are_cut_at_ascii_space(texts, piece):

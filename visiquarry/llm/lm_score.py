@@ -15,7 +15,7 @@ at most, so a piece that first reads the two tokens before it, unweighted, is in
 Nothing that grows with the corpus is gathered in one place. Documents are dealt into chunks of about ``CHUNK_BYTES``. Each
 chunk tells its distinct n-grams with their counts in its learning texts, sorted and cut into ranges of the hash ("parts");
 a task adds the counts of one part over all chunks and answers each chunk in the order of its own n-grams, and the chunk
-builds the part of the automaton that it can reach. Words are known by 63-bit hashes, pairs and triples by 56 bits. N and V
+builds the parts of the automaton that its texts can reach, some texts at a time. Words are known by 63-bit hashes, pairs and triples by 56 bits. N and V
 are the only figures that go to the driver.
 
 Defined results: a null text counts as empty (its end token alone); a null doc_id is learned from and not held out; repeated
@@ -38,6 +38,7 @@ from .words import BASE, MIX, START, Words, mixed
 PRIOR = (1000.0, 3.0)
 CHUNK_BYTES = 16 << 20
 LANE = 256
+TOKENS_AT_ONCE = 1 << 19
 WORD_BITS, GRAM_BITS = 63, 56
 WIDTHS = (WORD_BITS, GRAM_BITS, GRAM_BITS)
 
@@ -205,6 +206,27 @@ class Automaton:
         return np.bincount(text, total, len(n))
 
 
+def walk_parts(ids: list[np.ndarray], counts: list[np.ndarray], n: np.ndarray, below: int, most: int = TOKENS_AT_ONCE) -> np.ndarray:
+    """log10 probability of each text of a chunk, by automata of the texts of about ``most`` tokens each, one after the other.
+
+    An automaton takes some 250 bytes a token, so that of a whole chunk would fill an executor beside its other tasks.
+    """
+    ends = np.cumsum(n)
+    out, lo = np.zeros(len(n)), 0
+    while lo < len(n):
+        begin = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + most, "right")))
+        end = int(ends[hi - 1])
+        words, pairs, triples = ids
+        # the starts of texts stand behind all words, and first tokens have no triple
+        own = [np.concatenate([words[begin:end], words[len(pairs) + lo : len(pairs) + hi]]), pairs[begin:end], triples[begin - lo : end - hi]]
+        met = [np.unique(x, return_inverse=True) for x in own]
+        part = Automaton([at.astype(np.int32) for _, at in met], [c[x] for c, (x, _) in zip(counts, met)], n[lo:hi], below)
+        out[lo:hi] = part.walk(n[lo:hi])
+        lo = hi
+    return out
+
+
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -262,14 +284,14 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
                 raise ValueError("a chunk's texts changed between two reads")
             ids.append(at)
             counts.append(np.bincount(at, learning[text], size).astype(np.int64) + more.astype(np.int64))
-        automaton = Automaton(ids, counts, n, below)
-        c1 = counts[0][automaton.words]
+        del every, text, at, more
+        c1 = counts[0][ids[0][: len(seq)]]
         total = lambda x: np.add.reduceat(x, np.cumsum(n) - n)
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"),
             "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(total((c1 > 0).astype(np.int64)), pa.int64()),
             "train_tokens": pa.array(np.full(len(n), tokens), pa.int64()),
-            "base_score": pa.array(total(np.log10((c1 + 1) / below)), pa.float64()), "score": pa.array(automaton.walk(n), pa.float64()),
+            "base_score": pa.array(total(np.log10((c1 + 1) / below)), pa.float64()), "score": pa.array(walk_parts(ids, counts, n, below), pa.float64()),
         })
 
     asked = dealt.groupBy("chunk").applyInArrow(tell, "bucket int, part int, chunk int, k0 binary, k1 binary, k2 binary, n0 binary, n1 binary, n2 binary")
