@@ -89,6 +89,21 @@ def test_screen_passes_the_similarity_asked_for():
         assert not setjoin.alike(sizes[::2], np.roll(sizes[1::2], 1), s[::2], np.roll(s[1::2], 1, axis=0), 0.8).any()
 
 
+def test_wide_parity_tells_large_sets_apart():
+    """Sets of 4,000 shingles: the narrow screen passes pairs of 0.7, the wide one does not, and neither fails a pair of 0.8."""
+    r = np.random.default_rng(4)
+    for similarity, passes in ((0.7, False), (0.8, True)):
+        for sizes in ((4000, 4000), (4000, 4300)):  # of 8,192 and of 16,384 bits
+            both = int(sum(sizes) * similarity / (1 + similarity)) + 1
+            x = r.integers(0, 2**63, sum(sizes), dtype=np.uint64)
+            a, b = np.unique(x[: sizes[0]]), np.unique(np.concatenate([x[:both], x[sizes[0] : sum(sizes) - both]]))
+            n, m = np.array([len(a)]), np.array([len(b)])
+            differ = setjoin.wide_differ([setjoin.wide_parity(a), setjoin.wide_parity(b)], np.array([0]), np.array([1]))
+            assert (differ <= setjoin.may_differ(n, m, 0.8)).all() == passes
+            s = setjoin.sketch([a, b])
+            assert setjoin.alike(n, m, s[:1], s[1:], 0.8).all()
+
+
 def test_roots_choose_different_coordinates():
     roots = setjoin.root_choices()
     assert len({k for _, k in roots}) == len(roots) == 12 and {t for t, _ in roots} == set(range(setjoin.TREES))

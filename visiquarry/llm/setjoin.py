@@ -14,7 +14,8 @@ Not all pairs of a node are told. First the records of a root's child that agree
 some of them, and these pairs are verified: that links most of a group of near copies, whatever else shares its node. Nodes
 whose records are then one component are done; in the others only pairs of different components are compared. A comparison
 is by sizes and by parity bits, both necessary conditions, and by the number of equal coordinates, which passes a pair of 0.8
-but for MISS. Every pair told is verified on the full sets of 64-bit shingle hashes.
+but for MISS. What these pass is held against parities as wide as the sets are large, another necessary condition, so that large
+texts that share much, but less than is asked for, are not told in the square of their number. Every pair told is verified on the full sets of 64-bit shingle hashes.
 
 Node sizes and pairs are counted before anything is gathered, so a task never holds more than SMALL records of a node, or two
 shares of TILE records of a tile.
@@ -46,8 +47,9 @@ COORDS, TREES, DEPTH = 64, 10, 6
 SMALL, SMALL_PAIRS = 1 << 13, 1 << 19
 PAIRS_AT_ONCE, TILE = 1 << 14, 512
 MASKS = (0, 0x2A5F0C3B96D1, 0x15C3A96E3D28, 0x3FFFFFFFFFFF)
-#: bits of parity; chance that the coordinates fail a pair of the similarity asked for; bits of the set that keeps texts from a shuffle
-PARITY, MISS, BITS_KEPT = 256, 1e-6, 1 << 26
+#: bits of parity; chance that the coordinates fail a pair of the similarity asked for; bits of the set that keeps texts from a shuffle;
+#: 64-bit words of wide parities compared at once
+PARITY, MISS, BITS_KEPT, PARITY_AT_ONCE = 256, 1e-6, 1 << 26, 1 << 20
 _FACTORS = np.random.default_rng(12).integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WIDE = COORDS + PARITY // 32
 
@@ -85,6 +87,32 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def wide_parity(own: np.ndarray) -> np.ndarray:
+    """Parity bits of a set, two or more for a shingle: as many as a power of two, so that a longer row folds to a shorter one."""
+    size = max(PARITY, 1 << int(2 * len(own) - 1).bit_length())
+    odd = np.bincount((own >> np.uint64(40) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def wide_differ(wide: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the wide parities of the pairs differ, the longer of a pair folded to the length of the other."""
+    size = np.array([len(w) for w in wide], np.int64)
+    short = np.minimum(size[x], size[y])
+    out = np.zeros(len(x), np.int64)
+    for k in np.unique(short).tolist():
+        every = np.flatnonzero(short == k)
+        for at in np.array_split(every, -(-len(every) * k // PARITY_AT_ONCE)):
+            used, place = np.unique(np.concatenate([x[at], y[at]]), return_inverse=True)
+            rows = np.stack([np.bitwise_xor.reduce(wide[i].reshape(-1, k), axis=0) for i in used.tolist()])
+            out[at] = np.bitwise_count(rows[place[: len(at)]] ^ rows[place[len(at) :]]).sum(1, dtype=np.int64)
+    return out
+
+
+def may_differ(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Most shingles that only one of two sets of these sizes can have."""
+    return ((1 - similarity) * (n + m) + 1e-6) / (1 + similarity)
+
+
 def fewest_equal(similarity: float, miss: float = MISS) -> int:
     """Most equal coordinates that can be asked for so that a pair of the similarity fails with a chance under ``miss``."""
     below, m = 0.0, 0
@@ -100,7 +128,7 @@ def alike(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, similarity
     ok = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
     at = np.flatnonzero(ok)
     differ = np.bitwise_count(x[at, COORDS:] ^ y[at, COORDS:]).sum(1, dtype=np.int64)
-    fine = differ * (1 + similarity) <= (1 - similarity) * (n[at] + m[at]) + 1e-6
+    fine = differ <= may_differ(n[at], m[at], similarity)
     at, some = at[fine], at[~fine]
     ok[some] = False
     ok[at] = (x[at, :COORDS] == y[at, :COORDS]).sum(1) >= fewest_equal(similarity)
@@ -135,7 +163,7 @@ def _sketches_of(column: pa.Array) -> np.ndarray:
 
 
 def records(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_key, k1, k2 (128-bit name of the set), n (its size), sketch, row of every document; written to the shared folder."""
+    """doc_id, text_key, k1, k2 (128-bit name of the set), n (its size), sketch, wide (parity), row of every document; written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -143,13 +171,14 @@ def records(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             sets = shingle_sets(batch.column("text").to_pylist(), words, shingle)
             full = [i for i, s in enumerate(sets) if len(s)]
             own: list[bytes | None] = [None] * len(sets)
+            wide = [wide_parity(s).tobytes() if len(s) else None for s in sets]
             for i, row in zip(full, sketch([sets[i] for i in full])):
                 own[i] = row.tobytes()
             names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.binary())], names=["doc_id", "text_key", "k1", "k2", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.binary()), pa.array(wide, pa.binary())], names=["doc_id", "text_key", "k1", "k2", "n", "sketch", "wide"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    made = arrow_map(given, run, "doc_id long, text_key long, k1 long, k2 long, n long, sketch binary")
+    made = arrow_map(given, run, "doc_id long, text_key long, k1 long, k2 long, n long, sketch binary, wide binary")
     return materialize(made.withColumn("row", F.monotonically_increasing_id()), "join-records")
 
 
@@ -191,13 +220,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, features: DataFrame, similarity
 
 
 def _told(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of different components in nodes of few records (node, id, component, n, sketch) that ``alike`` passes."""
+    """(a, b): pairs of different components in nodes of few records (node, id, component, n, sketch, wide) that ``alike`` and the wide parities pass."""
 
-    def settle(ids: np.ndarray, group: np.ndarray, n: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def settle(ids: np.ndarray, group: np.ndarray, n: np.ndarray, own: np.ndarray, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
         # by component, the largest last, so that its records are only met by those of the others
         _, which, size = np.unique(group, return_inverse=True, return_counts=True)
         order = np.lexsort((which, size[which]))
-        ids, n, own, which = ids[order], n[order], own[order], which[order]
+        ids, n, own, which, wide = ids[order], n[order], own[order], which[order], wide[order]
         ends = np.repeat(np.append(np.flatnonzero(np.diff(which)) + 1, len(ids)), np.diff(np.append(np.flatnonzero(np.diff(which, prepend=-1)), len(ids))))
         upto = np.cumsum(len(ids) - ends)
         lo = 0
@@ -207,6 +236,10 @@ def _told(members: DataFrame, similarity: float) -> DataFrame:
             x = np.repeat(np.arange(lo, hi), some)
             y = ends[x] + np.arange(len(x)) - np.repeat(np.cumsum(some) - some, some)
             ok = alike(n[x], n[y], own[x], own[y], similarity)
+            x, y = x[ok], y[ok]
+            used, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+            differ = wide_differ([np.frombuffer(w, np.uint64) for w in wide[used]], place[: len(x)], place[len(x) :])
+            ok = differ <= may_differ(n[x], n[y], similarity)
             if ok.any():
                 a, b = ids[x[ok]], ids[y[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -221,7 +254,7 @@ def _told(members: DataFrame, similarity: float) -> DataFrame:
                 yield from settle(*(x[s:e] for x in kept[1:]))
 
         for batch in rows_in(batches, 2048):
-            new = [*(batch.column(c).to_numpy() for c in ("node", "id", "component", "n")), _sketches_of(batch.column("sketch"))]
+            new = [*(batch.column(c).to_numpy() for c in ("node", "id", "component", "n")), _sketches_of(batch.column("sketch")), np.array([*batch.column("wide").to_pylist(), None], object)[:-1]]
             kept = new if kept is None else [np.concatenate([x, y]) for x, y in zip(kept, new)]
             upto = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0
             if upto:
@@ -231,7 +264,7 @@ def _told(members: DataFrame, similarity: float) -> DataFrame:
             yield from whole_nodes(len(kept[0]))
 
     dealt = members.repartition(partitions(members.sparkSession), "node").sortWithinPartitions("node")
-    return arrow_map(dealt.select("node", "id", "component", "n", "sketch"), run, "a long, b long")
+    return arrow_map(dealt.select("node", "id", "component", "n", "sketch", "wide"), run, "a long, b long")
 
 
 def _mixed_nodes(members: DataFrame) -> DataFrame:
@@ -249,10 +282,10 @@ def _tiles(members: DataFrame) -> DataFrame:
     return other.select(F.xxhash64("node", F.least("share", "other"), F.greatest("share", "other")).alias("node"), "id", "component").distinct()
 
 
-def links(docs: DataFrame, own: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(links, names): links (a, b) between records that connect what is connected; names: k1, k2, id, first (smallest doc_id)."""
+def linked(docs: DataFrame, own: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(member, names): node (a record's id) and component of all records with links; names: k1, k2, id, first (smallest doc_id)."""
     names = materialize(own.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("id"), F.min("doc_id").alias("first")), "join-names")
-    features = materialize(own.join(names.select(F.col("id").alias("row")), "row").select(F.col("row").alias("id"), "doc_id", "text_key", "n", "sketch"), "join-features")
+    features = materialize(own.join(names.select(F.col("id").alias("row")), "row").select(F.col("row").alias("id"), "doc_id", "text_key", "n", "sketch", "wide"), "join-features")
     roots = root_choices(similarity)
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,18 +329,24 @@ def links(docs: DataFrame, own: DataFrame, similarity: float = SIMILARITY, shing
         if over:
             break
         known = arrow_map(large.join(features.select("id", "sketch"), "id").select("node", "id", "component", "sketch"), grow, "node long, id long, component long")
-    told = _told(compared.join(features.select("id", "n", "sketch"), "id"), similarity).distinct()
+    told = _told(compared.join(features.select("id", "n", "sketch", "wide"), "id"), similarity).distinct()
     more = materialize(told.join(tested, ["a", "b"], "left_anti"), "join-more-pairs")
     if more.isEmpty():
-        return first, names
-    return materialize(first.union(_verified(more, docs, features, similarity, shingle)), "join-all-links"), names
+        return member, names
+    # links that join components, between their names: only these go through rounds again
+    late = _verified(more, docs, features, similarity, shingle)
+    for x in ("a", "b"):
+        late = late.join(member.select(F.col("node").alias(x), F.col("component").alias("c")), x, "left").withColumn(x, F.coalesce("c", x)).drop("c")
+    joined = components(late.select("a", "b"))
+    renamed = member.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return renamed.union(joined.join(member.select("node"), "node", "left_anti").select("node", "component")), names
 
 
 def cluster(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept of every document."""
     own = records(docs, shingle)
-    found, names = links(docs, own, similarity, shingle)
-    member = components(found).select(F.col("node").alias("id"), "component")
+    member, names = linked(docs, own, similarity, shingle)
+    member = member.select(F.col("node").alias("id"), "component")
     least = names.join(member, "id").groupBy("component").agg(F.min("first").alias("least"))
     named = names.join(member, "id", "left").join(least, "component", "left").select("k1", "k2", F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
     named = materialize(named, "join-named")
