@@ -140,3 +140,15 @@ def test_odd_tables(spark, odd, empty):
     want = sorted(((d, n, c, True if d is None and c is None else k) for d, n, c, k in plain(rows)), key=str)
     assert got(setjoin.cluster(odd)) == want
     assert setjoin.cluster(empty).count() == 0
+
+
+def test_components_end_without_a_round_that_changes_nothing(spark, monkeypatch):
+    from visiquarry.llm import graph
+
+    rounds, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: (rounds.append(name), write(df, name))[1])
+    for edges, want, most in (([(5, 1), (2, 1), (9, 7)], {1: 1, 2: 1, 5: 1, 7: 7, 9: 7}, 0), ([(i, i + 1) for i in range(40)], dict.fromkeys(range(41), 0), 6), ([(3, 2), (3, 1), (4, 4)], {1: 1, 2: 1, 3: 1}, 1), ([], {}, 0)):
+        rounds.clear()
+        found = graph.components(spark.createDataFrame(edges, "a long, b long"))
+        assert {r.node: r.component for r in found.collect()} == want and found.count() == len(want)
+        assert rounds.count("stars") <= most

@@ -12,20 +12,21 @@ def components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (the smallest node) for every node of the long pairs (a, b).
 
     Every round is two joins with a table of minima by node, so a node with very many links is summed before the shuffle
-    and its join can be split. Rounds are written to the shared folder; the loop ends when the set of stars stays as it is.
+    and its join can be split. Rounds are written to the shared folder; the loop ends when all links are stars: no node is on
+    both sides, and every one has one centre. A sum by node says so, without another round.
     """
     stars = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
-    seen = None
-    while True:
+    while not _are_stars(stars):
         both = stars.union(stars.select("lo", "hi")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).union(low.where("m < u").select("u", "m")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", "m")).distinct()
         stars = materialize(small, "stars")
-        now = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
     found = stars.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return found.union(stars.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+
+
+def _are_stars(stars: DataFrame) -> bool:
+    sides = stars.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(stars.select("lo", F.lit(0), F.lit(1)))
+    return sides.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
