@@ -29,7 +29,7 @@ def sides(facts: DataFrame, compared: DataFrame, keys: list[str], values: dict[s
     ``values`` are aggregates' inputs: of repeated keys the greatest value counts.
     """
     named = facts.select("client", "run_id", *keys, *(v.alias(n) for n, v in values.items()))
-    placed = named.join(compared.select("client", "run_id", "previous_run", "next_run"), ["client", "run_id"])
+    placed = named.join(F.broadcast(compared.select("client", "run_id", "previous_run", "next_run")), ["client", "run_id"])
     now = F.when(F.col("previous_run").isNotNull(), F.struct(F.col("run_id").alias("at"), F.col("previous_run").alias("before"), F.lit(True).alias("new")))
     past = F.when(F.col("next_run").isNotNull(), F.struct(F.col("next_run").alias("at"), F.col("run_id").alias("before"), F.lit(False).alias("new")))
     told = placed.withColumn("t", F.explode(F.array_compact(F.array(now, past)))).select("client", F.col("t.at").alias("run_id"), F.col("t.before").alias("previous_run"), F.col("t.new").alias("new"), *keys, *values)
