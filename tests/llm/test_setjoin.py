@@ -6,7 +6,8 @@ import re
 import numpy as np
 import pytest
 
-from visiquarry.llm import queries, setjoin
+from visiquarry.llm import blobs, graph, queries, setjoin
+from visiquarry.llm.common import materialize
 from visiquarry.llm.words import Words
 
 
@@ -152,3 +153,32 @@ def test_components_end_without_a_round_that_changes_nothing(spark, monkeypatch)
         found = graph.components(spark.createDataFrame(edges, "a long, b long"))
         assert {r.node: r.component for r in found.collect()} == want and found.count() == len(want)
         assert rounds.count("stars") <= most
+
+
+@pytest.mark.parametrize("share", [1 << 18, 3])
+def test_components_of_shares_of_links(spark, monkeypatch, share):
+    monkeypatch.setattr(graph, "SHARE", share)
+    r = random.Random(share)
+    links = [(i, i + 1) for i in range(12)] + [(40, 30 + i) for i in range(9)] + [(r.randrange(50, 90), r.randrange(50, 90)) for _ in range(25)] + [(95, 95)]
+    least = {x: x for link in links[:-1] for x in link}
+    for _ in least:
+        for a, b in links[:-1]:
+            least[a] = least[b] = min(least[a], least[b])
+    rounds = []
+    monkeypatch.setattr(graph, "materialize", lambda df, name: rounds.append(name) or materialize(df, name))
+    assert {tuple(x) for x in graph.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()} == set(least.items())
+    if share > len(links):
+        assert rounds == ["links", "forests"]  # one share of the links needs no round
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bits_are_fetched_in_one_job(spark):
+    keys = [r.id * 7919 for r in spark.range(3000).collect()]
+    spark.sparkContext.setJobGroup("bits-of-keys", "bits")
+    bits = blobs.bit_set(spark.createDataFrame([(k,) for k in keys], "key long"), 1 << 20)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("bits-of-keys")
+    spark.sparkContext.setJobGroup("other", "other")
+    want = np.zeros(1 << 20, bool)
+    want[[k & (1 << 20) - 1 for k in keys]] = True
+    assert (np.unpackbits(bits, bitorder="little").astype(bool) == want).all()
+    assert len(jobs) <= 2  # not one for each shuffle partition

@@ -40,11 +40,14 @@ def keys_of(blob: bytes) -> np.ndarray:
 
 
 def bit_set(keys: DataFrame, bits: int) -> np.ndarray:
-    """Bits for the long column ``key``: one for all keys with equal low bits. ``bits`` is a power of two; its eighth are the bytes that reach the driver."""
+    """Bits for the long column ``key``: one for all keys with equal low bits. ``bits`` is a power of two; its eighth are the bytes that reach the driver.
+
+    The maps are fetched together, in one job: an iterator over them would run a job for every shuffle partition, one after the other.
+    """
     bit = keys.select(F.col("key").bitwiseAND(bits - 1).alias("bit"))
     maps = bit.groupBy(F.shiftright("bit", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("map"))
     out = np.zeros(bits // 8, np.uint8)
-    for row in maps.toLocalIterator():
+    for row in maps.collect():
         out[row["at"] << 12 : (row["at"] + 1) << 12] = np.frombuffer(row["map"], np.uint8)
     return out
 

@@ -216,7 +216,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, features: DataFrame, similarity
     both = F.size(F.array_intersect("x", "y"))
     # in whole numbers: 100 * intersection >= 80 * union
     enough = 100 * both >= F.lit(round(100 * similarity)) * (F.size("x") + F.size("y") - both)
-    return materialize(pairs.join(a, "a").join(b, "b").where(enough).select("a", "b"), "join-links")
+    return pairs.join(a, "a").join(b, "b").where(enough).select("a", "b")
 
 
 def _told(members: DataFrame, similarity: float) -> DataFrame:
@@ -284,8 +284,10 @@ def _tiles(members: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, own: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(member, names): node (a record's id) and component of all records with links; names: k1, k2, id, first (smallest doc_id)."""
-    names = materialize(own.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("id"), F.min("doc_id").alias("first")), "join-names")
-    features = materialize(own.join(names.select(F.col("id").alias("row")), "row").select(F.col("row").alias("id"), "doc_id", "text_key", "n", "sketch", "wide"), "join-features")
+    # of equal sets the row with the least number is the record
+    record = F.min(F.struct(F.col("row").alias("id"), "doc_id", "text_key", "n", "sketch", "wide")).alias("record")
+    features = materialize(own.where("n > 0").groupBy("k1", "k2").agg(record, F.min("doc_id").alias("first")).select("k1", "k2", "first", "record.*"), "join-features")
+    names = features.select("k1", "k2", "id", "first")
     roots = root_choices(similarity)
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
