@@ -91,3 +91,14 @@ def test_odd_and_empty_tables(odd, empty):
 def test_network_acts_on_the_given_tables(spark, sf_dir):
     out = queries.QUERIES["op5_secrets"](spark, sf_dir.replace("sf0.001", "sf0.01"))
     assert out.where("n_network > 0").count() > 0
+
+
+def test_every_candidate_takes_part_in_training(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(i, f"x{i} token = {''.join(r.choice(list('0123456789abcdef'), 32))} and user{i}.name.is.plain{i % 10}.example") for i in range(300)]
+    found = secrets.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    seen, epoch = [], secrets._epoch
+    monkeypatch.setattr(secrets, "_epoch", lambda dealt, *more: seen.append(dealt) or epoch(dealt, *more))
+    nets = [secrets.fit(found, made=40, share=200, epochs=2) for _ in range(2)]
+    assert seen[0].count() == 600 and seen[0].select("share").distinct().count() == 3
+    assert nets[0].threshold == nets[1].threshold and np.array_equal(nets[0].kernel, nets[1].kernel)

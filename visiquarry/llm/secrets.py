@@ -3,10 +3,10 @@
 A candidate is the value of every finding of the rules, whatever its letters, and beside them every run of 6 or more token
 characters that is not a plain word: it holds a digit, a sign or a capital after a small letter, has LONG characters or more, or
 stands behind a colon or an equals sign. A run that ends in an equals sign before a quote is a name, no candidate. The network reads the LEFT characters before it, the candidate (a long one in overlapping windows of WIDTH, the highest
-score counts) and the RIGHT characters after it. It is trained on labelled findings: candidates that a rule matched are
-positive, others negative, about ``PER_LABEL`` different ones of each, chosen by hash; beside them stand ``MADE`` findings of
-either label made from the public formats of keys, tokens and passwords and of numbers, dates, names and paths, in
-surroundings taken from the corpus. Half of the positive ones are shown without surroundings, so that the network cannot lean
+score counts) and the RIGHT characters after it. It is trained on labelled findings, all different candidates of the table: those that a rule matched are positive, others negative. They are
+dealt out by hash in shares of about ``SHARE``; an epoch goes through every share from the same weights, and the weights that come out are
+averaged for the next one. Beside a share stand ``MADE`` findings of either label made from the public formats of keys, tokens and passwords and of numbers, dates, names and paths, in
+surroundings taken from the share. Half of the positive ones are shown without surroundings, so that the network cannot lean
 on a keyword. Scores are calibrated on a fifth left out of training (Platt scaling), and the threshold is the highest one
 that finds ``RECALL`` of the labelled findings there. The network adds the span of every candidate that it accepts, the bare
 value where a rule found a name with its value; spans of the rules stay.
@@ -34,9 +34,12 @@ KINDS = ("assign", "access", "hex")
 LEFT, WIDTH, RIGHT = 24, 64, 16
 STEP = 48
 LONG = 20
-PER_LABEL = 3000
+SHARE = 8192
 MADE = 1500
 RECALL = 0.98
+EPOCHS = 4
+#: places of a score's histogram, a 256th apart
+PLACES, A_UNIT = 1 << 14, 256
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -196,41 +199,91 @@ class Network:
         return 1 / (1 + np.exp(-(self.scale * z + self.shift)))
 
 
-def train(x: np.ndarray, y: np.ndarray, recall: float = RECALL, epochs: int = 4, seed: int = 3) -> Network | None:
-    """Adam over shuffled batches; every fifth row is left out for calibration and the threshold."""
-    if not 0 < y.sum() < len(y) or len(y) < 20:
-        return None
+def left_out(n: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.random.Generator]:
+    """Every fifth of n rows, left out for calibration and the threshold, the others, and the generator for what follows."""
     r = np.random.default_rng(seed)
-    order = r.permutation(len(y))
-    left, fitted = order[::5], np.setdiff1d(order, order[::5])
+    order = r.permutation(n)
+    return order[::5], np.setdiff1d(order, order[::5]), r
+
+
+def fresh_state() -> np.ndarray:
+    """Weights of a network, their two moments and the number of steps, as one row of numbers."""
+    net = Network.fresh()
+    own = np.concatenate([p.ravel() for p in (net.embed, net.kernel, net.bias, net.out)])
+    return np.concatenate([own, np.zeros(2 * len(own) + 1)])
+
+
+def network_of(state: np.ndarray) -> tuple[Network, list[list[np.ndarray]]]:
+    """The network of a state, and views of its weights and moments."""
     net = Network.fresh()
-    params = [net.embed, net.kernel, net.bias, net.out]
-    m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(epochs):
+    shapes = [p.shape for p in (net.embed, net.kernel, net.bias, net.out)]
+    cuts = np.cumsum([int(np.prod(x)) for _ in range(3) for x in shapes])
+    views = [x.reshape(shape) for x, shape in zip(np.split(state, cuts), 3 * shapes)]
+    return Network(*views[:4]), [views[i : i + 4] for i in (0, 4, 8)]
+
+
+def learn(state: np.ndarray, x: np.ndarray, y: np.ndarray, epoch: int) -> np.ndarray:
+    """The state after an epoch of Adam over shuffled batches of the rows that are not left out.
+
+    Draws go on from those of the epochs before, so that a share learns the same whether its epochs run in one task or in several.
+    """
+    state = state.copy()
+    net, (params, m, v) = network_of(state)
+    _, fitted, r = left_out(len(y))
+    for _ in range(epoch):
         r.shuffle(fitted)
-        for i in range(0, len(fitted), 64):
-            rows = fitted[i : i + 64]
-            xb = x[rows].copy()
-            bare = (y[rows] == 1) & (r.random(len(rows)) < 0.5)
-            xb[bare, :LEFT] = 0
-            xb[bare, LEFT + WIDTH :] = 0
-            t += 1
-            for k, g in enumerate(net.step(xb, y[rows])):
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.001 * (g * g - v[k])
-                params[k] -= 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    z, own = np.concatenate([net.forward(x[left[i : i + 512]])[0] for i in range(0, len(left), 512)]), y[left]
+        r.random(len(fitted))
+    r.shuffle(fitted)
+    shown = r.random(len(fitted)) >= 0.5
+    for i in range(0, len(fitted), 64):
+        rows = fitted[i : i + 64]
+        xb = x[rows].copy()
+        bare = (y[rows] == 1) & ~shown[i : i + 64]
+        xb[bare, :LEFT] = 0
+        xb[bare, LEFT + WIDTH :] = 0
+        state[-1] += 1
+        t = state[-1]
+        for k, g in enumerate(net.step(xb, y[rows])):
+            m[k] += 0.1 * (g - m[k])
+            v[k] += 0.001 * (g * g - v[k])
+            params[k] -= 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+    return state
+
+
+def places(net: Network, x: np.ndarray) -> np.ndarray:
+    """Scores before calibration, as places of a histogram."""
+    z = np.concatenate([net.forward(x[i : i + 512])[0] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
+    return np.clip(np.floor(z * A_UNIT), -PLACES, PLACES).astype(np.int64)
+
+
+def calibrated(net: Network, place: np.ndarray, label: np.ndarray, count: np.ndarray, recall: float) -> Network | None:
+    """Platt scaling and threshold by the histogram of the rows left out; a place counts as its lower end, so the recall is kept."""
+    if not count[label == 1].sum():
+        return None
+    z, share = place / A_UNIT, count / count.sum()
     for _ in range(200):  # Platt scaling by gradient steps
         p = 1 / (1 + np.exp(-(net.scale * z + net.shift)))
-        net.scale -= 0.05 * ((p - own) * z).mean()
-        net.shift -= 0.2 * (p - own).mean()
-    if not own.any():
-        return None
-    found = np.sort(net.probability(x[left])[own == 1])
-    net.threshold = float(found[int((1 - recall) * len(found))])
+        net.scale -= 0.05 * ((p - label) * z * share).sum()
+        net.shift -= 0.2 * ((p - label) * share).sum()
+    order = np.flatnonzero(label == 1)[np.argsort(z[label == 1], kind="stable")]
+    upto = np.cumsum(count[order])
+    at = order[np.searchsorted(upto, int((1 - recall) * upto[-1]), "right")]
+    net.threshold = float(1 / (1 + np.exp(-(net.scale * z[at] + net.shift))))
     return net
 
 
+def train(x: np.ndarray, y: np.ndarray, recall: float = RECALL, epochs: int = EPOCHS) -> Network | None:
+    """A network of the rows of one share."""
+    if not 0 < y.sum() < len(y) or len(y) < 20:
+        return None
+    left, *_ = left_out(len(y))
+    state = fresh_state()
+    for epoch in range(epochs):
+        state = learn(state, x, y, epoch)
+    net, _ = network_of(state)
+    return calibrated(net, places(net, x[left]), y[left], np.ones(len(left)), recall)
+
+
 FOUND = "doc_id long, base array<struct<kind:string,start:int,end:int>>, cands array<struct<start:int,end:int,left:string,body:string,right:string,labelled:boolean>>"
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 _CAND = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("left", pa.string()), ("body", pa.string()), ("right", pa.string()), ("labelled", pa.bool_())])
@@ -256,22 +309,57 @@ def find(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, FOUND)
 
 
-def fit(found: DataFrame, per_label: int = PER_LABEL, recall: float = RECALL, made: int = MADE) -> Network | None:
-    """Train on about ``per_label`` different candidates of either label, chosen by hash of what the network sees, and ``made`` ones.
+def _rows_of(share: pa.Table, made: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the network sees of a share's candidates and of the findings made for it, and their labels."""
+    own = sorted(zip(*(share.column(c).to_pylist() for c in ("left", "body", "right", "labelled"))))
+    own += made_findings(made, [(a, c) for a, _, c, label in own if not label], 17 + share.column("share")[0].as_py())
+    return np.stack([codes(a, b, c) for a, b, c, _ in own]), np.array([float(x) for *_, x in own])
+
 
-    The share to take follows from a count, so tasks send the driver no more than those rows together, however many tasks.
+def _epoch(dealt: DataFrame, state: np.ndarray, made: int, epoch: int) -> np.ndarray:
+    """The mean, by rows, of the states that all shares come to from one state."""
+    given = dealt.sparkSession.sparkContext.broadcast(state)
+
+    def run(share: pa.Table) -> pa.Table:
+        x, y = _rows_of(share, made)
+        out = learn(given.value, x, y, epoch)
+        return pa.table({"at": pa.array(np.arange(len(out), dtype=np.int32)), "value": out, "rows": np.full(len(out), len(y), np.int64)})
+
+    told = dealt.groupBy("share").applyInArrow(run, "at int, value double, rows long")
+    # rounded, as the order of a sum is not fixed
+    mean = told.groupBy("at").agg(F.round(F.sum(F.col("value") * F.col("rows")) / F.sum("rows"), 14).alias("value")).collect()
+    out = np.zeros(len(state))
+    out[[r["at"] for r in mean]] = [r["value"] for r in mean]
+    return out
+
+
+def fit(found: DataFrame, recall: float = RECALL, made: int = MADE, share: int = SHARE, epochs: int = EPOCHS) -> Network | None:
+    """Train on all different candidates, by what the network sees, and ``made`` findings of either label beside every share of them.
+
+    The driver gets a row for every weight and a histogram of scores, whatever the number of candidates.
     """
     around = F.explode("cands").alias("c")
     seen = found.select(around).select(F.col("c.left").alias("left"), F.substring("c.body", 1, WIDTH).alias("body"), F.when(F.length("c.body") > WIDTH, F.substring("c.body", WIDTH + 1, RIGHT)).otherwise(F.col("c.right")).alias("right"), "c.labelled").distinct()
     seen = materialize(seen, "secrets-candidates")
-    sizes = {r["labelled"]: r["count"] for r in seen.groupBy("labelled").count().collect()}
-    if not sizes:
+    n = seen.count()
+    if not n:
         return None
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_label / n)))), F.col("labelled"))
-    rows = seen.where(F.pmod(F.xxhash64("left", "body", "right"), F.lit(1 << 40)) < share * (1 << 40)).collect()
-    distinct = sorted((r["left"], r["body"], r["right"], r["labelled"]) for r in rows)
-    distinct += made_findings(made, [(a, c) for a, _, c, label in distinct if not label])
-    return train(np.stack([codes(a, b, c) for a, b, c, _ in distinct]), np.array([float(x) for *_, x in distinct]), recall)
+    shares = -(-n // share)
+    dealt = seen.withColumn("share", F.pmod(F.xxhash64("left", "body", "right"), F.lit(shares))).repartition(shares, "share")
+    if not made and seen.select("labelled").distinct().count() < 2:
+        return None
+    state = fresh_state()
+    for epoch in range(epochs):
+        state = _epoch(dealt, state, made, epoch)
+    net, _ = network_of(state)
+
+    def held(share: pa.Table) -> pa.Table:
+        x, y = _rows_of(share, made)
+        left, *_ = left_out(len(y))
+        return pa.table({"place": places(net, x[left]), "label": y[left]})
+
+    scores = dealt.groupBy("share").applyInArrow(held, "place long, label double").groupBy("place", "label").count().orderBy("place", "label").collect()
+    return calibrated(net, *(np.array([r[c] for r in scores], float) for c in ("place", "label", "count")), recall)
 
 
 def score(found: DataFrame, net: Network | None) -> DataFrame:
@@ -295,7 +383,7 @@ def score(found: DataFrame, net: Network | None) -> DataFrame:
     return arrow_map(found, run, "doc_id long, base array<struct<kind:string,start:int,end:int>>, added array<struct<kind:string,start:int,end:int>>")
 
 
-def scan(docs: DataFrame, per_label: int = PER_LABEL, recall: float = RECALL, made: int = MADE) -> DataFrame:
+def scan(docs: DataFrame, recall: float = RECALL, made: int = MADE) -> DataFrame:
     """doc_id, base, added for all documents: rules, and candidates that the trained network accepts."""
     found = materialize(find(docs), "secrets-found")
-    return score(found, fit(found, per_label, recall, made))
+    return score(found, fit(found, recall, made))
