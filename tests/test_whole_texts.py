@@ -57,6 +57,12 @@ def test_words_and_digest_of_whole_texts(spark, long):
     assert got == {i: (len(text.split(" ")), hashlib.md5(text.encode()).hexdigest()) for i, text in whole.items()}
 
 
+def test_keywords_at_the_end_of_long_texts(spark, long):
+    """Every fourth page's keyword is its title, which its text names at the end. Page 40 is met by the redirect of page 39, whose text does not."""
+    rows = _rows(spark, long, "page_keyword_findings")
+    assert {r["evidence"] for r in rows if r["rule"] == "keyword_not_in_body" and r["evidence"].startswith("Own Name")} == {"Own Name 40"}
+
+
 @pytest.mark.parametrize("name", ["on_page_findings", "page_keyword_match", "single_page_check", "findings_diff", "cap_findings", "all_findings"])
 def test_other_queries_equal_their_sql(spark, long, name):
     assert _rows(spark, long, name)
