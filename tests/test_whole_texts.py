@@ -63,6 +63,14 @@ def test_keywords_at_the_end_of_long_texts(spark, long):
     assert {r["evidence"] for r in rows if r["rule"] == "keyword_not_in_body" and r["evidence"].startswith("Own Name")} == {"Own Name 40"}
 
 
+def test_listing_judges_whole_texts(spark, long):
+    """A page of one long word and 204 others is not thin; every finding of a page stands under its URL, gravest first."""
+    rows = _rows(spark, long, "findings_by_url")
+    own = {f"https://h{i % 4}.example.com/en/{i}" for i in range(48)}
+    mine = [r for r in rows if r["url"] in own]
+    assert len(mine) > 48 and not [r for r in mine if r["rule"] == "thin_content"]
+
+
 @pytest.mark.parametrize("name", ["on_page_findings", "page_keyword_match", "single_page_check", "findings_diff", "cap_findings", "all_findings"])
 def test_other_queries_equal_their_sql(spark, long, name):
     assert _rows(spark, long, name)
